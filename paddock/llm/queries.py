@@ -3,16 +3,39 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm import bpe, quality
+from paddock.llm import bpe, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Words that mark two kinds of abuse among the documents labelled toxic.
+PERSONAL = "idiot moron loser clown stupid pathetic".split()
+CONTEMPT = "scum trash worthless disgusting".split()
+TOXIC_FROM = 0.5
+
+
+def toxic_categories() -> dict[str, Column]:
+    """The chain's categories in order: two kinds of abuse, then the label itself."""
+    says = lambda words: F.lower("text").rlike(rf"\b({'|'.join(words)})\b")
+    toxic = F.col("toxic") == 1
+    return {"personal": toxic & says(PERSONAL), "contempt": toxic & says(CONTEMPT), "toxic": toxic}
+
+
+def toxicity_chain(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Chain:
+    return toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), toxic_categories())
+
+
+def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_chain(spark, sf_dir, docs))
+    return scored.withColumn("toxic", F.col("p_toxic") >= TOXIC_FROM)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
@@ -60,6 +83,7 @@ FROM f
 
 QUERIES = {
     "op3_quality_ledger": op3_quality_ledger,
+    "op4_toxicity_chain": op4_toxicity_chain,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLES: dict[str, str] = {"op3_quality_ledger": OP3_SQL}
