@@ -164,12 +164,14 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", keep=()) -> DataFrame:
     """(id, p_<category> ...): probabilities of every whole text, in one pass; ``keep`` columns come along.
 
-    A null or empty text has the probabilities of no features; null ids and repeated rows come back as they are.
+    A text without words, null included, has probability 0 throughout; null ids and repeated rows come back as they are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, 0, 8_000_000):
-            p = chain.probabilities([chain.active(t) for t in part.column(0).to_pylist()])
+            texts = part.column(0).to_pylist()
+            p = chain.probabilities([chain.active(t) for t in texts])
+            p[[not WORDS.search(t or "") for t in texts]] = 0
             yield pa.RecordBatch.from_arrays([*part.columns[1:], *[pa.array(p[:, j]) for j in range(p.shape[1])]], [*part.schema.names[1:], *names])
 
     names = [f"p_{c}" for c in chain.categories]
