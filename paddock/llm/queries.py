@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm import bpe, quality, toxicity
+from paddock.llm import bpe, quality, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
+def secret_forest(spark: SparkSession) -> secrets.Forest:
+    return secrets.fit(secrets.labelled_findings(spark))
+
+
+def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), secret_forest(spark))
+
+
 def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality.ledger(table(spark, sf_dir, "documents"))
     return entries.select(
@@ -82,6 +90,7 @@ FROM f
 
 
 QUERIES = {
+    "op1_secret_forest": op1_secret_forest,
     "op3_quality_ledger": op3_quality_ledger,
     "op4_toxicity_chain": op4_toxicity_chain,
     "op10_byte_bpe": op10_byte_bpe,

@@ -1,0 +1,94 @@
+"""Scans and redaction against a plain reading of pattern, features and trees; held-out findings."""
+
+import re
+
+import pytest
+
+from paddock.llm import secrets as S
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return S.fit(S.labelled_findings(spark))
+
+
+def features(c, before, path):
+    n, low, near = len(c), c.lower(), before[-60:]
+    share = lambda p: len(re.sub(p, "", c)) / n
+    return [
+        n,
+        (len(re.findall("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+", c)) - 1) / n,
+        len(re.findall(f"(?=(?:{'|'.join(S.PAIRS)}))", low)) / n,
+        1 - len(re.sub("|".join(sorted(S.DICTIONARY, key=len, reverse=True)), "", low)) / n,
+        share("[^0-9]"),
+        len(set(c)) / n,
+        share("[^/]"),
+        float(bool(re.search(S.HARMLESS_PATH, path or ""))),
+        float(bool(re.search(S.NEAR_SECRET, near))),
+        float(bool(re.search(S.NEAR_DIGEST, near))),
+        float(bool(re.search(r"[=:]\s*[\"']?$", near))),
+    ]
+
+
+def walk(node, x):
+    while isinstance(node, tuple):
+        feature, threshold, low, high = node
+        node = low if x[feature] <= threshold else high
+    return node
+
+
+def brute(text, path, forest):
+    out, last = [], 0
+    for m in re.finditer(S.CANDIDATE, text or ""):
+        x = features(m[0], text[last : m.start()], path)
+        out.append((m[0], sum(walk(t, x) for t in forest.trees) / len(forest.trees), m.start(), m.end()))
+        last = m.end()
+    return out
+
+
+HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+TEXTS = [
+    None,
+    "",
+    f'token = "{HEX}"',
+    f'x token = "{HEX}" y commit {HEX}\n sha256: {HEX}{HEX[:24]} password=0030ef94f364d8386a.',
+    f"{HEX}",
+    "Thlybleesonhetiou anthonntshereaer 4785380592391139 a-b/c_d",
+    "é" * 30 + f' api_key: "{HEX}"==',
+    "=" * 40,
+    f'token = "{HEX}" ' * 3000,
+    "a" * 200_000,
+]
+
+
+def test_scan_and_redact_equal_brute_force(spark, forest):
+    rows = [(i, t, p, 1.0, "x") for i, t in enumerate(TEXTS) for p in (None, "src1", "repo/tests/a.py")]
+    docs = spark.createDataFrame(rows + rows[6:8] + [(None, TEXTS[2], "s", None, None)], "doc_id long, text string, source string, score double, _x string")
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.ordinal, r.candidate, round(r.score, 9), r.is_secret) for r in S.scan(docs, forest).collect())
+    want, clean = [], []
+    for i, t, p, *_ in docs.collect():
+        found = brute(t, p, forest)
+        want += [(-1 if i is None else i, k, c, round(s, 9), s >= 0.5) for k, (c, s, *_) in enumerate(found)]
+        for _, s, a, b in reversed(found):
+            t = t[:a] + "<secret>" + t[b:] if s >= 0.5 else t
+        clean.append((-1 if i is None else i, p, t))
+    assert got == sorted(want)
+    after = S.redacted(docs, forest)
+    assert after.columns == docs.columns
+    assert sorted(map(repr, ((-1 if r.doc_id is None else r.doc_id, r.source, r.text) for r in after.collect()))) == sorted(map(repr, clean))
+
+
+def test_held_out_findings(spark, forest):
+    held = S.labelled_findings(spark, 1000, seed=5).withColumnRenamed("label", "doc_id")
+    rows = S.scan(held, forest, path_col="path").collect()
+    assert sum(r.is_secret == (r.doc_id == 1) for r in rows) >= 0.97 * len(rows)
+
+
+def test_planted_secrets_are_found(spark, forest):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    left = S.redacted(docs, forest).where(r"""text rlike 'token = "[0-9a-f]{40}"'""").count()
+    assert docs.where(r"""text rlike 'token = "[0-9a-f]{40}"'""").count() > 0 and left == 0
+
+
+def test_empty_table(spark, forest):
+    assert S.scan(spark.createDataFrame([], "doc_id long, text string, source string"), forest).count() == 0
