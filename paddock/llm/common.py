@@ -56,3 +56,17 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 2_0
 def word_count(text) -> F.Column:
     """Number of words of a text column; a null text has none."""
     return F.coalesce(F.size(F.filter(F.split(text, SPACE), lambda w: w != "")), F.lit(0)).cast("long")
+
+
+#: Most rows of a table that is joined by broadcast; a row of the tables in question has well under 1 kB.
+BROADCAST_ROWS = 100_000
+SALTS = 16
+
+
+def join_small(big: DataFrame, small: DataFrame, keys: list[str], limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join with a table (already written) of one row per key.  Its rows are counted: up to ``limit`` it is
+    broadcast; beyond, both sides are shuffled by key and salt, so that a frequent key is shared by ``SALTS`` tasks."""
+    if small.limit(limit + 1).count() <= limit:
+        return big.join(F.broadcast(small), keys)
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("_salt", (F.rand(5) * SALTS).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")

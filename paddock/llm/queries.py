@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm import bpe, quality, secrets, toxicity
+from paddock.llm import bpe, mixing, quality, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,58 @@ def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), secret_forest(spark))
 
 
+DOMAINS = ("web", "books", "forum", "code")
+MIX_WEIGHTS = [{"web": 5, "books": 3, "forum": 1, "code": 1}, {"en": 6, "de": 2, "fr": 2, "es": 1}, {"src0": 1}]
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = (1, 2), 2, 42
+
+
+def mix_levels() -> dict[str, Column]:
+    """Domain, language and source; the tables have no domain, so it follows from the source's number."""
+    number = F.expr("try_cast(regexp_extract(source, '([0-9]{1,9})$', 1) as int)")
+    return {"domain": F.element_at(F.array(*map(F.lit, DOMAINS)), F.pmod(number, F.lit(4)) + 1), "language": F.col("lang"), "origin": F.col("source")}
+
+
+def mixture(docs: DataFrame) -> DataFrame:
+    return mixing.mix(docs, mix_levels(), MIX_WEIGHTS, share=MIX_SHARE, max_epochs=MIX_EPOCHS, seed=MIX_SEED)
+
+
+def op2_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents")).drop("begin")
+
+
+def _mix_sql() -> str:
+    levels = ["domain", "language", "origin"]
+    weight = lambda level, by: f"CASE {' '.join(f"WHEN {level} = '{k}' THEN {v}" for k, v in by.items())} ELSE 1 END"
+    sql = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(['web', 'books', 'forum', 'code'][try_cast(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS INT) % 4 + 1], '(none)') AS domain,
+    coalesce(lang, '(none)') AS language, coalesce(source, '(none)') AS origin, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS n_tokens FROM documents),
+leaves AS (SELECT domain, language, origin, sum(n_tokens)::HUGEINT AS tokens, {MIX_EPOCHS} * sum(n_tokens)::HUGEINT AS room FROM d GROUP BY ALL),
+g0 AS (SELECT (sum(tokens) * {MIX_SHARE[0]} // {MIX_SHARE[1]})::HUGEINT AS given FROM leaves)"""
+    for i, (level, by) in enumerate(zip(levels, MIX_WEIGHTS, strict=True)):
+        path, parent = ", ".join(levels[: i + 1]), ", ".join(levels[:i])
+        join = f"JOIN g{i} USING ({parent})" if parent else "CROSS JOIN g0"
+        part = f"PARTITION BY {parent}" if parent else ""
+        on = " AND ".join(f"o.{x} = f.{x}" for x in levels[:i]) or "true"
+        sql += f""",
+h{i} AS (SELECT {path}, sum(room)::HUGEINT AS room, {weight(level, by)} AS weight FROM leaves GROUP BY {path}),
+o{i} AS (SELECT h.*, given, row_number() OVER w AS k,
+    greatest(given - coalesce(sum(room) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)::HUGEINT AS rest,
+    sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::HUGEINT AS weights
+  FROM h{i} h {join} WINDOW w AS ({part} ORDER BY room::DOUBLE / weight, {level})),
+f{i} AS (SELECT {parent + ', ' if parent else ''} min(k) AS k, arg_min(rest, k) AS rest, arg_min(weights, k) AS weights FROM o{i} WHERE room * weights > rest * weight {'GROUP BY ' + parent if parent else ''}),
+g{i + 1} AS (SELECT {', '.join('o.' + x for x in levels[: i + 1])}, CASE WHEN f.k IS NULL OR o.k < f.k THEN o.room ELSE least(f.rest * o.weight // f.weights, o.room) END AS given
+  FROM o{i} o LEFT JOIN f{i} f ON {on})"""
+    return (
+        sql
+        + f""",
+e AS (SELECT domain, language, origin, CASE WHEN tokens > 0 THEN given // tokens ELSE 0 END AS epochs, CASE WHEN tokens > 0 THEN given % tokens ELSE 0 END AS rest FROM leaves JOIN g3 USING (domain, language, origin)),
+p AS (SELECT d.*, epochs, rest, coalesce(sum(n_tokens) OVER (PARTITION BY domain, language, origin ORDER BY md5(concat_ws(':', {MIX_SEED}, epochs, coalesce(doc_id::VARCHAR, 'null'))), doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin
+  FROM d JOIN e USING (domain, language, origin))
+SELECT doc_id, domain, language, origin, n_tokens, CASE WHEN n_tokens > 0 THEN epochs + (begin < rest)::BIGINT ELSE 0 END::BIGINT AS copies FROM p"""
+    )
+
+
 def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality.ledger(table(spark, sf_dir, "documents"))
     return entries.select(
@@ -91,8 +143,9 @@ FROM f
 
 QUERIES = {
     "op1_secret_forest": op1_secret_forest,
+    "op2_hierarchical_mix": op2_hierarchical_mix,
     "op3_quality_ledger": op3_quality_ledger,
     "op4_toxicity_chain": op4_toxicity_chain,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLES: dict[str, str] = {"op3_quality_ledger": OP3_SQL}
+ORACLES: dict[str, str] = {"op2_hierarchical_mix": _mix_sql(), "op3_quality_ledger": OP3_SQL}
