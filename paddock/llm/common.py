@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 2_0
         first, rows = 0, batch.num_rows
         if not rows:
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         size = 0
         for i, n in enumerate(lengths):
             if i > first and size + n > limit:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm import bpe, mixing, quality, secrets, toxicity
+from paddock.llm import bpe, minhash, mixing, quality, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("toxic", F.col("p_toxic") >= TOXIC_FROM)
 
 
+def op6_minhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
@@ -74,7 +78,8 @@ def _mix_sql() -> str:
     sql = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(['web', 'books', 'forum', 'code'][try_cast(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS INT) % 4 + 1], '(none)') AS domain,
-    coalesce(lang, '(none)') AS language, coalesce(source, '(none)') AS origin, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS n_tokens FROM documents),
+    coalesce(lang, '(none)') AS language, coalesce(source, '(none)') AS origin, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS n_tokens FROM documents),
 leaves AS (SELECT domain, language, origin, sum(n_tokens)::HUGEINT AS tokens, {MIX_EPOCHS} * sum(n_tokens)::HUGEINT AS room FROM d GROUP BY ALL),
 g0 AS (SELECT (sum(tokens) * {MIX_SHARE[0]} // {MIX_SHARE[1]})::HUGEINT AS given FROM leaves)"""
     for i, (level, by) in enumerate(zip(levels, MIX_WEIGHTS, strict=True)):
@@ -146,6 +151,7 @@ QUERIES = {
     "op2_hierarchical_mix": op2_hierarchical_mix,
     "op3_quality_ledger": op3_quality_ledger,
     "op4_toxicity_chain": op4_toxicity_chain,
+    "op6_minhash_near": op6_minhash_near,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLES: dict[str, str] = {"op2_hierarchical_mix": _mix_sql(), "op3_quality_ledger": OP3_SQL}
