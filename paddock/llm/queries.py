@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm import bpe, minhash, mixing, quality, secrets, toxicity
+from paddock.llm import bpe, embedding_dedup, minhash, mixing, quality, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op6_minhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op7_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
@@ -152,6 +156,7 @@ QUERIES = {
     "op3_quality_ledger": op3_quality_ledger,
     "op4_toxicity_chain": op4_toxicity_chain,
     "op6_minhash_near": op6_minhash_near,
+    "op7_int8_tiles": op7_int8_tiles,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLES: dict[str, str] = {"op2_hierarchical_mix": _mix_sql(), "op3_quality_ledger": OP3_SQL}
