@@ -71,3 +71,11 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], limit: int = B
         return big.join(F.broadcast(small), keys)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return big.withColumn("_salt", (F.rand(5) * SALTS).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
+
+
+def without(rows: DataFrame, ids: DataFrame, limit: int = 10 * BROADCAST_ROWS) -> DataFrame:
+    """``rows`` whose key isn't in ``ids`` (one column of distinct numbers): broadcast up to ``limit`` ids, which is
+    16 MB, and shuffled beyond."""
+    ids = written(ids, "ids")
+    few = ids.limit(limit + 1).count() <= limit
+    return rows.join(F.broadcast(ids) if few else ids, ids.columns[0], "left_anti")

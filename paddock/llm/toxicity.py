@@ -167,14 +167,16 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     A text without words, null included, has probability 0 throughout; null ids and repeated rows come back as they are.
     """
 
+    first = 0 if text_col in keep else 1  # the text itself leaves the task only if it is to be kept
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, 0, 8_000_000):
             texts = part.column(0).to_pylist()
             p = chain.probabilities([chain.active(t) for t in texts])
             p[[not WORDS.search(t or "") for t in texts]] = 0
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], *[pa.array(p[:, j]) for j in range(p.shape[1])]], [*part.schema.names[1:], *names])
+            yield pa.RecordBatch.from_arrays([*part.columns[first:], *[pa.array(p[:, j]) for j in range(p.shape[1])]], [*part.schema.names[first:], *names])
 
     names = [f"p_{c}" for c in chain.categories]
-    source = docs.select(F.col(text_col).alias("_text"), F.col(id_col), *[F.col(c) for c in keep])
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:]]
+    source = docs.select(F.col(text_col), F.col(id_col), *[F.col(c) for c in keep if c != text_col])
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[first:]]
     return source.mapInArrow(run, ", ".join([*kinds, *[f"`{n}` double" for n in names]]))
