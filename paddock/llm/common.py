@@ -64,13 +64,13 @@ BROADCAST_ROWS = 100_000
 SALTS = 16
 
 
-def join_small(big: DataFrame, small: DataFrame, keys: list[str], limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Inner join with a table (already written) of one row per key.  Its rows are counted: up to ``limit`` it is
+def join_small(big: DataFrame, small: DataFrame, keys: list[str], limit: int = BROADCAST_ROWS, how: str = "inner") -> DataFrame:
+    """Join (inner or left) with a table (already written) of one row per key.  Its rows are counted: up to ``limit`` it is
     broadcast; beyond, both sides are shuffled by key and salt, so that a frequent key is shared by ``SALTS`` tasks."""
     if small.limit(limit + 1).count() <= limit:
-        return big.join(F.broadcast(small), keys)
+        return big.join(F.broadcast(small), keys, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return big.withColumn("_salt", (F.rand(5) * SALTS).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
+    return big.withColumn("_salt", (F.rand(5) * SALTS).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
 def without(rows: DataFrame, ids: DataFrame, limit: int = 10 * BROADCAST_ROWS) -> DataFrame:

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm import bpe, embedding_dedup, minhash, mixing, quality, secrets, toxicity
+from paddock.llm import bpe, embedding_dedup, minhash, mixing, quality, secrets, toxicity, warc
+from paddock.llm.common import scratch_path, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,25 @@ def op7_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    read = written(warc.read_archives(spark, path), "headers")
+    return warc.resolve(read).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+OP8_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex FROM p),
+d AS (SELECT page_id, payload_bytes,
+    array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1) for i in range(32)], '') AS payload_digest FROM h)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
+FROM d WINDOW w AS (PARTITION BY payload_digest)
+"""
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
@@ -157,6 +177,7 @@ QUERIES = {
     "op4_toxicity_chain": op4_toxicity_chain,
     "op6_minhash_near": op6_minhash_near,
     "op7_int8_tiles": op7_int8_tiles,
+    "op8_warc_revisits": op8_warc_revisits,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLES: dict[str, str] = {"op2_hierarchical_mix": _mix_sql(), "op3_quality_ledger": OP3_SQL}
+ORACLES: dict[str, str] = {"op2_hierarchical_mix": _mix_sql(), "op3_quality_ledger": OP3_SQL, "op8_warc_revisits": OP8_SQL}

@@ -95,6 +95,6 @@ def test_without_broadcast_and_empty(spark, monkeypatch):
 
     docs = spark.createDataFrame([(i, "a b", "en", f"s{i % 3}") for i in range(50)], "doc_id long, text string, lang string, source string")
     want = sorted(map(tuple, mixing.mix(docs, levels(), [{}, {}], share=(1, 2)).drop("begin").collect()))
-    monkeypatch.setattr(common.join_small, "__defaults__", (0,))
+    monkeypatch.setattr(common.join_small, "__defaults__", (0, "inner"))
     assert sorted(map(tuple, mixing.mix(docs, levels(), [{}, {}], share=(1, 2)).drop("begin").collect())) == want
     assert mixing.mix(docs.limit(0), levels(), [{}, {}], share=(1, 2)).count() == 0
