@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm import bpe, embedding_dedup, minhash, mixing, quality, secrets, toxicity, warc
+from paddock.llm import bpe, embedding_dedup, html_text, minhash, mixing, quality, secrets, toxicity, warc
 from paddock.llm.common import scratch_path, written
 
 
@@ -64,6 +64,10 @@ FROM d WINDOW w AS (PARTITION BY payload_digest)
 """
 
 
+def op9_min_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), html_text.fit())
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
@@ -178,6 +182,7 @@ QUERIES = {
     "op6_minhash_near": op6_minhash_near,
     "op7_int8_tiles": op7_int8_tiles,
     "op8_warc_revisits": op8_warc_revisits,
+    "op9_min_cut_text": op9_min_cut_text,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLES: dict[str, str] = {"op2_hierarchical_mix": _mix_sql(), "op3_quality_ledger": OP3_SQL, "op8_warc_revisits": OP8_SQL}
