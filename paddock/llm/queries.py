@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm import bpe, embedding_dedup, html_text, minhash, mixing, quality, secrets, toxicity, warc
+from paddock.llm import bpe, embedding_dedup, html_text, minhash, mixing, quality, secrets, suffix_dedup, toxicity, warc
 from paddock.llm.common import scratch_path, written
 
 
@@ -37,6 +37,22 @@ def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("toxic", F.col("p_toxic") >= TOXIC_FROM)
 
 
+def op5_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT r, doc_id, i, md5(array_to_string(ws[i + 1:i + 50], ' ')) AS x FROM (SELECT r, doc_id, ws, unnest(range(len(ws) - 49)) AS i FROM d WHERE len(ws) >= 50)),
+f AS (SELECT x, min(doc_id) AS least FROM w GROUP BY x HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT r, i FROM w JOIN f USING (x) WHERE doc_id > least),
+gone AS (SELECT DISTINCT r, i + k AS i FROM hit, (SELECT unnest(range(50)) AS k)),
+each AS (SELECT r, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM d),
+kept AS (SELECT r, count(gone.r) AS n, string_agg(CASE WHEN gone.r IS NULL THEN word END, ' ' ORDER BY i) AS text FROM each LEFT JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def op6_minhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
@@ -179,10 +195,11 @@ QUERIES = {
     "op2_hierarchical_mix": op2_hierarchical_mix,
     "op3_quality_ledger": op3_quality_ledger,
     "op4_toxicity_chain": op4_toxicity_chain,
+    "op5_suffix_trees": op5_suffix_trees,
     "op6_minhash_near": op6_minhash_near,
     "op7_int8_tiles": op7_int8_tiles,
     "op8_warc_revisits": op8_warc_revisits,
     "op9_min_cut_text": op9_min_cut_text,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLES: dict[str, str] = {"op2_hierarchical_mix": _mix_sql(), "op3_quality_ledger": OP3_SQL, "op8_warc_revisits": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_hierarchical_mix": _mix_sql(), "op3_quality_ledger": OP3_SQL, "op5_suffix_trees": OP5_SQL, "op8_warc_revisits": OP8_SQL}
