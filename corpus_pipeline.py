@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm import bpe, minhash, queries, secrets, toxicity
+from paddock.llm import bpe, minhash, mixing, queries, secrets, toxicity
 from paddock.llm.common import without, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -36,11 +36,11 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it: not at all, once, or once for each epoch.  Rows that share
-    an id count as one document: the row drawn most often speaks for all."""
-    copies = queries.mixture(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    taken = docs.join(written(copies, "copies"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return taken.withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(COLUMNS)
+    """Each document as often as the mixture takes it: not at all, once, or once for each epoch."""
+    levels = queries.mix_levels()
+    leaves = mixing.shares(docs, levels, queries.MIX_WEIGHTS, share=queries.MIX_SHARE, max_epochs=queries.MIX_EPOCHS, seed=queries.MIX_SEED)
+    taken = mixing.taken(docs, leaves, levels, queries.MIX_SEED).where("copies > 0")
+    return taken.withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(COLUMNS)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from paddock.llm.common import join_small, word_count, written
 
 NONE = "(none)"  #: the name of a null level
-BIN_ROWS = 10_000
+BIN_ROWS = 2_000
 
 
 def draw(seed: int, epoch: Column, key: Column) -> Column:
@@ -73,17 +73,10 @@ def _shared(children: DataFrame, parent: list[str], name: str) -> DataFrame:
     return some.withColumn("share", F.when(is_full, F.col("room")).otherwise(F.least(F.coalesce(fair, F.lit(0)), F.col("room"))))
 
 
-def mix(docs: DataFrame, levels: dict[str, Column], weights: list[dict[str, int]], budget: int | None = None, share: tuple[int, int] | None = None, max_epochs: int = 2, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, levels..., n_tokens, copies, begin): how often each document enters the mixture.
-
-    Tokens are words.  The budget is ``budget`` tokens, or ``share`` (numerator, denominator) of all.  ``copies``
-    counts the whole epochs of the leaf plus one where the document begins within the prefix of the last epoch;
-    ``begin`` is its place in that epoch, null where the leaf's bins already decide.  One row per input row: null ids are drawn
-    as the text ``null``, null levels form a branch named ``(none)``, documents without words never enter.
-    """
+def shares(docs: DataFrame, levels: dict[str, Column], weights: list[dict[str, int]], budget: int | None = None, share: tuple[int, int] | None = None, max_epochs: int = 2, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per leaf: what decides how often each of its documents enters (see :func:`taken`)."""
     names = list(levels)
-    each = docs.select(F.col(id_col).alias("doc_id"), *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for n, c in levels.items()], word_count(F.col(text_col)).alias("n_tokens"))
-    each = written(each, "mix")
+    each = written(_tokens(docs, levels, id_col, text_col).select("_id", *names, "n_tokens"), "mix")
     leaves = written(each.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "leaves")
     if budget is None:
         total = leaves.agg(F.sum("tokens")).first()[0] or 0
@@ -91,21 +84,50 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[dict[str, int]
     got = budgets(leaves, names, weights, budget, max_epochs)
     got = got.withColumn("epochs", F.expr("coalesce(budget div nullif(tokens, 0), 0)")).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
     got = written(got.withColumn("bins", F.expr(f"rows div {BIN_ROWS} + 1")), "budgets")
-    dealt = join_small(each, got, names).withColumn("_at", draw(seed, F.col("epochs"), F.col("doc_id")))
-    dealt = written(dealt.withColumn("_bin", F.expr("conv(substr(_at, 1, 8), 16, 10) * bins div 4294967296")).drop("tokens", "rows", "budget", "bins"), "dealt")
 
+    dealt = _drawn(join_small(each, got, names), seed)
     bins = dealt.groupBy(*names, "_bin").agg(F.sum("n_tokens").alias("_tokens"), F.first("rest").alias("_rest"))
     before = F.coalesce(F.sum("_tokens").over(Window.partitionBy(*names).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bins = bins.withColumn("_before", before)
+    bins = written(bins.withColumn("_before", before), "bins")
+    full = bins.groupBy(*names).agg(F.max(F.when((F.col("_rest") > 0) & (F.col("_before") + F.col("_tokens") <= F.col("_rest")), F.col("_bin"))).alias("full_bin"))
     ends = bins.where((F.col("_before") < F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("_tokens")))  # a bin per leaf at most
-    ends = written(ends.select(*names, F.col("_bin").alias("_end_bin"), "_before"), "ends")
-    full = written(bins.groupBy(*names).agg(F.max(F.when(F.col("_before") + F.col("_tokens") <= F.col("_rest"), F.col("_bin"))).alias("_last_full")), "full")
-    ends = written(full.join(ends, names, "left"), "cuts")
-
-    placed = join_small(dealt, ends, names)
-    inside = Window.partitionBy(*names).orderBy("_at", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    cut = placed.where("_bin = _end_bin").withColumn("begin", F.col("_before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    whole = placed.where("_end_bin is null or _bin <> _end_bin").withColumn("begin", F.lit(None).cast("long"))
-    enters = F.when(F.col("begin").isNotNull(), F.col("begin") < F.col("rest")).otherwise(F.coalesce(F.col("_bin") <= F.col("_last_full"), F.lit(False)) & (F.col("rest") > 0))
+    cuts = written(full.join(ends.select(*names, F.col("_bin").alias("_end"), "_before"), names, "left"), "cuts")
+
+    # rows that tie (the same id and size) begin together, and so enter together
+    upto = F.sum("n_tokens").over(Window.partitionBy(*names).orderBy("_at", "n_tokens")) - F.sum("n_tokens").over(Window.partitionBy(*names, "_at", "n_tokens"))
+    cut = join_small(dealt, cuts, names).where("_bin = _end").withColumn("_begin", F.col("_before") + upto)
+    last = cut.where(F.col("_begin") < F.col("rest")).groupBy(*names).agg(F.max(F.struct("_at", "n_tokens")).alias("last"))
+    return written(got.select(*names, "epochs", "rest", "bins").join(cuts.select(*names, "full_bin"), names).join(last, names, "left"), "shares")
+
+
+def _tokens(docs: DataFrame, levels: dict[str, Column], id_col: str, text_col: str) -> DataFrame:
+    named = {n: F.coalesce(c.cast("string"), F.lit(NONE)) for n, c in levels.items()}
+    return docs.withColumns({**named, "_id": F.col(id_col), "n_tokens": word_count(F.col(text_col))})
+
+
+def _drawn(rows: DataFrame, seed: int) -> DataFrame:
+    at = rows.withColumn("_at", draw(seed, F.col("epochs"), F.col("_id")))
+    return at.withColumn("_bin", F.expr("conv(substr(_at, 1, 8), 16, 10) * bins div 4294967296"))
+
+
+def taken(docs: DataFrame, leaves: DataFrame, levels: dict[str, Column], seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the level names, ``n_tokens`` and ``copies``: the whole epochs of the leaf, plus one where the
+    document begins within the prefix of the last epoch.  ``leaves`` comes from :func:`shares` with the same
+    arguments; it has a row per leaf, so texts stay where they are unless leaves are too many to broadcast."""
+    rows = _drawn(join_small(_tokens(docs, levels, id_col, text_col), leaves, list(levels)), seed)
+    enters = F.coalesce(F.col("_bin") <= F.col("full_bin"), F.lit(False)) | F.coalesce(F.struct("_at", "n_tokens") <= F.col("last"), F.lit(False))
     copies = F.when(F.col("n_tokens") > 0, F.col("epochs") + enters.cast("long")).otherwise(F.lit(0)).cast("long")
-    return whole.unionByName(cut).select("doc_id", *names, "n_tokens", copies.alias("copies"), "begin")
+    return rows.withColumn("copies", copies).drop("_id", "_at", "_bin", "epochs", "rest", "bins", "full_bin", "last")
+
+
+def mix(docs: DataFrame, levels: dict[str, Column], weights: list[dict[str, int]], budget: int | None = None, share: tuple[int, int] | None = None, max_epochs: int = 2, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, levels..., n_tokens, copies): how often each document enters the mixture, a row per input row.
+
+    Tokens are words.  The budget is ``budget`` tokens, or ``share`` (numerator, denominator) of all.  Null ids are
+    drawn as the text ``null``, null levels form a branch named ``(none)``, documents without words never enter;
+    rows of one id and size enter together.
+    """
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *[c.alias(n) for n, c in levels.items()])
+    same = {n: F.col(n) for n in levels}
+    leaves = shares(slim, same, weights, budget, share, max_epochs, seed, "doc_id", "_text")
+    return taken(slim, leaves, same, seed, "doc_id", "_text").select("doc_id", *levels, "n_tokens", "copies")

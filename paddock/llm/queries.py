@@ -113,7 +113,7 @@ def mixture(docs: DataFrame) -> DataFrame:
 
 
 def op2_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture(table(spark, sf_dir, "documents")).drop("begin")
+    return mixture(table(spark, sf_dir, "documents"))
 
 
 def _mix_sql() -> str:
@@ -144,8 +144,8 @@ g{i + 1} AS (SELECT {', '.join('o.' + x for x in levels[: i + 1])}, CASE WHEN f.
         sql
         + f""",
 e AS (SELECT domain, language, origin, CASE WHEN tokens > 0 THEN given // tokens ELSE 0 END AS epochs, CASE WHEN tokens > 0 THEN given % tokens ELSE 0 END AS rest FROM leaves JOIN g3 USING (domain, language, origin)),
-p AS (SELECT d.*, epochs, rest, coalesce(sum(n_tokens) OVER (PARTITION BY domain, language, origin ORDER BY md5(concat_ws(':', {MIX_SEED}, epochs, coalesce(doc_id::VARCHAR, 'null'))), doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin
-  FROM d JOIN e USING (domain, language, origin))
+a AS (SELECT d.*, epochs, rest, md5(concat_ws(':', {MIX_SEED}, epochs, coalesce(doc_id::VARCHAR, 'null'))) AS place FROM d JOIN e USING (domain, language, origin)),
+p AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, language, origin ORDER BY place, n_tokens) - sum(n_tokens) OVER (PARTITION BY domain, language, origin, place, n_tokens) AS begin FROM a)
 SELECT doc_id, domain, language, origin, n_tokens, CASE WHEN n_tokens > 0 THEN epochs + (begin < rest)::BIGINT ELSE 0 END::BIGINT AS copies FROM p"""
     )
 

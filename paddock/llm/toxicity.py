@@ -70,16 +70,21 @@ class Chain:
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 12) -> np.ndarray:
     """Ridge logistic regression by Newton's method; the last weight is the bias.  Without examples of both
     classes only the bias differs from zero."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
+    n = x.shape[1]
+    w = np.zeros(n + 1)
     if not len(y) or y.min() == y.max():
         w[-1] = 8.0 if len(y) and y[0] else -8.0
         return w
-    penalty = np.full(len(w), ridge)
+    penalty = np.full(n + 1, ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        gradient, curvature = -penalty * w, np.diag(penalty)
+        for k in range(0, len(x), 1_024):  # in blocks of rows, so that no second matrix of the whole sample is made
+            block = np.hstack([x[k : k + 1_024], np.ones((len(x[k : k + 1_024]), 1))]).astype(np.float64)
+            p = 1 / (1 + np.exp(-np.clip(block @ w, -30, 30)))
+            gradient += block.T @ (y[k : k + 1_024] - p)
+            curvature += (block * (p * (1 - p) + 1e-9)[:, None]).T @ block
+        step = np.linalg.solve(curvature, gradient)
         w += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-4:
             break
@@ -92,15 +97,17 @@ def odds_of(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> list[np.ndarray]:
     """Weights of each category; ``x`` 0/1 features, ``labels`` a column per category, ``folds`` the fold of each row."""
-    weights, earlier = [], np.zeros((len(x), 0))
+    weights, width = [], x.shape[1]
+    whole = np.zeros((len(x), width + labels.shape[1]), np.float32)  # features, then the odds of earlier categories
+    whole[:, :width] = x
     for j in range(labels.shape[1]):
-        y, inputs = labels[:, j], np.hstack([x, earlier])
+        y, inputs = labels[:, j], whole[:, : width + j]
         weights.append(logistic(inputs, y))
         out_of_fold = np.zeros(len(x))
         for k in np.unique(folds):
             held = folds == k
             out_of_fold[held] = odds_of(inputs[held], logistic(inputs[~held], y[~held]))
-        earlier = np.hstack([earlier, out_of_fold[:, None]])
+        whole[:, width + j] = out_of_fold
     return weights
 
 
@@ -153,9 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
         chain.vocabulary = {r.feature: i for i, r in enumerate(sorted(best, key=lambda r: r.feature))}
     kinds = ", ".join(f"`{c}` int" for c in names)
     found = sample.mapInArrow(_feature_rows(chain), f"active array<int>, {kinds}, fold int").toArrow()  # sample_rows rows at most
-    x = np.zeros((found.num_rows, len(chain.vocabulary)))
-    for i, row in enumerate(found.column("active").to_pylist()):
-        x[i, row] = 1
+    active = found.column("active").combine_chunks()
+    x = np.zeros((found.num_rows, len(chain.vocabulary)), np.float32)
+    x[np.repeat(np.arange(found.num_rows), active.value_lengths().to_numpy()), active.flatten().to_numpy()] = 1
     y = np.array([found.column(c).to_numpy() for c in names], float).T.reshape(found.num_rows, len(names))
     chain.weights = fit_chain(x, y, found.column("fold").to_numpy())
     return chain

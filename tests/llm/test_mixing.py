@@ -70,11 +70,11 @@ def brute(rows, weights, budget, epochs, seed):
     given, out = plain_budgets(tokens, weights, budget, epochs), []
     for k, have in tokens.items():
         whole, rest = divmod(given[k], have) if have else (0, 0)
-        begin = 0
+        place = lambda r: (hashlib.md5(f"{seed}:{whole}:{'null' if r[0] is None else r[0]}".encode()).hexdigest(), words(r[1]))  # noqa: B023, E731
         own = [r for r in rows if leaf(r) == k]
-        for r in sorted(own, key=lambda r: (hashlib.md5(f"{seed}:{whole}:{'null' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] or 0, words(r[1]))):
+        for r in own:
+            begin = sum(words(o[1]) for o in own if place(o) < place(r))
             out.append((r[0] if r[0] is not None else -1, *k, words(r[1]), (whole + (begin < rest)) if words(r[1]) else 0))
-            begin += words(r[1])
     return sorted(out)
 
 
@@ -94,7 +94,7 @@ def test_without_broadcast_and_empty(spark, monkeypatch):
     import paddock.llm.common as common
 
     docs = spark.createDataFrame([(i, "a b", "en", f"s{i % 3}") for i in range(50)], "doc_id long, text string, lang string, source string")
-    want = sorted(map(tuple, mixing.mix(docs, levels(), [{}, {}], share=(1, 2)).drop("begin").collect()))
+    want = sorted(map(tuple, mixing.mix(docs, levels(), [{}, {}], share=(1, 2)).collect()))
     monkeypatch.setattr(common.join_small, "__defaults__", (0, "inner"))
-    assert sorted(map(tuple, mixing.mix(docs, levels(), [{}, {}], share=(1, 2)).drop("begin").collect())) == want
+    assert sorted(map(tuple, mixing.mix(docs, levels(), [{}, {}], share=(1, 2)).collect())) == want
     assert mixing.mix(docs.limit(0), levels(), [{}, {}], share=(1, 2)).count() == 0
