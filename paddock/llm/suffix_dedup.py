@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from paddock.llm.common import join_small, text_slices, written
 from paddock.llm.hashing import grams, word_hashes
 
 WINDOW, PREFIX = 50, 8
-GROUP_ROWS = 4_000  #: most suffixes of one prefix that meet in a task
+GROUP_ROWS = 20_000  #: most suffixes of one prefix that meet in a task: some 100 MB with their trees
 CHUNK_ROWS = 8_192  #: suffixes that a task sorts at a time, in whole groups
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -134,9 +135,9 @@ def repeats(docs: np.ndarray, places: np.ndarray, contexts: list[bytes], window:
     ``contexts`` holds up to ``window - prefix`` words before each place and ``window`` from it on.
     """
     n, before = len(docs), window - prefix
-    words = [c.split() for c in contexts]
-    flat = pa.array([w for ws in words for w in ws], pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64)
-    lengths = np.array([len(w) for w in words])
+    words = pc.split_pattern(pa.array(contexts, pa.binary()), " ")  # they are joined by one space, and hold no other
+    flat = words.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+    lengths = words.value_lengths().to_numpy()
     left = np.minimum(places, before)
     row = np.repeat(np.arange(n), lengths)
     column = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths) - left[row]
