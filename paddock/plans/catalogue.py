@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from paddock.plans import lookup_queries
+from paddock.plans import lookup_queries, visit_queries
 
-PARTS = (lookup_queries,)
+PARTS = (lookup_queries, visit_queries)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
