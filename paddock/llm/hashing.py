@@ -92,9 +92,8 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n words."""
     if len(hashes) < n:
         return np.zeros(0, np.uint64)
-    total = np.zeros(len(hashes) - n + 1, np.uint64)
-    factor = np.uint64(1)
+    total, factor = np.zeros(len(hashes) - n + 1, np.uint64), 1
     for k in range(n):
-        factor = factor * _BASE + np.uint64(2 * k)
-        total += hashes[k : len(hashes) - n + 1 + k] * factor
+        factor = (factor * int(_BASE) + 2 * k) % 2**64
+        total += hashes[k : len(hashes) - n + 1 + k] * np.uint64(factor)
     return mixed(total + np.uint64(n))

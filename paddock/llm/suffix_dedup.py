@@ -86,13 +86,13 @@ def _first_pass(window: int, prefix: int) -> Callable:
 
 
 FIRST = "doc_id long, n_words long, sha string, key long, places array<int>, anchors array<long>"
-CONTEXT = "h long, h2 long, doc_id long, key long, place int, words binary"
+CONTEXT = "h long, h2 long, doc_id long, key long, place int, words binary, begins array<int>, ends array<int>"
 
 
 def _contexts(window: int, prefix: int) -> Callable:
     """From (doc_id, key, text, marks): for each marked anchor its words with those around it, or where its prefix
-    is too frequent, the fingerprint of each window over it."""
-    kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
+    is too frequent, the fingerprint of each window over it, with the words that the document has under it."""
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()] + [pa.list_(pa.int32())] * 2
     names = [x.split()[0] for x in CONTEXT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,12 +106,11 @@ def _contexts(window: int, prefix: int) -> Callable:
                         starts.update(range(max(0, p - window + prefix), min(p, len(words) - window) + 1))
                     else:
                         around = b" ".join(words[max(0, p - window + prefix) : p + window])
-                        held.append((m["h"], 0, doc, key, p, around))
+                        held.append((m["h"], 0, doc, key, p, around, None, None))
                         size += len(around) + 100
-                for s in starts:
-                    d = hashlib.blake2b(b" ".join(words[s : s + window]), digest_size=16).digest()
-                    held.append((key_of(d), key_of(d[8:]), doc, key, s, None))
-                    size += 100
+                for d, (begins, ends) in _runs_of(words, sorted(starts), window).items():
+                    held.append((key_of(d), key_of(d[8:]), doc, key, begins[0], None, begins, ends))
+                    size += 100 + 8 * len(begins)
                 if size > 4_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
                     held, size = [], 0
@@ -121,6 +120,21 @@ def _contexts(window: int, prefix: int) -> Callable:
     return run
 
 
+def _runs_of(words: list[bytes], starts: list[int], window: int) -> dict[bytes, tuple[list[int], list[int]]]:
+    """For each distinct window that begins at one of the (ascending) starts, the runs of words that it covers: a text
+    of one repeated word has one."""
+    found: dict[bytes, tuple[list[int], list[int]]] = {}
+    for s in starts:
+        d = hashlib.blake2b(b" ".join(words[s : s + window]), digest_size=16).digest()
+        begins, ends = found.setdefault(d, ([], []))
+        if ends and s <= ends[-1]:
+            ends[-1] = s + window
+        else:
+            begins.append(s)
+            ends.append(s + window)
+    return found
+
+
 def _sorted_lengths(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A suffix tree of rows of word numbers: their order, and how many leading words each shares with the one before."""
     as_bytes = np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * rows.shape[1]}").ravel()
@@ -241,9 +255,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
 
     contexts = written(marked.mapInArrow(_contexts(window, prefix), CONTEXT), "suffix-contexts")
     spans = contexts.where("words is not null").repartition("h").sortWithinPartitions("h").mapInArrow(_trees(window, prefix), SPAN)
-    nodes = contexts.where("words is null").select("h", "h2", "doc_id", "key", "place")
+    nodes = contexts.where("words is null").select("h", "h2", "doc_id", "key", F.arrays_zip("begins", "ends").alias("runs"))
     least = nodes.groupBy("h", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    hot = nodes.join(least, ["h", "h2"]).where("doc_id > lo").select("doc_id", "key", F.col("place").alias("begin"), (F.col("place") + window).alias("end"))
+    hot = nodes.join(least, ["h", "h2"]).where("doc_id > lo").select("doc_id", "key", F.explode("runs").alias("r")).select("doc_id", "key", F.col("r.begins").alias("begin"), F.col("r.ends").alias("end"))
     of_doc = spans.unionByName(hot).groupBy("doc_id", "key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))  # of one document
     touched = marked.drop("marks").join(of_doc, ["doc_id", "key"]).select("doc_id", "key", "text", "spans")
     cut = touched.mapInArrow(_cut(keep_text), "doc_id long, key long, removed long, kept_sha string, kept_text string").dropDuplicates(["doc_id", "key"])
