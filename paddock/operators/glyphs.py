@@ -89,43 +89,60 @@ def total(values) -> Column:
     return F.aggregate(_col(values), F.lit(0.0), lambda s, x: s + x)
 
 
+def _each(value: Column, array: Column) -> Column:
+    """``value`` once for every element.  Inside a lambda it would be computed again for each of them."""
+    return F.array_repeat(value, F.size(array))
+
+
 def standardised(values) -> Column:
     """Mean 0 and (population) deviation 1; the deviation gets 1e-6 added."""
     v = F.transform(_col(values), lambda x: x.cast("double"))
-    mean = total(v) / F.size(v)
-    deviation = F.sqrt(total(F.transform(v, lambda x: (x - mean) * (x - mean))) / F.size(v)) + 1e-6
-    return F.transform(v, lambda x: (x - mean) / deviation)
+    away = F.zip_with(v, _each(total(v) / F.size(v), v), lambda x, m: x - m)
+    deviation = F.sqrt(F.aggregate(away, F.lit(0.0), lambda s, d: s + d * d) / F.size(v)) + 1e-6
+    return F.zip_with(away, _each(deviation, v), lambda d, s: d / s)
 
 
 def gray_of(values) -> Column:
     """An array of numbers as gray values 0..255, its least black and its greatest white."""
     v = _col(values)
-    low, high = F.array_min(v).cast("double"), F.array_max(v).cast("double")
-    return F.transform(v, lambda x: F.when(high > low, F.floor((x - low) * 255 / (high - low))).otherwise(0).cast("int"))
+    ends = _each(F.struct(F.array_min(v).cast("double").alias("low"), F.array_max(v).cast("double").alias("high")), v)
+    return F.zip_with(v, ends, lambda x, e: F.when(e["high"] > e["low"], F.floor((x - e["low"]) * 255 / (e["high"] - e["low"]))).otherwise(0).cast("int"))
 
 
 def histogram(values) -> Column:
-    """Counts of the gray values 0 to 255."""
-    empty = F.array_repeat(F.lit(0), 256)
-    return F.aggregate(_col(values), empty, lambda h, x: F.transform(h, lambda n, i: F.when(i == x, n + 1).otherwise(n)))
+    """Counts of the gray values 0 to 255; others count at the nearer end."""
+
+    @F.pandas_udf("array<int>")
+    def run(parts: pd.Series) -> pd.Series:
+        return pd.Series([None if px is None else np.bincount(np.clip(np.asarray(px, np.int64), 0, 255), minlength=256).tolist() for px in parts])
+
+    return run(_col(values))
+
+
+def enlarged(image, times: int) -> Column:
+    """Every pixel as a square of ``times`` by ``times``."""
+    px = kernel(lambda g: _shaped(np.kron(g, np.ones((times, times), np.int64))), "array<int>")(_col(image))
+    image = _col(image)
+    return F.struct((image["w"] * times).alias("w"), (image["h"] * times).alias("h"), px.alias("px"))
 
 
 def otsu_threshold(values) -> Column:
     """The first gray value that best separates dark from bright, by a fold over the sorted values; 127 if none does."""
     px = F.array_sort(F.transform(_col(values), lambda x: F.greatest(F.lit(0), F.least(F.lit(255), x))))
-    n, whole = F.size(px), F.aggregate(px, F.lit(0).cast("long"), lambda s, x: s + x)
-    start = F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("sum"), F.lit(0.0).alias("best"), F.lit(127).alias("at"))
-    following = lambda k: F.try_element_at(px, k + 1)
-
-    def step(s: Column, x: Column) -> Column:
-        k, part = s["k"] + 1, s["sum"] + x
-        last = (k < n) & (following(k) != x)  # the last pixel of its value, with brighter ones after it
-        gap = part / k - (whole - part) / (n - k)
-        between = F.when(last, k.cast("double") * (n - k) * gap * gap).otherwise(0.0)
+    n = F.size(px)
+    pairs = F.arrays_zip(px.alias("x"), F.slice(px, F.lit(2), F.greatest(n - 1, F.lit(0))).alias("after"))  # with the pixel after it
+    whole = F.aggregate(px, F.lit(0).cast("long"), lambda s, x: s + x)
+    start = F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("sum"), F.lit(0.0).alias("best"), F.lit(127).alias("at"), n.alias("n"), whole.alias("whole"))
+
+    def step(s: Column, p: Column) -> Column:
+        k, part = s["k"] + 1, s["sum"] + p["x"]
+        last = p["after"].isNotNull() & (p["after"] != p["x"])  # the last pixel of its value, with brighter ones after it
+        gap = part / k - (s["whole"] - part) / (s["n"] - k)
+        between = F.when(last, k.cast("double") * (s["n"] - k) * gap * gap).otherwise(0.0)
         better = between > s["best"]
-        return F.struct(k.alias("k"), part.alias("sum"), F.when(better, between).otherwise(s["best"]).alias("best"), F.when(better, x).otherwise(s["at"]).alias("at"))
+        return F.struct(k.alias("k"), part.alias("sum"), F.when(better, between).otherwise(s["best"]).alias("best"), F.when(better, p["x"]).otherwise(s["at"]).alias("at"), s["n"].alias("n"), s["whole"].alias("whole"))
 
-    return F.aggregate(px, start, step)["at"]
+    return F.aggregate(pairs, start, step)["at"]
 
 
 def dice(a, b) -> Column:
@@ -139,7 +156,7 @@ def dice(a, b) -> Column:
 def argmax(scores, allowed=None) -> Column:
     """Place (from 0) of the greatest score among the allowed ones, the first at ties; null without any."""
     s = _col(scores)
-    able = F.transform(s, lambda x, i: F.when(F.lit(True) if allowed is None else F.element_at(_col(allowed), i + 1), x))
+    able = s if allowed is None else F.zip_with(s, _col(allowed), lambda x, a: F.when(a, x))
     best = F.array_max(able)
     return F.when(best.isNotNull(), F.array_position(able, best).cast("int") - 1)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.operators.visits import duration
@@ -55,6 +55,25 @@ def visit_days(visits: DataFrame, horizon_ms: int) -> DataFrame:
     return each.withColumn("day", F.col("_day") * DAY_MS).drop("_first", "_last", "_day")
 
 
+def counts_by_day(visits: DataFrame, horizon_ms: int) -> DataFrame:
+    """(day, n, ids): how many visits touch each day as in :func:`visit_days`, and the sum of their ids.
+
+    A visit adds one at its first day and takes it back after its last, so the work follows the visits and the
+    days, not the days that visits span.  Days without visits are left out.
+    """
+    entry, exit_ = F.col("entryAt"), F.col("exitAt")
+    first = F.floor(F.coalesce(entry, exit_) / DAY_MS)
+    last = F.when(entry.isNull(), first).otherwise(F.floor(F.coalesce(exit_, F.lit(horizon_ms)) / DAY_MS))
+    spans = visits.where("entryAt is not null or exitAt is not null").select("id", first.alias("first"), last.alias("last")).where("first <= last")
+    begins = spans.select(F.col("first").alias("day"), F.lit(1).alias("n"), F.col("id").alias("ids"))
+    ends = spans.select((F.col("last") + 1).alias("day"), F.lit(-1).alias("n"), (-F.col("id")).alias("ids"))
+    steps = begins.unionByName(ends).groupBy("day").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"))  # a row per day
+    upto = Window.orderBy("day")
+    level = steps.select("day", F.lead("day").over(upto).alias("next"), F.sum("n").over(upto).alias("n"), F.sum("ids").over(upto).alias("ids"))
+    each = level.where("n > 0").select(F.explode(F.sequence("day", F.col("next") - 1)).alias("day"), "n", "ids")
+    return each.select((F.col("day") * DAY_MS).alias("day"), "n", "ids")
+
+
 def day_summary(visits: DataFrame, start_ms: int) -> DataFrame:
     """(entered, exited, parked, stays, average_ms, total_ms) of the visits of a day; durations aren't clipped to it,
     the average drops fractions, both are null where they say nothing."""

@@ -85,16 +85,19 @@ class Machine:
     def __init__(self, cooldown: int = COOLDOWN_MS, last: int | None = None, visits: dict[int, list] | None = None):
         self.cooldown, self.last = cooldown, last
         self.visits: dict[int, list] = visits if visits is not None else {}  # id -> [plate, registered, entry, exit]
+        self.open = {i for i, v in self.visits.items() if v[3] is None}
 
     def seen(self, event_id: int, ts: int, plate: str, registered: bool) -> tuple[str, int] | None:
         """ENTRY or EXIT with the visit's id; None within the cooldown (a clock that went back included)."""
         if self.last is not None and ts - self.last < self.cooldown:
             return None
         self.last = ts
-        open_ = [i for i, v in self.visits.items() if v[3] is None]
-        if open_:
-            self.visits[max(open_)][3] = ts
-            return "EXIT", max(open_)
+        if self.open:
+            latest = max(self.open)
+            self.open.discard(latest)
+            self.visits[latest][3] = ts
+            return "EXIT", latest
+        self.open.add(event_id)
         self.visits[event_id] = [plate, registered, ts, None]
         return "ENTRY", event_id
 
@@ -108,12 +111,16 @@ class Machine:
             return
         if action == "delete" or (action == "undo" and v[3] is None):
             del self.visits[visit_id]
+            self.open.discard(visit_id)
         elif action == "undo":
             v[3] = None
-        elif action == "convert" and v[3] is None:
-            v[2], v[3] = None, v[2] if v[2] is not None else ts
-        elif action == "close" and v[3] is None:
-            v[3] = ts
+            self.open.add(visit_id)
+        elif action in ("convert", "close") and v[3] is None:
+            self.open.discard(visit_id)
+            if action == "close":
+                v[3] = ts
+            else:
+                v[2], v[3] = None, v[2] if v[2] is not None else ts
 
 
 def corrected(sightings: DataFrame, corrections: DataFrame, cooldown: int = COOLDOWN_MS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paddock.functions import text
 from paddock.operators import lookup
 from paddock.plans import plate_sql as P
-from paddock.plans.carrier import REGISTRY_SQL, SIGHTINGS_SQL, registry, registry_rows, sightings, table
+from paddock.plans.carrier import REGISTRY_SQL, SIGHTINGS_SQL, plate, registry, registry_rows, sightings, table
 
 # Texts as readers see them, with what they should give in tests/test_text.py.
 READINGS = [
@@ -54,10 +54,10 @@ def registry_missing_keys(spark, sf_dir):
 def _import_rows(spark, sf_dir):
     """Lines of two files: a header, plates with spaces, repeats, short and broken rows."""
     i = F.col("c_custkey")
-    plate = F.when(i % 11 == 0, F.lit("차량번호")).when(i % 13 == 0, F.lit("  ")).when(i % 7 == 0, F.concat(F.lit(" "), F.substring(F.lit("가나다라"), 1, 1), F.lit("12"))).otherwise(
+    cell = F.when(i % 11 == 0, F.lit("차량번호")).when(i % 13 == 0, F.lit("  ")).when(i % 7 == 0, F.concat(F.lit(" "), F.substring(F.lit("가나다라"), 1, 1), F.lit("12"))).otherwise(
         F.concat(F.lit(" "), ((i % 900) + 100).cast("string"), F.lit(" "), F.substring(F.lit(text.GLYPHS), (i % 40 + 1).cast("int"), F.lit(1)), F.lit(" "), ((i % 300) + 1000).cast("string"))
     )
-    cells = F.when(i % 5 == 0, F.array(plate)).otherwise(F.array(plate, F.concat(F.lit(" 메모 "), i.cast("string"), F.lit("\t"))))
+    cells = F.when(i % 5 == 0, F.array(cell)).otherwise(F.array(cell, F.concat(F.lit(" 메모 "), i.cast("string"), F.lit("\t"))))
     return table(spark, sf_dir, "customer").select(F.concat(F.lit("f"), (i % 2).cast("string")).alias("file"), i.alias("line_no"), cells.alias("cells"))
 
 
@@ -81,9 +81,10 @@ def import_counts(spark, sf_dir):
 
 
 def import_anti_join(spark, sf_dir):
-    half = registry(spark, sf_dir).where("id % 2 = 0")
-    new = registry_rows(spark, sf_dir).select(F.col("plateNumber").alias("plate"), "note").dropDuplicates(["plate"]).withColumn("note", F.lit("다른 메모"))
-    return lookup.import_plates(new, half)
+    """A list with a plate for every part, some of them registered, against the whole registry."""
+    n = F.col("p_partkey") * 3
+    new = table(spark, sf_dir, "part").select(plate(n).alias("plate")).distinct().withColumn("note", F.lit("다른 메모"))
+    return lookup.import_plates(new, registry(spark, sf_dir))
 
 
 def import_outcome(spark, sf_dir):
@@ -160,7 +161,8 @@ QUERIES = {
         plate_digit_keys, plate_middle_guard, plate_nfc_clean, plate_reassembly, lookup_exact, lookup_fallback, lookup_with_duplicates, resolve_sightings,
     )
 }
-IMPORTED = "SELECT plateNumber AS plate, '다른 메모' AS note, CASE WHEN id % 2 = 0 THEN 'present' ELSE 'added' END AS state FROM registry"
+IMPORTED = f"""SELECT DISTINCT plate, '다른 메모' AS note, CASE WHEN plate IN (SELECT plateNumber FROM registry) THEN 'present' ELSE 'added' END AS state
+FROM (SELECT (100 + p_partkey * 3 % 900)::VARCHAR || substr('{text.GLYPHS}', (p_partkey * 3 % 40)::INT + 1, 1) || (1000 + p_partkey * 3 % 9000)::VARCHAR AS plate FROM part)"""
 ORACLES = {
     "registry_scan_newest": f"WITH {REGISTRY_SQL} SELECT * FROM registry",
     "registry_numbers": f"WITH {REGISTRY_SQL} SELECT plateNumber FROM registry",

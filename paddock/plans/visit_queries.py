@@ -41,7 +41,7 @@ def visits_toggle(spark, sf_dir):
 def visits_corrections(spark, sf_dir):
     seen = _resolved(spark, sf_dir)
     action = F.element_at(F.array(*map(F.lit, ("undo", "convert", "close", "delete"))), (F.col("event_id") % 4 + 1).cast("int"))
-    told = V.visits(seen).where("id % 5 = 0").select(F.col("id").alias("event_id"), (F.col("entryAt") + 60_000).alias("ts"), F.col("id").alias("visit_id"), F.col("canonicalPlate").alias("canonical"))
+    told = V.visits(seen).select(F.col("id").alias("event_id"), (F.col("entryAt") + 60_000).alias("ts"), F.col("id").alias("visit_id"), F.col("canonicalPlate").alias("canonical"))
     return V.corrected(seen, told.withColumn("action", action)).withColumn("durationMs", V.duration())
 
 
@@ -68,8 +68,11 @@ def visits_for_day(spark, sf_dir):
 
 
 def visits_by_day(spark, sf_dir):
-    days = report.visit_days(visits(spark, sf_dir), NOW)
-    return days.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+    return report.counts_by_day(visits(spark, sf_dir), NOW)
+
+
+def visit_day_rows(spark, sf_dir):
+    return report.visit_days(visits(spark, sf_dir).where("exitAt is not null"), NOW).select("id", "day")
 
 
 def day_summary(spark, sf_dir):
@@ -141,7 +144,7 @@ DURATION_TEXT = f"CASE WHEN {MINUTES} < 60 THEN {MINUTES} || '분' WHEN {MINUTES
 QUERIES = {
     f.__name__: f
     for f in (
-        visits_cooldown, visits_cooldown_long, visits_toggle, visits_corrections, visits_stream_records, parked_now, open_visit_latest, visits_for_day, visits_by_day, day_summary, visit_status_labels,
+        visits_cooldown, visits_cooldown_long, visits_toggle, visits_corrections, visits_stream_records, parked_now, open_visit_latest, visits_for_day, visits_by_day, visit_day_rows, day_summary, visit_status_labels,
         visits_export_rows, day_labels, frequency_cap, daily_event_counts, recent_top5, consecutive_dedup, confirmed_reads, adaptive_throttle,
     )
 }
@@ -165,6 +168,8 @@ FROM k JOIN e ON e.canonical = k.canonical AND e.k = k.k - (k.k + 1) % 2""",
     "visits_for_day": f"WITH {VISITS_SQL} SELECT id, canonicalPlate, entryAt, exitAt FROM visits WHERE {ON_DAY}",
     "visits_by_day": f"""WITH {VISITS_SQL}, r AS (SELECT id, coalesce(entryAt, exitAt) // 86400000 AS a, CASE WHEN entryAt IS NULL THEN exitAt ELSE coalesce(exitAt, {NOW}) END // 86400000 AS b FROM visits WHERE entryAt IS NOT NULL OR exitAt IS NOT NULL),
 e AS (SELECT id, unnest(range(a, b + 1)) * 86400000 AS day FROM r WHERE a <= b) SELECT day, count(*) AS n, sum(id)::BIGINT AS ids FROM e GROUP BY day""",
+    "visit_day_rows": f"""WITH {VISITS_SQL}, r AS (SELECT id, coalesce(entryAt, exitAt) // 86400000 AS a, CASE WHEN entryAt IS NULL THEN exitAt ELSE coalesce(exitAt, {NOW}) END // 86400000 AS b FROM visits WHERE exitAt IS NOT NULL)
+SELECT id, unnest(range(a, b + 1)) * 86400000 AS day FROM r WHERE a <= b""",
     "day_summary": f"""WITH {VISITS_SQL}, d AS (SELECT *, {MS} AS ms FROM visits WHERE {ON_DAY})
 SELECT count(*) FILTER (entryAt >= {ORDER_DAY} AND entryAt < {ORDER_DAY + report.DAY_MS}) AS entered, count(*) FILTER (exitAt >= {ORDER_DAY} AND exitAt < {ORDER_DAY + report.DAY_MS}) AS exited,
   count(*) FILTER (exitAt IS NULL) AS parked, count(ms) AS stays, (sum(ms) // nullif(count(ms), 0))::BIGINT AS average_ms, CASE WHEN sum(ms) > 0 THEN sum(ms)::BIGINT END AS total_ms FROM d""",

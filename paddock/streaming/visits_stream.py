@@ -23,11 +23,8 @@ def visit_records(sightings: DataFrame, cooldown: int = COOLDOWN_MS) -> DataFram
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        machine, old = Machine(cooldown), state.getOption if state.exists else None
-        if old:
-            machine.last = old[0]
-            if old[1] is not None:
-                machine.visits[old[1]] = [old[2], old[3], old[4], None]
+        last, visit, plate, registered, entry = state.get if state.exists else [None] * 5
+        machine = Machine(cooldown, last, {} if visit is None else {visit: [plate, registered, entry, None]})
         rows, out = pd.concat(list(parts)).sort_values(["ts", "event_id"]), []
         for r in rows.itertuples(index=False):
             told = machine.seen(int(r.event_id), int(r.ts), r.raw_plate, bool(r.is_registered))
