@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paddock.functions import images
+from paddock.functions import images, lines
 from paddock.functions.text import GLYPHS
 
 GRAY = "w int, h int, px array<int>"
@@ -69,6 +69,11 @@ def glyph_from_right(image) -> Column:
     return kernel(images.glyph_from_right, "array<double>")(_col(image))
 
 
+def line_box(image) -> Column:
+    """(left, top, right, bottom, columns) of the best plate line in a whole image."""
+    return kernel(lambda g: None if (found := lines.line_box(g)) is None else [*found[0], len(found[1])], "array<int>")(_col(image))
+
+
 def without_dark_rows(image) -> Column:
     return kernel(lambda g: _shaped(images.without_dark_rows(g)), "array<int>")(_col(image))
 

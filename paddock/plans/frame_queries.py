@@ -135,8 +135,8 @@ def deskew_slope(spark, sf_dir):
 
 
 def components_box(spark, sf_dir):
-    rows = _images(spark, sf_dir).select("vec_id", glyphs.text_box("image").alias("box"), glyphs.tight_box("image").alias("tight"), glyphs.glyph_from_right("image").alias("glyph"))
-    return rows.select("vec_id", F.array_join("box", ",").alias("box"), F.array_join("tight", ",").alias("tight"), F.round(F.col("glyph")[1], 4).alias("pitch"))
+    rows = _images(spark, sf_dir).select("vec_id", glyphs.text_box("image").alias("box"), glyphs.tight_box("image").alias("tight"), glyphs.glyph_from_right("image").alias("glyph"), glyphs.line_box("image").alias("line"))
+    return rows.select("vec_id", F.array_join("line", ",").alias("line"), F.array_join("box", ",").alias("box"), F.array_join("tight", ",").alias("tight"), F.round(F.col("glyph")[1], 4).alias("pitch"))
 
 
 def glyph_inputs(spark, sf_dir):

@@ -1,0 +1,70 @@
+"""Plate lines in drawn images."""
+
+import numpy as np
+import pytest
+
+from paddock.functions import lines
+
+
+def scene():
+    g = np.full((120, 260), 90)
+    g[30:80, 20:240] = 225  # a plate
+    for k in range(7):
+        x = 34 + 28 * k
+        g[40:70, x : x + 14] = 25
+        g[45:65, x + 4 : x + 10] = 225
+    return g
+
+
+def test_line_box():
+    box, columns = lines.line_box(scene())
+    assert box == (34, 40, 34 + 28 * 6 + 14, 70)
+    assert columns == [(34 + 28 * k, 48 + 28 * k) for k in range(7)]
+    assert lines.line_box(np.full((60, 90), 128)) is None
+
+
+def test_merged_columns():
+    boxes = np.array([(0, 0, 10, 9, 1), (6, 0, 12, 9, 1), (11, 0, 20, 9, 1), (30, 0, 33, 9, 1)])
+    assert lines.merged_columns(boxes) == [(0, 12), (11, 20), (30, 33)]
+
+
+def green(layout):
+    rgb = np.full((100, 220, 3), 120)
+    rgb[10:90, 20:200] = (20, 110, 50)
+    for y, n, first, width in layout:
+        for k in range(n):
+            x = first + width * k
+            rgb[y : y + 24, x : x + width - 8] = 240
+    return rgb
+
+
+@pytest.mark.parametrize(("layout", "upper"), [([(20, 4, 60, 24), (54, 5, 40, 28)], False), ([(20, 3, 70, 26), (54, 4, 48, 30)], True)])
+def test_green_plates(layout, upper):
+    rgb = green(layout)
+    left, top, right, bottom = lines.green_plate(rgb)
+    assert abs(left - 20) <= 2 and abs(top - 10) <= 2 and abs(right - 200) <= 2 and abs(bottom - 90) <= 2
+    plate, columns, rows, pitch = lines.old_glyph(rgb)
+    assert (rows[1] < len(plate) / 2 + 20) == upper and columns[1] > columns[0] and pitch > 20
+    glyph = lines.framed(plate, columns, rows)
+    assert abs((columns[1] - columns[0]) / glyph.shape[1] - 0.60) < 0.03 and abs((rows[1] - rows[0]) / glyph.shape[0] - 0.73) < 0.03
+
+
+def test_no_green_plate():
+    assert lines.green_plate(np.full((50, 90, 3), 128)) is None and lines.old_glyph(np.full((50, 90, 3), 128)) is None
+
+
+@pytest.mark.parametrize("mode", ["gray", "otsu", "flat_otsu", "adapt_mean", "adapt_gauss", "adapt_soft"])
+def test_modes_keep_the_stroke_dark(mode):
+    g = np.full((30, 20), 210) + np.arange(30)[:, None]
+    g[5:25, 9:12] = 40
+    out = lines.binarised(g, mode)
+    assert out.shape == g.shape and out[15, 10] < out[15, 3]
+    with pytest.raises(ValueError):
+        lines.binarised(g, "other")
+
+
+def test_windows_and_sizes():
+    g = scene()
+    assert lines.model_window(g, 40, 70, 100, 28).shape == (30, int(100 + 28 * 0.62) - int(100 - 28 * 0.62))
+    assert lines.model_window(g, 40, 42, 100, 28) is None
+    assert (lines.resized(np.full((7, 5), 9), 14, 3) == 9).all() and lines.resized(g, 60, 130).shape == (60, 130)
