@@ -71,10 +71,6 @@ def visits_by_day(spark, sf_dir):
     return report.counts_by_day(visits(spark, sf_dir), NOW)
 
 
-def visit_day_rows(spark, sf_dir):
-    return report.visit_days(visits(spark, sf_dir).where("exitAt is not null"), NOW).select("id", "day")
-
-
 def day_summary(spark, sf_dir):
     return report.day_summary(visits(spark, sf_dir), ORDER_DAY)
 
@@ -144,7 +140,7 @@ DURATION_TEXT = f"CASE WHEN {MINUTES} < 60 THEN {MINUTES} || '분' WHEN {MINUTES
 QUERIES = {
     f.__name__: f
     for f in (
-        visits_cooldown, visits_cooldown_long, visits_toggle, visits_corrections, visits_stream_records, parked_now, open_visit_latest, visits_for_day, visits_by_day, visit_day_rows, day_summary, visit_status_labels,
+        visits_cooldown, visits_cooldown_long, visits_toggle, visits_corrections, visits_stream_records, parked_now, open_visit_latest, visits_for_day, visits_by_day, day_summary, visit_status_labels,
         visits_export_rows, day_labels, frequency_cap, daily_event_counts, recent_top5, consecutive_dedup, confirmed_reads, adaptive_throttle,
     )
 }
@@ -168,8 +164,6 @@ FROM k JOIN e ON e.canonical = k.canonical AND e.k = k.k - (k.k + 1) % 2""",
     "visits_for_day": f"WITH {VISITS_SQL} SELECT id, canonicalPlate, entryAt, exitAt FROM visits WHERE {ON_DAY}",
     "visits_by_day": f"""WITH {VISITS_SQL}, r AS (SELECT id, coalesce(entryAt, exitAt) // 86400000 AS a, CASE WHEN entryAt IS NULL THEN exitAt ELSE coalesce(exitAt, {NOW}) END // 86400000 AS b FROM visits WHERE entryAt IS NOT NULL OR exitAt IS NOT NULL),
 e AS (SELECT id, unnest(range(a, b + 1)) * 86400000 AS day FROM r WHERE a <= b) SELECT day, count(*) AS n, sum(id)::BIGINT AS ids FROM e GROUP BY day""",
-    "visit_day_rows": f"""WITH {VISITS_SQL}, r AS (SELECT id, coalesce(entryAt, exitAt) // 86400000 AS a, CASE WHEN entryAt IS NULL THEN exitAt ELSE coalesce(exitAt, {NOW}) END // 86400000 AS b FROM visits WHERE exitAt IS NOT NULL)
-SELECT id, unnest(range(a, b + 1)) * 86400000 AS day FROM r WHERE a <= b""",
     "day_summary": f"""WITH {VISITS_SQL}, d AS (SELECT *, {MS} AS ms FROM visits WHERE {ON_DAY})
 SELECT count(*) FILTER (entryAt >= {ORDER_DAY} AND entryAt < {ORDER_DAY + report.DAY_MS}) AS entered, count(*) FILTER (exitAt >= {ORDER_DAY} AND exitAt < {ORDER_DAY + report.DAY_MS}) AS exited,
   count(*) FILTER (exitAt IS NULL) AS parked, count(ms) AS stays, (sum(ms) // nullif(count(ms), 0))::BIGINT AS average_ms, CASE WHEN sum(ms) > 0 THEN sum(ms)::BIGINT END AS total_ms FROM d""",
@@ -180,6 +174,21 @@ SELECT id, CASE WHEN ({MS}) IS NOT NULL THEN {DURATION_TEXT} WHEN exitAt IS NULL
 SELECT coalesce(entryAt, exitAt) AS position, id, concat_ws(',', canonicalPlate, CASE WHEN isRegistered THEN '등록' ELSE '미등록' END, coalesce({_day('entryAt')}, ''), coalesce({_day('exitAt')}, ''), coalesce(({MINUTES})::VARCHAR, '')) AS line FROM visits""",
     "day_labels": f"""WITH {SIGHTINGS_SQL}, t AS (SELECT *, make_timestamp(ts * 1000) AS moment FROM sightings)
 SELECT event_id, year(moment) || '년 ' || month(moment) || '월 ' || day(moment) || '일 (' || substr('일월화수목금토', dayofweek(moment)::INT + 1, 1) || ')' AS label, ts // 86400000 * 86400000 AS day_start, ts // 86400000 * 86400000 < {DAY} AS forward, ts // 86400000 AS utc_day FROM t""",
+    "frequency_cap": f"""WITH RECURSIVE {SIGHTINGS_SQL},
+e AS (SELECT event_id, ts, user_id, CASE WHEN event_id % 3 = 0 THEN 'open' ELSE 'ask' END AS kind, count(*) FILTER (event_id % 3 = 0) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS opens FROM sightings),
+a AS (SELECT event_id, ts, user_id, ts // 86400000 AS day, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e WHERE kind = 'ask' AND opens > 5),
+g AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS k, 0::BIGINT AS last, -1::BIGINT AS day, 0 AS n, NULL::BIGINT AS event_id, false AS fits FROM a
+  UNION ALL SELECT user_id, k, CASE WHEN fits THEN ts ELSE last END, CASE WHEN fits THEN day ELSE was END, CASE WHEN fits THEN today + 1 ELSE n END, event_id, fits FROM (
+    SELECT a.user_id, a.k, a.ts, a.day, g.day AS was, g.last, g.n, a.event_id, CASE WHEN g.day = a.day THEN g.n ELSE 0 END AS today,
+      a.ts - g.last >= 7200000 AND CASE WHEN g.day = a.day THEN g.n ELSE 0 END < 2 AS fits FROM g JOIN a ON a.user_id = g.user_id AND a.k = g.k + 1))
+SELECT e.event_id, e.ts, e.user_id, e.kind, coalesce(g.fits, false) AS shown FROM e LEFT JOIN g ON g.event_id = e.event_id""",
+    "adaptive_throttle": """WITH RECURSIVE f AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ts, event_type = 'purchase' AS hit, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
+g AS (
+  SELECT event_id, user_id, ts, hit, k, ts AS last, CASE WHEN hit THEN 0 ELSE 1 END AS misses, true AS due FROM f WHERE k = 1
+  UNION ALL SELECT event_id, user_id, ts, hit, k, CASE WHEN due THEN ts ELSE last END, CASE WHEN NOT due THEN misses WHEN hit THEN 0 ELSE misses + 1 END, due FROM (
+    SELECT f.event_id, f.user_id, f.ts, f.hit, f.k, g.last, g.misses, f.ts - g.last >= CASE WHEN g.misses >= 3 THEN 14400000 ELSE 3600000 END AS due FROM g JOIN f ON f.user_id = g.user_id AND f.k = g.k + 1))
+SELECT event_id, user_id, ts, hit FROM g WHERE due""",
     "daily_event_counts": f"WITH {SIGHTINGS_SQL} SELECT user_id, ts // 86400000 AS day, count(*) AS n FROM sightings GROUP BY ALL",
     "recent_top5": f"WITH {SIGHTINGS_SQL} SELECT raw_plate, max(ts) AS ts FROM sightings GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
     "consecutive_dedup": "SELECT event_id, user_id, event_type FROM events QUALIFY lag(event_type) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) IS DISTINCT FROM event_type",

@@ -109,6 +109,8 @@ def test_reports(spark):
     assert sorted(r.id for r in report.visits_for_day(frame, day).collect()) == [1, 3, 5, 7]
     s = report.day_summary(frame, day).first()
     assert (s.entered, s.exited, s.parked, s.stays, s.average_ms, s.total_ms) == (2, 3, 1, 2, 2, 5)
+    days = report.visit_days(frame, day + 3 * ms).groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids")).collect()
+    assert sorted(map(tuple, days)) == sorted(map(tuple, report.counts_by_day(frame, day + 3 * ms).collect())) and len(days) == 5
     texts = [r[0] for r in spark.createDataFrame([(0,), (59_999,), (3_600_000,), (3_660_000,), (90_000_000,), (None,)], "m long").select(report.duration_text(F.col("m"))).collect()]
     assert texts == ["0분", "0분", "1시간", "1시간 1분", "25시간", None]
 
