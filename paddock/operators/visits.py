@@ -2,7 +2,9 @@
 
 The cooldown is a fold over a plate's sightings: one passes if the last one that passed is at least ``cooldown``
 back.  A pause of that length always lets the next sighting pass, so a plate's sightings fall into runs that can
-be folded on their own; what remains per plate is ordered by windows, which spill, never held in memory.
+be folded on their own.  What must be in order per plate is ordered by plate and day; a row per plate and day then
+carries over what a day needs from the days around it, so that one plate with a large part of all sightings is
+spread over as many tasks as it has days.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paddock.scratch import written
+
 COOLDOWN_MS = 90_000
 KEY = "canonical"
 
@@ -22,16 +26,42 @@ def parking_only(sightings: DataFrame, mode_col: str = "mode") -> DataFrame:
     return sightings.where(F.col(mode_col) == "PARKING").drop(mode_col)
 
 
+PART_MS = 86_400_000  #: sightings are ordered within such stretches of time
+
+
+def _days(rows: DataFrame, key: str, ts: str) -> DataFrame:
+    return rows.withColumn("_part", F.expr(f"{ts} div {PART_MS}"))
+
+
+def _around(rows: DataFrame, key: str, carried: dict[str, tuple[Column, str]]) -> DataFrame:
+    """Adds columns that carry an aggregate of each (key, _part) over to other parts of the key: ``before`` gives the
+    nearest earlier part's value that isn't null, ``after`` the nearest later one's, ``sum`` the sum of all earlier ones."""
+    parts = rows.groupBy(key, "_part").agg(*[agg.alias(f"_{n}") for n, (agg, _) in carried.items()])
+    by = Window.partitionBy(key).orderBy("_part")
+    earlier, later = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
+    made = {
+        "before": lambda c: F.last(c, ignorenulls=True).over(earlier),
+        "after": lambda c: F.first(c, ignorenulls=True).over(later),
+        "sum": lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0)),
+    }
+    return rows.join(parts.select(key, "_part", *[made[how](f"_{n}").alias(n) for n, (_, how) in carried.items()]), [key, "_part"])
+
+
 def passed(sightings: DataFrame, cooldown: int = COOLDOWN_MS, key: str = KEY, ts: str = "ts", order: str = "event_id") -> DataFrame:
-    """The sightings that the cooldown lets through, by (ts, order) within a key; empty and null keys have none."""
+    """The sightings that the cooldown lets through, by (ts, order) within a key; empty and null keys have none.
+    ``order`` identifies a sighting."""
     known = sightings.where(F.coalesce(F.col(key), F.lit("")) != "")
-    before = F.lag(ts).over(Window.partitionBy(key).orderBy(ts, order))
-    fresh = F.when(before.isNull() | (F.col(ts) - before >= cooldown), 1).otherwise(0)
-    marked = known.withColumn("_fresh", fresh)
-    marked = marked.withColumn("_run", F.sum("_fresh").over(Window.partitionBy(key).orderBy(ts, order)))
-    # fold each run to the ids that pass
+    narrow = written(_days(known.select(key, ts, order), key, ts), "sightings")  # read four times below
+    rows = _around(narrow, key, {"_prev": (F.max(ts), "before")})
+    by = Window.partitionBy(key, "_part").orderBy(ts, order)
+    before = F.coalesce(F.lag(ts).over(by), "_prev")
+    marked = rows.withColumn("_before", before)
+    marked = marked.withColumn("_fresh", F.when(F.col("_before").isNull() | (F.col(ts) - F.col("_before") >= cooldown), F.col(ts))).drop("_prev", "_before")
+    # a run is named by the time it began; the first sightings of a day may belong to one of an earlier day
+    marked = _around(marked, key, {"_open": (F.max("_fresh"), "before")})
+    run = F.coalesce(F.max("_fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)), "_open")
     item = F.struct(F.col(ts).alias("t"), F.col(order).alias("o"))
-    runs = marked.groupBy(key, "_run").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    runs = marked.withColumn("_run", run).groupBy(key, "_run").agg(F.array_sort(F.collect_list(item)).alias("_items"))
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("ids"))
 
     def step(s: Column, x: Column) -> Column:
@@ -44,15 +74,17 @@ def passed(sightings: DataFrame, cooldown: int = COOLDOWN_MS, key: str = KEY, ts
 
 def records(sightings: DataFrame, cooldown: int = COOLDOWN_MS, key: str = KEY) -> DataFrame:
     """Passed sightings with ``kind``: ENTRY and EXIT in turn for each plate."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy("ts", "event_id"))
-    return passed(sightings, cooldown, key).withColumn("kind", F.when(n % 2 == 1, "ENTRY").otherwise("EXIT"))
+    rows = _around(written(_days(passed(sightings, cooldown, key), key, "ts"), "passed"), key, {"_earlier": (F.count(F.lit(1)), "sum")})
+    n = F.col("_earlier") + F.row_number().over(Window.partitionBy(key, "_part").orderBy("ts", "event_id"))
+    return rows.withColumn("kind", F.when(n % 2 == 1, "ENTRY").otherwise("EXIT")).drop("_part", "_earlier")
 
 
 def visits(sightings: DataFrame, cooldown: int = COOLDOWN_MS) -> DataFrame:
     """(id, plateNumber, canonicalPlate, isRegistered, entryAt, exitAt): registration as it was at the entry; id is
     the entry's event_id; exitAt is null while the vehicle is parked."""
-    after = F.lead("ts").over(Window.partitionBy(KEY).orderBy("ts", "event_id"))
-    told = records(sightings, cooldown).withColumn("exitAt", after).where("kind = 'ENTRY'")
+    told = _around(_days(records(sightings, cooldown), KEY, "ts"), KEY, {"_next": (F.min("ts"), "after")})
+    after = F.coalesce(F.lead("ts").over(Window.partitionBy(KEY, "_part").orderBy("ts", "event_id")), "_next")
+    told = told.withColumn("exitAt", after).where("kind = 'ENTRY'")
     return told.select(F.col("event_id").alias("id"), F.col("raw_plate").alias("plateNumber"), F.col(KEY).alias("canonicalPlate"), F.col("is_registered").alias("isRegistered"), F.col("ts").alias("entryAt"), "exitAt")
 
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from paddock.operators import caps, lookup, report
 from paddock.operators import visits as V
 from paddock.plans.carrier import SIGHTINGS_SQL, VISITS_SQL, registry, sightings, table, visits
 from paddock.plans.lookup_queries import BASE, RESOLVED_SQL
+from paddock.scratch import scratch_path, written
 from paddock.streaming import visits_stream
 
 LONG_COOLDOWN = 6 * 3_600_000
@@ -19,7 +17,7 @@ ORDER_DAY = 820_454_400_000  # 1996-01-01, amid the orders
 
 
 def _resolved(spark, sf_dir):
-    return lookup.resolve(sightings(spark, sf_dir), registry(spark, sf_dir))
+    return written(lookup.resolve(sightings(spark, sf_dir), registry(spark, sf_dir)), "resolved")
 
 
 def _by_user(spark, sf_dir):
@@ -47,7 +45,7 @@ def visits_corrections(spark, sf_dir):
 
 def visits_stream_records(spark, sf_dir):
     """The machine over the events read as a stream, its records read back."""
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='paddock-stream-')}/stream-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "stream")
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
     u = F.col("user_id")
     seen = source.select("event_id", F.expr("timestampdiff(MILLISECOND, timestamp_ntz '1970-01-01 00:00:00', ts)").alias("ts"), u.cast("string").alias("raw_plate"), u.cast("string").alias("canonical"), (u % 4 != 3).alias("is_registered"))

@@ -59,8 +59,9 @@ def machine_visits(rows, cooldown, corrections=()):
     return sorted((i, v[0], k, v[1], v[2], v[3]) for k, m in machines.items() for i, v in m.visits.items())
 
 
-@pytest.mark.parametrize("cooldown", [90_000, 20_000, 1])
-def test_batch_equals_machine(spark, cooldown):
+@pytest.mark.parametrize(("cooldown", "part"), [(90_000, 86_400_000), (90_000, 50_000), (20_000, 1_000_000), (1, 7_000)])
+def test_batch_equals_machine(spark, monkeypatch, cooldown, part):
+    monkeypatch.setattr(visits, "PART_MS", part)
     rows, frame = sightings(spark)
     assert sorted(map(tuple, visits.visits(frame, cooldown).collect())) == machine_visits(rows, cooldown)
 
