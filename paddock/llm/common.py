@@ -1,42 +1,23 @@
-"""Helpers that several corpus operators share: scratch tables, Arrow slices and session settings."""
+"""Helpers that several corpus operators share: patterns of words, slices of Arrow batches, joins with small tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paddock.scratch import scratch_path, written
+
+__all__ = ["BROADCAST_ROWS", "SPACE", "WORD", "join_small", "scratch_path", "text_slices", "without", "word_count", "written"]
+
 #: The words of every text operator: runs of bytes that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="paddock-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/paddock-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors, and both
-    sides of a later join are plain scans, whose skewed partitions the adaptive planner can split."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each slice holds about ``limit`` bytes of the text column, one row at least:
     the memory of what follows depends on the longest text, not on the batch."""
