@@ -16,6 +16,7 @@ SHAPE = f"([0-9]{{2,3}})({MIDDLE})([0-9]{{4}})"
 TWO_GLYPHS = "[0-9]{2}[가-힣]{2}[0-9]{4}"
 REGION_ONLY = "[가-힣]{2}[0-9]{4}"
 BARE_RUN = "(?<![0-9])[0-9]{7,8}(?![0-9])"
+FOUR_DIGITS = "[0-9]{4}"
 INITIALS, VOWELS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ", "ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ"
 FAMILIES = ("ㅏㅑ", "ㅓㅕㅣ", "ㅗㅛ", "ㅜㅠ")
 LONE = {"ㄱ": "거", "ㄴ": "너", "ㄷ": "더", "ㄹ": "러", "ㅁ": "머", "ㅂ": "버", "ㅅ": "서", "ㅇ": "어", "ㅈ": "저"}
@@ -138,7 +139,8 @@ def strict_plate(cleaned) -> Column:
     c = _col(cleaned)
     exact = F.filter(_shapes(c), lambda m: _in_glyphs(m["middle"]))
     plain = _first(F.transform(exact, lambda m: F.concat(m["lead"], m["middle"], m["tail"])))
-    return F.coalesce(plain, _nonempty(F.regexp_extract(c, TWO_GLYPHS, 0)), _nonempty(F.regexp_extract(c, REGION_ONLY, 0)))
+    found = F.coalesce(plain, _nonempty(F.regexp_extract(c, TWO_GLYPHS, 0)), _nonempty(F.regexp_extract(c, REGION_ONLY, 0)))
+    return F.when(c.rlike(FOUR_DIGITS), found)  # every plate has them, most texts don't
 
 
 def without_strokes(cleaned) -> Column:
@@ -157,7 +159,8 @@ def lenient_plate(cleaned) -> Column:
         return _first(F.filter(each, lambda p: p.isNotNull()))
 
     shape = _nonempty(F.regexp_extract(fixed, SHAPE, 0))
-    return F.coalesce(strict_plate(c), mended(fixed), mended(c), shape, _nonempty(F.regexp_extract(c, BARE_RUN, 0)))
+    found = F.coalesce(strict_plate(c), mended(fixed), mended(c), shape, _nonempty(F.regexp_extract(c, BARE_RUN, 0)))
+    return F.when(c.rlike(FOUR_DIGITS), found)
 
 
 def digits_only(c) -> Column:
