@@ -32,7 +32,7 @@ RULES = (
     Rule("few_words", "n_words < 50"),
     Rule("repeated_words", "100 * n_repeat_words > 50 * n_words"),
     Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule("duplicate_lines", "n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines"),  # one refrain in a short text is no boilerplate
     Rule("short_words", "word_chars < 2 * n_words"),
     Rule("long_words", "word_chars > 25 * n_words"),
 )
