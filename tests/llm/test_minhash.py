@@ -3,11 +3,9 @@
 import random
 import re
 
-import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from paddock.llm import components, hashing, minhash
 
