@@ -1,6 +1,6 @@
 """DuckDB SQL of the plate functions, for the oracles."""
 
-from paddock.functions.text import GLYPHS, LATIN, LONE, MIDDLE, REGION_ONLY, SHAPE, SPLIT, TWO_GLYPHS
+from paddock.functions.text import GLYPHS, LATIN, LONE, REGION_ONLY, SHAPE, SPLIT, TWO_GLYPHS
 
 SPACES = r"[\p{Z}\x09-\x0D\x1C-\x1F]"
 
@@ -74,6 +74,3 @@ mended AS (
   SELECT {key}, arg_min(regexp_extract(m, '{SHAPE}', 1) || glyph || regexp_extract(m, '{SHAPE}', 3), pass * 1000000 + n) AS plate
   FROM tokens JOIN repair ON token = regexp_extract(m, '{SHAPE}', 2) GROUP BY {key}),
 read AS (SELECT {key}, {strict('c')} AS strict, coalesce({strict('c')}, plate, nullif(regexp_extract(fixed, '{SHAPE}'), ''), {bare}) AS lenient FROM fixed LEFT JOIN mended USING ({key}))"""
-
-
-__all__ = ["MIDDLE", "REPAIR", "agree", "clean", "digits", "is_plate", "keys", "lenient", "middle", "strict"]
