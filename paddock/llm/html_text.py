@@ -26,7 +26,10 @@ from paddock.llm.toxicity import logistic
 
 #: Element kinds of HTML, and names that pages give to what isn't their article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math head select button".split())
+RAW = frozenset("script style title textarea template iframe noembed noframes".split())
+CONTROLS = frozenset("button select option".split())
+EMBEDDED = frozenset("noscript svg".split())
+SPACED = frozenset("br button select text desc".split())  #: inline elements whose text doesn't run on from the text before
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -41,13 +44,13 @@ GOOD_HINTS = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|b
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-FEATURES = 11
+FEATURES = 13
 
 
 class Node:
     """An open element: what its subtree is, by its own and its ancestors' names."""
 
-    __slots__ = ("bare", "good", "hinted", "link", "name", "parent", "section")
+    __slots__ = ("bare", "control", "embedded", "foreign", "good", "hinted", "link", "name", "parent", "section")
 
     def __init__(self, name: str, attributes: str, parent: Node | None):
         self.name, self.parent = name, parent
@@ -68,6 +71,11 @@ class Node:
         self.hinted = (up.hinted if up else False) or hinted
         self.good = (up.good if up else False) or good or name in ("article", "main")
         self.link = (up.link if up else False) or name == "a"
+        # a block inside one of these is a block like any other, so that a missing end tag marks nothing beyond it
+        inline = up is not None and name not in BLOCK
+        self.control = name in CONTROLS or (inline and up.control)
+        self.embedded = name in EMBEDDED or (inline and up.embedded)
+        self.foreign = name in ("svg", "math") or (inline and up.foreign and name != "foreignobject")
         self.section = self if name in SECTIONS or hinted or up is None else up.section
 
 
@@ -75,24 +83,30 @@ class Node:
 class Block:
     text: str
     linked: int  #: characters inside links
+    controls: int  #: characters inside buttons and lists of options
+    embedded: int  #: characters inside drawings and text for browsers without scripts
     parent: Node  #: the block element that holds it
     heading: bool
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page in order.  Scripts, styles and other elements without running text have none; missing
-    end tags are implied as browsers do for paragraphs and items, and unknown markup is dropped."""
+    """The blocks of a page in order.  Scripts, styles and other RAW elements have none up to their end tags; missing
+    end tags are implied as browsers do for paragraphs and items, and unknown markup is dropped.  A script or style
+    without an end tag is the rest of the page, as in browsers; of any other RAW element without one only the tag is
+    dropped.  The head is no element of its own: what it may hold has no text, and it ends where text begins."""
     top = Node("html", "", None)
-    stack, out, held, linked = [top], [], [], 0
+    stack, out, held, linked, controls, embedded = [top], [], [], 0, 0, 0
     holder = top
+    endless = set()  # RAW elements without an end tag from here on
 
     def flush():
-        nonlocal held, linked
+        nonlocal held, linked, controls, embedded
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                out.append(Block(text, min(linked, len(text)), holder, holder.name in ("h1", "h2", "h3", "h4", "h5", "h6")))
-            held, linked = [], 0
+                n = len(text)
+                out.append(Block(text, min(linked, n), min(controls, n), min(embedded, n), holder, holder.name in ("h1", "h2", "h3", "h4", "h5", "h6")))
+            held, linked, controls, embedded = [], 0, 0, 0
 
     at, n = 0, len(page)
     while at < n:
@@ -102,12 +116,18 @@ def blocks_of(page: str) -> list[Block]:
             held.append(page[at:end])
             if stack[-1].link:
                 linked += end - at
+            if stack[-1].control:
+                controls += end - at
+            if stack[-1].embedded:
+                embedded += end - at
         if not m:
             break
         at = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
             continue
+        if name in SPACED:
+            held.append(" ")
         if m[1] or m[4]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
@@ -120,13 +140,19 @@ def blocks_of(page: str) -> list[Block]:
                     break  # an end tag doesn't reach out of its section
             continue
         attributes = m[3] if m[2] else m[6]
-        if name == "br":
-            held.append(" ")
-        elif name in RAW:
-            if not attributes.rstrip().endswith("/"):
+        if name in RAW:
+            if not attributes.rstrip().endswith("/") and name not in endless:
                 close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else n
-            held.append(" ") if name in ("button", "select") else None
+                if close:
+                    at = close.end()
+                elif name in ("script", "style"):
+                    at = n
+                else:
+                    endless.add(name)
+        elif name == "head":
+            flush()
+        elif (name in ("svg", "math") or stack[-1].foreign) and attributes.rstrip().endswith("/"):
+            continue
         elif name in VOID:
             if name == "hr":
                 flush()
@@ -152,6 +178,13 @@ def blocks_of(page: str) -> list[Block]:
                     if stack[k].name == "a":
                         del stack[k:]
                         break
+            if name == "button" and stack[-1].control:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].name == "button":
+                        del stack[k:]
+                        break
+                    if stack[k].name in BLOCK:
+                        break
             node = Node(name, attributes, stack[-1])
             stack.append(node)
             if name in BLOCK:
@@ -177,6 +210,8 @@ def features(found: list[Block]) -> np.ndarray:
             min(sum(map(b.text.count, ".,;:!?")), 8) / 8,
             b.parent.name in ("li", "td", "th", "option", "dt"),
             b.parent.name in ("p", "blockquote", "pre"),
+            b.controls / n,
+            b.embedded / n,
         )
     return x
 
@@ -285,6 +320,8 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = 3) -> Iterator[tuple[str
         parts.append((rng.choice([f"<nav>{menu}</nav>", f'<div class="menu">{menu}</div>', f"<header>{menu}</header>", f'<div id="top-nav">{menu}</div>']), flags))
         for _ in range(rng.randint(0, 2)):
             parts.append((rng.choice([f'<div class="ad">{prose()}</div>', f'<div class="cookie-notice"><p>{prose()}</p></div>', f"<aside><p>{prose()}</p></aside>", f'<div class="sponsored">{say(3, 9)}</div>', f"<form><label>{say(1, 3)}</label></form>"]), [False]))
+        if rng.random() < 0.2:
+            parts.append((rng.choice([f"<noscript>{say(3, 12)}</noscript>", f"<svg><text>{say(1, 3)}</text></svg>"]) + "<hr>", [False]))
         body, flags = "", []
         if rng.random() < 0.8:
             body, flags = f"<h1>{say(1, 9)}</h1>", [True]
@@ -296,7 +333,11 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = 3) -> Iterator[tuple[str
                 body, flags = body + f"<ul><li>{prose()}</li><li>{say(2, 9)}</li></ul>", [*flags, True, True]
             elif kind < 0.88:
                 body, flags = body + f"<h2>{say(1, 5)}</h2>", [*flags, True]
-            elif kind < 0.94:
+            elif kind < 0.9:
+                body, flags = body + rng.choice([f"<p>{say(3, 9)} <button>{say(1, 2)}</button> {prose()}</p>", f"<p>{say(2, 9)} <math><mi>{word()}</mi><mo>=</mo><mn>2</mn></math> {prose()}</p>", f"<p>{prose()} <noscript>{prose()}</noscript></p>"]), [*flags, True]
+            elif kind < 0.92:
+                body, flags = body + f"<hr><button>{say(1, 3)}</button><hr>", [*flags, False]
+            elif kind < 0.95:
                 body, flags = body + f'<p>{say(3, 9)} <a href="/y">{say(1, 3)}</a> {prose()}</p>', [*flags, True]
             else:
                 body, flags = body + f'<div class="{rng.choice(["advert", "share", "related-links"])}">{say(2, 12)}</div>', [*flags, False]

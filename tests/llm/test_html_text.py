@@ -81,3 +81,33 @@ def test_awkward_rows(spark, weights):
     assert len(got) == len(rows)
     assert {r.page_id: r.n_chars for r in got}[2] == 20_000 * len("long enough to be text. ") - 1
     assert H.extract(pages.limit(0), weights).count() == 0
+
+
+LONG = "Body text, long enough to be kept."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<html><head><title>No</title><meta charset='utf-8'><script>var x;</script><body><article><p>{LONG}</p></article></body></html>", LONG),
+        (f"<head><title>No</title><link rel='x' href='y'><article><p>{LONG}</p></article>", LONG),
+        (f"<head><title>No</title></head><article><p>{LONG}</p></article>", LONG),
+        *[(f"<body><{tag}><article><p>{LONG}</p><p>{LONG}</p></article>", f"{LONG} {LONG}") for tag in ("noscript", "svg", "button", "select", "math", "template", "iframe", "textarea")],
+        *[(f"<article><p>{LONG}</p><{tag}><p>{LONG}</p><p>{LONG}</p></article>", f"{LONG} {LONG} {LONG}") for tag in ("noscript", "svg", "button", "select", "math")],
+        (f"<article><p>Press <button>OK</button> to go. {LONG}</p></article>", f"Press OK to go. {LONG}"),
+        (f"<article><p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, it holds. {LONG}</p></article>", f"Where x=2, it holds. {LONG}"),
+        (f"<article><p>{LONG} <noscript>And more, without scripts.</noscript></p></article>", f"{LONG} And more, without scripts."),
+        (f"<article><p>{LONG}</p><svg><path d='M0'/><g/></svg><p>{LONG}</p></article>", f"{LONG} {LONG}"),
+        (f"<article><p>{LONG}</p><script>var x = 1;", LONG),
+    ],
+)
+def test_elements_without_end_tags(weights, page, text):
+    assert H.main_text(page, weights) == text
+
+
+def test_buttons_and_options_are_told_apart(weights):
+    page = f"<form><select><option>{LONG}<option>Two</select></form><article><p>{LONG}</p><p>{LONG}</p></article><div><button>Share</button></div><div><button>Reply</button></div>"
+    found = H.blocks_of(page)
+    assert [b.text for b in found] == [LONG, "Two", LONG, LONG, "Share", "Reply"]
+    assert [b.controls / len(b.text) for b in found] == [1, 1, 0, 0, 1, 1]
+    assert H.main_text(page, weights) == f"{LONG} {LONG}"
