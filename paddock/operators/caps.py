@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paddock.operators.folds import let_through
+from paddock.operators.visits import _around
+from paddock.scratch import written
+
 DAY_MS = 86_400_000
 
 
@@ -20,36 +24,25 @@ def allowed(events: DataFrame, key: str = "user_id", gap_ms: int = 240_000, per_
     ``per_day`` were granted on the same UTC day.  A key's events are taken in order of (ts, event_id); only the
     asks beyond the grace enter the fold.
     """
-    by = Window.partitionBy(key).orderBy("ts", "event_id")
-    counted = events.withColumn("_opens", F.sum(F.when(F.col("kind") == "open", 1).otherwise(0)).over(by))
-    asks = counted.where(F.col("kind").eqNullSafe("ask") & (F.col("_opens") > grace))
-    items = asks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("ts").alias("t"), F.col("event_id").alias("o")))).alias("items"))
-    none = F.lit(None).cast("long")
-    start = F.struct(F.lit(0).cast("long").alias("last"), none.alias("day"), F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("ids"))
-
-    def step(s: Column, x: Column) -> Column:
-        day = F.floor(x["t"] / DAY_MS)
-        today = F.when(s["day"] == day, s["n"]).otherwise(0)
-        fits = (x["t"] - s["last"] >= gap_ms) & (today < per_day)
-        return F.when(fits, F.struct(x["t"].alias("last"), day.alias("day"), (today + 1).alias("n"), F.concat(s["ids"], F.array(x["o"])).alias("ids"))).otherwise(s)
-
-    granted = items.select(F.explode(F.aggregate("items", start, step)["ids"]).alias("event_id")).withColumn("_granted", F.lit(True))
+    day = F.floor(F.col("ts") / DAY_MS)
+    # opens before an ask are counted by day, a user's earlier days in one row each; structs make null keys equal
+    rows = written(events.select(F.struct(key).alias("_key"), "ts", "event_id", "kind", day.alias("_part")), "asked")
+    opens = F.sum(F.when(F.col("kind") == "open", 1).otherwise(0))
+    counted = _around(rows, "_key", {"_earlier": (opens, "sum")})
+    counted = counted.withColumn("_opens", F.col("_earlier") + opens.over(Window.partitionBy("_key", "_part").orderBy("ts", "event_id")))
+    asks = counted.where(F.col("kind").eqNullSafe("ask") & (F.col("_opens") > grace)).select(F.col("_key")[key].alias(key), "ts", "event_id")
+    days = list(range(1, per_day + 1))
+    ids = let_through(asks, key, "ts", "event_id", day, [*[gap_ms] * per_day, None], ([*days, per_day], [*days, per_day]), start=0, afresh=True)
+    granted = ids.withColumn("_granted", F.lit(True))
     return events.join(granted, "event_id", "left").withColumn("shown", F.coalesce("_granted", F.lit(False))).drop("_granted")
 
 
 def throttled(frames: DataFrame, key: str = "user_id", active_ms: int = 300, idle_ms: int = 1000, idle_after: int = 10) -> DataFrame:
     """Frames (key, ts, event_id, hit) that are looked at: at least ``active_ms`` after the last one, or ``idle_ms`` once
     ``idle_after`` looks in a row were misses."""
-    items = frames.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("ts").alias("t"), F.col("event_id").alias("o"), "hit"))).alias("items"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("misses"), F.array().cast("array<bigint>").alias("ids"))
-
-    def step(s: Column, x: Column) -> Column:
-        wait = F.when(s["misses"] >= idle_after, idle_ms).otherwise(active_ms)
-        due = s["last"].isNull() | (x["t"] - s["last"] >= wait)
-        misses = F.when(x["hit"], 0).otherwise(s["misses"] + 1)
-        return F.when(due, F.struct(x["t"].alias("last"), misses.alias("misses"), F.concat(s["ids"], F.array(x["o"])).alias("ids"))).otherwise(s)
-
-    looked = items.select(F.explode(F.aggregate("items", start, step)["ids"]).alias("event_id"))
+    waits = [active_ms] * idle_after + [idle_ms]
+    misses = [min(k + 1, idle_after) for k in range(idle_after + 1)]
+    looked = let_through(frames, key, "ts", "event_id", F.floor(F.col("ts") / DAY_MS), waits, (misses, [0] * len(waits)), hit=F.col("hit"))
     return frames.join(looked, "event_id", "left_semi")
 
 

@@ -1,10 +1,9 @@
 """From sightings to visits: cooldown, entry and exit in turn, and corrections by hand.
 
 The cooldown is a fold over a plate's sightings: one passes if the last one that passed is at least ``cooldown``
-back.  A pause of that length always lets the next sighting pass, so a plate's sightings fall into runs that can
-be folded on their own.  What must be in order per plate is ordered by plate and day; a row per plate and day then
-carries over what a day needs from the days around it, so that one plate with a large part of all sightings is
-spread over as many tasks as it has days.
+back (:mod:`paddock.operators.folds`).  What must be in order per plate is ordered by plate and day; a few rows per
+plate and day then carry over what a day needs from the days around it, so that one plate with a large part of all
+sightings is spread over as many tasks as it has days.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paddock.operators.folds import let_through
 from paddock.scratch import written
 
 COOLDOWN_MS = 90_000
@@ -51,24 +51,7 @@ def passed(sightings: DataFrame, cooldown: int = COOLDOWN_MS, key: str = KEY, ts
     """The sightings that the cooldown lets through, by (ts, order) within a key; empty and null keys have none.
     ``order`` identifies a sighting."""
     known = sightings.where(F.coalesce(F.col(key), F.lit("")) != "")
-    narrow = written(_days(known.select(key, ts, order), key, ts), "sightings")  # read four times below
-    rows = _around(narrow, key, {"_prev": (F.max(ts), "before")})
-    by = Window.partitionBy(key, "_part").orderBy(ts, order)
-    before = F.coalesce(F.lag(ts).over(by), "_prev")
-    marked = rows.withColumn("_before", before)
-    marked = marked.withColumn("_fresh", F.when(F.col("_before").isNull() | (F.col(ts) - F.col("_before") >= cooldown), F.col(ts))).drop("_prev", "_before")
-    # a run is named by the time it began; the first sightings of a day may belong to one of an earlier day
-    marked = _around(marked, key, {"_open": (F.max("_fresh"), "before")})
-    run = F.coalesce(F.max("_fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)), "_open")
-    item = F.struct(F.col(ts).alias("t"), F.col(order).alias("o"))
-    runs = marked.withColumn("_run", run).groupBy(key, "_run").agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("ids"))
-
-    def step(s: Column, x: Column) -> Column:
-        late = s["last"].isNull() | (x["t"] - s["last"] >= cooldown)
-        return F.when(late, F.struct(x["t"].cast("long").alias("last"), F.concat(s["ids"], F.array(x["o"].cast("long"))).alias("ids"))).otherwise(s)
-
-    ids = runs.select(F.explode(F.aggregate("_items", start, step)["ids"]).alias(order))
+    ids = let_through(known, key, ts, order, F.expr(f"{ts} div {PART_MS}"), [cooldown], ([0], [0]))
     return known.join(ids, order, "left_semi")
 
 
@@ -158,34 +141,57 @@ class Machine:
 def corrected(sightings: DataFrame, corrections: DataFrame, cooldown: int = COOLDOWN_MS) -> DataFrame:
     """Visits as in :func:`visits`, after corrections (event_id, ts, action, visit_id, canonical) took their turn.
 
-    Corrections at the time of a sighting come after it.  Rows stream through a task sorted by plate, and only
-    one plate's visits are held.
+    Corrections at the time of a sighting come after it.  Rows stream through a task sorted by plate; held are a
+    plate's open visits and those that a later correction names.
     """
     null = lambda kind: F.lit(None).cast(kind)
     known = sightings.where(F.coalesce(F.col(KEY), F.lit("")) != "")
+    told = corrections.select(KEY, F.col("ts").cast("long").alias("ts"), F.lit(1).alias("turn"), "event_id", null("string").alias("plate"), null("boolean").alias("registered"), "action", F.col("visit_id").cast("long"))
+    named = told.groupBy(KEY, F.col("visit_id").alias("_id")).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("until"))
+    told = told.join(named.withColumnRenamed("_id", "visit_id"), [KEY, "visit_id"])
     seen = known.select(KEY, "ts", F.lit(0).alias("turn"), "event_id", F.col("raw_plate").alias("plate"), F.col("is_registered").alias("registered"), null("string").alias("action"), null("long").alias("visit_id"))
-    told = corrections.select(KEY, "ts", F.lit(1).alias("turn"), "event_id", null("string").alias("plate"), null("boolean").alias("registered"), "action", F.col("visit_id").cast("long"))
+    seen = seen.join(named.withColumnRenamed("_id", "event_id"), [KEY, "event_id"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, machine = None, None
+        key, machine, waiting, told, done = None, None, set(), {}, []
+
+        def finish(i: int) -> None:
+            if i not in waiting and i in machine.visits and i not in machine.open:
+                v = machine.visits.pop(i)
+                done.append((i, v[0], key, v[1], v[2], v[3]))
 
         def out():
-            rows = [(i, v[0], key, v[1], v[2], v[3]) for i, v in machine.visits.items()]
-            frame = pd.DataFrame(rows, columns=["id", "plateNumber", "canonicalPlate", "isRegistered", "entryAt", "exitAt"])
+            frame = pd.DataFrame(done, columns=["id", "plateNumber", "canonicalPlate", "isRegistered", "entryAt", "exitAt"])
             return frame.astype({"id": "int64", "entryAt": "Int64", "exitAt": "Int64"})
 
         for batch in batches:
             for r in batch.itertuples(index=False):
                 if r.canonical != key:
-                    if machine and machine.visits:
-                        yield out()
-                    key, machine = r.canonical, Machine(cooldown)
+                    if machine:
+                        done += [(i, v[0], key, v[1], v[2], v[3]) for i, v in machine.visits.items()]
+                    key, machine, waiting, told = r.canonical, Machine(cooldown), set(), {}
                 if r.turn:
-                    machine.correct(r.action, int(r.visit_id), int(r.ts))
+                    i = int(r.visit_id)
+                    machine.correct(r.action, i, int(r.ts))
+                    told[i] = told.get(i, 0) + 1
+                    if told[i] == r.n:
+                        del told[i]
+                        waiting.discard(i)
+                    finish(i)
                 else:
-                    machine.seen(int(r.event_id), int(r.ts), r.plate, bool(r.registered))
-        if machine and machine.visits:
+                    began = machine.seen(int(r.event_id), int(r.ts), r.plate, bool(r.registered))
+                    if began and began[0] == "EXIT":
+                        finish(began[1])
+                    elif began and r.until >= r.ts:  # NaN where no correction names it
+                        waiting.add(began[1])
+                if len(done) >= 10_000:
+                    yield out()
+                    done = []
+        if machine:
+            done += [(i, v[0], key, v[1], v[2], v[3]) for i, v in machine.visits.items()]
+        if done:
             yield out()
 
-    rows = seen.unionByName(told).repartition(KEY).sortWithinPartitions(KEY, "ts", "turn", "event_id")
+    columns = [KEY, "ts", "turn", "event_id", "plate", "registered", "action", "visit_id", "n", F.col("until").cast("double").alias("until")]
+    rows = seen.select(columns).unionByName(told.select(columns)).repartition(KEY).sortWithinPartitions(KEY, "ts", "turn", "event_id")
     return rows.mapInPandas(run, "id long, plateNumber string, canonicalPlate string, isRegistered boolean, entryAt long, exitAt long")

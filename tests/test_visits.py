@@ -123,3 +123,69 @@ def test_lookup_rules(spark):
     assert got == {1: ("100가1000", True), 2: ("100가1000", True), 3: ("56너4895", False), 4: ("56더4895", True), 5: ("111111", False), 6: ("11가1111", True), 7: ("99", False), 8: ("", False)}
     entries = spark.createDataFrame([(" ",), ("12가3456",), ("x",)], "p string")
     assert [r[0] for r in entries.select(lookup.entry_error("p")).collect()] == ["empty", None, "invalid"]
+
+
+def unbroken(spark, n=3000, users=("hot",), seed=4):
+    rng = random.Random(seed)
+    rows = [(i, rng.randint(0, 40) * 1000 + START + i * 7_000, rng.choice(users), rng.random() < 0.2) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "event_id long, ts long, user_id string, hit boolean")
+
+
+def arrays(frame):
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    return "collect_list" in plan or "array_sort" in plan
+
+
+@pytest.mark.parametrize(("cooldown", "part"), [(90_000, 600_000), (21_600_000, 900_000), (20_000, 50_000)])
+def test_unbroken_runs_hold_no_arrays(spark, monkeypatch, cooldown, part):
+    monkeypatch.setattr(visits, "PART_MS", part)
+    rows, frame = unbroken(spark)
+    got, last, want = visits.passed(frame, cooldown, "user_id"), None, []
+    for i, t, *_ in sorted(rows, key=lambda r: (r[1], r[0])):
+        if last is None or t - last >= cooldown:
+            last = t
+            want.append(i)
+    assert not arrays(got) and sorted(r.event_id for r in got.collect()) == sorted(want)
+
+
+def test_limits_hold_no_arrays(spark, monkeypatch):
+    monkeypatch.setattr(caps, "DAY_MS", 3_600_000)
+    rows, frame = unbroken(spark, users=("hot", "hot", "b", None))
+    looked, granted = set(), set()
+    state, limits = {}, {}
+    for i, t, u, hit in sorted(rows, key=lambda r: (r[1], r[0])):
+        last, misses = state.get(u, (None, 0))
+        if last is None or t - last >= (200_000 if misses >= 3 else 30_000):
+            looked.add(i)
+            state[u] = (t, 0 if hit else misses + 1)
+        opens, last, day, count = limits.get(u, (0, 0, None, 0))
+        if i % 3 == 0:
+            opens += 1
+        elif opens > 5:
+            count = count if day == t // 3_600_000 else 0
+            day = t // 3_600_000
+            if t - last >= 240_000 and count < 6:
+                granted.add(i)
+                last, count = t, count + 1
+        limits[u] = (opens, last, day, count)
+    throttled = caps.throttled(frame, active_ms=30_000, idle_ms=200_000, idle_after=3)
+    allowed = caps.allowed(frame.withColumn("kind", F.when(F.col("event_id") % 3 == 0, "open").otherwise("ask")))
+    assert not arrays(throttled) and {r.event_id for r in throttled.collect()} == looked
+    assert not arrays(allowed) and {r.event_id for r in allowed.where("shown").collect()} == granted and allowed.count() == len(rows)
+
+
+def test_finished_visits_are_not_held(spark, monkeypatch):
+    """Fails if more than a few visits of a plate are held at a time."""
+
+    class Bounded(visits.Machine):
+        def seen(self, *args):
+            assert len(self.visits) < 5
+            return super().seen(*args)
+
+    monkeypatch.setattr(visits, "Machine", Bounded)
+    rows = [(i, START + i * 100_000, "p", "hot", True) for i in range(2001)]
+    frame = spark.createDataFrame(rows, "event_id long, ts long, raw_plate string, canonical string, is_registered boolean")
+    fixes = [(9001, START + 350_000, "undo", 2, "hot"), (9002, START + 1_050_000, "delete", 8, "hot"), (9003, START + 1_060_000, "close", 8, "hot")]
+    got = visits.corrected(frame, spark.createDataFrame(fixes, "event_id long, ts long, action string, visit_id long, canonical string")).collect()
+    monkeypatch.undo()
+    assert sorted(map(tuple, got), key=repr) == sorted(machine_visits(rows, 90_000, fixes), key=repr)
