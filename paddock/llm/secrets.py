@@ -1,4 +1,4 @@
-"""Secret scans: a broad pattern proposes candidates, a random forest rejects the false ones.
+"""Secret scans: broad patterns propose candidates, a random forest rejects the false ones.
 
 Everything on the main path is DataFrame functions.  The forest is fitted with Spark ML on a bounded table of
 labelled findings and then written out as one nested condition per tree, so that scoring happens inside the
@@ -28,22 +28,53 @@ DICTIONARY = (
     "count total first last next prev left right width height size table column row field"
 ).split()
 NEAR_SECRET = r"(?i)(?:token|secret|passw|passwd|api.?key|access.?key|auth|bearer|credential|private.?key|client.?key|pwd)\w*[^A-Za-z0-9]{0,6}$"
+#: Words after a candidate, unless they name what follows them.
+AFTER = r"(?i)^[^A-Za-z0-9\r\n]{0,6}(?:(?:is|was|as)\s+)?(?:(?:the|my|our|your|an?)\s+)?(?:%s)\w*+(?!\s*[\"']?\s*[=:])"
+SECRET_AFTER = AFTER % "token|secret|passw|api.?key|access.?key|bearer|credential|private.?key|client.?key|pwd"
+DIGEST_AFTER = AFTER % "commit|sha-?\\d*|md5|checksum|digest|hash|uuid|guid|etag"
 NEAR_DIGEST = r"(?i)(?<![a-z])(?:commit|sha-?\d*|md5|checksum|digest|hash|uuid|guid|etag|revision|integrity|example|placeholder|dummy|sample|base64|image|build|version|id)[^A-Za-z0-9]{0,6}$"
+#: Values of any characters, from four on, that are assigned to a name like a secret's: up to their quote, or else up to
+#: white space and without closing punctuation.  The short look-behinds fail fast where nothing is assigned.
+_NAMED = r"(?<=[:=>\s\"'])(?<=[:=]>?\s{0,3}[\"']?)(?<=(?i:token|secret|passw|passwd|api.?key|access.?key|auth|bearer|credential|private.?key|client.?key|pwd)\w{0,30}[\"']?\s{0,3}[:=]{1,2}>?\s{0,3}%s)"
+ASSIGNED = "|".join([_NAMED % '"' + r'[^\s"]{4,}(?=")', _NAMED % "'" + r"[^\s']{4,}(?=')", _NAMED % "" + r"(?!(?i:bearer|basic)\s)[^\s\"'<>=:][^\s\"'<>]{3,}(?<![.,;:!?)\]}])"])
+PROPOSED = f"{ASSIGNED}|{CANDIDATE}"
 HARMLESS_PATH = r"(?i)(?:^|[/_.-])(?:tests?|examples?|fixtures?|mocks?|samples?|docs?|vendor|lock)(?:[/_.-]|$)"
 
 FEATURES = ("length", "class_changes", "letter_pairs", "dictionary", "digits", "distinct", "slashes", "harmless_path", "near_secret", "near_digest", "assigned")
 
 
 def proposed(text: Column) -> Column:
-    """Array of (candidate, before, after): each candidate with the text up to the neighbouring candidates."""
-    found, gaps = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.split(text, CANDIDATE, -1)
+    """Array of (candidate, before, after): each candidate with the text up to the neighbouring candidates.
+    Candidates are runs of at least 16 characters of keys and digests, and whatever is assigned to a secret's name."""
+    found, gaps = F.regexp_extract_all(text, F.lit(PROPOSED), F.lit(0)), F.split(text, PROPOSED, -1)
     return F.arrays_zip(found.alias("candidate"), F.slice(gaps, 1, F.size(found)).alias("before"), F.slice(gaps, 2, F.size(found)).alias("after"))
 
 
-def measured(c: Column, before: Column, path: Column) -> list[Column]:
-    """The FEATURES of a candidate as doubles; a null path counts as an empty one."""
+NEAR = 60  #: characters on either side that are searched for neighbouring words
+
+
+def around(text: Column) -> Column:
+    """Array of (candidate, before, after, left, right): as :func:`proposed`, with up to NEAR characters of the text on
+    either side, neighbouring candidates included (two on each side)."""
+
+    def piece(all_: Column, i: Column, side: str, name: str) -> Column:
+        part = F.get(all_, i)[name]
+        return F.coalesce(F.substring(part, -NEAR, NEAR) if side == "left" else F.substring(part, 1, NEAR), F.lit(""))
+
+    def each(all_: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            left = F.concat(piece(all_, i - 2, "left", "candidate"), piece(all_, i - 1, "left", "before"), piece(all_, i - 1, "left", "candidate"), F.substring(c["before"], -NEAR, NEAR))
+            right = F.concat(F.substring(c["after"], 1, NEAR), piece(all_, i + 1, "right", "candidate"), piece(all_, i + 1, "right", "after"), piece(all_, i + 2, "right", "candidate"))
+            return F.struct(c["candidate"].alias("candidate"), c["before"].alias("before"), c["after"].alias("after"), F.substring(left, -NEAR, NEAR).alias("left"), F.substring(right, 1, NEAR).alias("right"))
+
+        return F.transform(all_, one)
+
+    return F.get(F.transform(F.array(proposed(text)), each), F.lit(0))  # bound to a variable, so that it is made once
+
+
+def measured(c: Column, near: Column, after: Column, path: Column) -> list[Column]:
+    """The FEATURES of a candidate with the text on both sides as doubles; a null path counts as an empty one."""
     n, low = F.length(c).cast("double"), F.lower(c)
-    near = F.substring(before, -60, 60)
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     share = lambda pattern: F.length(F.regexp_replace(c, pattern, "")) / n
     values = [
@@ -55,8 +86,8 @@ def measured(c: Column, before: Column, path: Column) -> list[Column]:
         F.size(F.array_distinct(F.split(c, ""))) / n,
         share("[^/]"),
         flag(path.rlike(HARMLESS_PATH)),
-        flag(near.rlike(NEAR_SECRET)),
-        flag(near.rlike(NEAR_DIGEST)),
+        flag(near.rlike(NEAR_SECRET) | after.rlike(SECRET_AFTER)),
+        flag(near.rlike(NEAR_DIGEST) | after.rlike(DIGEST_AFTER)),
         flag(near.rlike(r"[=:]\s*[\"']?$")),
     ]
     return [v.cast("double").alias(name) for name, v in zip(FEATURES, values, strict=True)]
@@ -103,7 +134,8 @@ def parsed(debug: str) -> Forest:
 
 
 def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS, seed: int = 11) -> DataFrame:
-    """(text, path, label): synthetic labelled findings, the same for the same arguments.
+    """(text, path, label, secret): synthetic labelled findings, the same for the same arguments; ``secret`` is the part
+    of the text that the label 1 is about.
 
     Secrets and digests are drawn from SHA-2 of the row number, names from dictionary words; the templates put
     both into configuration lines, code, prose, paths and lock files.
@@ -120,6 +152,10 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS, seed: int
     prose = F.concat_ws(" ", word(20), word(21), word(22))
     marked = F.element_at(F.array(*[F.lit(x) for x in ("###", "$$$", "", "!!", "***")]), F.pmod(F.col("id"), F.lit(5)).cast("int") + 1)
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    few = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(9000)).cast("string")
+    sign = F.element_at(F.array(*map(F.lit, ("-", ".", "$", "!", "@", "#", "%"))), (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(60)), F.lit(7)) + 1).cast("int"))
+    short = F.concat(word(61), few(62), sign, F.substring(bits(10), 1, 3))
+    mixed = F.concat(F.substring(alnum, 1, 5), sign, F.substring(alnum, 6, 4))
     templates = [
         (say(prose, ' token = "', hex40, '"', marked, " ", prose), 1),
         (say("api_key: ", F.substring(alnum, 1, 32)), 1),
@@ -129,6 +165,24 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS, seed: int
         (say(prose, " ghp_", F.substring(alnum, 1, 36), " ", prose), 1),
         (say("access key AKIA", F.upper(F.substring(bits(8), 1, 16))), 1),
         (say('client_secret":"', hex32, '"'), 1),
+        (say(prose, " password = '", short, "'"), 1),
+        (say("password: ", mixed), 1),
+        (say("db_password=", short, " ", prose), 1),
+        (say('"pwd": "', mixed, '", ', prose), 1),
+        (say("passwd = ", F.substring(alnum, 1, 9)), 1),
+        (say('secret: "', F.initcap(word(63)), sign, few(64), '"'), 1),
+        (say("api_key = '", F.substring(alnum, 1, 12), "'"), 1),
+        (say("auth_token: ", F.substring(bits(11), 1, 12)), 1),
+        (say(prose, " ", F.substring(alnum, 1, 24), " is the api key ", prose), 1),
+        (say(prose, " ", hex40, " (commit) ", prose), 0),
+        (say(prose, " ", hex32, " is the checksum ", prose), 0),
+        (say("password = ", F.element_at(F.array(*map(F.lit, ("None", "null", "true", "false", "required", "string", "optional", "undefined"))), F.pmod(F.xxhash64("id", F.lit(66)), F.lit(8)).cast("int") + 1)), 0),
+        (say("token: ", word(67), word(68), " ", prose), 0),
+        (say("secret = get_", word(69), "()"), 0),
+        (say("author: ", F.initcap(word(70)), F.initcap(word(71)), " ", prose), 0),
+        (say('password: "', word(72), "_", word(73), '"'), 0),
+        (say("auth=", word(74), word(75), ", ", prose), 0),
+        (say("api_key: ", word(76), ".", word(77), "_", word(78)), 0),
         (say("commit ", hex40, " ", prose), 0),
         (say(prose, " sha256:", bits(9)), 0),
         (say("md5 = ", hex32), 0),
@@ -143,21 +197,30 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS, seed: int
         (say("secret: ", F.initcap(word(38)), F.initcap(word(39)), F.initcap(word(40)), F.initcap(word(41)), F.initcap(word(42))), 0),
     ]
     pick = F.pmod(F.col("id"), F.lit(len(templates)))
-    text, label = F.lit(None).cast("string"), F.lit(0)
+    # the templates with a secret come first; these are their secrets
+    values = [hex40, F.substring(alnum, 1, 32), F.substring(key64, 1, 40), key64, F.substring(alnum, 1, 18), F.substring(alnum, 1, 36), F.upper(F.substring(bits(8), 1, 16)), hex32]
+    values += [short, mixed, short, mixed, F.substring(alnum, 1, 9), F.concat(F.initcap(word(63)), sign, few(64)), F.substring(alnum, 1, 12), F.substring(bits(11), 1, 12), F.substring(alnum, 1, 24)]
+    text, label, hidden = F.when(F.lit(False), ""), F.when(F.lit(False), 0), F.when(F.lit(False), "")
     for i, (made, is_secret) in enumerate(templates):
-        text, label = F.when(pick == i, made).otherwise(text), F.when(pick == i, F.lit(is_secret)).otherwise(label)
+        text, label = text.when(pick == i, made), label.when(pick == i, is_secret)
+        if is_secret:
+            hidden = hidden.when(pick == i, values[i])
     path = F.when(F.pmod(F.xxhash64("id"), F.lit(7)) == 0, F.concat(F.lit("tests/"), word(50))).otherwise(F.concat(F.lit("src"), F.pmod("id", F.lit(20)).cast("string")))
-    return spark.range(rows, numPartitions=2).select(text.alias("text"), path.alias("path"), label.cast("double").alias("label"))
+    return spark.range(rows, numPartitions=2).select(text.alias("text"), path.alias("path"), label.cast("double").alias("label"), hidden.alias("secret"))
 
 
 def fit(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 7, rows: int = LABELLED_ROWS) -> Forest:
-    """A forest for labelled findings (text, path, label): every candidate in a row's text has the row's label.
-    Rows without a candidate or a label teach nothing; at most ``rows`` are read, chosen by a hash of the text."""
+    """A forest for labelled findings (text, path, label, secret): of the candidates in a row's text, those that hold
+    its ``secret`` or are a part of it have the row's label, and others are none; without that column or where it is
+    null, all have the row's label.  Rows without a candidate or a label teach nothing; at most ``rows`` are read, chosen by a hash of the text."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     some = findings.where("label is not null").orderBy(F.xxhash64("text"), "text", "path").limit(rows)
-    each = some.select("label", "path", F.explode(proposed(F.col("text"))).alias("c")).select("label", *measured(F.col("c.candidate"), F.col("c.before"), F.col("path")))
+    secret = F.col("secret") if "secret" in findings.columns else F.lit(None).cast("string")
+    each = some.select("label", "path", secret.alias("secret"), F.explode(around(F.col("text"))).alias("c"))
+    its = F.coalesce(F.col("c.candidate").contains(F.col("secret")) | F.col("secret").contains(F.col("c.candidate")), F.lit(True))
+    each = each.select(F.when(its, F.col("label")).otherwise(0.0).alias("label"), *measured(F.col("c.candidate"), F.col("c.left"), F.col("c.right"), F.col("path")))
     points = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(each)
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", maxBins=64).fit(points)
     return parsed(model.toDebugString)
@@ -165,7 +228,7 @@ def fit(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int =
 
 def judged(text: Column, path: Column, forest: Forest) -> Column:
     """Array of (candidate, before, after, score) of a text; null for a null text."""
-    with_features = F.transform(proposed(text), lambda c: F.struct(c["candidate"].alias("candidate"), c["before"].alias("before"), c["after"].alias("after"), F.struct(*measured(c["candidate"], c["before"], path)).alias("x")))
+    with_features = F.transform(around(text), lambda c: F.struct(c["candidate"].alias("candidate"), c["before"].alias("before"), c["after"].alias("after"), F.struct(*measured(c["candidate"], c["left"], c["right"], path)).alias("x")))
     return F.transform(with_features, lambda c: F.struct(c["candidate"].alias("candidate"), c["before"].alias("before"), c["after"].alias("after"), forest.score(c["x"]).alias("score")))
 
 

@@ -92,3 +92,33 @@ def test_planted_secrets_are_found(spark, forest):
 
 def test_empty_table(spark, forest):
     assert S.scan(spark.createDataFrame([], "doc_id long, text string, source string"), forest).count() == 0
+
+
+NAMED = [
+    ("login password = 'hunter2-abc' here", "hunter2-abc"),
+    ('{"pwd": "tR0ub.d$r!"}', "tR0ub.d$r!"),
+    ("db_password=w1nter@Home9, then", "w1nter@Home9"),
+    ("STRIPE_LIVE_SECRET_KEY=9f8Qz1LmK27xYtR4vBn0WcEd", "9f8Qz1LmK27xYtR4vBn0WcEd"),
+    (f"AWS_SECRET_ACCESS_KEY={HEX}", HEX),
+]
+
+
+def test_values_of_named_secrets(spark, forest):
+    docs = spark.createDataFrame([(i, t, "src1") for i, (t, _) in enumerate(NAMED)], "doc_id long, text string, source string")
+    clean = {r.doc_id: r.text for r in S.redacted(docs, forest).collect()}
+    assert clean == {i: t.replace(v, "<secret>") for i, (t, v) in enumerate(NAMED)}
+
+
+def test_words_on_both_sides(spark):
+    texts = [f"{HEX} is the api key", f"{HEX} (commit)", f"x {HEX} token = {HEX}", f"LONG_NAME_OF_SECRET_KEY={HEX}"]
+    rows = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "id long, t string, p string").selectExpr("id", "t", "p")
+    from pyspark.sql import functions as F
+
+    each = rows.select("id", "p", F.explode(S.around(F.col("t"))).alias("c")).select("id", "c.candidate", *S.measured(F.col("c.candidate"), F.col("c.left"), F.col("c.right"), F.col("p")))
+    got = [(r.id, r.near_secret, r.near_digest) for r in each.where(F.col("candidate") == HEX).collect()]
+    assert got == [(0, 1, 0), (1, 0, 1), (2, 0, 0), (2, 1, 0), (3, 1, 0)]
+
+
+def test_labels_belong_to_candidates(spark):
+    found = S.labelled_findings(spark, 500).where("text like 'AWS_SECRET_ACCESS_KEY=%'").first()
+    assert found.secret and found.text.endswith(found.secret) and "AWS" not in found.secret
