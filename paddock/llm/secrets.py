@@ -7,12 +7,17 @@ projection that finds the candidates: one scan, no shuffle, no row of text leave
 
 from __future__ import annotations
 
+import json
+import random
 import re
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paddock.llm.common import written
+
 #: Runs of at least 16 characters that keys, tokens and digests are written in.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}"
 LABELLED_ROWS = 4_000  #: rows of the built-in labelled findings; fit() takes no more than this from any table
@@ -27,10 +32,10 @@ DICTIONARY = (
     "image color font style page link site http https www html text number string object class method function return public private static final create update delete select insert "
     "count total first last next prev left right width height size table column row field"
 ).split()
-NEAR_SECRET = r"(?i)(?:token|secret|passw|passwd|api.?key|access.?key|auth|bearer|credential|private.?key|client.?key|pwd)\w*[^A-Za-z0-9]{0,6}$"
+NEAR_SECRET = r"(?i)(?:token|secret.key|secret|passw|passwd|api.?key|access.?key|auth|bearer|credential|private.?key|client.?key|pwd)\w*[^A-Za-z0-9]{0,6}$"
 #: Words after a candidate, unless they name what follows them.
 AFTER = r"(?i)^[^A-Za-z0-9\r\n]{0,6}(?:(?:is|was|as)\s+)?(?:(?:the|my|our|your|an?)\s+)?(?:%s)\w*+(?!\s*[\"']?\s*[=:])"
-SECRET_AFTER = AFTER % "token|secret|passw|api.?key|access.?key|bearer|credential|private.?key|client.?key|pwd"
+SECRET_AFTER = AFTER % "token|secret.key|secret|passw|api.?key|access.?key|bearer|credential|private.?key|client.?key|pwd"
 DIGEST_AFTER = AFTER % "commit|sha-?\\d*|md5|checksum|digest|hash|uuid|guid|etag"
 NEAR_DIGEST = r"(?i)(?<![a-z])(?:commit|sha-?\d*|md5|checksum|digest|hash|uuid|guid|etag|revision|integrity|example|placeholder|dummy|sample|base64|image|build|version|id)[^A-Za-z0-9]{0,6}$"
 #: Values of any characters, from four on, that are assigned to a name like a secret's: up to their quote, or else up to
@@ -38,7 +43,7 @@ NEAR_DIGEST = r"(?i)(?<![a-z])(?:commit|sha-?\d*|md5|checksum|digest|hash|uuid|g
 _NAMED = r"(?<=[:=>\s\"'])(?<=[:=]>?\s{0,3}[\"']?)(?<=(?i:token|secret|passw|passwd|api.?key|access.?key|auth|bearer|credential|private.?key|client.?key|pwd)\w{0,30}[\"']?\s{0,3}[:=]{1,2}>?\s{0,3}%s)"
 ASSIGNED = "|".join([_NAMED % '"' + r'[^\s"]{4,}(?=")', _NAMED % "'" + r"[^\s']{4,}(?=')", _NAMED % "" + r"(?!(?i:bearer|basic)\s)[^\s\"'<>=:][^\s\"'<>]{3,}(?<![.,;:!?)\]}])"])
 PROPOSED = f"{ASSIGNED}|{CANDIDATE}"
-HARMLESS_PATH = r"(?i)(?:^|[/_.-])(?:tests?|examples?|fixtures?|mocks?|samples?|docs?|vendor|lock)(?:[/_.-]|$)"
+HARMLESS_PATH = r"(?i)(?:^|[/_.-])(?:tests?|specs?|examples?|fixtures?|mocks?|samples?|demos?|docs?|vendor|lock)(?:[/_.-]|$)"
 
 FEATURES = ("length", "class_changes", "letter_pairs", "dictionary", "digits", "distinct", "slashes", "harmless_path", "near_secret", "near_digest", "assigned")
 
@@ -133,80 +138,128 @@ def parsed(debug: str) -> Forest:
     return Forest(tuple(trees))
 
 
-def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS, seed: int = 11) -> DataFrame:
-    """(text, path, label, secret): synthetic labelled findings, the same for the same arguments; ``secret`` is the part
-    of the text that the label 1 is about.
+#: Where findings come from, and what stands for a secret without being one.
+LIVE_PATHS = "src/app.py|config/prod.yaml|deploy/values.yaml|.env|server/settings.ini|infra/main.tf|scripts/run.sh|src4|wiki/page|notes.txt|mail/inbox|web/index.php".split("|")
+HARMLESS_PATHS = "tests/test_auth.py|examples/client.js|docs/setup.md|test/fixtures/keys.json|mocks/server.go|samples/demo.rb|vendor/lib/auth.c|spec/fixtures/a.yml|package-lock/npm|doc/api.rst".split("|")
+PLACEHOLDERS = "changeme|your-api-key|your_token_here|xxxxxxxxxxxxxxxx|<password>|example-secret|insert-key-here|000000000000|None|null|required|optional|${TOKEN}|os.environ|not-a-real-key|abcdefghijklmnop".split("|")
+
+
+class _Findings:
+    """Draws labelled findings: a line of text around a value, its path, and whether the value is a secret."""
+
+    def __init__(self, seed: int):
+        self.rng = random.Random(seed)
+
+    def some(self, letters: str, least: int, most: int) -> str:
+        return "".join(self.rng.choices(letters, k=self.rng.randint(least, most)))
+
+    def word(self) -> str:
+        return self.rng.choice(DICTIONARY)
+
+    def prose(self, least: int = 0, most: int = 7) -> str:
+        return " ".join(self.word() for _ in range(self.rng.randint(least, most)))
+
+    def key(self) -> str:
+        """A key, token or digest as machines make them."""
+        rng = self.rng
+        hexadecimal, alnum = "0123456789abcdef", string.ascii_letters + string.digits
+        return rng.choice([
+            lambda: self.some(hexadecimal, 32, 32),
+            lambda: self.some(hexadecimal, 40, 40),
+            lambda: self.some(hexadecimal, 64, 64),
+            lambda: self.some(alnum, 16, 48),
+            lambda: self.some(alnum + "-_", 20, 64),
+            lambda: self.some(alnum + "+/", 24, 88) + rng.choice(["", "=", "=="]),
+            lambda: self.some(string.ascii_uppercase + string.digits, 20, 32),
+        ])()
+
+    def password(self) -> str:
+        """What people choose, or a machine makes in few characters."""
+        rng = self.rng
+        sign = lambda: rng.choice("-._$!@#%&*")
+        return rng.choice([
+            lambda: self.word() + str(rng.randint(1, 9999)) + sign(),
+            lambda: self.word().capitalize() + sign() + str(rng.randint(1, 9999)),
+            lambda: self.some(string.ascii_letters + string.digits, 8, 15),
+            lambda: self.some(string.ascii_letters + string.digits, 3, 6) + sign() + self.some(string.ascii_letters + string.digits, 3, 6),
+            lambda: self.word() + sign() + self.word() + str(rng.randint(10, 99)),
+            lambda: self.some("0123456789abcdef", 10, 14),
+        ])()
+
+    def harmless(self) -> str:
+        """What isn't random: names, paths, words run together, numbers."""
+        rng, w = self.rng, self.word
+        return rng.choice([
+            lambda: "".join(w() for _ in range(rng.randint(3, 7))),
+            lambda: "_".join(w() for _ in range(rng.randint(3, 6))),
+            lambda: "-".join(w() for _ in range(rng.randint(3, 6))),
+            lambda: w() + "".join(w().capitalize() for _ in range(rng.randint(2, 5))),
+            lambda: "/" + "/".join(w() for _ in range(rng.randint(3, 6))),
+            lambda: self.some("0123456789", 16, 24),
+            lambda: "_".join(w().upper() for _ in range(rng.randint(3, 5))),
+            lambda: rng.choice("=-_/+a0") * rng.randint(16, 60),
+        ])()
+
+    def uuid(self) -> str:
+        return "-".join(self.some("0123456789abcdef", n, n) for n in (8, 4, 4, 4, 12))
+
+    def assigned(self, name: str, value: str) -> str:
+        return self.rng.choice(['{n} = "{v}"', "{n} = '{v}'", "{n}={v}", "{n}: {v}", '"{n}": "{v}"', "{n}: '{v}'", "{n} := \"{v}\"", "export {n}={v}", "--{n}={v}"]).format(n=name, v=value)
+
+    def name(self, kinds: str) -> str:
+        rng = self.rng
+        kind, before = rng.choice(kinds.split()), rng.choice(["", "", self.word() + "_", "db_", "aws_", "client_", "STRIPE_LIVE_"])
+        made = before + kind
+        return rng.choice([made, made.upper(), made.lower(), made.replace("_", "-")])
+
+    def draw(self) -> tuple[str, str, float, str]:
+        rng = self.rng
+        names, sums = "token secret password passwd api_key access_key auth_token private_key client_key pwd secret_key api_token", "commit sha256 md5 checksum digest hash uuid etag revision integrity image build version"
+        kind = rng.random()
+        if kind < 0.30:  # a key behind its name
+            value, label = self.key(), 1
+            text = self.assigned(self.name(names), value)
+        elif kind < 0.46:  # a password behind its name
+            value, label = self.password(), 1
+            text = self.assigned(self.name("password passwd pwd secret db_password"), value)
+        elif kind < 0.52:  # in a sentence or a header
+            value, label = self.key(), 1
+            text = rng.choice(["{v} is the api key", "{v} is my token", "Authorization: Bearer {v}", "the access key {v}", "secret key {v}", "use token {v}", "Bearer {v}", "auth {v}"]).format(v=value)
+        elif kind < 0.56:  # keys that say so themselves
+            value, label = rng.choice(["ghp_" + self.some(string.ascii_letters + string.digits, 36, 36), "AKIA" + self.some(string.ascii_uppercase + string.digits, 16, 16), "sk_live_" + self.some(string.ascii_letters + string.digits, 24, 24)]), 1
+            text = rng.choice(["{v}", "key {v}", "({v})"]).format(v=value)
+        elif kind < 0.68:  # digests behind theirs
+            value, label = rng.choice([self.key, self.key, self.uuid])(), 0
+            text = rng.choice([self.assigned(rng.choice(sums.split()), value), f"{rng.choice(sums.split())} {value}", f"{value} ({rng.choice(sums.split())})", f"{value} is the {rng.choice(sums.split())}", f"{rng.choice(sums.split())}:{value}"])
+        elif kind < 0.72:  # digests and numbers on their own
+            value, label = rng.choice([lambda: self.some("0123456789abcdef", 32, 32), lambda: self.some("0123456789abcdef", 40, 40), self.uuid, lambda: self.some("0123456789", 16, 20)])(), 0
+            text = rng.choice(["{v}", "see {v}", "[{v}]", "id {v}"]).format(v=value)
+        elif kind < 0.86:  # what isn't random
+            value, label = self.harmless(), 0
+            text = rng.choice([value, value, self.assigned(self.word(), value), self.assigned(self.name(names), value)])
+        elif kind < 0.93:  # placeholders, calls and words behind a secret's name
+            w = self.word
+            value, label = rng.choice([rng.choice(PLACEHOLDERS), f"get_{w()}()", f"{w()}_{w()}", w() + w(), f"{w()}.{w()}_{w()}", w().capitalize() + w().capitalize()]), 0
+            text = self.assigned(self.name(names + " auth author"), value)
+        else:  # parts of pictures, styles and addresses
+            value, label = self.some(string.ascii_letters + string.digits + "+/", 60, 200), 0
+            text = rng.choice(["data:image/png;base64,{v}", "base64 {v}", 'src="image/{v}"']).format(v=value)
+        path = rng.choice(LIVE_PATHS if rng.random() < 0.75 else HARMLESS_PATHS)
+        if label and path in HARMLESS_PATHS and rng.random() < 0.9:
+            label = 0  # made up for a test or an example, as nearly all in such places
+        before, after = self.prose(), self.prose()
+        line = f"{before} {text}{rng.choice(['', '', ' ', ',', ';', '.'])} {after}".strip() if rng.random() < 0.6 else text
+        return line, path, float(label), value
 
-    Secrets and digests are drawn from SHA-2 of the row number, names from dictionary words; the templates put
-    both into configuration lines, code, prose, paths and lock files.
-    """
-    words = F.array(*[F.lit(w) for w in DICTIONARY])
-    bits = lambda k: F.sha2(F.concat_ws(":", F.lit(seed), F.lit(k), "id"), 256)
-    word = lambda k: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(len(DICTIONARY))) + 1).cast("int"))
-    key64 = F.regexp_replace(F.base64(F.unhex(bits(1))), "[^A-Za-z0-9+/]", "")
-    alnum = F.regexp_replace(F.base64(F.unhex(bits(2))), "[^A-Za-z0-9]", "")
-    hex40, hex32 = F.substring(bits(3), 1, 40), F.substring(bits(4), 1, 32)
-    digits = F.substring(F.regexp_replace(F.concat(bits(5), bits(6)), "[^0-9]", ""), 1, 16)
-    uuid = F.concat_ws("-", *[F.substring(bits(7), a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
-    compound = F.concat(*[word(k) for k in range(10, 16)])
-    prose = F.concat_ws(" ", word(20), word(21), word(22))
-    marked = F.element_at(F.array(*[F.lit(x) for x in ("###", "$$$", "", "!!", "***")]), F.pmod(F.col("id"), F.lit(5)).cast("int") + 1)
-    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    few = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(9000)).cast("string")
-    sign = F.element_at(F.array(*map(F.lit, ("-", ".", "$", "!", "@", "#", "%"))), (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(60)), F.lit(7)) + 1).cast("int"))
-    short = F.concat(word(61), few(62), sign, F.substring(bits(10), 1, 3))
-    mixed = F.concat(F.substring(alnum, 1, 5), sign, F.substring(alnum, 6, 4))
-    templates = [
-        (say(prose, ' token = "', hex40, '"', marked, " ", prose), 1),
-        (say("api_key: ", F.substring(alnum, 1, 32)), 1),
-        (say("AWS_SECRET_ACCESS_KEY=", F.substring(key64, 1, 40)), 1),
-        (say("Authorization: Bearer ", key64), 1),
-        (say(prose, " password = '", F.substring(alnum, 1, 18), "'"), 1),
-        (say(prose, " ghp_", F.substring(alnum, 1, 36), " ", prose), 1),
-        (say("access key AKIA", F.upper(F.substring(bits(8), 1, 16))), 1),
-        (say('client_secret":"', hex32, '"'), 1),
-        (say(prose, " password = '", short, "'"), 1),
-        (say("password: ", mixed), 1),
-        (say("db_password=", short, " ", prose), 1),
-        (say('"pwd": "', mixed, '", ', prose), 1),
-        (say("passwd = ", F.substring(alnum, 1, 9)), 1),
-        (say('secret: "', F.initcap(word(63)), sign, few(64), '"'), 1),
-        (say("api_key = '", F.substring(alnum, 1, 12), "'"), 1),
-        (say("auth_token: ", F.substring(bits(11), 1, 12)), 1),
-        (say(prose, " ", F.substring(alnum, 1, 24), " is the api key ", prose), 1),
-        (say(prose, " ", hex40, " (commit) ", prose), 0),
-        (say(prose, " ", hex32, " is the checksum ", prose), 0),
-        (say("password = ", F.element_at(F.array(*map(F.lit, ("None", "null", "true", "false", "required", "string", "optional", "undefined"))), F.pmod(F.xxhash64("id", F.lit(66)), F.lit(8)).cast("int") + 1)), 0),
-        (say("token: ", word(67), word(68), " ", prose), 0),
-        (say("secret = get_", word(69), "()"), 0),
-        (say("author: ", F.initcap(word(70)), F.initcap(word(71)), " ", prose), 0),
-        (say('password: "', word(72), "_", word(73), '"'), 0),
-        (say("auth=", word(74), word(75), ", ", prose), 0),
-        (say("api_key: ", word(76), ".", word(77), "_", word(78)), 0),
-        (say("commit ", hex40, " ", prose), 0),
-        (say(prose, " sha256:", bits(9)), 0),
-        (say("md5 = ", hex32), 0),
-        (say("uuid: ", uuid), 0),
-        (say(prose, " ", compound, " ", prose), 0),
-        (say(prose, " ", compound, ". ", prose), 0),
-        (say("/usr/", word(30), "/", compound, "/", word(31)), 0),
-        (say(word(32), "_", word(33), "_", word(34), "_", word(35), " = ", prose), 0),
-        (say("token = ", word(36), "_", word(37), "_", compound), 0),
-        (say(prose, " ", digits, marked, " ", prose), 0),
-        (say('example_token = "xxxxxxxxxxxxxxxxxxxx"'), 0),
-        (say("secret: ", F.initcap(word(38)), F.initcap(word(39)), F.initcap(word(40)), F.initcap(word(41)), F.initcap(word(42))), 0),
-    ]
-    pick = F.pmod(F.col("id"), F.lit(len(templates)))
-    # the templates with a secret come first; these are their secrets
-    values = [hex40, F.substring(alnum, 1, 32), F.substring(key64, 1, 40), key64, F.substring(alnum, 1, 18), F.substring(alnum, 1, 36), F.upper(F.substring(bits(8), 1, 16)), hex32]
-    values += [short, mixed, short, mixed, F.substring(alnum, 1, 9), F.concat(F.initcap(word(63)), sign, few(64)), F.substring(alnum, 1, 12), F.substring(bits(11), 1, 12), F.substring(alnum, 1, 24)]
-    text, label, hidden = F.when(F.lit(False), ""), F.when(F.lit(False), 0), F.when(F.lit(False), "")
-    for i, (made, is_secret) in enumerate(templates):
-        text, label = text.when(pick == i, made), label.when(pick == i, is_secret)
-        if is_secret:
-            hidden = hidden.when(pick == i, values[i])
-    path = F.when(F.pmod(F.xxhash64("id"), F.lit(7)) == 0, F.concat(F.lit("tests/"), word(50))).otherwise(F.concat(F.lit("src"), F.pmod("id", F.lit(20)).cast("string")))
-    return spark.range(rows, numPartitions=2).select(text.alias("text"), path.alias("path"), label.cast("double").alias("label"), hidden.alias("secret"))
+
+def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS, seed: int = 11) -> DataFrame:
+    """(text, path, label, secret): made-up labelled findings, the same for the same arguments; ``secret`` is the part of
+    the text that the label is about.  Secrets and digests are random, names and prose of dictionary words; what stands
+    in tests, examples and the like is nearly always labelled as none."""
+    made = _Findings(seed)
+    found = [dict(zip(("text", "path", "label", "secret"), made.draw())) for _ in range(rows)]
+    each = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(found)), "array<struct<text string, path string, label double, secret string>>")).alias("f"))
+    return each.select("f.*")
 
 
 def fit(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 7, rows: int = LABELLED_ROWS) -> Forest:
@@ -221,7 +274,7 @@ def fit(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int =
     each = some.select("label", "path", secret.alias("secret"), F.explode(around(F.col("text"))).alias("c"))
     its = F.coalesce(F.col("c.candidate").contains(F.col("secret")) | F.col("secret").contains(F.col("c.candidate")), F.lit(True))
     each = each.select(F.when(its, F.col("label")).otherwise(0.0).alias("label"), *measured(F.col("c.candidate"), F.col("c.left"), F.col("c.right"), F.col("path")))
-    points = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(each)
+    points = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(written(each.coalesce(2), "findings"))
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", maxBins=64).fit(points)
     return parsed(model.toDebugString)
 

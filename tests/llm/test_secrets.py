@@ -3,6 +3,8 @@
 import re
 
 import pytest
+import regex
+from pyspark.sql import functions as F
 
 from paddock.llm import secrets as S
 
@@ -12,9 +14,10 @@ def forest(spark):
     return S.fit(S.labelled_findings(spark))
 
 
-def features(c, before, path):
-    n, low, near = len(c), c.lower(), before[-60:]
+def features(c, left, right, path):
+    n, low = len(c), c.lower()
     share = lambda p: len(re.sub(p, "", c)) / n
+    has = lambda p, t: bool(regex.search(p, t, regex.ASCII))
     return [
         n,
         (len(re.findall("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+", c)) - 1) / n,
@@ -23,10 +26,10 @@ def features(c, before, path):
         share("[^0-9]"),
         len(set(c)) / n,
         share("[^/]"),
-        float(bool(re.search(S.HARMLESS_PATH, path or ""))),
-        float(bool(re.search(S.NEAR_SECRET, near))),
-        float(bool(re.search(S.NEAR_DIGEST, near))),
-        float(bool(re.search(r"[=:]\s*[\"']?$", near))),
+        float(has(S.HARMLESS_PATH, path or "")),
+        float(has(S.NEAR_SECRET, left) or has(S.SECRET_AFTER, right)),
+        float(has(S.NEAR_DIGEST, left) or has(S.DIGEST_AFTER, right)),
+        float(has(r"[=:]\s*[\"']?$", left)),
     ]
 
 
@@ -38,11 +41,14 @@ def walk(node, x):
 
 
 def brute(text, path, forest):
-    out, last = [], 0
-    for m in re.finditer(S.CANDIDATE, text or ""):
-        x = features(m[0], text[last : m.start()], path)
-        out.append((m[0], sum(walk(t, x) for t in forest.trees) / len(forest.trees), m.start(), m.end()))
-        last = m.end()
+    text = text or ""
+    found = [m.span() for m in regex.finditer(S.PROPOSED, text, regex.ASCII)]
+    out = []
+    for i, (a, b) in enumerate(found):
+        first = found[i - 2][0] if i > 1 else 0  # the words around reach over two candidates on either side
+        last = found[i + 2][1] if i + 2 < len(found) else len(text)
+        x = features(text[a:b], text[first:a][-60:], text[b:last][:60], path)
+        out.append((text[a:b], sum(walk(t, x) for t in forest.trees) / len(forest.trees), a, b))
     return out
 
 
@@ -79,9 +85,34 @@ def test_scan_and_redact_equal_brute_force(spark, forest):
 
 
 def test_held_out_findings(spark, forest):
-    held = S.labelled_findings(spark, 1000, seed=5).withColumnRenamed("label", "doc_id")
-    rows = S.scan(held, forest, path_col="path").collect()
-    assert sum(r.is_secret == (r.doc_id == 1) for r in rows) >= 0.97 * len(rows)
+    """Precision and recall of findings the forest hasn't seen, by path; of what is proposed, about half are secrets."""
+    held = S.labelled_findings(spark, 1000, seed=5).withColumn("doc_id", F.monotonically_increasing_id()).collect()
+    rows = S.scan(spark.createDataFrame(held), forest, path_col="path").collect()
+    said = {}
+    for r in rows:
+        said.setdefault(r.doc_id, []).append(r)
+    for paths, precision, recall in ((S.LIVE_PATHS, 0.97, 0.93), (S.HARMLESS_PATHS, None, None)):
+        here = [r for r in held if r.path in paths]
+        caught = {r.doc_id for r in here if any(x.is_secret and (r.secret in x.candidate or x.candidate in r.secret) for x in said.get(r.doc_id, []))}
+        real = {r.doc_id for r in here if r.label == 1}
+        if precision:
+            assert len(caught & real) >= precision * len(caught) and len(caught & real) >= recall * len(real)
+        else:
+            assert len(caught) <= 0.1 * len(here)  # labelled as none, nearly all
+
+
+def test_every_feature_decides(forest):
+    used = set()
+
+    def visit(node):
+        if isinstance(node, tuple):
+            used.add(S.FEATURES[node[0]])
+            visit(node[2])
+            visit(node[3])
+
+    for tree in forest.trees:
+        visit(tree)
+    assert used >= {"length", "class_changes", "letter_pairs", "dictionary", "harmless_path", "near_secret", "near_digest"}
 
 
 def test_planted_secrets_are_found(spark, forest):
@@ -112,13 +143,11 @@ def test_values_of_named_secrets(spark, forest):
 def test_words_on_both_sides(spark):
     texts = [f"{HEX} is the api key", f"{HEX} (commit)", f"x {HEX} token = {HEX}", f"LONG_NAME_OF_SECRET_KEY={HEX}"]
     rows = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "id long, t string, p string").selectExpr("id", "t", "p")
-    from pyspark.sql import functions as F
-
     each = rows.select("id", "p", F.explode(S.around(F.col("t"))).alias("c")).select("id", "c.candidate", *S.measured(F.col("c.candidate"), F.col("c.left"), F.col("c.right"), F.col("p")))
     got = [(r.id, r.near_secret, r.near_digest) for r in each.where(F.col("candidate") == HEX).collect()]
     assert got == [(0, 1, 0), (1, 0, 1), (2, 0, 0), (2, 1, 0), (3, 1, 0)]
 
 
 def test_labels_belong_to_candidates(spark):
-    found = S.labelled_findings(spark, 500).where("text like 'AWS_SECRET_ACCESS_KEY=%'").first()
-    assert found.secret and found.text.endswith(found.secret) and "AWS" not in found.secret
+    found = S.labelled_findings(spark, 500).where("text like '%SECRET_KEY=%'").collect()
+    assert found and all(r.secret in r.text and "SECRET_KEY" not in r.secret for r in found)
