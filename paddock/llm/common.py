@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from paddock.scratch import scratch_path, written
 
@@ -51,7 +52,9 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], limit: int = B
     if small.limit(limit + 1).count() <= limit:
         return big.join(F.broadcast(small), keys, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return big.withColumn("_salt", (F.rand(5) * SALTS).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
+    # the salt of a row follows from the row: one that is read again after a loss goes where it went before
+    own = [F.col(c) for c in big.columns if not isinstance(big.schema[c].dataType, MapType)]
+    return big.withColumn("_salt", F.pmod(F.xxhash64(*own), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
 def without(rows: DataFrame, ids: DataFrame, limit: int = 10 * BROADCAST_ROWS) -> DataFrame:

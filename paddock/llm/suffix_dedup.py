@@ -1,14 +1,19 @@
 """Substring duplicates by prefix-partitioned suffix trees.
 
 A window of W words that occurs elsewhere has, at the same place there, the same anchor: the run of K words
-whose hash is the least in the window.  Suffixes therefore start at anchors only (about 1 word in 20), and of
-those only at anchors that occur in two documents.  Suffixes are partitioned by their first K words; each
-partition becomes a suffix tree over the W words from the anchor, kept as sorted suffixes with the lengths of
-their common prefixes, and a second one over the words before it, read backwards.  A node of the first tree at
-depth W - l together with one of the second at depth l is a repeat of W words around the anchor; deeper nodes
-only repeat more of the same text.  Where a partition holds more suffixes than a task should, its prefixes are
-lengthened to the whole W words: those partitions are nodes already, and only their least document is needed,
-which is an aggregation that combines map-side.
+whose hash is the least in the window.  Suffixes therefore belong to anchors only (about 1 word in 20), and of
+those only to anchors that occur in two documents.  A partition is the suffixes with one prefix: at first those
+that begin at an anchor, by its K words.  It becomes a suffix tree over the W words from the anchor, kept as sorted
+suffixes with the lengths of their common prefixes, and a second one over the words before it, read backwards.  A
+node of the first tree at depth W - s together with one of the second at depth s is a repeat of W words that
+begins s words before the anchor; deeper nodes only repeat more of the same text.
+
+Where a partition holds more suffixes than a task should, its prefix is lengthened.  All windows that begin lo to hi
+words before the anchor share the W - (hi - lo) words from lo words before it on: that is the prefix of a suffix
+which begins there.  So the partition is halved by where windows begin, each half being partitioned by a longer
+prefix (8, 29, 40 words for W = 50), as often as ``HALVINGS`` says; what still doesn't fit is lengthened to the whole
+W words.  Those partitions are nodes already, and only their least document is needed, which is an aggregation that
+combines map-side.
 
 Documents with the same words are one document (that with the smallest id) before any of this; the others are
 covered as a whole.
@@ -29,7 +34,8 @@ from paddock.llm.common import join_small, text_slices, written
 from paddock.llm.hashing import grams, word_hashes
 
 WINDOW, PREFIX = 50, 8
-GROUP_ROWS = 20_000  #: most suffixes of one prefix that meet in a task: some 100 MB with their trees
+GROUP_ROWS = 2_500  #: most suffixes of one prefix that meet in a task: some 15 MB with their trees
+HALVINGS = 2  #: how often a prefix is lengthened before it becomes the whole window
 CHUNK_ROWS = 8_192  #: suffixes that a task sorts at a time, in whole groups
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -86,53 +92,116 @@ def _first_pass(window: int, prefix: int) -> Callable:
 
 
 FIRST = "doc_id long, n_words long, sha string, key long, places array<int>, anchors array<long>"
-CONTEXT = "h long, h2 long, doc_id long, key long, place int, words binary, begins array<int>, ends array<int>"
+#: suffixes of a document under the prefix ``g``, for windows that begin lo to hi words before the anchor: words around the
+#: anchor, ``left`` of them before it, and the runs of places that look so
+CONTEXT = pa.schema([("g", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("left", pa.int32()), ("words", pa.binary()), ("begins", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+CONTEXT_SQL = "g long, lo int, hi int, doc_id long, key long, left int, words binary, begins array<int>, ends array<int>"
+
+
+def halves(lo: int, hi: int) -> list[tuple[int, int]]:
+    return [(lo, (lo + hi) // 2), ((lo + hi) // 2 + 1, hi)] if lo < hi else [(lo, hi)]
+
+
+def lengthened(words: list[bytes], at: int, lo: int, hi: int, window: int) -> tuple[int, int, bytes] | None:
+    """(prefix hash, words before the anchor, words around it) of the suffix that begins ``lo`` words before the anchor at
+    ``at``; None where no window that begins lo to hi words before it is within the words."""
+    if at < lo or at + window - hi > len(words):
+        return None
+    first = max(0, at - hi)
+    prefix = hashlib.blake2b(b"%d %d " % (lo, hi) + b" ".join(words[at - lo : at + window - hi]), digest_size=8)
+    return key_of(prefix.digest()), at - first, b" ".join(words[first : at + window - lo])
+
+
+def runs(places: list[int]) -> tuple[list[int], list[int]]:
+    """First and last of each run of consecutive numbers in an ascending list."""
+    begins = [p for k, p in enumerate(places) if not k or places[k - 1] + 1 != p]
+    ends = [p for k, p in enumerate(places) if k + 1 == len(places) or places[k + 1] != p + 1]
+    return begins, ends
+
+
+def _flushed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def _contexts(window: int, prefix: int) -> Callable:
-    """From (doc_id, key, text, marks): for each marked anchor its words with those around it, or where its prefix
-    is too frequent, the fingerprint of each window over it, with the words that the document has under it."""
-    kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()] + [pa.list_(pa.int32())] * 2
-    names = [x.split()[0] for x in CONTEXT.split(", ")]
+    """From (doc_id, key, text, marks): the suffixes of each marked anchor, under its own words or, where these are too
+    frequent, under the prefixes of both halves.  Equal ones of a document are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
         for batch in batches:
-            held, size = [], 0
             for doc, key, text, marks in zip(*[c.to_pylist() for c in batch.columns]):
-                words, starts = words_of(text), set()
-                for m in marks:
-                    p = m["place"]
+                words = words_of(text)
+                if key_of(hashlib.sha256(b" ".join(words)).digest()) != key:
+                    continue  # another text of the same id
+                found: dict[tuple, list[int]] = {}
+
+                def flush(found=found, doc=doc, key=key):
+                    for (g, lo, hi, left, around), places in found.items():
+                        out.append((g, lo, hi, doc, key, left, around, *runs(places)))
+                    found.clear()
+
+                for m in sorted(marks, key=lambda m: m["place"]):
+                    p, top = m["place"], window - prefix
                     if m["hot"]:
-                        starts.update(range(max(0, p - window + prefix), min(p, len(words) - window) + 1))
+                        for lo, hi in halves(0, top):
+                            if x := lengthened(words, p, lo, hi, window):
+                                found.setdefault((x[0], lo, hi, *x[1:]), []).append(p)
+                                size += len(x[2]) + 60
                     else:
-                        around = b" ".join(words[max(0, p - window + prefix) : p + window])
-                        held.append((m["h"], 0, doc, key, p, around, None, None))
-                        size += len(around) + 100
-                for d, (begins, ends) in _runs_of(words, sorted(starts), window).items():
-                    held.append((key_of(d), key_of(d[8:]), doc, key, begins[0], None, begins, ends))
-                    size += 100 + 8 * len(begins)
-                if size > 4_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
-                    held, size = [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
+                        first = max(0, p - top)
+                        found.setdefault((m["h"], 0, top, p - first, b" ".join(words[first : p + window])), []).append(p)
+                        size += 60 + 8 * window
+                    if size > 4_000_000:
+                        flush()
+                        yield _flushed(out, CONTEXT)
+                        out, size = [], 0
+                flush()
+        if out:
+            yield _flushed(out, CONTEXT)
 
     return run
 
 
-def _runs_of(words: list[bytes], starts: list[int], window: int) -> dict[bytes, tuple[list[int], list[int]]]:
-    """For each distinct window that begins at one of the (ascending) starts, the runs of words that it covers: a text
-    of one repeated word has one."""
-    found: dict[bytes, tuple[list[int], list[int]]] = {}
-    for s in starts:
-        d = hashlib.blake2b(b" ".join(words[s : s + window]), digest_size=16).digest()
-        begins, ends = found.setdefault(d, ([], []))
-        if ends and s <= ends[-1]:
-            ends[-1] = s + window
-        else:
-            begins.append(s)
-            ends.append(s + window)
-    return found
+def _halved(window: int) -> Callable:
+    """Suffixes under the prefixes of both halves of their range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for _, lo, hi, doc, key, left, around, begins, ends in zip(*[c.to_pylist() for c in batch.columns]):
+                words = around.split(b" ")
+                for a, b in halves(lo, hi):
+                    if x := lengthened(words, left, a, b, window):
+                        out.append((x[0], a, b, doc, key, *x[1:], begins, ends))
+            if out:
+                yield _flushed(out, CONTEXT)
+
+    return run
+
+
+NODE = pa.schema([("h", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("begins", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+
+
+def _windows(window: int) -> Callable:
+    """Suffixes under the whole window, one for each place where it begins: its fingerprint, and the words it covers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for _, lo, hi, doc, key, left, around, begins, ends in zip(*[c.to_pylist() for c in batch.columns]):
+                words = around.split(b" ")
+                for s in range(lo, min(hi, left) + 1):
+                    if left - s + window <= len(words):
+                        d = hashlib.blake2b(b" ".join(words[left - s : left - s + window]), digest_size=16).digest()
+                        out.append((key_of(d), key_of(d[8:]), doc, key, [b - s for b in begins], [e - s + window for e in ends]))
+                if len(out) > 20_000:
+                    yield _flushed(out, NODE)
+                    out = []
+            if out:
+                yield _flushed(out, NODE)
+
+    return run
 
 
 def _sorted_lengths(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,29 +212,30 @@ def _sorted_lengths(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.where(same.all(axis=1), rows.shape[1], same.argmin(axis=1))
 
 
-def repeats(docs: np.ndarray, places: np.ndarray, contexts: list[bytes], window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows that repeat a window of a smaller document, and the words (begin, end) of the document it covers.
+def repeats(docs: np.ndarray, left: np.ndarray, contexts: list[bytes], window: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that repeat a window of a smaller document, and how many words before the anchor such windows begin, at
+    least and at most, of those that begin lo to hi words before it.
 
-    ``contexts`` holds up to ``window - prefix`` words before each place and ``window`` from it on.
+    ``contexts`` holds ``left`` words before each anchor (``hi`` at most) and up to ``window - lo`` from it on.
     """
-    n, before = len(docs), window - prefix
+    n, ahead_of = len(docs), window - lo
     words = pc.split_pattern(pa.array(contexts, pa.binary()), " ")  # they are joined by one space, and hold no other
     flat = words.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
     lengths = words.value_lengths().to_numpy()
-    left = np.minimum(places, before)
     row = np.repeat(np.arange(n), lengths)
     column = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths) - left[row]
     top = int(flat.max(initial=0)) + 1
     fill = (top + np.arange(n))[:, None]  # where a document ends, a number of its own
-    ahead, back = np.broadcast_to(fill, (n, window)).copy(), np.broadcast_to(fill, (n, before)).copy()
-    right = column >= 0
+    ahead, back = np.broadcast_to(fill, (n, ahead_of)).copy(), np.broadcast_to(fill, (n, hi)).copy()
+    right = (column >= 0) & (column < ahead_of)
     ahead[row[right], column[right]] = flat[right]
-    back[row[~right], -column[~right] - 1] = flat[~right]
+    before = (column < 0) & (column >= -hi)
+    back[row[before], -column[before] - 1] = flat[before]
     order_a, shared_a = _sorted_lengths(ahead)
-    order_b, shared_b = _sorted_lengths(back) if before else (np.arange(n), np.zeros(n - 1, np.int64))
+    order_b, shared_b = _sorted_lengths(back) if hi else (np.arange(n), np.zeros(n - 1, np.int64))
     node_a, node_b = np.zeros(n, np.int64), np.zeros(n, np.int64)
     least_shift, most_shift = np.full(n, window), np.full(n, -1)
-    for shift in range(before + 1):  # windows that begin ``shift`` words before the anchor
+    for shift in range(lo, hi + 1):  # windows that begin ``shift`` words before the anchor
         node_a[order_a] = np.concatenate([[0], np.cumsum(shared_a < window - shift)])
         node_b[order_b] = np.concatenate([[0], np.cumsum(shared_b < shift)])
         _, node = np.unique(node_a * n + node_b, return_inverse=True)
@@ -175,34 +245,46 @@ def repeats(docs: np.ndarray, places: np.ndarray, contexts: list[bytes], window:
         least_shift[hit] = np.minimum(least_shift[hit], shift)
         most_shift[hit] = shift
     found = np.flatnonzero(most_shift >= 0)
-    # every such window holds the anchor, so together they cover one run of words
-    return found, places[found] - most_shift[found], places[found] + window - least_shift[found]
+    return found, least_shift[found], most_shift[found]
 
 
 SPAN = "doc_id long, key long, begin int, end int"
 
 
-def _trees(window: int, prefix: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(table):
-            docs, key, places = (table.column(c).to_numpy() for c in ("doc_id", "key", "place"))
-            rows, begin, end = repeats(docs, places.astype(np.int64), table.column("words").to_pylist(), window, prefix)
-            return pa.RecordBatch.from_arrays([pa.array(docs[rows]), pa.array(key[rows]), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "key", "begin", "end"])
+def _trees(window: int) -> Callable:
+    """Spans of repeated words from suffixes sorted by (lo, g), in whole groups of these."""
+
+    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        los = table.column("lo").to_numpy()
+        for lo in np.unique(los).tolist():
+            part = table.filter(pa.array(los == lo)) if (los != lo).any() else table
+            docs, left = part.column("doc_id").to_numpy(), part.column("left").to_numpy().astype(np.int64)
+            rows, least, most = repeats(docs, left, part.column("words").to_pylist(), window, lo, part.column("hi")[0].as_py())
+            if not len(rows):
+                continue
+            hit = part.take(pa.array(rows)).combine_chunks()
+            begins, ends = hit.column("begins").combine_chunks(), hit.column("ends").combine_chunks()
+            of = np.repeat(np.arange(len(rows)), begins.value_lengths().to_numpy())
+            # every such window holds the anchor, so those of a run of anchors cover one run of words
+            begin, end = begins.flatten().to_numpy() - most[of], ends.flatten().to_numpy() + window - least[of]
+            columns = [pa.array(hit.column("doc_id").to_numpy()[of]), pa.array(hit.column("key").to_numpy()[of]), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "begin", "end"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             part = pa.Table.from_batches([batch])
             held = part if held is None else pa.concat_tables([held, part])
             while held.num_rows >= CHUNK_ROWS:
-                h = held.column("h").to_numpy()
-                borders = np.flatnonzero(h[1:] != h[:-1]) + 1
+                g, lo = held.column("g").to_numpy(), held.column("lo").to_numpy()
+                borders = np.flatnonzero((g[1:] != g[:-1]) | (lo[1:] != lo[:-1])) + 1
                 borders = borders[borders <= CHUNK_ROWS] if len(borders) and borders[0] <= CHUNK_ROWS else borders[:1]
                 if not len(borders):
                     break  # the last group may go on
-                yield solve(held.slice(0, borders[-1]))
+                yield from solve(held.slice(0, borders[-1]))
                 held = held.slice(borders[-1])
         if held is not None and held.num_rows:
-            yield solve(held)
+            yield from solve(held)
 
     return run
 
@@ -221,6 +303,8 @@ def _cut(keep_text: bool) -> Callable:
             out = []
             for doc, key, text, spans in zip(*[c.to_pylist() for c in batch.columns]):
                 words = words_of(text)
+                if key_of(hashlib.sha256(b" ".join(words)).digest()) != key:
+                    continue  # another text of the same id
                 gone = covered(spans, len(words))
                 kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
                 out.append((doc, key, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if keep_text else None))
@@ -231,6 +315,10 @@ def _cut(keep_text: bool) -> Callable:
     return run
 
 
+def _spans_of(rows: DataFrame, window: int) -> DataFrame:
+    return rows.select(*CONTEXT.names).repartition("lo", "g").sortWithinPartitions("lo", "g").mapInArrow(_trees(window), SPAN)
+
+
 def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, group_rows: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]): one row per input row.
 
@@ -253,12 +341,22 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     texts_of = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marked = written(texts_of.join(marks, "doc_id").select("doc_id", "key", "text", "marks"), "suffix-marked")
 
-    contexts = written(marked.mapInArrow(_contexts(window, prefix), CONTEXT), "suffix-contexts")
-    spans = contexts.where("words is not null").repartition("h").sortWithinPartitions("h").mapInArrow(_trees(window, prefix), SPAN)
-    nodes = contexts.where("words is null").select("h", "h2", "doc_id", "key", F.arrays_zip("begins", "ends").alias("runs"))
+    rows = written(marked.mapInArrow(_contexts(window, prefix), CONTEXT_SQL), "suffix-contexts")
+    fitting, split = rows.where(F.col("hi") - F.col("lo") == window - prefix), rows.where(F.col("hi") - F.col("lo") < window - prefix)
+    spans = _spans_of(fitting, window)
+    for halving in range(1, HALVINGS + 1):
+        frequent = written(split.groupBy("lo", "g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_rows).drop("n"), "suffix-frequent")
+        told = join_small(split, frequent.withColumn("more", F.lit(True)), ["lo", "g"], how="left")
+        told = written(told, "suffix-split")
+        spans = spans.unionByName(_spans_of(told.where("more is null"), window))
+        split = told.where("more").select(*CONTEXT.names)
+        if halving < HALVINGS:
+            split = written(split.mapInArrow(_halved(window), CONTEXT_SQL), "suffix-halved")
+    nodes = written(split.mapInArrow(_windows(window), "h long, h2 long, doc_id long, key long, begins array<int>, ends array<int>"), "suffix-nodes")
     least = nodes.groupBy("h", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    hot = nodes.join(least, ["h", "h2"]).where("doc_id > lo").select("doc_id", "key", F.explode("runs").alias("r")).select("doc_id", "key", F.col("r.begins").alias("begin"), F.col("r.ends").alias("end"))
-    of_doc = spans.unionByName(hot).groupBy("doc_id", "key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))  # of one document
+    of_node = join_small(nodes, written(least, "suffix-least"), ["h", "h2"]).where("doc_id > lo")
+    hot = of_node.select("doc_id", "key", F.explode(F.arrays_zip("begins", "ends")).alias("r")).select("doc_id", "key", F.col("r.begins").alias("begin"), F.col("r.ends").alias("end"))
+    of_doc = spans.unionByName(hot).groupBy("doc_id", "key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))  # of one document
     touched = marked.drop("marks").join(of_doc, ["doc_id", "key"]).select("doc_id", "key", "text", "spans")
     cut = touched.mapInArrow(_cut(keep_text), "doc_id long, key long, removed long, kept_sha string, kept_text string").dropDuplicates(["doc_id", "key"])
     cut = written(cut, "suffix-cut")

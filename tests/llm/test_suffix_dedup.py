@@ -64,6 +64,26 @@ def test_passages_and_awkward_rows(spark, window, prefix, group_rows):
     assert result(S.without_repeats(docs, window, prefix, group_rows=group_rows)) == brute(rows, window)
 
 
+def test_one_id_with_several_texts(spark):
+    """Texts of one id are one document, and each loses its own words."""
+    rng = random.Random(4)
+    say = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    a, b = say(60), say(70)
+    rows = [(1, a), (2, b), (5, say(30) + a + say(10)), (5, say(5) + b + say(70)), (6, say(3) + a), (6, b), (6, b), (7, say(80))]
+    rows = [(i, " ".join(ws)) for i, ws in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for group_rows in (None, 1):
+        assert result(S.without_repeats(docs, group_rows=group_rows)) == brute(rows, 50)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 30), min_size=1, max_size=20, unique=True))
+def test_runs(places):
+    begins, ends = S.runs(sorted(places))
+    assert [p for b, e in zip(begins, ends) for p in range(b, e + 1)] == sorted(places)
+    assert all(e + 1 < b for e, b in zip(ends, begins[1:]))
+
+
 def test_kept_text_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b c d e"), (2, "x a b c d y"), (3, "a b c d e"), (4, "z")], "doc_id long, text string")
     got = {r.doc_id: r.kept_text for r in S.without_repeats(docs, 4, 2, keep_text=True).collect()}
