@@ -47,7 +47,7 @@ SALTS = 16
 
 
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], limit: int = BROADCAST_ROWS, how: str = "inner") -> DataFrame:
-    """Join (inner or left) with a table (already written) of one row per key.  Its rows are counted: up to ``limit`` it is
+    """Join (inner or left) with a table (already written) of few rows per key.  Its rows are counted: up to ``limit`` it is
     broadcast; beyond, both sides are shuffled by key and salt, so that a frequent key is shared by ``SALTS`` tasks."""
     if small.limit(limit + 1).count() <= limit:
         return big.join(F.broadcast(small), keys, how)

@@ -59,6 +59,30 @@ def test_table_equals_all_pairs(spark):
     assert result(E.near_vectors(frame, 0.9, tile=64)) == want
 
 
+def test_one_id_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [0.0, 0.0, 1.0]), (3, [0.01, 0.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert result(E.near_vectors(frame, 0.9)) == brute(rows, 0.9)
+
+
+def test_open_pairs_get_their_vectors(spark):
+    """Codes leave pairs close to the threshold open, and few others."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=64)
+    vectors = np.stack([base + rng.normal(size=64) * 0.33 for _ in range(300)])  # cosines around 0.9
+    units = E.unit(vectors)
+    codes, scale, error = E.quantised(units)
+    tile = {"codes": codes, "scale": scale, "error": error}
+    cosine, settled, open_ = units @ units.T, 0, 0
+    for i, j, sure in E.tile_links(tile, None, 0.9):
+        assert (cosine[i[sure], j[sure]] >= 0.9).all()
+        settled, open_ = settled + sure.sum(), open_ + (~sure).sum()
+        assert (np.abs(cosine[i[~sure], j[~sure]] - 0.9) < 0.05).all()
+    assert settled > open_ > 0
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors)]
+    assert result(E.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.9, tile=50)) == brute(rows, 0.9)
+
+
 def test_empty_table(spark):
     assert E.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
