@@ -2,7 +2,11 @@
 
 The byte-level alphabet maps each byte to one printable character, so that a vocabulary of byte strings
 becomes one of plain strings.  Rank files (base64 token, rank) carry no merges: they follow from the ranks,
-as every split of a token into two known tokens.
+as every split of a token into two known tokens.  The library cuts texts into pieces by the pattern, maps bytes to
+characters, merges, and gives each token's offsets in the text; decoding reverses the byte table.
+
+What a task holds follows from its slice of texts, and where one text is longer than that, from this text: about 60
+bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ from pyspark.sql import functions as F
 from paddock.llm.common import text_slices
 
 ENCODED = "doc_id long, ids array<int>, begins array<int>, ends array<int>"
-DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars long"
+DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars long, n_split long"
+SLICE_BYTES = 500_000  #: about how much text is encoded at a time
 
 
 @lru_cache(1)
@@ -66,29 +71,42 @@ def tokenizer(path: str, pattern: str):
 
 
 @lru_cache(2)
-def token_bytes(path: str) -> list[bytes]:
-    """The reverse table: the bytes of each id."""
+def byte_table(path: str) -> pa.Array:
+    """The reverse table: the bytes of each id, null where there is no such id."""
     table = {rank: token for token, rank in read_ranks(path).items()}
-    return [table.get(i, b"") for i in range(max(table) + 1)]
+    return pa.array([table.get(i) for i in range(max(table) + 1)], pa.large_binary())
 
 
-def decode_bytes(ids: list[int], path: str) -> bytes:
-    """The exact bytes of ``ids``.  One character's bytes may be split over tokens, so only a whole
-    sequence is sure to be UTF-8; unknown ids raise."""
-    table = token_bytes(path)
-    return b"".join([table[i] for i in ids])
+def decoded(ids: np.ndarray, bounds: np.ndarray, path: str) -> list[memoryview]:
+    """The exact bytes of each sequence: ``bounds`` tells where sequences begin in ``ids``, and where the last one ends.
 
+    One character's bytes may be split over tokens, so only a whole sequence is sure to be UTF-8.  Ids that the
+    vocabulary doesn't have raise a ValueError.
+    """
+    table = byte_table(path)
+    if not len(ids):
+        return [memoryview(b"")] * (len(bounds) - 1)
+    known = (ids >= 0) & (ids < len(table))
+    taken = table.take(pa.array(np.where(known, ids, 0)))
+    unknown = ids[~known] if not known.all() else ids[taken.is_null().to_numpy(zero_copy_only=False)] if taken.null_count else ids[:0]
+    if len(unknown):
+        raise ValueError(f"no token has the id {unknown[0]}")
+    ends, data = np.frombuffer(taken.buffers()[1], np.int64)[: len(ids) + 1], memoryview(taken.buffers()[2])
+    return [data[a:b] for a, b in itertools.pairwise(ends[bounds].tolist())]
 
-def _encoder(path: str, pattern: str):
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = tokenizer(path, pattern)
-        for part in text_slices(batches, 1, 500_000):
-            found = made.encode_batch([x or "" for x in part.column(1).to_pylist()], add_special_tokens=False)
-            ids, begins, ends = [e.ids for e in found], [[a for a, _ in e.offsets] for e in found], [[b for _, b in e.offsets] for e in found]
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, kind), pa.array(begins, kind), pa.array(ends, kind)], ["doc_id", "ids", "begins", "ends"])
 
-    return encode
+def decode_bytes(ids: list[int], path: str) -> bytes:
+    return bytes(decoded(np.array(ids, np.int64), np.array([0, len(ids)]), path)[0])
+
+
+def encoded(texts: list[str | None], made) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, bounds, offsets) of texts by the library: all ids in a row, where each text's ids begin (with the end), and the
+    span of characters (begin, end) of each token in its text."""
+    found = made.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    bounds = np.cumsum([0, *map(len, found)])
+    ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in found), np.int64, int(bounds[-1]))
+    flat = itertools.chain.from_iterable(itertools.chain.from_iterable(e.offsets for e in found))
+    return ids, bounds, np.fromiter(flat, np.int32, 2 * int(bounds[-1])).reshape(-1, 2)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,160 +115,64 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     Offsets count characters; tokens that share a character all carry that character's span.  A null or empty
     text has no ids; a null doc_id is kept; repeated rows come back repeated; other columns are not read.
     """
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_encoder(path, pattern), ENCODED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = tokenizer(path, pattern)
+        for part in text_slices(batches, 1, SLICE_BYTES):
+            ids, bounds, spans = encoded(part.column(1).to_pylist(), made)
+            of = lambda x: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, pa.int32()))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([part.column(0), of(ids), of(spans[:, 0]), of(spans[:, 1])], ["doc_id", "ids", "begins", "ends"])
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, ENCODED)
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, text) of id sequences; bytes that are not UTF-8 (a sequence cut within a character) become
-    U+FFFD, null ids a null text."""
+    U+FFFD, null ids a null text; ids that aren't in the vocabulary, null ones included, fail."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if ids is None else decode_bytes(ids, path).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            lists = batch.column(1)
+            ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            bounds = np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_pylist()])
+            texts = [str(x, "utf-8", "replace") if ok else None for x, ok in zip(decoded(ids, bounds, path), lists.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return tokens.select(F.col(id_col).cast("long"), F.col(ids_col)).mapInArrow(run, "doc_id long, text string")
 
 
-#: The pattern that :func:`cut` splits by array operations; any other goes through the regex library.
-BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
-
-
-@lru_cache(1)
-def char_classes() -> np.ndarray:
-    """Class of each code point: letter, number, white space or other."""
-    import regex
-
-    table = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for kind, name in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", SPACE)):
-        table[np.frombuffer("".join(regex.findall(kind, every)).encode("utf-32-le"), np.uint32)] = name
-    return table
-
-
-def cut(text: str) -> np.ndarray:
-    """Begins (in characters) of the pieces of a text under BYTE_LEVEL_PATTERN.
-
-    Pieces are runs of one class, but a space goes to the run after it, the white space before that space is a
-    piece, and 's 't 're 've 'm 'll 'd are pieces where the apostrophe isn't part of a longer run.
-    """
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    kind, n = char_classes()[codes], len(codes)
-    first = np.ones(n, bool)
-    first[1:] = kind[1:] != kind[:-1]
-    last_space = np.flatnonzero(first[1:] & (kind[:-1] == SPACE))  # the last of a white-space run with something after it
-    first[last_space] = True
-    joined = last_space[codes[last_space] == 32]
-    first[joined + 1] = False
-    mark = np.flatnonzero((codes[:-1] == 39) & first[:-1] & (kind[1:] == LETTER)) if n > 1 else ()
-    for i in mark:
-        for tail in ("s", "t", "re", "ve", "m", "ll", "d"):
-            if text.startswith(tail, i + 1):
-                first[i + 1] = False
-                if i + 1 + len(tail) < n:
-                    first[i + 1 + len(tail)] = True
-                break
-    return np.flatnonzero(first)
-
-
-EMPTY = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-class PieceIds:
-    """Ids of pieces, by the tokenizers library; pieces seen lately are remembered, ``limit`` at most."""
-
-    def __init__(self, path: str, pattern: str, limit: int = 600_000):
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.rows: dict[str, int] = {}
-        self.flat, self.heads, self.sizes = EMPTY
-        self.limit = limit
-        self.pattern = None if pattern == BYTE_LEVEL_PATTERN else pattern
-        self.made = Tokenizer(tokenizer(path, pattern).model)
-        self.made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # a piece is never cut again
-
-    def pieces(self, text: str) -> pa.Array:
-        """The pieces of one text, without copying it."""
-        data = text.encode()
-        if self.pattern is None:
-            begins = cut(text)
-        else:
-            import regex
-
-            begins = np.array([m.start() for m in regex.finditer(self.pattern, text)], np.int64)
-        if len(data) != len(text):
-            heads = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
-            begins = heads[begins]
-        offsets = np.append(begins, len(data)).astype(np.int32)
-        return pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(data))
-
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and where each text's ids begin (with the end)."""
-        parts = [self.pieces(x) for x in texts if x]
-        at, ends = 0, [0]
-        for x in texts:
-            if x:
-                at += 1
-            ends.append(at)
-        pieces_before = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)[ends]
-        if not parts:
-            return np.zeros(0, np.int32), pieces_before
-        coded = pa.concat_arrays(parts).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        new = [x for x in distinct if x not in self.rows]
-        if len(self.rows) + len(new) > self.limit:
-            self.rows, self.flat, self.heads, self.sizes, new = {}, *EMPTY, distinct
-        if new:
-            found = self.made.encode(new, is_pretokenized=True, add_special_tokens=False)  # one call for all: each is a word of its own
-            sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(new))
-            self.heads = np.concatenate([self.heads, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.flat = np.concatenate([self.flat, np.array(found.ids, np.int32)])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.rows.update(zip(new, range(len(self.rows), len(self.sizes)), strict=True))
-        rows = np.fromiter(map(self.rows.__getitem__, distinct), np.int64, len(distinct))
-        heads, sizes, flat = self.heads[rows], self.sizes[rows], self.flat
-        which = coded.indices.to_numpy()
-        size = sizes[which]
-        ends_of = np.cumsum(size)
-        out = flat[np.arange(ends_of[-1]) + np.repeat(heads[which] - ends_of + size, size)]
-        return out, np.concatenate([[0], ends_of])[pieces_before]
-
-
-@lru_cache(2)
-def piece_ids(path: str, pattern: str) -> PieceIds:
-    return PieceIds(path, pattern)
-
-
-@lru_cache(2)
-def byte_table(path: str) -> pa.Array:
-    return pa.array(token_bytes(path), pa.large_binary())
+def split_characters(bounds: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """How many characters of each text are split over tokens: runs of tokens whose spans overlap."""
+    shared = np.zeros(len(spans), bool)
+    shared[1:] = spans[1:, 0] < spans[:-1, 1]
+    shared[bounds[:-1][bounds[:-1] < len(spans)]] = False
+    first = shared.copy()
+    first[1:] &= ~(shared[:-1] & (spans[1:, 0] == spans[:-1, 0]))
+    return np.diff(np.concatenate([[0], np.cumsum(first)])[bounds])
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes every whole text and decodes its ids: (doc_id, n_tokens, ids_sha256, decoded_sha256, n_chars).
+    """Encodes every whole text and decodes its ids: (doc_id, n_tokens, ids_sha256, decoded_sha256, n_chars, n_split).
 
-    The digests are of the decimal ids joined by commas and of the decoded bytes, n_chars the code points of the
-    decoded text.  Encoding and decoding share one pass, so ids never leave the task; each distinct piece of a
-    slice of texts is encoded once.  Nulls as in :func:`encode`.
+    The digests are of the decimal ids joined by commas and of the decoded bytes; ``n_chars`` counts the code points up to
+    the last token's offset and ``n_split`` those whose bytes are split over tokens.  Encoding and decoding
+    share one pass, so ids never leave the task.  Nulls as in :func:`encode`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, table = piece_ids(path, pattern), byte_table(path)
-        for part in text_slices(batches, 1, 1_000_000):
-            ids, bounds = coder.ids([x or "" for x in part.column(1).to_pylist()])
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pc.cast(pa.array(ids), pa.string())), ",")
-            taken = table.take(pa.array(ids))
-            ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
-            data = memoryview(taken.buffers()[2]) if len(ids) else memoryview(b"")
-            back = [data[a:b] for a, b in itertools.pairwise(ends[bounds].tolist())]
+        made = tokenizer(path, pattern)
+        for part in text_slices(batches, 1, SLICE_BYTES):
+            ids, bounds, spans = encoded(part.column(1).to_pylist(), made)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pc.cast(pa.array(ids), pa.string())), ",")
+            last = np.where(np.diff(bounds) > 0, np.concatenate([[0], spans[:, 1]])[bounds[1:]], 0)
             columns = [
                 part.column(0),
                 pa.array(np.diff(bounds)),
                 pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined.to_pylist()], pa.string()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()),
-                pa.array([len(str(x, "utf-8", "replace")) for x in back], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in decoded(ids, bounds, path)], pa.string()),
+                pa.array(last.astype(np.int64)),
+                pa.array(split_characters(bounds, spans)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chars"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chars", "n_split"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, DIGEST)

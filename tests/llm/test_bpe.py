@@ -2,8 +2,11 @@
 
 import base64
 import hashlib
+import itertools
 
+import numpy as np
 import public_tokenizers as P
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -19,6 +22,9 @@ def tik():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+OWN = tik()
+
+
 def test_round_trip_equals_tiktoken(spark):
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], "x"), (None, "b", "x")]
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(spark.createDataFrame(rows, "doc_id long, text string, ids string"), PATH, P.PATTERN).collect())
@@ -40,20 +46,54 @@ def test_encode_offsets_and_decode(spark):
     assert {r.doc_id: r.text for r in bpe.decode(coded, PATH).collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
 
 
-def test_split_characters_decode_to_replacement():
-    ids = tik().encode_ordinary("日")
-    assert b"".join(bpe.token_bytes(PATH)[i] for i in ids) == "日".encode()
+def test_split_characters():
+    """Tokens inside a character: each one's bytes are no text, together they are, and the round trip counts them."""
+    made, own = bpe.tokenizer(PATH, P.PATTERN), tik()
+    text = "日a👩‍👩‍👧 ½é 𓀀𓀀"
+    ids, bounds, spans = bpe.encoded([text, "", None, "ab", text], made)
+    assert ids[: bounds[1]].tolist() == own.encode_ordinary(text)
+    each = [bytes(x) for x in bpe.decoded(ids[: bounds[1]], np.arange(bounds[1] + 1), PATH)]
+    assert b"".join(each) == text.encode()
+    inside = {k for k in range(len(text)) if sum(a <= k < b for a, b in spans[: bounds[1]].tolist()) > 1}
+    assert inside and bpe.split_characters(bounds, spans).tolist() == [len(inside), 0, 0, 0, len(inside)]
+    whole = [k for k, (a, b) in enumerate(spans[: bounds[1]].tolist()) if not inside & set(range(a, b))]
+    assert all(each[k].decode() == text[spans[k][0] : spans[k][1]] for k in whole)
+
+
+@pytest.mark.parametrize("wrong", [-1, 10**6, 2**31 - 1])
+def test_unknown_ids_raise(wrong):
+    with pytest.raises(ValueError, match=str(wrong)):
+        bpe.decode_bytes([1, wrong], PATH)
+
+
+def test_gaps_in_a_vocabulary_raise(tmp_path):
+    path = str(tmp_path / "gap.tiktoken")
+    with open(path, "wb") as f:
+        f.writelines(base64.b64encode(bytes([b])) + b" %d\n" % (b + (b > 9)) for b in range(256))
+    assert bpe.decode_bytes([9, 11], path) == b"\x09\x0a"
+    with pytest.raises(ValueError, match="10"):
+        bpe.decode_bytes([9, 10], path)
+
+
+def test_decode_of_cut_sequences_and_nulls(spark):
+    ids = tik().encode_ordinary("日本")
+    rows = [(1, ids), (2, ids[:1]), (3, None), (4, []), (None, ids)]
+    got = {r.doc_id: r.text for r in bpe.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>"), PATH).collect()}
+    assert got == {1: "日本", 2: bpe.decode_bytes(ids[:1], PATH).decode("utf-8", "replace"), 3: None, 4: "", None: "日本"}
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(max_size=60), max_size=6))
-def test_pieces_match_the_pattern(texts):
-    import regex
+def test_ids_equal_tiktoken(texts):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    ids, bounds, _ = bpe.encoded(texts, bpe.tokenizer(PATH, P.PATTERN))
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(bounds)] == OWN.encode_ordinary_batch(texts)
+
 
-    for t in texts:
-        t = t.encode("utf-8", "ignore").decode()
-        if t:
-            assert bpe.cut(t).tolist() == [m.start() for m in regex.finditer(P.PATTERN, t)]
+def test_other_patterns_cut_as_tiktoken_does():
+    pattern = r"\p{L}{1,3}|\p{N}|[^\p{L}\p{N}]+"
+    own = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
+    assert bpe.encoded(["naïve 1234 text, here", "x"], bpe.tokenizer(PATH, pattern))[0].tolist() == own.encode_ordinary("naïve 1234 text, here") + own.encode_ordinary("x")
 
 
 def test_empty_table(spark):
