@@ -38,21 +38,32 @@ AFTER = r"(?i)^[^A-Za-z0-9\r\n]{0,6}(?:(?:is|was|as)\s+)?(?:(?:the|my|our|your|a
 SECRET_AFTER = AFTER % "token|secret.key|secret|passw|api.?key|access.?key|bearer|credential|private.?key|client.?key|pwd"
 DIGEST_AFTER = AFTER % "commit|sha-?\\d*|md5|checksum|digest|hash|uuid|guid|etag"
 NEAR_DIGEST = r"(?i)(?<![a-z])(?:commit|sha-?\d*|md5|checksum|digest|hash|uuid|guid|etag|revision|integrity|example|placeholder|dummy|sample|base64|image|build|version|id)[^A-Za-z0-9]{0,6}$"
+NAME = r"(?i:token|secret|passw|passwd|api.?key|access.?key|auth|bearer|credential|private.?key|client.?key|pwd)\w{0,30}"
 #: Values of any characters, from four on, that are assigned to a name like a secret's: up to their quote, or else up to
 #: white space and without closing punctuation.  The short look-behinds fail fast where nothing is assigned.
-_NAMED = r"(?<=[:=>\s\"'])(?<=[:=]>?\s{0,3}[\"']?)(?<=(?i:token|secret|passw|passwd|api.?key|access.?key|auth|bearer|credential|private.?key|client.?key|pwd)\w{0,30}[\"']?\s{0,3}[:=]{1,2}>?\s{0,3}%s)"
-ASSIGNED = "|".join([_NAMED % '"' + r'[^\s"]{4,}(?=")', _NAMED % "'" + r"[^\s']{4,}(?=')", _NAMED % "" + r"(?!(?i:bearer|basic)\s)[^\s\"'<>=:][^\s\"'<>]{3,}(?<![.,;:!?)\]}])"])
+_NAMED = rf"(?<={NAME}[\"']?\s{{0,3}}[:=]{{1,2}}>?\s{{0,3}}%s)"
+_VALUES = "|".join([_NAMED % '"' + r'[^\s"]{4,}(?=")', _NAMED % "'" + r"[^\s']{4,}(?=')", _NAMED % "" + r"(?!(?i:bearer|basic)\s)[^\s\"'<>=:][^\s\"'<>]{3,}(?<![.,;:!?)\]}])"])
+ASSIGNED = rf"(?<=[:=>\s\"'])(?<=[:=]>?\s{{0,3}}[\"']?)(?:{_VALUES})"
 PROPOSED = f"{ASSIGNED}|{CANDIDATE}"
+#: What every text with a run, or with a named value, holds: most texts are done with after these.
+HAS_RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16}"
+HAS_NAMED = rf"[:=](?<={NAME}[\"']?\s{{0,3}}[:=])"
 HARMLESS_PATH = r"(?i)(?:^|[/_.-])(?:tests?|specs?|examples?|fixtures?|mocks?|samples?|demos?|docs?|vendor|lock)(?:[/_.-]|$)"
 
 FEATURES = ("length", "class_changes", "letter_pairs", "dictionary", "digits", "distinct", "slashes", "harmless_path", "near_secret", "near_digest", "assigned")
 
 
 def proposed(text: Column) -> Column:
-    """Array of (candidate, before, after): each candidate with the text up to the neighbouring candidates.
+    """Array of (candidate, before, after): each candidate with the text up to the neighbouring candidates; null without any.
     Candidates are runs of at least 16 characters of keys and digests, and whatever is assigned to a secret's name."""
-    found, gaps = F.regexp_extract_all(text, F.lit(PROPOSED), F.lit(0)), F.split(text, PROPOSED, -1)
-    return F.arrays_zip(found.alias("candidate"), F.slice(gaps, 1, F.size(found)).alias("before"), F.slice(gaps, 2, F.size(found)).alias("after"))
+
+    def each(t: Column) -> Column:
+        found, gaps = F.regexp_extract_all(t["text"], t["pattern"], F.lit(0)), F.split(t["text"], t["pattern"], -1)
+        return F.arrays_zip(found.alias("candidate"), F.slice(gaps, 1, F.size(found)).alias("before"), F.slice(gaps, 2, F.size(found)).alias("after"))
+
+    pattern = F.when(text.rlike(HAS_NAMED), PROPOSED).when(text.rlike(HAS_RUN), CANDIDATE)
+    one = F.transform(F.array(F.struct(text.alias("text"), pattern.alias("pattern"))), each)  # bound to a variable, so that texts are tested once
+    return F.get(one, F.lit(0))
 
 
 NEAR = 60  #: characters on either side that are searched for neighbouring words
