@@ -14,21 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Words that mark two kinds of abuse among the documents labelled toxic.
-PERSONAL = "idiot moron loser clown stupid pathetic".split()
-CONTEMPT = "scum trash worthless disgusting".split()
 TOXIC_FROM = 0.5
 
 
 def toxic_categories() -> dict[str, Column]:
-    """The chain's categories in order: two kinds of abuse, then the label itself."""
-    says = lambda words: F.lower("text").rlike(rf"\b({'|'.join(words)})\b")
-    toxic = F.col("toxic") == 1
-    return {"personal": toxic & says(PERSONAL), "contempt": toxic & says(CONTEMPT), "toxic": toxic}
+    """What labels tell, in the chain's order: poor quality, then toxicity (before which come its kinds)."""
+    return {"poor": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
 
 
 def toxicity_chain(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Chain:
-    return toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), toxic_categories())
+    return toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), toxic_categories())
 
 
 def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

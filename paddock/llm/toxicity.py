@@ -1,11 +1,13 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted in order by logistic regressions over word features; each one also gets the log-odds
+Categories are predicted in order by logistic regressions over word features; each one also gets the probabilities
 of the earlier categories.  While training, those come from out-of-fold predictions, so that a later model
-learns from inputs as uncertain as the ones it will meet.  Training takes a bounded sample of labelled rows
-(``SAMPLE_ROWS``); feature counts and feature rows of the sample are made by Spark tasks, and only the sample's
-compact feature rows reach the driver, where the small regressions are solved.  Scoring is one pass over all
-texts, without a shuffle.
+learns from inputs as uncertain as the ones it will meet.  The categories are those that labels tell, and before the
+last of them its kinds: clusters of the texts that have it, by the features that tell it best.
+
+Training takes a bounded sample of labelled rows (``SAMPLE_ROWS``), written once; feature counts and feature rows of the
+sample are made by Spark tasks, and only the sample's compact feature rows reach the driver, where the small
+regressions are solved.  Scoring is one pass over all texts, without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paddock.llm.common import text_slices
+from paddock.llm.common import text_slices, written
 
 SAMPLE_ROWS = 16_000  #: most labelled rows that training reads, chosen by a hash of the id
-FEATURES = 512
+FEATURES = 512  #: most features, shared equally by the labelled categories
+KINDS = 2  #: clusters of the last category's texts
+LEAST_KIND = 8  #: texts that a cluster has on average, at least; with fewer there are fewer clusters
 FOLDS = 3
 RIDGE = 0.1
 LEAST_DOCS = 4
@@ -59,14 +63,15 @@ class Chain:
         flat = np.fromiter((f for r in rows for f in r), np.int64, int(lengths.sum()))
         owner = np.repeat(np.arange(len(rows)), lengths)
         n = len(self.vocabulary)
-        odds = np.zeros((len(rows), len(self.categories)))
         for j, w in enumerate(self.weights):
-            odds[:, j] = np.bincount(owner, w[:n][flat], len(rows)) + odds[:, :j] @ w[n : n + j] + w[-1]
-            odds[:, j] = np.clip(odds[:, j], -8, 8)
-            out[:, j] = 1 / (1 + np.exp(-odds[:, j]))
+            out[:, j] = probability(np.bincount(owner, w[:n][flat], len(rows)) + out[:, :j] @ w[n : n + j] + w[-1])
         return out
 
 
+def probability(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -8, 8)))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 12) -> np.ndarray:
     """Ridge logistic regression by Newton's method; the last weight is the bias.  Without examples of both
     classes only the bias differs from zero."""
@@ -91,14 +96,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 1
     return w
 
 
-def odds_of(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return np.clip(x @ w[:-1] + w[-1], -8, 8)
-
-
 def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> list[np.ndarray]:
     """Weights of each category; ``x`` 0/1 features, ``labels`` a column per category, ``folds`` the fold of each row."""
     weights, width = [], x.shape[1]
-    whole = np.zeros((len(x), width + labels.shape[1]), np.float32)  # features, then the odds of earlier categories
+    whole = np.zeros((len(x), width + labels.shape[1]), np.float32)  # features, then the probabilities of earlier categories
     whole[:, :width] = x
     for j in range(labels.shape[1]):
         y, inputs = labels[:, j], whole[:, : width + j]
@@ -106,65 +107,110 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> list[np.n
         out_of_fold = np.zeros(len(x))
         for k in np.unique(folds):
             held = folds == k
-            out_of_fold[held] = odds_of(inputs[held], logistic(inputs[~held], y[~held]))
+            w = logistic(inputs[~held], y[~held])
+            out_of_fold[held] = probability(inputs[held] @ w[:-1] + w[-1])
         whole[:, width + j] = out_of_fold
     return weights
 
 
-def _count_features(n_categories: int):
+def kinds_of(x: np.ndarray, most: int, rounds: int = 20) -> np.ndarray:
+    """The cluster (0 to ``most`` - 1) of each 0/1 feature row by cosine k-means; a row without features is in none (-1).
+    The first centre is the mean, each further one the row that is farthest from those before."""
+    lengths = np.sqrt(x.sum(axis=1))
+    some = lengths > 0
+    k = min(most, int(some.sum()) // LEAST_KIND)
+    out = np.full(len(x), -1)
+    if k < 1:
+        return out
+    unit = (x[some] / lengths[some, None]).astype(np.float64)
+    centres = [unit.mean(axis=0)]
+    for _ in range(k):
+        centres.append(unit[(unit @ np.array(centres).T).max(axis=1).argmin()])
+    centres = np.array(centres[1:])
+    for _ in range(rounds):
+        own = (unit @ centres.T).argmax(axis=1)
+        moved = np.array([unit[own == c].mean(axis=0) if (own == c).any() else centres[c] for c in range(k)])
+        moved /= np.maximum(np.sqrt((moved**2).sum(axis=1, keepdims=True)), 1e-12)
+        if np.allclose(moved, centres):
+            break
+        centres = moved
+    out[some] = own
+    return out
+
+
+def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, n, hits): in how many texts each feature is, and in how many of each category."""
+    seen: dict[str, np.ndarray] = {}
+    for batch in batches:
+        labels = np.array([c.to_numpy() for c in batch.columns[2:]]).T
+        for text, flags in zip(batch.column(1).to_pylist(), labels):
+            row = np.append(1, flags)
+            for f in features(text):
+                if f in seen:
+                    seen[f] += row
+                else:
+                    seen[f] = row.copy()
+    if seen:
+        counts = np.array(list(seen.values()), np.int64)
+        hits = pa.FixedSizeListArray.from_arrays(pa.array(counts[:, 1:].ravel()), counts.shape[1] - 1).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(counts[:, 0]), hits], ["feature", "n", "hits"])
+
+
+def _feature_rows(chain: Chain, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, hits = Counter(), Counter()
         for batch in batches:
-            for text, *labels in zip(*[c.to_pylist() for c in batch.columns[1:]]):
-                found = features(text)
-                seen.update(found)
-                if any(labels):
-                    hits.update(found)
-        names = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[f] for f in names], pa.int64()), pa.array([hits[f] for f in names], pa.int64())], ["feature", "n", "n_hit"])
+            rows = [chain.active(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), *batch.columns[2:], batch.column(0)], ["active", *names, "fold"])
 
     return run
 
 
-def _feature_rows(chain: Chain):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [chain.active(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), *[batch.column(i) for i in range(2, batch.num_columns)], batch.column(0)], ["active", *chain.categories, "fold"])
-
-    return run
+def _best_features(sample: DataFrame, names: list[str], n_features: int) -> dict[str, list[str]]:
+    """The features that tell each category best: an equal part of ``n_features`` each."""
+    sizes = sample.agg(F.count(F.lit(1)), *[F.sum(F.col(c)) for c in names]).first()
+    counted = sample.mapInArrow(_count_features, "feature string, n long, hits array<long>").groupBy("feature")
+    counted = written(counted.agg(F.sum("n").alias("n"), *[F.sum(F.col("hits")[j]).alias(f"k{j}") for j in range(len(names))]).where(F.col("n") >= LEAST_DOCS), "feature-counts")
+    best = {}
+    for j, name in enumerate(names):
+        rows, hits = sizes[0], sizes[j + 1] or 0
+        if not hits or hits == rows:
+            best[name] = []
+            continue
+        share, of_hits, of_rest = F.col("n") / rows, F.col(f"k{j}") / hits, (F.col("n") - F.col(f"k{j}")) / (rows - hits)
+        score = F.abs(of_hits - of_rest) / F.sqrt(share * (1 - share) + 1e-6)
+        best[name] = [r.feature for r in counted.orderBy(score.desc(), "feature").limit(n_features // len(names)).collect()]  # n_features rows at most
+    return best
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, n_features: int = FEATURES, folds: int = FOLDS) -> Chain:
-    """Fits the chain of ``categories``, in their order.
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, n_features: int = FEATURES, folds: int = FOLDS, kinds: int = KINDS) -> Chain:
+    """Fits the chain of ``categories``, in their order, with up to ``kinds`` clusters of the last one's texts before it.
 
     ``labels`` has the id and whatever label columns the category conditions name; conditions may also use the
     text as ``text``.  A null condition counts as no.  Rows whose id is null or has no document are left out;
     repeated labels are examples each.  Without labelled rows every probability is almost zero.
     """
     names = list(categories)
+    last = names[-1]
     chosen = labels.where(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
     # at most sample_rows narrow rows: safe to broadcast at any corpus size
     texts = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     joined = texts.join(F.broadcast(chosen.drop("text")), id_col)
     flags = [F.coalesce(condition.cast("int"), F.lit(0)).alias(name) for name, condition in categories.items()]
-    sample = joined.select(F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(folds)).cast("int").alias("fold"), "text", *flags)
-    sizes = sample.agg(F.count(F.lit(1)), F.sum(F.greatest(*[F.col(c) for c in names], F.lit(0)))).first()
-    rows, hits = sizes[0], sizes[1] or 0
-    chain = Chain(names)
-    if rows and hits:
-        counted = sample.mapInArrow(_count_features(len(names)), "feature string, n long, n_hit long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_hit").alias("k"))
-        share, of_hits, of_rest = F.col("n") / rows, F.col("k") / hits, (F.col("n") - F.col("k")) / max(1, rows - hits)
-        score = F.abs(of_hits - of_rest) / F.sqrt(share * (1 - share) + 1e-6)
-        best = counted.where(F.col("n") >= LEAST_DOCS).orderBy(score.desc(), "feature").limit(n_features).collect()  # n_features rows at most
-        chain.vocabulary = {r.feature: i for i, r in enumerate(sorted(best, key=lambda r: r.feature))}
-    kinds = ", ".join(f"`{c}` int" for c in names)
-    found = sample.mapInArrow(_feature_rows(chain), f"active array<int>, {kinds}, fold int").toArrow()  # sample_rows rows at most
+    sample = written(joined.select(F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(folds)).cast("int").alias("fold"), "text", *flags), "labelled-texts")
+    best = _best_features(sample, names, n_features)
+    chain = Chain(names, {f: i for i, f in enumerate(sorted(set().union(*best.values())))})
+    found = sample.mapInArrow(_feature_rows(chain, names), f"active array<int>, {', '.join(f'`{c}` int' for c in names)}, fold int").toArrow()  # sample_rows rows at most
+    found = found.sort_by([(c, "ascending") for c in ["fold", *names]])
     active = found.column("active").combine_chunks()
     x = np.zeros((found.num_rows, len(chain.vocabulary)), np.float32)
     x[np.repeat(np.arange(found.num_rows), active.value_lengths().to_numpy()), active.flatten().to_numpy()] = 1
-    y = np.array([found.column(c).to_numpy() for c in names], float).T.reshape(found.num_rows, len(names))
-    chain.weights = fit_chain(x, y, found.column("fold").to_numpy())
+    y = {c: found.column(c).to_numpy().astype(float) for c in names}
+    of_last = y[last] > 0
+    kind = np.full(found.num_rows, -1)
+    kind[of_last] = kinds_of(x[of_last][:, [chain.vocabulary[f] for f in best[last]]], kinds)
+    y = {c: y[c] for c in names[:-1]} | {f"{last}_{k + 1}": (kind == k).astype(float) for k in range(kind.max(initial=-1) + 1)} | {last: y[last]}
+    chain.categories = list(y)
+    chain.weights = fit_chain(x, np.array(list(y.values())).T.reshape(found.num_rows, len(y)), found.column("fold").to_numpy())
     return chain
 
 

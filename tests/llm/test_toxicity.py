@@ -1,6 +1,8 @@
 """The chain's order and out-of-fold inputs, held-out accuracy, and awkward rows."""
 
+import math
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -9,18 +11,65 @@ from paddock.llm import queries as Q
 from paddock.llm import toxicity
 
 
-def test_held_out_accuracy(spark):
+def held_out(spark, **more):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "quality", "toxic")
     held = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0
-    chain = toxicity.fit(docs, labels.where(~held), Q.toxic_categories())
-    assert chain.categories == ["personal", "contempt", "toxic"]
+    chain = toxicity.fit(docs, labels.where(~held), more.pop("categories", None) or Q.toxic_categories(), **more)
+    return chain, toxicity.score(docs, chain, keep=["text"]).join(labels.where(held), "doc_id").toPandas()
+
+
+def test_held_out_accuracy(spark):
+    chain, got = held_out(spark)
+    assert chain.categories == ["poor", "toxic_1", "toxic_2", "toxic"]
     n = len(chain.vocabulary)
-    assert [len(w) for w in chain.weights] == [n + 1, n + 2, n + 3]
-    got = toxicity.score(docs, chain).join(labels.where(held), "doc_id").select("p_toxic", "toxic").toPandas()
+    assert [len(w) for w in chain.weights] == [n + 1, n + 2, n + 3, n + 4]
+    assert np.abs(chain.weights[-1][n : n + 3]).max() > 0.2  # the last model listens to the earlier ones
     said = got.p_toxic >= Q.TOXIC_FROM
     assert (said & (got.toxic == 1)).sum() >= 0.8 * (got.toxic == 1).sum()  # some labelled rows carry no sign of toxicity
     assert (said & (got.toxic == 0)).sum() <= 0.01 * (got.toxic == 0).sum()
+    _, alone = held_out(spark, categories={"toxic": F.col("toxic") == 1}, kinds=0)
+    loss = lambda t: -np.log(np.where(t.toxic == 1, t.p_toxic, 1 - t.p_toxic).clip(1e-6)).mean()
+    figures = {name: (((t.p_toxic >= 0.5) & (t.toxic == 1)).sum(), ((t.p_toxic >= 0.5) & (t.toxic == 0)).sum(), round(float(loss(t)), 4)) for name, t in (("chain", got), ("alone", alone))}
+    print(figures, len(got), (got.toxic == 1).sum())
+    assert loss(got) <= loss(alone) + 0.01  # the chain does no harm
+
+
+def brute(text, chain):
+    """Probabilities of one text, feature by feature and category by category."""
+    words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+    if not words:
+        return [0.0] * len(chain.categories)
+    found = words | {w[:n] + "-" for w in words for n in (4, 5, 6) if len(w) >= n}
+    out, n = [], len(chain.vocabulary)
+    for w in chain.weights:
+        odds = w[-1] + sum(w[chain.vocabulary[f]] for f in found if f in chain.vocabulary) + sum(p * w[n + k] for k, p in enumerate(out))
+        out.append(1 / (1 + math.exp(-min(8, max(-8, odds)))))
+    return out
+
+
+def test_query_equals_brute_force(spark):
+    """op4 over a whole table, against each text scored by itself with the same chain."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    chain = Q.toxicity_chain(spark, sf_dir, docs)
+    got = {r.doc_id: r for r in Q.op4_toxicity_chain(spark, sf_dir).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        want = brute(text, chain)
+        assert np.allclose([got[i][f"p_{c}"] for c in chain.categories], want, atol=1e-9)
+        assert got[i].toxic == (want[-1] >= Q.TOXIC_FROM)
+
+
+def test_kinds_split_what_differs():
+    x = np.zeros((40, 6))
+    x[:20, :3] = 1
+    x[20:, 3:] = 1
+    x[0] = 0
+    own = toxicity.kinds_of(x, 2)
+    assert own[0] == -1 and len(set(own[1:20])) == 1 and len(set(own[20:])) == 1 and own[1] != own[20]
+    assert (toxicity.kinds_of(x[:5], 2) == -1).all() and len(toxicity.kinds_of(x[:0], 2)) == 0
 
 
 def test_chain_feeds_earlier_categories():
@@ -29,7 +78,7 @@ def test_chain_feeds_earlier_categories():
     first = x[:, 0] > 0
     labels = np.column_stack([first, first]).astype(float)
     weights = toxicity.fit_chain(x, labels, np.arange(600) % 3)
-    assert weights[1][5] > 0.2  # the second category leans on the first one's out-of-fold odds
+    assert weights[1][5] > 0.5  # the second category leans on the first one's out-of-fold probability
 
 
 def test_awkward_rows(spark):
