@@ -83,9 +83,33 @@ def stripped(c) -> Column:
     return F.regexp_replace(_col(c), f"^{SPACES}+|{SPACES}+$", "")
 
 
+#: Conjoining letters of the Korean script: initials, vowels and finals, as runs that make up one syllable.
+JAMO = r"[\x{1100}-\x{1112}][\x{1161}-\x{1175}][\x{11A8}-\x{11C2}]?|[가-힣][\x{11A8}-\x{11C2}]"
+FIRST_INITIAL, FIRST_VOWEL, NO_FINAL = 0x1100, 0x1161, 0x11A7
+
+
+def syllables(c) -> Column:
+    """Korean text in conjoining letters (as Unicode form NFD writes it) as syllables.  Only such text is taken apart."""
+    c = _col(c)
+
+    def one(piece: Column) -> Column:
+        n = F.length(piece)
+        at = lambda k: F.ascii(F.substring(piece, k, 1))
+        final = lambda k: F.when(n >= k, at(k) - NO_FINAL).otherwise(0)
+        made = F.lit(FIRST_SYLLABLE) + ((at(1) - FIRST_INITIAL) * len(VOWELS) + at(2) - FIRST_VOWEL) * FINALS + final(3)
+        longer = at(1) + F.when((at(1) - FIRST_SYLLABLE) % FINALS == 0, final(2)).otherwise(0)
+        as_text = lambda code: F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 4, "0")), "UTF-16BE")
+        has_final = (at(1) - FIRST_SYLLABLE) % FINALS == 0
+        return F.when(piece.rlike("^[\\x{1100}-\\x{1112}]") & (n > 1), as_text(made)).when(piece.rlike("^[가-힣]") & (n > 1) & has_final, as_text(longer)).otherwise(piece)
+
+    pieces = F.regexp_extract_all(c, F.lit(f"(?s){JAMO}|."), F.lit(0))
+    return F.when(c.rlike(r"[\x{1160}-\x{11FF}]"), F.array_join(F.transform(pieces, one), "")).otherwise(c)
+
+
 def clean(c) -> Column:
-    """Without any Unicode white space; compose first with :func:`composed` where text may be decomposed."""
-    return F.regexp_replace(_col(c), SPACES, "")
+    """Composed into syllables and without any Unicode white space.  Other decomposed scripts, which plates don't use,
+    are left to :func:`composed`."""
+    return F.regexp_replace(syllables(c), SPACES, "")
 
 
 #: Characters that normalisation to NFC may change: combining marks, conjoining jamo, and compatibility singletons.

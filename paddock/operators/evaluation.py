@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.functions.text import digits_only
+from paddock.operators.lookup import small
 
 
 def labelled(files: DataFrame, path_col: str = "path") -> DataFrame:
@@ -65,7 +66,7 @@ def repairs(cases: DataFrame, before: str = "before", after: str = "after", labe
 
 def middle_accuracy(cases: DataFrame, excluded: DataFrame, key: str = "file") -> DataFrame:
     """Accuracy over all cases, and over those that are neither excluded nor without a box."""
-    marked = cases.join(F.broadcast(excluded.select(key).distinct().withColumn("_out", F.lit(True))), key, "left")
+    marked = cases.join(small(excluded.select(key).distinct().withColumn("_out", F.lit(True))), key, "left")
     counts = F.coalesce(F.col("_out"), F.lit(False)) | ~F.col("has_box")
     right = F.col("label").eqNullSafe(F.col("predicted"))
     return marked.agg(F.count(F.lit(1)).alias("n"), F.count_if(right).alias("right"), F.count_if(~counts).alias("n_scored"), F.count_if(right & ~counts).alias("right_scored"))

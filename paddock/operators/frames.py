@@ -42,7 +42,8 @@ def stacked_pairs(blocks) -> Column:
 
 
 def _read(blocks: Column) -> Column:
-    return F.transform(blocks, lambda x: F.struct(x["box"].alias("box"), lenient_plate(clean(x["text"])).alias("plate")))
+    cleaned = F.transform(blocks, lambda x: F.struct(x["box"].alias("box"), clean(x["text"]).alias("text")))  # once, not wherever it is read
+    return F.transform(cleaned, lambda x: F.struct(x["box"].alias("box"), lenient_plate(x["text"]).alias("plate")))
 
 
 def plates(blocks, pairs) -> Column:
@@ -55,8 +56,9 @@ def plates(blocks, pairs) -> Column:
 
 def ambiguous(blocks, pairs) -> Column:
     """Boxes of blocks and pairs with at least four digits but no plate."""
-    unread = lambda x: x["box"].isNotNull() & (F.length(digits_only(x["text"])) >= 4) & lenient_plate(clean(x["text"])).isNull()
-    boxes = lambda c: F.transform(F.filter(F.col(c), unread), lambda x: x["box"])
+    unread = lambda x: x["box"].isNotNull() & (F.length(digits_only(x["text"])) >= 4) & lenient_plate(x["text"]).isNull()
+    cleaned = lambda c: F.transform(F.col(c), lambda x: F.struct(x["box"].alias("box"), clean(x["text"]).alias("text")))
+    boxes = lambda c: F.transform(F.filter(cleaned(c), unread), lambda x: x["box"])
     return F.concat(boxes(blocks), boxes(pairs))
 
 

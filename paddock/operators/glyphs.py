@@ -214,6 +214,43 @@ def prefix_sums(rows: DataFrame, key: str, y: str, x: str, value: str) -> DataFr
     return across.withColumn("integral", F.sum("_row").over(Window.partitionBy(key, x).orderBy(y))).drop("_row")
 
 
+# How far, in pitches, a search moves the centre of a glyph's window, and half its width.
+CENTRES = (-0.5, -0.35, -0.2, -0.1, 0.0, 0.1, 0.2, 0.35, 0.5)
+HALF_WIDTHS = (0.45, 0.55, 0.66)
+
+
+def best_window(scores, margins) -> Column:
+    """(window, score, margin) of a sweep: the window with the greatest sum of score and margin, the first at ties; windows
+    without a score don't count, and null comes of none.  Both arrays follow the order of :func:`sweep`."""
+    sums = F.zip_with(_col(scores), _col(margins), lambda a, b: a + b)
+    at = F.array_position(sums, F.array_max(sums)).cast("int")
+    windows = sweep(CENTRES, HALF_WIDTHS)
+    return F.when(F.array_max(sums).isNotNull(), F.struct(F.get(windows, at - 1).alias("window"), F.get(_col(scores), at - 1).alias("score"), F.get(_col(margins), at - 1).alias("margin")))
+
+
+def slot_of_digits(leading) -> Column:
+    """(index, slots) of the glyph in a line of which only digits were read; null unless two or three come before it."""
+    n = _col(leading)
+    return F.when(n.between(2, 3), F.struct(n.alias("index"), (n + 5).alias("slots")))
+
+
+def slot_in_reading(index, length) -> Column:
+    """(index, slots) of the glyph in a line read as a whole; null for an index outside of it, or fewer than five characters."""
+    i, n = _col(index), _col(length)
+    return F.when((i >= 0) & (n >= 5) & (i < n), F.struct(i.alias("index"), n.alias("slots")))
+
+
+def slot_window(box: Column, slot: Column, window: Column, width: Column, height: Column) -> Column:
+    """The box (l, t, r, b) of a glyph's window in an image: the line's box in equal slots, the window's centre moved and its
+    width in pitches, 8 % of the height added above and below; null where less than 8 pixels are left."""
+    pitch = (box["r"] - box["l"]).cast("double") / slot["slots"]
+    centre, half = box["l"] + (slot["index"] + 0.5 + window["offset"]) * pitch, pitch * window["width"]
+    more = (box["b"] - box["t"]) * 0.08
+    l, r = F.greatest((centre - half).cast("int"), F.lit(0)), F.least((centre + half).cast("int"), width)
+    t, b = F.greatest((box["t"] - more).cast("int"), F.lit(0)), F.least((box["b"] + more).cast("int"), height)
+    return F.when(slot["slots"].isNotNull() & (r - l >= 8) & (b - t >= 8), F.struct(l.alias("l"), t.alias("t"), r.alias("r"), b.alias("b")))
+
+
 def sweep(offsets, widths) -> Column:
     """Every pair of an offset and a width, for a search over windows."""
     return F.flatten(F.transform(F.array(*map(F.lit, offsets)), lambda o: F.transform(F.array(*map(F.lit, widths)), lambda w: F.struct(o.alias("offset"), w.alias("width")))))

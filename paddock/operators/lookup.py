@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paddock.functions.text import clean, digit_keys, digits_only, is_plate, middles_agree, stripped
+from paddock.functions.text import clean, digit_keys, digits_only, is_plate, middles_agree, stripped, syllables
+from paddock.scratch import written
 
 LEAST_DIGITS = 6
 #: Most registry rows that are broadcast; about 200 bytes each.
@@ -23,13 +24,13 @@ def exact_matches(scans: DataFrame, registry: DataFrame, scan_col: str = "raw_pl
     A plate registered twice counts once, as its smallest id.
     """
     plates = registry.groupBy("plateNumber").agg(F.min("id").alias("matched_id")).withColumnRenamed("plateNumber", "matched")
-    return scans.join(small(plates), stripped(scan_col) == F.col("matched"), "left")
+    return scans.join(small(plates), syllables(stripped(scan_col)) == F.col("matched"), "left")
 
 
 def digit_matches(scans: DataFrame, registry: DataFrame, key: str = "event_id", scan_col: str = "raw_plate") -> DataFrame:
     """(key, matched, matched_id): scans with exactly one registry row under one of their digit keys whose glyph
     doesn't contradict the scan's; scans with fewer than six digits have none."""
-    scan = scans.select(key, stripped(scan_col).alias("scan")).withColumn("keys", digit_keys("scan"))
+    scan = scans.select(key, syllables(stripped(scan_col)).alias("scan")).withColumn("keys", digit_keys("scan"))
     scan = scan.where(F.length(F.col("keys")[0]) >= LEAST_DIGITS)
     each = scan.select(key, clean("scan").alias("scan"), F.explode(F.array_distinct("keys")).alias("digitsKey"))
     rows = registry.where("digitsKey <> ''").select("digitsKey", F.col("id").alias("matched_id"), F.col("plateNumber").alias("matched"))
@@ -41,7 +42,7 @@ def digit_matches(scans: DataFrame, registry: DataFrame, key: str = "event_id",
 def resolve(scans: DataFrame, registry: DataFrame, key: str = "event_id", scan_col: str = "raw_plate") -> DataFrame:
     """``scans`` with ``matched``, ``canonical`` (the matched plate, else the trimmed scan) and ``is_registered``:
     exact matches first, digit matches for the rest.  ``key`` must identify a scan."""
-    exact = exact_matches(scans, registry, scan_col)
+    exact = written(exact_matches(scans, registry, scan_col), "exact")  # read by both branches, so scans meet the registry once
     hit = exact.where("matched is not null").select(*scans.columns, "matched")
     rest = exact.where("matched is null").select(*scans.columns)
     found = rest.join(digit_matches(rest, registry, key, scan_col).select(key, "matched"), key, "left").select(*scans.columns, "matched")
@@ -86,15 +87,28 @@ def import_plates(kept: DataFrame, registry: DataFrame) -> DataFrame:
     return kept.join(small(known), "plate", "left").select("plate", "note", F.when(F.col("known"), "present").otherwise("added").alias("state"))
 
 
-def import_outcome(imported: DataFrame) -> DataFrame:
-    return imported.agg(F.count_if(F.col("state") == "added").alias("added"), F.count_if(F.col("state") == "present").alias("already_present"))
+def import_outcome(candidates: DataFrame, registry: DataFrame) -> DataFrame:
+    """(file, added, already_present, skipped) of :func:`import_candidates`: each file's plates that are new, those that the
+    registry has, and its lines that hold no plate."""
+    known = registry.select(F.col("plateNumber").alias("plate")).distinct().withColumn("known", F.lit(True))
+    kept, has = F.col("state") == "kept", F.coalesce(F.col("known"), F.lit(False))
+    counts = [F.count_if(kept & ~has).alias("added"), F.count_if(kept & has).alias("already_present"), F.count_if(F.col("state") == "skipped").alias("skipped")]
+    return candidates.join(small(known), "plate", "left").groupBy("file").agg(*counts)
+
+
+def with_cache(detections: DataFrame, cache: DataFrame, text_col: str = "raw_plate") -> DataFrame:
+    """Detections as they are shown: ``shown`` (the known plate, else the text) and ``is_registered``, which is null, that
+    is pending, for a text that the cache (one row a text: text, canonical, is_registered) doesn't have yet."""
+    told = cache.select(F.col("text").alias(text_col), "canonical", "is_registered")
+    return detections.join(small(told), text_col, "left").withColumn("shown", F.coalesce("canonical", text_col)).drop("canonical")
 
 
 def import_message(added_col: str = "added", present_col: str = "already_present", skipped_col: str = "skipped"):
     """A sentence about an import; parts that are zero are left out."""
     n = lambda c: F.col(c).cast("string")
     part = lambda c, text: F.when(F.col(c) > 0, F.concat(n(c), F.lit(text)))
-    return F.concat_ws(", ", F.concat(n(added_col), F.lit("대 추가")), part(present_col, "대 기존"), part(skipped_col, "줄 제외"))
+    # The words of the sentence.
+    return F.concat_ws(", ", F.concat(n(added_col), F.lit("대 추가")), part(present_col, "대 이미 등록됨"), part(skipped_col, "줄 건너뜀"))
 
 
 def with_ids(rows: DataFrame, registry: DataFrame, created_ms: int) -> DataFrame:

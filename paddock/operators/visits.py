@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paddock.functions.text import stripped
 from paddock.operators.folds import let_through
 from paddock.scratch import written
 
@@ -68,7 +69,7 @@ def visits(sightings: DataFrame, cooldown: int = COOLDOWN_MS) -> DataFrame:
     told = _around(_days(records(sightings, cooldown), KEY, "ts"), KEY, {"_next": (F.min("ts"), "after")})
     after = F.coalesce(F.lead("ts").over(Window.partitionBy(KEY, "_part").orderBy("ts", "event_id")), "_next")
     told = told.withColumn("exitAt", after).where("kind = 'ENTRY'")
-    return told.select(F.col("event_id").alias("id"), F.col("raw_plate").alias("plateNumber"), F.col(KEY).alias("canonicalPlate"), F.col("is_registered").alias("isRegistered"), F.col("ts").alias("entryAt"), "exitAt")
+    return told.select(F.col("event_id").alias("id"), stripped("raw_plate").alias("plateNumber"), F.col(KEY).alias("canonicalPlate"), F.col("is_registered").alias("isRegistered"), F.col("ts").alias("entryAt"), "exitAt")
 
 
 def duration(entry: str = "entryAt", exit_: str = "exitAt") -> Column:
@@ -76,19 +77,42 @@ def duration(entry: str = "entryAt", exit_: str = "exitAt") -> Column:
     return F.when(F.col(entry).isNotNull() & F.col(exit_).isNotNull(), F.greatest(F.lit(0), F.col(exit_) - F.col(entry)))
 
 
+def _with_before(rows: DataFrame, key: str, value: str, order: tuple[str, ...]) -> tuple[DataFrame, Column]:
+    """Rows with ``_key``, their day (``_part``, by the first of ``order``, a time), and the value of the row before of the key,
+    by day: a key with a large part of all rows is spread over as many tasks as it has days.  Structs make nulls equal."""
+    first = F.col(order[0])
+    is_ms = rows.schema[order[0]].dataType.simpleString() == "bigint"
+    day = F.coalesce(F.expr(f"{order[0]} div {PART_MS}"), F.lit(-(2**62))) if is_ms else F.coalesce(first.cast("date"), F.lit("0001-01-01").cast("date"))
+    told = written(rows.withColumn("_key", F.struct(key)).withColumn("_part", day), "told")
+    by = Window.partitionBy("_key", "_part").orderBy(*order)
+    parts = told.groupBy("_key", "_part").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_end"))
+    parts = parts.select("_key", "_part", F.lag("_end").over(Window.partitionBy("_key").orderBy("_part"))[value].alias("_entered"))
+    within = told.withColumn("_nth", F.row_number().over(by)).withColumn("_lag", F.lag(value).over(by))
+    joined = within.join(parts, ["_key", "_part"])
+    return joined, F.when(F.col("_nth") == 1, F.col("_entered")).otherwise(F.col("_lag"))
+
+
 def consecutive(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:
     """Drops rows whose value equals that of the row before, per key."""
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(*order))
-    return rows.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") != F.col(value))).drop("_before")
+    told, before = _with_before(rows, key, value, order)
+    return told.where(before.isNull() | (before != F.col(value))).select(rows.columns)
 
 
 def confirmed(rows: DataFrame, key: str, value: str, *order: str, times: int = 1) -> DataFrame:
     """Rows at which a value has been seen ``times`` times in a row, per key (gaps and islands)."""
-    by = Window.partitionBy(key).orderBy(*order)
-    changed = F.when(F.lag(value).over(by) == F.col(value), 0).otherwise(1)
-    island = rows.withColumn("_changed", changed).withColumn("_island", F.sum("_changed").over(by))
-    n = F.row_number().over(Window.partitionBy(key, "_island").orderBy(*order))
-    return island.withColumn("_n", n).where(F.col("_n") >= times).drop("_changed", "_island", "_n")
+    told, before = _with_before(rows, key, value, order)
+    told = told.withColumn("_changed", F.when(before == F.col(value), 0).otherwise(1))
+    by = Window.partitionBy("_key", "_part").orderBy(*order)
+    # rows since the last change of the day; before the first one they go on from the days before
+    since = told.withColumn("_n", F.row_number().over(by)).withColumn("_at", F.max(F.when(F.col("_changed") == 1, F.col("_n"))).over(by))
+    since = written(since, "islands")
+    parts = since.groupBy("_key", "_part").agg(F.max("_n").alias("_size"), F.max("_at").alias("_open"))
+    days = Window.partitionBy("_key").orderBy("_part")
+    earlier = days.rowsBetween(Window.unboundedPreceding, -1)
+    upto = parts.withColumn("_total", F.sum("_size").over(days)).withColumn("_change", F.col("_total") - F.col("_size") + F.col("_open"))  # its place among all rows of the key
+    upto = upto.select("_key", "_part", (F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.coalesce(F.max("_change").over(earlier), F.lit(1)) + 1).alias("_carried"))
+    run = F.when(F.col("_at").isNotNull(), F.col("_n") - F.col("_at") + 1).otherwise(F.col("_n") + F.col("_carried"))
+    return since.join(upto, ["_key", "_part"]).where(run >= times).select(rows.columns)
 
 
 class Machine:
@@ -149,7 +173,7 @@ def corrected(sightings: DataFrame, corrections: DataFrame, cooldown: int = COOL
     told = corrections.select(KEY, F.col("ts").cast("long").alias("ts"), F.lit(1).alias("turn"), "event_id", null("string").alias("plate"), null("boolean").alias("registered"), "action", F.col("visit_id").cast("long"))
     named = told.groupBy(KEY, F.col("visit_id").alias("_id")).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("until"))
     told = told.join(named.withColumnRenamed("_id", "visit_id"), [KEY, "visit_id"])
-    seen = known.select(KEY, "ts", F.lit(0).alias("turn"), "event_id", F.col("raw_plate").alias("plate"), F.col("is_registered").alias("registered"), null("string").alias("action"), null("long").alias("visit_id"))
+    seen = known.select(KEY, "ts", F.lit(0).alias("turn"), "event_id", stripped("raw_plate").alias("plate"), F.col("is_registered").alias("registered"), null("string").alias("action"), null("long").alias("visit_id"))
     seen = seen.join(named.withColumnRenamed("_id", "event_id"), [KEY, "event_id"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -117,6 +117,29 @@ def vec_order_statistics(spark, sf_dir):
     return rows.select("vec_id", glyphs.upper_median("v").alias("median"), glyphs.nearest_rank("v", 85).alias("p85"), F.round(F.array_max(glyphs.gaps("v")), 6).alias("widest_gap"), F.size(glyphs.sweep([-1, 0, 1], [8, 9])).alias("windows"))
 
 
+def vec_sweep_best(spark, sf_dir):
+    """The best of the 27 windows of a search, scored by an embedding's numbers."""
+    v = lambda a: F.transform(F.slice("embedding", a, 27), lambda x: F.when(x > -0.2, x.cast("double")))
+    best = table(spark, sf_dir, "embeddings").select("vec_id", glyphs.best_window(v(1), v(28)).alias("b"))
+    return best.select("vec_id", F.col("b.window.offset").alias("centre"), F.col("b.window.width").alias("half_width"), F.round("b.score", 6).alias("score"), F.round("b.margin", 6).alias("margin"))
+
+
+def glyph_slots(spark, sf_dir):
+    """Where the glyph's window is in a line's box, for digits alone and for whole readings."""
+    e = F.col("event_id")
+    box = F.struct((e % 50).cast("int").alias("l"), (e % 30).cast("int").alias("t"), (e % 50 + 8 * (e % 40)).cast("int").alias("r"), (e % 30 + e % 35).cast("int").alias("b"))
+    slot = F.when(e % 2 == 0, glyphs.slot_of_digits((e % 5).cast("int"))).otherwise(glyphs.slot_in_reading((e % 9 - 1).cast("int"), (e % 6 + 4).cast("int")))
+    window = F.get(glyphs.sweep(glyphs.CENTRES, glyphs.HALF_WIDTHS), (e % 27).cast("int"))
+    rows = sightings(spark, sf_dir).select("event_id", slot.alias("slot"), box.alias("box"), window.alias("window"))
+    found = rows.select("event_id", "slot", glyphs.slot_window(F.col("box"), F.col("slot"), F.col("window"), F.lit(300), F.lit(60)).alias("w"))
+    return found.select("event_id", F.col("slot.index").alias("index"), F.col("slot.slots").alias("slots"), "w.l", "w.t", "w.r", "w.b")
+
+
+def frames_without_syllable(spark, sf_dir):
+    found = _with_pairs(spark, sf_dir).select("event_id", frames.plates("blocks", "pairs").alias("plates"))
+    return found.select("event_id", F.coalesce(frames.any_without_syllable("plates"), F.lit(False)).alias("any"))
+
+
 def integral_image(spark, sf_dir):
     px = _images(spark, sf_dir).select("vec_id", F.posexplode("px").alias("k", "v")).select("vec_id", F.expr("k div 8").alias("y"), (F.col("k") % 8).alias("x"), "v")
     return glyphs.prefix_sums(px, "vec_id", "y", "x", "v").select("vec_id", "y", "x", "integral")
@@ -206,7 +229,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stacked_line_pairs, frame_extract, ambiguous_blocks, box_geometry, vec_standardize, vec_otsu, vec_dice, vec_argmax_masked, vec_top2_margin, vec_moving_avg, vec_order_statistics, integral_image,
-        ink_mask, hole_count, deskew_slope, components_box, glyph_inputs, eval_accuracy, eval_recall, eval_confusions, eval_repairs, eval_agreement, eval_labels, eval_middle_accuracy,
+        ink_mask, hole_count, deskew_slope, components_box, glyph_inputs, eval_accuracy, eval_recall, eval_confusions, eval_repairs, eval_agreement, eval_labels, eval_middle_accuracy, vec_sweep_best, glyph_slots, frames_without_syllable,
     )
 }
 ORACLES = {
@@ -229,6 +252,19 @@ SELECT vec_id, threshold, most FROM (SELECT vec_id, CASE WHEN max(between) > 0 T
     "vec_top2_margin": f"WITH {GRAY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, k) AS n FROM v), t AS (SELECT vec_id, max(x) FILTER (n = 1) AS best, max(k) FILTER (n = 1)::INT AS place, max(x) FILTER (n = 2) AS second FROM r GROUP BY vec_id) SELECT vec_id, round(best, 6) AS best, place, round(best - second, 6) AS margin, best >= 0.6 AND best - second >= 0.05 AS confident FROM t",
     "vec_moving_avg": f"WITH {GRAY_SQL} SELECT vec_id, k::INT AS k, round(avg(x) OVER (PARTITION BY vec_id ORDER BY k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smooth FROM v",
     "vec_order_statistics": f"WITH {GRAY_SQL}, g AS (SELECT *, x - lag(x) OVER (PARTITION BY vec_id ORDER BY k) AS gap, row_number() OVER (PARTITION BY vec_id ORDER BY x) - 1 AS n, count(*) OVER (PARTITION BY vec_id) AS c FROM v) SELECT vec_id, max(x) FILTER (n = c // 2) AS median, max(x) FILTER (n = least(c * 85 // 100, c - 1)) AS p85, round(max(gap), 6) AS widest_gap, 6 AS windows FROM g GROUP BY vec_id",
+    "vec_sweep_best": f"""WITH v AS (SELECT vec_id, unnest(embedding[1:27]) AS x, unnest(embedding[28:54]) AS y, generate_subscripts(embedding[1:27], 1) - 1 AS k FROM embeddings),
+s AS (SELECT vec_id, k, CASE WHEN x > -0.2::FLOAT THEN x::DOUBLE END AS x, CASE WHEN y > -0.2::FLOAT THEN y::DOUBLE END AS y FROM v),
+b AS (SELECT vec_id, arg_max(k, (x + y, -k)) FILTER (x + y IS NOT NULL) AS k FROM s GROUP BY vec_id)
+SELECT vec_id, ({list(glyphs.CENTRES)}::DOUBLE[])[k // 3 + 1] AS centre, ({list(glyphs.HALF_WIDTHS)}::DOUBLE[])[k % 3 + 1] AS half_width, round(x, 6) AS score, round(y, 6) AS margin FROM b LEFT JOIN s USING (vec_id, k)""",
+    "glyph_slots": f"""WITH {SIGHTINGS_SQL}, s AS (SELECT event_id AS e, CASE WHEN e % 2 = 0 THEN CASE WHEN e % 5 BETWEEN 2 AND 3 THEN e % 5 END ELSE CASE WHEN e % 9 >= 1 AND e % 6 + 4 >= 5 AND e % 9 - 1 < e % 6 + 4 THEN e % 9 - 1 END END AS i,
+  CASE WHEN e % 2 = 0 THEN e % 5 + 5 ELSE e % 6 + 4 END AS n, e % 50 AS l, e % 30 AS t, 8 * (e % 40) AS w, e % 35 AS h,
+  ({list(glyphs.CENTRES)}::DOUBLE[])[e % 27 // 3 + 1] AS o, ({list(glyphs.HALF_WIDTHS)}::DOUBLE[])[e % 27 % 3 + 1] AS u FROM sightings),
+p AS (SELECT e, i, CASE WHEN i IS NOT NULL THEN n END AS n, l + (i + 0.5::DOUBLE + o) * (w::DOUBLE / n) AS c, (w::DOUBLE / n) * u AS half, t, h FROM s),
+b AS (SELECT e, i, n, greatest(trunc(c - half)::INT, 0) AS l, least(trunc(c + half)::INT, 300) AS r, greatest(trunc(t - h * 0.08::DOUBLE)::INT, 0) AS t, least(trunc(t + h + h * 0.08::DOUBLE)::INT, 60) AS b, c IS NOT NULL AS known FROM p),
+f AS (SELECT *, known AND r - l >= 8 AND b - t >= 8 AS fits FROM b)
+SELECT e AS event_id, i::INT AS index, n::INT AS slots, CASE WHEN fits THEN l END AS l, CASE WHEN fits THEN t END AS t, CASE WHEN fits THEN r END AS r, CASE WHEN fits THEN b END AS b FROM f""",
+    "frames_without_syllable": f"""{READ}, own AS (SELECT event_id, lenient FROM f WHERE lenient IS NOT NULL AND (n < 10 OR event_id NOT IN (SELECT event_id FROM f WHERE n < 10 AND lenient IS NOT NULL)))
+SELECT event_id, coalesce(bool_or(NOT regexp_matches(lenient, '[가-힣]')), false) AS any FROM sightings LEFT JOIN own USING (event_id) GROUP BY event_id""".replace("AS any FROM", 'AS "any" FROM'),
     "integral_image": f"WITH {GRAY_SQL}, q AS (SELECT vec_id, k // 8 AS y, k % 8 AS x, p FROM px) SELECT a.vec_id, a.y, a.x, sum(b.p)::BIGINT AS integral FROM q a JOIN q b ON a.vec_id = b.vec_id AND b.y <= a.y AND b.x <= a.x GROUP BY ALL",
     "eval_accuracy": f"""{BASE},{CASES_SQL}, r AS (SELECT *, expected = actual AS e, {P.digits('expected')} = {P.digits('actual')} AS d, row_number() OVER (PARTITION BY config ORDER BY latency_ms) - 1 AS k, count(*) OVER (PARTITION BY config) AS c FROM cases)
 SELECT config, count(*) AS n, round(avg(e::INT), 6) AS exact, round(avg(d::INT), 6) AS digits, round(avg(latency_ms), 6) AS mean_ms, max(latency_ms) FILTER (k = c // 2) AS p50_ms, max(latency_ms) FILTER (k = least(c * 95 // 100, c - 1)) AS p95_ms FROM r GROUP BY config""",

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paddock.functions import text
-from paddock.operators import lookup
+from paddock.operators import frames, lookup
 from paddock.plans import plate_sql as P
 from paddock.plans.carrier import REGISTRY_SQL, SIGHTINGS_SQL, plate, registry, registry_rows, sightings, table
+from paddock.scratch import scratch_path
+from paddock.sources import spreadsheets
 
 # Texts as readers see them, with what they should give in tests/test_text.py.
 READINGS = [
     "123가4567", "12가나1234", "04E 3456", "부산 80\nOf 7890", "56ㄴ19876", "12가3456", "56년9876", "56L9876", "154ㄹㅓ7070", "154ㄹㅏ7070", "154ㄹ17070", "154럭7070", "154려7070",
-    "1547070", "15447070", "L67-5736", "TEL 627-9336", "123456789", "1가2345", "154리7070", "12시3456", "12지3456", "12니3456", "12이3456", "12X3456가7890", "서울1234", " 12 가　3456 ", "",
+    "1547070", "15447070", "L67-5736", "TEL 627-9336", "123456789", "1가2345", "154리7070", "12시3456", "12지3456", "12니3456", "12이3456", "12X3456가7890", "서울1234", " 12 가　3456 ", "", *(unicodedata.normalize("NFD", t) for t in ("154러7070", "12가나1234", "부산 80\nOf 7890", "154럭7070")),
 ]
 
 
@@ -88,12 +92,58 @@ def import_anti_join(spark, sf_dir):
 
 
 def import_outcome(spark, sf_dir):
-    return lookup.import_outcome(import_anti_join(spark, sf_dir)).select("*", lookup.import_message(skipped_col="added").alias("message"))
+    """The two files of :func:`import_normalize` read into the registry."""
+    return lookup.import_outcome(lookup.import_candidates(_import_rows(spark, sf_dir)), registry(spark, sf_dir)).select("*", lookup.import_message().alias("message"))
+
+
+def manual_entries(spark, sf_dir):
+    """Plates entered by hand: as a form trims them, and what is wrong with them."""
+    i = F.col("s_suppkey")
+    typed = F.when(i % 5 == 0, F.lit(" \t")).when(i % 5 == 1, F.concat(F.lit("x"), i.cast("string"))).otherwise(F.concat(F.lit(" "), plate(i), F.lit("\n")))
+    rows = table(spark, sf_dir, "supplier").select(i.alias("id"), typed.alias("plate"), F.concat(F.col("s_name"), F.lit(" ")).alias("note"))
+    return rows.select("id", *lookup.added("plate", "note"), lookup.entry_error("plate").alias("error"))
+
+
+def detections_pending(spark, sf_dir):
+    """Detections with what a cache of two thirds of the readings tells; the others are pending."""
+    seen = sightings(spark, sf_dir)
+    cache = lookup.resolve(seen.where("user_id % 3 <> 0"), registry(spark, sf_dir)).groupBy(F.col("raw_plate").alias("text")).agg(F.min("canonical").alias("canonical"), F.max("is_registered").alias("is_registered"))
+    shown = lookup.with_cache(seen.select("event_id", "raw_plate"), cache)
+    return shown.select("event_id", "shown", frames.state_label("is_registered").alias("state"))
+
+
+def sheet_rows_delimited(spark, sf_dir):
+    """Suppliers written as text with commas and quotes, and nations with tabs, read back as sheets."""
+    base, i = scratch_path(spark, "sheets"), F.col("s_suppkey").cast("string")
+    quoted = F.concat(F.lit('"'), F.replace(F.col("s_name"), F.lit("#"), F.lit(',""')), F.lit('"'))
+    commas = F.concat_ws(",", i, F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).otherwise(quoted), F.lit(""), F.lit(" x"))
+    table(spark, sf_dir, "supplier").select(F.when(F.col("s_suppkey") % 7 == 0, F.concat(F.lit(" \n"), commas)).otherwise(commas)).write.option("lineSep", "\r\n").text(f"{base}/commas")
+    table(spark, sf_dir, "nation").select(F.concat_ws("\t", F.col("n_nationkey").cast("string"), "n_name", F.lit("a,b"))).write.option("lineSep", "\r").text(f"{base}/tabs")
+    read = lambda name: spreadsheets.read_delimited(spark, f"{base}/{name}/*.txt").select(F.lit(name).alias("sheet"), F.array_join("cells", "|").alias("cells"), F.size("cells").alias("n"))
+    return read("commas").unionByName(read("tabs"))
+
+
+def sheet_rows_workbook(spark, sf_dir):
+    """A workbook for each region with its nations: shared strings, cells left out, a bad index; and a file that is none."""
+    cell = lambda ref, value, kind="": F.concat(F.lit(f'<c r="{ref}"{kind}><v>'), value, F.lit("</v></c>"))
+    key = F.col("n_nationkey").cast("string")
+    row = F.concat(F.lit("<row>"), cell("A1", F.lit("0"), ' t="s"'), F.when(F.col("n_nationkey") % 2 == 0, cell("B1", key)).otherwise(""), cell("D1", F.when(F.col("n_nationkey") % 3 == 0, "9").otherwise("1"), ' t="s"'), F.lit("</row>"))
+    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("x")))), lambda r: r["x"]), "").alias("rows"), F.min("n_name").alias("first"))  # a few nations a region
+    sheet = F.concat(F.lit("<worksheet><sheetData>"), "rows", F.lit("</sheetData></worksheet>"))
+    shared = F.concat(F.lit("<sst><si><t>"), "first", F.lit("</t></si><si><r><t>to</t></r><r><t>gether</t></r></si></sst>"))
+    files = rows.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit(".xlsx")).alias("file"), spreadsheets.packed(F.create_map(F.lit("xl/worksheets/sheet1.xml"), sheet, F.lit("xl/sharedStrings.xml"), shared)).alias("content"))
+    files = files.unionByName(spark.range(1).select(F.lit("none.xlsx").alias("file"), F.lit(b"no archive").alias("content")))
+    return spreadsheets.book_rows(files).select("file", "line_no", F.array_join("cells", "|").alias("cells"), F.col("error").isNotNull().alias("failed"))
+
+
+def column_references(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.when(F.col("p_partkey") % 3 == 0, F.lit("a")).otherwise(""), F.substring("p_brand", -1, 1), F.substring(F.upper(F.substring("p_name", 1, 1)), 1, 1), F.col("p_size").cast("string")).alias("reference"))
+    return rows.select("p_partkey", "reference", spreadsheets.column_index(F.col("reference")).alias("place"))
 
 
 def plate_extract(spark, sf_dir):
-    c = text.clean("text")
-    return _readings(spark, sf_dir).select("id", text.strict_plate(c).alias("strict"), text.lenient_plate(c).alias("lenient"))
+    cleaned = _readings(spark, sf_dir).select("id", text.clean("text").alias("cleaned"))
+    return cleaned.select("id", text.strict_plate("cleaned").alias("strict"), text.lenient_plate("cleaned").alias("lenient"))
 
 
 def plate_repair_table(spark, sf_dir):
@@ -159,6 +209,7 @@ QUERIES = {
     for f in (
         registry_scan_newest, registry_numbers, registry_digit_backfill, registry_missing_keys, import_normalize, import_counts, import_anti_join, import_outcome, plate_extract, plate_repair_table,
         plate_digit_keys, plate_middle_guard, plate_nfc_clean, plate_reassembly, lookup_exact, lookup_fallback, lookup_with_duplicates, resolve_sightings,
+        manual_entries, detections_pending, sheet_rows_delimited, sheet_rows_workbook, column_references,
     )
 }
 IMPORTED = f"""SELECT DISTINCT plate, '다른 메모' AS note, CASE WHEN plate IN (SELECT plateNumber FROM registry) THEN 'present' ELSE 'added' END AS state
@@ -171,8 +222,24 @@ ORACLES = {
     "import_normalize": f"WITH {IMPORT_SQL} SELECT * FROM candidates",
     "import_counts": f"WITH {IMPORT_SQL} SELECT file, state, count(*) AS n FROM candidates GROUP BY ALL",
     "import_anti_join": f"WITH {REGISTRY_SQL} {IMPORTED}",
-    "import_outcome": f"""WITH {REGISTRY_SQL}, i AS ({IMPORTED}), c AS (SELECT count(*) FILTER (state = 'added') AS added, count(*) FILTER (state = 'present') AS already_present FROM i)
-SELECT *, concat_ws(', ', added || '대 추가', CASE WHEN already_present > 0 THEN already_present || '대 기존' END, CASE WHEN added > 0 THEN added || '줄 제외' END) AS message FROM c""",
+    "import_outcome": f"""WITH {REGISTRY_SQL},{IMPORT_SQL}, c AS (
+  SELECT file, count(*) FILTER (state = 'kept' AND plate NOT IN (SELECT plateNumber FROM registry)) AS added, count(*) FILTER (state = 'kept' AND plate IN (SELECT plateNumber FROM registry)) AS already_present,
+    count(*) FILTER (state = 'skipped') AS skipped FROM candidates GROUP BY file)
+SELECT *, concat_ws(', ', added || '대 추가', CASE WHEN already_present > 0 THEN already_present || '대 이미 등록됨' END, CASE WHEN skipped > 0 THEN skipped || '줄 건너뜀' END) AS message FROM c""",
+    "manual_entries": f"""WITH t AS (SELECT s_suppkey AS id, s_name AS note, CASE s_suppkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'x' || s_suppkey
+    ELSE (100 + s_suppkey % 900)::VARCHAR || substr('{text.GLYPHS}', (s_suppkey % 40)::INT + 1, 1) || (1000 + s_suppkey % 9000)::VARCHAR END AS plateNumber FROM supplier)
+SELECT id, plateNumber, trim(note) AS note, {P.digits('plateNumber')} AS digitsKey, CASE WHEN plateNumber = '' THEN 'empty' WHEN id % 5 = 1 THEN 'invalid' END AS error FROM t""",
+    "detections_pending": f"""{BASE},{RESOLVED_SQL}, cache AS (SELECT raw_plate, min(canonical) AS canonical, bool_or(is_registered) AS reg FROM resolved WHERE user_id % 3 <> 0 GROUP BY 1)
+SELECT event_id, coalesce(canonical, raw_plate) AS shown, CASE WHEN reg IS NULL THEN 'pending' WHEN reg THEN 'registered' ELSE 'unregistered' END AS state FROM sightings LEFT JOIN cache USING (raw_plate)""",
+    "sheet_rows_delimited": """SELECT 'commas' AS sheet, s_suppkey || '|' || CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE replace(s_name, '#', ',"') END || '|| x' AS cells, 4 AS n FROM supplier
+UNION ALL SELECT 'tabs', n_nationkey || '|' || n_name || '|a,b', 3 FROM nation""",
+    "sheet_rows_workbook": """WITH n AS (SELECT 'r' || n_regionkey || '.xlsx' AS file, n_nationkey, min(n_name) OVER (PARTITION BY n_regionkey) AS first, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS line_no FROM nation)
+SELECT file, line_no, first || '|' || CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey::VARCHAR ELSE '' END || '||' || CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'together' END AS cells, false AS failed FROM n
+UNION ALL SELECT 'none.xlsx', -1, NULL, true""",
+    "column_references": """WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'a' ELSE '' END || right(p_brand, 1) || upper(left(p_name, 1)) || p_size AS reference FROM part),
+l AS (SELECT *, upper(regexp_extract(reference, '^[A-Za-z]*')) AS letters FROM r)
+SELECT p_partkey, reference, greatest(0, CASE length(letters) WHEN 0 THEN 0 WHEN 1 THEN ascii(letters) - 64 WHEN 2 THEN (ascii(letters) - 64) * 26 + ascii(right(letters, 1)) - 64
+  ELSE ((ascii(letters) - 64) * 26 + ascii(substr(letters, 2, 1)) - 64) * 26 + ascii(right(letters, 1)) - 64 END - 1)::INT AS place FROM l""",
     "plate_extract": f"WITH {SIGHTINGS_SQL},{READINGS_SQL},{P.REPAIR},{P.lenient('readings', 'id', 'text')} SELECT * FROM read",
     "plate_repair_table": f"WITH {P.REPAIR} SELECT token, glyph FROM repair",
     "plate_digit_keys": f"WITH {SIGHTINGS_SQL} SELECT event_id, {P.digits('raw_plate')} AS digits, array_to_string({P.keys('raw_plate')}, ',') AS keys FROM sightings",

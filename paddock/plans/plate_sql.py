@@ -6,7 +6,7 @@ SPACES = r"[\p{Z}\x09-\x0D\x1C-\x1F]"
 
 
 def clean(c: str) -> str:
-    return f"regexp_replace({c}, '{SPACES}', '', 'g')"
+    return f"regexp_replace(nfc_normalize({c}), '{SPACES}', '', 'g')"
 
 
 def digits(c: str) -> str:

@@ -103,6 +103,22 @@ def recent_top5(spark, sf_dir):
     return caps.latest(sightings(spark, sf_dir), "raw_plate")
 
 
+def recent_merged(spark, sf_dir):
+    """The five plates seen last, misread ones under the plate that they turned out to be."""
+    return caps.latest(_resolved(spark, sf_dir), "canonical")
+
+
+def parking_sightings(spark, sf_dir):
+    """Visits begin in parking mode only; here every fourth hour isn't."""
+    mode = F.when(F.expr("ts div 3600000 % 4") == 0, "PATROL").otherwise("PARKING")
+    return V.passed(V.parking_only(_by_user(spark, sf_dir).withColumn("mode", mode))).select("event_id", "canonical", "ts")
+
+
+def results_alive(spark, sf_dir):
+    """Sightings whose result is still shown at a moment."""
+    return caps.within(sightings(spark, sf_dir).where(F.col("ts") <= DAY), DAY, 3 * 3_600_000).select("event_id", "ts")
+
+
 def consecutive_dedup(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
     return V.consecutive(events, "user_id", "event_type", "ts", "event_id").select("event_id", "user_id", "event_type")
@@ -139,7 +155,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         visits_cooldown, visits_cooldown_long, visits_toggle, visits_corrections, visits_stream_records, parked_now, open_visit_latest, visits_for_day, visits_by_day, day_summary, visit_status_labels,
-        visits_export_rows, day_labels, frequency_cap, daily_event_counts, recent_top5, consecutive_dedup, confirmed_reads, adaptive_throttle,
+        visits_export_rows, day_labels, frequency_cap, daily_event_counts, recent_top5, consecutive_dedup, confirmed_reads, adaptive_throttle, recent_merged, parking_sightings, results_alive,
     )
 }
 LONG = f"WITH RECURSIVE {SIGHTINGS_SQL},{_cooldown_sql(LONG_COOLDOWN)}"
@@ -188,6 +204,9 @@ g AS (
     SELECT f.event_id, f.user_id, f.ts, f.hit, f.k, g.last, g.misses, f.ts - g.last >= CASE WHEN g.misses >= 3 THEN 14400000 ELSE 3600000 END AS due FROM g JOIN f ON f.user_id = g.user_id AND f.k = g.k + 1))
 SELECT event_id, user_id, ts, hit FROM g WHERE due""",
     "daily_event_counts": f"WITH {SIGHTINGS_SQL} SELECT user_id, ts // 86400000 AS day, count(*) AS n FROM sightings GROUP BY ALL",
+    "recent_merged": f"{BASE},{RESOLVED_SQL} SELECT canonical, max(ts) AS ts FROM resolved GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
+    "parking_sightings": f"WITH RECURSIVE {SIGHTINGS_SQL},{_cooldown_sql(90_000).replace('FROM sightings)', 'FROM sightings WHERE ts // 3600000 % 4 <> 0)')} SELECT event_id, canonical, ts FROM records",
+    "results_alive": f"WITH {SIGHTINGS_SQL} SELECT event_id, ts FROM sightings WHERE ts <= {DAY} AND {DAY} - ts < {3 * 3_600_000}",
     "recent_top5": f"WITH {SIGHTINGS_SQL} SELECT raw_plate, max(ts) AS ts FROM sightings GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
     "consecutive_dedup": "SELECT event_id, user_id, event_type FROM events QUALIFY lag(event_type) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) IS DISTINCT FROM event_type",
     "confirmed_reads": """WITH c AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS changed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

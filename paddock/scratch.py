@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, one of our own if all tasks run on this machine, and an
+    error on a cluster, whose executors couldn't read it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="paddock-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

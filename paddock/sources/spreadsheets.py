@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 ROWS = "file string, line_no long, cells array<string>"
 READ = f"{ROWS}, error string"
@@ -112,10 +112,27 @@ def _read_books(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"file": [name], "line_no": [-1], "cells": [None], "error": [str(error)]})
 
 
+def book_rows(files: DataFrame) -> DataFrame:
+    """Rows of workbooks (file, content), with ``error`` for a file that can't be read (it has one row then, number -1)."""
+    return files.select("file", "content").mapInPandas(_read_books, READ)
+
+
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of workbooks, with ``error`` for a file that can't be read (it has one row then, number -1)."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_name").alias("file"), "content")
-    return files.mapInPandas(_read_books, READ)
+    return book_rows(spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_name").alias("file"), "content"))
+
+
+@F.pandas_udf(BinaryType())
+def packed(parts: pd.Series) -> pd.Series:
+    """An archive of named texts, as a workbook is one."""
+
+    def archive(texts) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as book:
+            for name, text in dict(texts).items():
+                book.writestr(name, text)
+        return out.getvalue()
+
+    return parts.map(archive)
 
 
 def read_sheets(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,7 +143,7 @@ def read_sheets(spark: SparkSession, folder: str) -> DataFrame:
     texts = [read(f) for f in files if not f.lower().endswith(".xlsx")]
     parts = [spark.createDataFrame([], READ)]
     if books:
-        parts.append(spark.read.format("binaryFile").load(books).select(F.col("_metadata.file_name").alias("file"), "content").mapInPandas(_read_books, READ))
+        parts.append(spark.read.format("binaryFile").load(books).select(F.col("_metadata.file_name").alias("file"), "content").transform(book_rows))
     if texts:
         parts.append(read_delimited(spark, texts).withColumn("error", F.lit(None).cast("string")))
     out = parts[0]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from paddock.functions.text import stripped
 from paddock.operators.visits import COOLDOWN_MS, KEY, Machine
 
 RECORDS = "canonical string, kind string, visit_id long, ts long, plate string, registered boolean, duration_ms long"
@@ -39,7 +40,7 @@ def visit_records(sightings: DataFrame, cooldown: int = COOLDOWN_MS) -> DataFram
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in RECORDS.split(", ")])
         yield frame.astype({"visit_id": "int64", "ts": "int64", "duration_ms": "Int64"})
 
-    known = sightings.where(F.coalesce(F.col(KEY), F.lit("")) != "").select("event_id", "ts", "raw_plate", KEY, "is_registered")
+    known = sightings.where(F.coalesce(F.col(KEY), F.lit("")) != "").select("event_id", "ts", stripped("raw_plate").alias("raw_plate"), KEY, "is_registered")
     return known.groupBy(KEY).applyInPandasWithState(run, RECORDS, STATE, "append", "NoTimeout")
 
 

@@ -14,13 +14,14 @@ GOLDEN = [
     ("154ㄹ17070", None, "154러7070"), ("154럭7070", None, "154러7070"), ("154려7070", None, "154러7070"), ("1547070", None, "1547070"), ("15447070", None, "15447070"),
     ("L67-5736", None, None), ("TEL 627-9336", None, None), ("123456789", None, None), ("1가2345", None, None), ("154리7070", None, "154러7070"), ("12시3456", None, "12서3456"),
     ("12지3456", None, "12저3456"), ("12니3456", None, "12너3456"), ("12이3456", None, "12어3456"), ("12X3456가7890", None, "12X3456"), ("서울1234", "서울1234", "서울1234"),
-    (unicodedata.normalize("NFD", "154러7070"), "154러7070", "154러7070"), ("　12 가　3456 ", "12가3456", "12가3456"), ("", None, None), (None, None, None),
+    *((unicodedata.normalize("NFD", a), b, c) for a, b, c in (("154러7070", "154러7070", "154러7070"), ("12가나1234", "12가나1234", "12가나1234"), ("부산 80\nOf 7890", None, "80아7890"), ("154럭7070", None, "154러7070"))),
+    ("　12 가　3456 ", "12가3456", "12가3456"), ("", None, None), (None, None, None),
 ]
 
 
 @pytest.fixture(scope="module")
 def read(spark):
-    rows = T.composed(spark.createDataFrame([(i, g[0]) for i, g in enumerate(GOLDEN)], "id int, text string"), "text")
+    rows = spark.createDataFrame([(i, g[0]) for i, g in enumerate(GOLDEN)], "id int, text string")
     c = T.clean("text")
     return {r.id: r for r in rows.select("id", T.strict_plate(c).alias("strict"), T.lenient_plate(c).alias("lenient"), T.digit_keys(T.lenient_plate(c)).alias("keys")).collect()}
 
@@ -65,3 +66,11 @@ def test_sql_functions(spark):
     T.register(spark)
     r = spark.sql("SELECT plate_digits('56너9876'), plate_keys('15447070'), plate_middle('12가3456'), middles_agree('56너4895', '56더4895')").first()
     assert tuple(r) == ("569876", ["15447070", "1547070"], "가", False)
+
+
+def test_syllables_as_nfc(spark):
+    rng = random.Random(3)
+    some = lambda: "".join(rng.choice(["가", "각", "힣", "러", "뷁", "ㄱ", "a1 ", "\n", unicodedata.normalize("NFD", "각"), unicodedata.normalize("NFD", "나"), "\u1100", "\u1161", "\u11a8", "가\u11a8", "각\u11a8"]) for _ in range(rng.randint(0, 8)))
+    texts = [some() for _ in range(300)] + ["", None, "no such letters"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.syllables("t")).collect()]
+    assert got == [None if t is None else unicodedata.normalize("NFC", t) for t in texts]

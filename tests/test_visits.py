@@ -189,3 +189,56 @@ def test_finished_visits_are_not_held(spark, monkeypatch):
     got = visits.corrected(frame, spark.createDataFrame(fixes, "event_id long, ts long, action string, visit_id long, canonical string")).collect()
     monkeypatch.undo()
     assert sorted(map(tuple, got), key=repr) == sorted(machine_visits(rows, 90_000, fixes), key=repr)
+
+
+def test_islands_of_a_frequent_key(spark):
+    """Values in a row, over the borders of days: one user has most rows; null keys, values and times."""
+    import random
+
+    from paddock.operators import visits as V
+
+    rng = random.Random(6)
+    rows = [(i, rng.choice([1, 1, 1, 2, None]), rng.choice([None, 0, 1]) if rng.random() < 0.05 else rng.randint(0, 5) * V.PART_MS + rng.randint(0, 40), rng.choice(["a", "a", "a", "b", None] if rng.random() < 0.3 else ["a"])) for i in range(400)]
+    frame = spark.createDataFrame(rows, "id long, u long, ts long, v string")
+    by_key = {}
+    for i, u, ts, v in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[0])):
+        by_key.setdefault(u, []).append((i, v))
+    kept, again = set(), {2: set(), 3: set()}
+    for seen in by_key.values():
+        before, n = None, 0
+        for i, v in seen:
+            same = before is not None and v is not None and before == v
+            n = n + 1 if same else 1
+            again[2].update([i] if n >= 2 else [])
+            again[3].update([i] if n >= 3 else [])
+            if before is None or (v is not None and before != v):
+                kept.add(i)
+            before = v
+    assert {r.id for r in V.consecutive(frame, "u", "v", "ts", "id").collect()} == kept
+    for times, want in again.items():
+        out = V.confirmed(frame, "u", "v", "ts", "id", times=times)
+        assert out.columns == frame.columns and {r.id for r in out.collect()} == want
+
+
+def test_names_are_trimmed_and_messages_are_whole(spark):
+    from paddock.operators import lookup
+    from paddock.operators import visits as V
+
+    seen = spark.createDataFrame([(1, 1_000, " 12가3456 ", "12가3456", True)], "event_id long, ts long, raw_plate string, canonical string, is_registered boolean")
+    assert V.visits(seen).first().plateNumber == "12가3456"
+    counts = spark.createDataFrame([(3, 2, 1), (0, 0, 0)], "added int, already_present int, skipped int")
+    assert [r[0] for r in counts.select(lookup.import_message()).collect()] == ["3대 추가, 2대 이미 등록됨, 1줄 건너뜀", "0대 추가"]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from paddock.scratch import shared_dir
+
+    conf = {"spark.master": "spark://there:7077"}
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=conf.get, set=conf.__setitem__)))
+    conf["spark.checkpoint.dir"] = "hdfs://there/shared/"
+    assert shared_dir(SimpleNamespace(conf=SimpleNamespace(get=conf.get, set=conf.__setitem__))) == "hdfs://there/shared"
