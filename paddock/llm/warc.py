@@ -2,8 +2,9 @@
 
 Only headers are shuffled by digest; they choose, for each payload, the record that stays a response.  Records
 are strings that Spark's own text writer ends with the blank lines that end a WARC record, so archives are
-committed like any other Spark output and a lost executor leaves no half-written file.  Reading parses whole
-files of bounded size by their Content-Length.
+committed like any other Spark output and a lost executor leaves no half-written file.  A task cuts its records into
+files by their running size, so a file holds at most ``FILE_BYTES`` and one record more.  Reading parses whole
+files by their Content-Length.
 """
 
 from __future__ import annotations
@@ -13,12 +14,13 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paddock.llm.common import join_small, written
 
-FILE_BYTES = 16_000_000  #: about how large an archive file gets
+FILE_BYTES = 16_000_000  #: the size at which a file of an archive ends
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 
@@ -33,30 +35,43 @@ def base32_sha1(text: Column) -> Column:
     return F.concat(*out)
 
 
-def _record_id(page_id: Column, digest: Column) -> Column:
-    h = F.md5(F.concat_ws(":", F.lit("record"), page_id.cast("string"), digest))
+def _record_id(*parts: Column) -> Column:
+    h = F.md5(F.concat_ws(":", F.lit("record"), *[F.coalesce(p.cast("string"), F.lit("-")) for p in parts]))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
 def resolved(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Adds ``digest``, ``payload_bytes``, ``record_type`` and ``refers_to`` to (page_id, url, html).
+    """Adds ``digest``, ``payload_bytes``, ``record_type`` and ``refers_to`` to (page_id, url, html[, record_id]).
 
-    Of the records with equal payloads of at least ``least_bytes`` bytes, that with the largest page_id is the
-    response (all of them, if rows repeat it) and the others revisit it.
+    Of the records with equal payloads of at least ``least_bytes`` bytes, that with the largest page_id (then record_id)
+    is the response (all of them, if rows repeat it) and the others revisit it; records without either are responses,
+    unless one with such a name has their payload.  ``refers_record`` names the response where it is one record.
     """
     payload = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", payload.alias("html"), base32_sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
-    headers = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n"))
-    shared = written(headers.where("n > 1").select("digest", "original"), "warc-shared")
+    name = F.col("record_id") if "record_id" in pages.columns else F.lit(None).cast("string")
+    rows = pages.select("page_id", "url", payload.alias("html"), name.alias("record_id"), base32_sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
+    headers = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("digest", "page_id", "record_id").agg(F.count(F.lit(1)).alias("n"))
+    headers = headers.groupBy("digest").agg(F.max(F.struct("page_id", "record_id", "n")).alias("o"), F.sum("n").alias("all"))
+    shared = written(headers.where(F.col("all") > 1).select("digest", F.col("o.page_id").alias("_page"), F.col("o.record_id").alias("_record"), F.col("o.n").alias("_n")), "warc-shared")
     typed = join_small(rows, shared, ["digest"], how="left")
-    revisits = F.coalesce((F.col("payload_bytes") >= least_bytes) & (F.col("page_id").isNull() | (F.col("page_id") != F.col("original"))) & F.col("original").isNotNull(), F.lit(False))
-    return typed.withColumn("record_type", F.when(revisits, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisits, F.col("original"))).drop("original")
+    known = (F.col("payload_bytes") >= least_bytes) & (F.col("_page").isNotNull() | F.col("_record").isNotNull())
+    first = F.col("page_id").eqNullSafe(F.col("_page")) & F.col("record_id").eqNullSafe(F.col("_record"))
+    response_id = F.when(known & (F.col("_n") == 1), _record_id(F.col("_page"), F.col("_record"), F.col("digest")))
+    revisits = F.coalesce(known & ~first, F.lit(False))
+    typed = typed.withColumn("record_type", F.when(revisits, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisits, F.col("_page")))
+    return typed.withColumn("refers_record", response_id).drop("_page", "_record", "_n", "record_id")
 
 
-def records(rows: DataFrame, date: str = "2026-01-01T00:00:00Z") -> DataFrame:
-    """(record): a WARC record for each row of :func:`resolved`, with fresh headers, without its closing blank lines."""
+def records(rows: DataFrame, date: str | None = None) -> DataFrame:
+    """(record): a WARC record for each row of :func:`resolved`, with fresh headers, without its closing blank lines.
+
+    ``date`` (UTC, the time of writing if none is given) is every record's; record ids are unique.
+    """
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
     response = F.col("record_type") == "response"
+    own = F.when(response, F.col("refers_record"))  # the name by which revisits refer to it
+    unique = _record_id(F.col("page_id"), F.col("digest"), F.col("url"), F.monotonically_increasing_id())
+    now = F.lit(date) if date else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     body = F.concat(http, F.when(response, F.col("html")).otherwise(""))
     uri = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
@@ -64,12 +79,12 @@ def records(rows: DataFrame, date: str = "2026-01-01T00:00:00Z") -> DataFrame:
         F.lit("WARC/1.1\r\nWARC-Type: "),
         F.col("record_type"),
         F.lit("\r\n"),
-        line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("digest"))),
-        F.lit(f"WARC-Date: {date}\r\n"),
+        line("WARC-Record-ID", F.coalesce(own, unique)),
+        line("WARC-Date", now),
         line("WARC-Target-URI", uri),
         line("WARC-Page-ID", F.col("page_id").cast("string")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(response, "").otherwise(F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\n"), line("WARC-Refers-To", _record_id(F.col("refers_to"), F.col("digest"))))),
+        F.when(response, "").otherwise(F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\n"), line("WARC-Refers-To", F.col("refers_record")))),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "),
         F.octet_length(body).cast("string"),
         F.lit(END),
@@ -77,18 +92,38 @@ def records(rows: DataFrame, date: str = "2026-01-01T00:00:00Z") -> DataFrame:
     return rows.select(F.concat(head, body).alias("record"))
 
 
+def _numbered(file_bytes: int):
+    """Adds to each record the number of its file in its task: a new one where the last is full."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = size = 0
+        for batch in batches:
+            numbers = []
+            for n in pc.binary_length(batch.column(0)).to_pylist():
+                if size and size + n > file_bytes:
+                    number, size = number + 1, 0
+                size += n + len(END)
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.int32())], ["record", "file"])
+
+    return run
+
+
+def _write(made: DataFrame, path: str, file_bytes: int, mode: str = "error") -> None:
+    made.mapInArrow(_numbered(file_bytes), "record string, file int").write.mode(mode).option("lineSep", END).partitionBy("file").text(path)
+
+
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
-    """Writes a record for every row of (page_id, url, html), which may be null, as deduplicated archives."""
-    size = pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)))).first()[0] or 0
-    each = max(1, int(file_bytes // (size + 800)))
-    records(resolved(pages, least_bytes)).write.option("lineSep", END).option("maxRecordsPerFile", each).text(path)
+    """Writes a record for every row of (page_id, url, html[, record_id]), which may be null, as deduplicated archives."""
+    _write(records(resolved(pages, least_bytes)), path, file_bytes)
 
 
-READ = "page_id long, url string, record_type string, record_id string, refers_to_id string, digest string, payload_bytes long, html string"
+READ = "page_id long, url string, record_type string, record_id string, refers_to_id string, digest string, payload_bytes long, html string, raw string"
 
 
-def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and content of each record of an archive; raises where it isn't one."""
+def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
+    """Header fields (names in lower case), content, and both as they stand of each record of an archive; raises where it
+    isn't one."""
     at, view = 0, memoryview(data)
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
@@ -100,22 +135,25 @@ def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         last = first + int(fields["content-length"])
         if data[last : last + 4] != b"\r\n\r\n":
             raise ValueError(f"the record at byte {at} has no end at byte {last}")
-        yield fields, bytes(view[first:last])
+        yield fields, bytes(view[first:last]), bytes(view[at:last])
         at = last + 4
 
 
 def _read(keep_payload: bool):
     def rows_of(data: bytes):
-        for fields, content in parsed(data):
-            payload = content.partition(b"\r\n\r\n")[2]
-            response = fields["warc-type"] == "response"
-            digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if response else fields["warc-payload-digest"].removeprefix("sha1:")
-            if response and fields["warc-payload-digest"] != f"sha1:{digest}":
-                raise ValueError(f"payload of {fields['warc-record-id']} has another digest")
+        for fields, content, record in parsed(data):
+            kind, digest, payload = fields["warc-type"], fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, None
+            if kind == "response":
+                payload = content.partition(b"\r\n\r\n")[2]
+                told, digest = digest, base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                if told not in (None, digest):
+                    raise ValueError(f"payload of {fields['warc-record-id']} has another digest")
             page = fields.get("warc-page-id")
-            yield page and int(page), fields.get("warc-target-uri"), fields["warc-type"], fields["warc-record-id"], fields.get("warc-refers-to"), digest, len(payload) if response else None, payload.decode("utf-8") if response and keep_payload else None
+            kept = payload.decode("utf-8") if payload is not None and keep_payload else None
+            raw = record.decode("utf-8") if payload is None and keep_payload else None
+            yield page and int(page), fields.get("warc-target-uri"), kind, fields.get("warc-record-id"), fields.get("warc-refers-to"), digest, None if payload is None else len(payload), kept, raw
 
-    kinds = [pa.int64(), *[pa.string()] * 5, pa.int64(), pa.string()]
+    kinds = [pa.int64(), *[pa.string()] * 5, pa.int64(), pa.string(), pa.string()]
     names = [x.split()[0] for x in READ.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +173,8 @@ def _read(keep_payload: bool):
 
 
 def read_archives(spark: SparkSession, path: str, keep_payload: bool = False) -> DataFrame:
-    """Records of archives; every response's payload digest is checked.  ``html`` is null without ``keep_payload``."""
+    """Records of archives; every response's payload digest is checked, if it has one.  ``html`` (of responses) and ``raw``
+    (the other records as they stand) are null without ``keep_payload``.  Payloads must be UTF-8."""
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(_read(keep_payload), READ)
 
@@ -143,17 +182,28 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = False) ->
 def resolve(read: DataFrame) -> DataFrame:
     """Joins revisits to the response of their digest: (page_id, url, digest, record_type, refers_to, payload_bytes, html).
 
-    A revisit whose response is in none of the archives keeps null there.
+    A revisit whose response is in none of the archives keeps null there; records of other types are left out.
     """
     responses = read.where("record_type = 'response'")
-    originals = responses.groupBy("digest").agg(F.max(F.struct("page_id", "payload_bytes", "html")).alias("o"))
-    revisits = read.where("record_type = 'revisit'").drop("payload_bytes", "html").join(originals, "digest", "left")
-    shape = ["page_id", "url", "digest", "record_type"]
-    found = revisits.select(*shape, F.col("o.page_id").alias("refers_to"), F.col("o.payload_bytes").alias("payload_bytes"), F.col("o.html").alias("html"))
-    return responses.select(*shape, F.lit(None).cast("long").alias("refers_to"), "payload_bytes", "html").unionByName(found)
+    originals = responses.groupBy("digest").agg(F.max(F.struct("page_id", "record_id")).alias("o"), F.max("payload_bytes").alias("payload_bytes"))
+    originals = written(originals.select("digest", F.col("o.page_id").alias("refers_to"), F.col("o.record_id").alias("_record"), "payload_bytes"), "warc-originals")
+    revisits = join_small(read.where("record_type = 'revisit'").drop("payload_bytes", "html", "raw"), originals, ["digest"], how="left")
+    # payloads travel to the revisits of their response alone; plain tables, so that the planner may split a frequent one
+    bodies = responses.where("html is not null").select(F.col("record_id").alias("_record"), "html")
+    told = written(revisits, "warc-revisits").join(written(bodies, "warc-bodies"), "_record", "left")
+    shape = ["page_id", "url", "digest", "record_type", "refers_to", "payload_bytes", "html", "record_id"]
+    return responses.withColumn("refers_to", F.lit(None).cast("long")).select(shape).unionByName(told.select(shape))
+
 
+def deduplicate(spark: SparkSession, source: str, path: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
+    """Reads archives, resolves their revisits and writes deduplicated archives with fresh headers.
 
-def deduplicate(spark: SparkSession, source: str, path: str, least_bytes: int = 0) -> None:
-    """Reads archives, resolves their revisits and writes deduplicated archives with fresh headers."""
-    whole = written(resolve(read_archives(spark, source, keep_payload=True)).select("page_id", "url", "html"), "warc-resolved")
-    write_archives(whole, path, least_bytes)
+    Revisits without a response in the archives and records of other types are written as they stand.
+    """
+    read = written(read_archives(spark, source, keep_payload=True), "warc-read")
+    whole = written(resolve(read), "warc-resolved")
+    write_archives(whole.where("html is not null").select("page_id", "url", "html", "record_id"), path, least_bytes, file_bytes)
+    lost = whole.where("html is null").select("record_id", "digest").distinct()  # revisits of what isn't here
+    kept = read.where("raw is not null and record_type <> 'revisit'").select(F.col("raw").alias("record"))
+    alone = read.where("record_type = 'revisit'").join(lost, ["record_id", "digest"], "left_semi").select(F.col("raw").alias("record"))
+    _write(kept.unionByName(alone), path, file_bytes, mode="append")
