@@ -169,6 +169,25 @@ ORACLES = {
     "visits_cooldown_long": f"{LONG} SELECT event_id, canonical, ts, kind FROM records",
     "visits_toggle": BASE.replace("WITH", "WITH RECURSIVE", 1) + f""",{RESOLVED_SQL},{TOGGLE}
 SELECT event_id AS id, raw_plate AS plateNumber, canonical AS canonicalPlate, is_registered AS isRegistered, ts AS entryAt, exitAt, greatest(0, exitAt - ts) AS durationMs FROM told WHERE k % 2 = 1""".replace("greatest(0, exitAt - ts)", "CASE WHEN exitAt IS NOT NULL THEN greatest(0, exitAt - ts) END"),
+    "visits_corrections": BASE.replace("WITH", "WITH RECURSIVE", 1) + f""",{RESOLVED_SQL},{TOGGLE},
+ev AS (SELECT canonical, ts, 0 AS turn, event_id, raw_plate AS plate, is_registered AS reg, NULL::VARCHAR AS action, NULL::BIGINT AS vid FROM resolved WHERE canonical <> ''
+  UNION ALL SELECT canonical, ts + 60000, 1, event_id, NULL::VARCHAR, NULL::BOOLEAN, ['undo', 'convert', 'close', 'delete'][event_id % 4 + 1], event_id FROM told WHERE k % 2 = 1),
+seq AS (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY ts, turn, event_id) AS n FROM ev),
+m AS (
+  SELECT DISTINCT canonical, 0::BIGINT AS n, NULL::BIGINT AS since, []::STRUCT(id BIGINT, plate VARCHAR, reg BOOLEAN, entered BIGINT, gone BIGINT)[] AS vs FROM seq
+  UNION ALL SELECT canonical, n, CASE WHEN turn = 0 AND due THEN ts WHEN turn = 0 OR action = 'convert' THEN since END,
+    CASE WHEN turn = 0 AND NOT due THEN vs
+      WHEN turn = 0 AND latest IS NULL THEN list_append(vs, {{'id': event_id, 'plate': plate, 'reg': reg, 'entered': ts, 'gone': NULL::BIGINT}})
+      WHEN turn = 0 THEN list_transform(vs, lambda v: CASE WHEN v.id = latest THEN {{'id': v.id, 'plate': v.plate, 'reg': v.reg, 'entered': v.entered, 'gone': ts}} ELSE v END)
+      ELSE list_transform(list_filter(vs, lambda v: NOT (v.id = vid AND (action = 'delete' OR (action = 'undo' AND v.gone IS NULL)))), lambda v: CASE
+        WHEN v.id <> vid THEN v
+        WHEN action = 'undo' THEN {{'id': v.id, 'plate': v.plate, 'reg': v.reg, 'entered': v.entered, 'gone': NULL::BIGINT}}
+        WHEN v.gone IS NULL AND action = 'close' THEN {{'id': v.id, 'plate': v.plate, 'reg': v.reg, 'entered': v.entered, 'gone': ts}}
+        WHEN v.gone IS NULL AND action = 'convert' THEN {{'id': v.id, 'plate': v.plate, 'reg': v.reg, 'entered': NULL::BIGINT, 'gone': coalesce(v.entered, ts)}} ELSE v END) END
+  FROM (SELECT s.*, m.since, m.vs, m.since IS NULL OR s.ts - m.since >= 90000 AS due, list_max(list_transform(list_filter(m.vs, lambda v: v.gone IS NULL), lambda v: v.id)) AS latest
+    FROM m JOIN seq s ON s.canonical = m.canonical AND s.n = m.n + 1)),
+ends AS (SELECT canonical, unnest(vs) AS v FROM m QUALIFY n = max(n) OVER (PARTITION BY canonical))
+SELECT v.id AS id, v.plate AS plateNumber, canonical AS canonicalPlate, v.reg AS isRegistered, v.entered AS entryAt, v.gone AS exitAt, CASE WHEN v.entered IS NOT NULL AND v.gone IS NOT NULL THEN greatest(0, v.gone - v.entered) END AS durationMs FROM ends""",
     "visits_stream_records": f"""{LONG}, k AS (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY ts, event_id) AS k FROM records),
 e AS (SELECT canonical, k, event_id, ts FROM k WHERE k % 2 = 1)
 SELECT k.canonical, k.kind, e.event_id AS visit_id, k.ts, k.canonical AS plate, k.canonical::BIGINT % 4 <> 3 AS registered, CASE WHEN k.kind = 'EXIT' THEN k.ts - e.ts END AS duration_ms
