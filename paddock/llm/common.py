@@ -53,7 +53,7 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], limit: int = B
         return big.join(F.broadcast(small), keys, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # the salt of a row follows from the row: one that is read again after a loss goes where it went before
-    own = [F.col(c) for c in big.columns if not isinstance(big.schema[c].dataType, MapType)]
+    own = [F.col(f"`{c}`") for c in big.columns if not isinstance(big.schema[c].dataType, MapType)]
     return big.withColumn("_salt", F.pmod(F.xxhash64(*own), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -1,8 +1,8 @@
 """Connected components of a link table, by alternating stars.
 
-Links stay a distributed table; every round is two aggregations by the smallest neighbour with joins back, which
-combine map-side and let the adaptive planner split a node with very many links.  Rounds grow with the logarithm
-of the longest chain, and each one's links are written to the shared folder, so no lineage builds up.
+Links stay a distributed table; every round is two aggregations by the smallest neighbour, which combine map-side, with
+joins back, which are broadcast or salted, so that a node with very many links is many tasks' work.  Rounds grow with
+the logarithm of the longest chain, and each one's links are written to the shared folder, so no lineage builds up.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.llm.common import written
+from paddock.llm.common import join_small, written
 
 
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,11 +23,11 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = None
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = join_small(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         large = written(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        joined = join_small(large, least, ["u"])
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         stars = written(small, "small")
         found = tuple(stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -14,6 +14,7 @@ blocks, is compared with every chunk: the result is exact, and quadratic only in
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -27,33 +28,43 @@ from paddock.llm.components import connected
 from paddock.llm.hashing import grams, mixed, word_hashes
 
 CIRCLE = 1 << 20
-ROWS, BANDS = 6, 32  #: at a similarity of 0.85 all bands miss with a probability of 3e-7
+MISS = 5e-7  #: most probable miss of a pair just at the threshold, by all bands together
+ROWS, MOST_BANDS = 6, 128  #: rows of a band, and fewer where a low threshold would need more bands than these
 GROUP_DOCS, GROUP_SHINGLES = 1_000, 2_000_000  #: most classes and shingles that one task compares with each other
 COLUMNS = 4_096
 
 SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>"
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): at 85 percent 31 bands of 6 rows, at 80 percent 48."""
+    for rows in range(ROWS, 0, -1):
+        hit = min(percent / 100, 1 - 1e-9) ** rows
+        bands = math.ceil(math.log(MISS) / math.log1p(-hit))
+        if bands <= MOST_BANDS or rows == 1:
+            return max(1, bands), rows
+
+
 @lru_cache(2)
-def circle(seed: int = 1) -> np.ndarray:
+def circle(coordinates: int, seed: int = 1) -> np.ndarray:
     """The second permutation, with its first coordinates repeated so that every shift is a plain slice."""
     turn = np.random.default_rng(seed).permutation(CIRCLE).astype(np.int32)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([turn, turn[: ROWS * BANDS - 1]]), ROWS * BANDS)
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([turn, turn[: coordinates - 1]]), coordinates)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
     """Least value of the shifted permutation over the places of the shingles, for every shift."""
     places = (mixed(shingles + np.uint64(0x5851F42D4C957F2D)) % np.uint64(CIRCLE)).astype(np.int64)
-    turn, least = circle(), np.full(ROWS * BANDS, CIRCLE, np.int32)
+    turn, least = circle(coordinates), np.full(coordinates, CIRCLE, np.int32)
     for k in range(0, len(places), 2_048):
         np.minimum(least, turn[places[k : k + 2_048]].min(axis=0), out=least)
     return least
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    rows = least.astype(np.uint64).reshape(BANDS, ROWS)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
+def band_keys(least: np.ndarray, bands: int) -> np.ndarray:
+    rows = least.astype(np.uint64).reshape(bands, -1)
+    key = np.arange(bands, dtype=np.uint64)
+    for k in range(rows.shape[1]):
         key = mixed(key * np.uint64(0x2545F4914F6CDD1D) + rows[:, k])
     return key.astype(np.int64)
 
@@ -73,7 +84,9 @@ def digest_of(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _sign(size: int) -> Callable:
+def _sign(size: int, percent: int) -> Callable:
+    bands, rows = banding(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, 1, 1_000_000):
             sets = shingle_sets(part.column(1).to_pylist(), size)
@@ -82,7 +95,7 @@ def _sign(size: int) -> Callable:
                     part.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([digest_of(s) for s in sets], pa.binary()),
-                    pa.array([band_keys(signature(s)) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                    pa.array([band_keys(signature(s, bands * rows), bands) if len(s) else [] for s in sets], pa.list_(pa.int64())),
                 ],
                 ["doc_id", "n_shingles", "digest", "bands"],
             )
@@ -196,7 +209,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     empty) link with nothing; rows with a null id have a null component and stay; repeated rows come back repeated.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = written(texts.mapInArrow(_sign(size), SIGNED), "signed")
+    signed = written(texts.mapInArrow(_sign(size, percent), SIGNED), "signed")
     usable = F.col("n_shingles") > 0
     classes = signed.where(usable & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -93,11 +94,32 @@ def test_defaults_and_empty_table(spark):
 
 
 def test_circulant_coordinates_shift_one_permutation():
-    turn = minhash.circle()
+    turn = minhash.circle(192)
     assert sorted(turn[:, 0].tolist()) == list(range(minhash.CIRCLE))
     assert (turn[5:105, 0] == turn[:100, 5]).all() and (turn[minhash.CIRCLE - 1, 1:4] == turn[0, :3]).all()
 
 
+def test_bands_follow_the_threshold():
+    """A pair just at the threshold shares no band with a probability of MISS at most, whatever the threshold."""
+    assert minhash.banding(85) == (31, 6) and minhash.banding(80) == (48, 6)
+    for percent in range(1, 101):
+        bands, rows = minhash.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= minhash.MISS * 1.001 and (bands <= minhash.MOST_BANDS or rows == 1)
+        least = minhash.signature(np.arange(50, dtype=np.uint64), bands * rows)
+        assert len(minhash.band_keys(least, bands)) == bands
+
+
+def test_one_hub_with_most_links(spark, monkeypatch):
+    """A star, joined by broadcast and by salted keys."""
+    from paddock.llm import common
+
+    for limit in (100_000, 0):
+        monkeypatch.setattr(common.join_small, "__defaults__", (limit, "inner"))
+        links = [(0, i) for i in range(1, 3000)] + [(5000, 5001), (2999, 4000)]
+        got = {r.id: r.component for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}
+        assert got == {**{i: 0 for i in range(3000)}, 4000: 0, 5000: 5000, 5001: 5000}
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(9)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1200)] + [(5, 5), (None, 3)]
