@@ -162,6 +162,19 @@ def components_box(spark, sf_dir):
     return rows.select("vec_id", F.array_join("line", ",").alias("line"), F.array_join("box", ",").alias("box"), F.array_join("tight", ",").alias("tight"), F.round(F.col("glyph")[1], 4).alias("pitch"))
 
 
+def tight_boxes(spark, sf_dir):
+    return _images(spark, sf_dir).select("vec_id", F.array_join(glyphs.tight_box("image"), ",").alias("box"))
+
+
+def dark_rows_cut(spark, sf_dir):
+    kept = _images(spark, sf_dir).select("vec_id", glyphs.without_dark_rows("image").alias("px"))
+    return kept.select("vec_id", F.size("px").alias("pixels"), F.aggregate("px", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
+def glyph_template(spark, sf_dir):
+    return _images(spark, sf_dir).select("vec_id", F.size(F.filter(glyphs.template("image"), lambda x: x)).alias("ink"))
+
+
 def glyph_inputs(spark, sf_dir):
     rows = _images(spark, sf_dir).select("vec_id", glyphs.prepared("image", 16).alias("x"), glyphs.template("image").alias("t"))
     return rows.select("vec_id", F.round(F.array_max("x"), 5).alias("greatest"), F.size(F.filter("t", lambda x: x)).alias("ink"))
@@ -222,6 +235,28 @@ cases AS (
 g AS (
   SELECT event_id, regexp_extract(expected, '^[0-9]{{3}}(.)[0-9]{{4}}$', 1) AS label, nullif(regexp_extract(raw_plate, '^[0-9]{{3}}(.)[0-9]{{4}}$', 1), '') AS predicted, nullif(regexp_extract(actual, '^[0-9]{{3}}(.)[0-9]{{4}}$', 1), '') AS after FROM cases)"""
 GRAY_SQL = "v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings), px AS (SELECT vec_id, k, CASE WHEN max(x) OVER w > min(x) OVER w THEN floor((x - min(x) OVER w) * 255 / (max(x) OVER w - min(x) OVER w))::INT ELSE 0 END AS p FROM v WINDOW w AS (PARTITION BY vec_id))"
+BIG_SQL = f"{GRAY_SQL}, big AS (SELECT vec_id, k // 8 * 4 + dy AS y, k % 8 * 4 + dx AS x, p FROM px, (SELECT unnest(range(4)) AS dy), (SELECT unnest(range(4)) AS dx) WHERE k < 64)"
+INK_SQL = f"""{BIG_SQL},
+across AS (SELECT *, sum(p) OVER w AS s, count(*) OVER w AS c FROM big WINDOW w AS (PARTITION BY vec_id, y ORDER BY x ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING)),
+ink AS (SELECT vec_id, y, x, p < sum(s) OVER w // sum(c) OVER w - 15 AS ink FROM across WINDOW w AS (PARTITION BY vec_id, x ORDER BY y ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING))"""
+OTSU_SQL = """h AS (SELECT vec_id, p, count(*) AS n FROM px GROUP BY ALL),
+c AS (SELECT vec_id, p, n, sum(n) OVER w AS k, sum(n * p) OVER w AS part, sum(n) OVER a AS total, sum(n * p) OVER a AS whole FROM h WINDOW w AS (PARTITION BY vec_id ORDER BY p), a AS (PARTITION BY vec_id)),
+o AS (SELECT vec_id, p, CASE WHEN k < total THEN k::DOUBLE * (total - k)::DOUBLE * (part::DOUBLE / k::DOUBLE - (whole - part)::DOUBLE / (total - k)::DOUBLE) ** 2 ELSE 0 END AS between FROM c),
+otsu AS (SELECT vec_id, CASE WHEN max(between) > 0 THEN arg_max(p, (round(between, 3), -p)) ELSE 127 END AS threshold FROM o GROUP BY vec_id)"""
+#: Holes: gaps in the strokes closed (each pixel's neighbours, then back), what the edge doesn't reach, in connected parts.
+HOLES_SQL = f"""{BIG_SQL},{OTSU_SQL},
+b0 AS (SELECT vec_id, y, x, p <= threshold AS d FROM big JOIN otsu USING (vec_id)),
+b1 AS (SELECT vec_id, y, x, bool_or(d) OVER (PARTITION BY vec_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS d FROM b0),
+b2 AS (SELECT vec_id, y, x, bool_or(d) OVER (PARTITION BY vec_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS d FROM b1),
+b3 AS (SELECT vec_id, y, x, bool_and(d) OVER (PARTITION BY vec_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS d FROM b2),
+b4 AS (SELECT vec_id, y, x, bool_and(d) OVER (PARTITION BY vec_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS d FROM b3),
+white AS MATERIALIZED (SELECT vec_id, y::INT AS y, x::INT AS x FROM b4 WHERE NOT d),
+edges AS MATERIALIZED (SELECT a.vec_id, a.y, a.x, b.y AS y2, b.x AS x2 FROM white a JOIN white b ON a.vec_id = b.vec_id AND ((a.y = b.y AND a.x = b.x + 1) OR (a.y = b.y AND a.x + 1 = b.x) OR (a.x = b.x AND a.y = b.y + 1) OR (a.x = b.x AND a.y + 1 = b.y))),
+outer_ AS (SELECT vec_id, y, x FROM white WHERE y IN (0, 31) OR x IN (0, 31) UNION SELECT e.vec_id, y2, x2 FROM outer_ o JOIN edges e USING (vec_id, y, x)),
+inside AS MATERIALIZED (SELECT * FROM white EXCEPT SELECT * FROM outer_),
+part AS (SELECT vec_id, y, x, y AS ry, x AS rx FROM inside UNION SELECT e.vec_id, e.y2, e.x2, ry, rx FROM part p JOIN edges e USING (vec_id, y, x)),
+named AS (SELECT vec_id, y, x, min(ry * 32 + rx) AS name FROM part GROUP BY ALL),
+sized AS (SELECT vec_id, name, count(*) AS n FROM named GROUP BY ALL)"""
 FRAME = f"WITH {SIGHTINGS_SQL},{BLOCKS_SQL}"
 READ = f"{FRAME},{P.REPAIR},{P.lenient('numbered', 'id', 'text')},\nf AS (SELECT numbered.*, lenient FROM numbered JOIN read USING (id))"
 
@@ -229,7 +264,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stacked_line_pairs, frame_extract, ambiguous_blocks, box_geometry, vec_standardize, vec_otsu, vec_dice, vec_argmax_masked, vec_top2_margin, vec_moving_avg, vec_order_statistics, integral_image,
-        ink_mask, hole_count, deskew_slope, components_box, glyph_inputs, eval_accuracy, eval_recall, eval_confusions, eval_repairs, eval_agreement, eval_labels, eval_middle_accuracy, vec_sweep_best, glyph_slots, frames_without_syllable,
+        ink_mask, hole_count, deskew_slope, components_box, glyph_inputs, eval_accuracy, eval_recall, eval_confusions, eval_repairs, eval_agreement, eval_labels, eval_middle_accuracy, vec_sweep_best, glyph_slots, frames_without_syllable, tight_boxes, dark_rows_cut, glyph_template,
     )
 }
 ORACLES = {
@@ -243,10 +278,25 @@ SELECT event_id, CASE turn WHEN 90 THEN 540 - b WHEN 180 THEN 960 - r WHEN 270 T
   l * 2 + 7 AS shown_l, t * 2 - 3 AS shown_t, r * 2 + 7 AS shown_r, b * 2 - 3 AS shown_b,
   greatest(l - trunc(pw)::INT, 0) AS near_l, greatest(t - trunc(ph)::INT, 0) AS near_t, least(r + trunc(pw)::INT, 960) AS near_r, least(b + trunc(ph)::INT, 540) AS near_b, wl AS widest_l, wt AS widest_t FROM p JOIN w USING (event_id)""",
     "vec_standardize": f"WITH {GRAY_SQL}, s AS (SELECT vec_id, (x - avg(x) OVER w) / (stddev_pop(x) OVER w + 1e-6) AS z FROM v WINDOW w AS (PARTITION BY vec_id)) SELECT vec_id, round(max(z), 5) AS greatest, round(min(z), 5) AS least FROM s GROUP BY vec_id",
-    "vec_otsu": f"""WITH {GRAY_SQL}, h AS (SELECT vec_id, p, count(*) AS n FROM px GROUP BY ALL),
-c AS (SELECT vec_id, p, n, sum(n) OVER w AS k, sum(n * p) OVER w AS part, sum(n) OVER a AS total, sum(n * p) OVER a AS whole FROM h WINDOW w AS (PARTITION BY vec_id ORDER BY p), a AS (PARTITION BY vec_id)),
-o AS (SELECT vec_id, p, CASE WHEN k < total THEN k::DOUBLE * (total - k)::DOUBLE * (part::DOUBLE / k::DOUBLE - (whole - part)::DOUBLE / (total - k)::DOUBLE) ** 2 ELSE 0 END AS between FROM c)
-SELECT vec_id, threshold, most FROM (SELECT vec_id, CASE WHEN max(between) > 0 THEN arg_max(p, (round(between, 3), -p)) ELSE 127 END AS threshold FROM o GROUP BY vec_id) JOIN (SELECT vec_id, max(n) AS most FROM h GROUP BY vec_id) USING (vec_id)""",
+    "vec_otsu": f"WITH {GRAY_SQL},{OTSU_SQL} SELECT vec_id, threshold, most FROM otsu JOIN (SELECT vec_id, max(n) AS most FROM h GROUP BY vec_id) USING (vec_id)",
+    "tight_boxes": f"""WITH {INK_SQL}, r AS (SELECT vec_id, y FROM ink GROUP BY vec_id, y HAVING count(*) FILTER (ink) BETWEEN 2 AND 19), t AS (SELECT vec_id, min(y) AS top, max(y) AS bottom FROM r GROUP BY vec_id HAVING max(y) - min(y) >= 3),
+c AS (SELECT vec_id, any_value(top) AS top, any_value(bottom) AS bottom, min(x) AS l, max(x) AS r FROM ink JOIN t USING (vec_id) WHERE ink AND y BETWEEN top AND bottom GROUP BY vec_id HAVING max(x) - min(x) >= 3)
+SELECT vec_id, CASE WHEN l IS NOT NULL THEN l || ',' || top || ',' || r + 1 || ',' || bottom + 1 END AS box FROM embeddings LEFT JOIN c USING (vec_id)""",
+    "dark_rows_cut": f"""WITH {BIG_SQL}, a AS (SELECT vec_id, y, p, row_number() OVER (PARTITION BY vec_id ORDER BY p) - 1 AS n, row_number() OVER (PARTITION BY vec_id, y ORDER BY p) - 1 AS m FROM big),
+b AS (SELECT vec_id, max(p) FILTER (n = 870) AS bright FROM a GROUP BY vec_id), f AS (SELECT vec_id, y FROM a JOIN b USING (vec_id) WHERE m = 16 AND bright > 1 AND p::FLOAT >= (bright::DOUBLE * 0.55::FLOAT::DOUBLE)::FLOAT),
+k AS (SELECT vec_id, min(y) AS top, max(y) AS bottom FROM f GROUP BY vec_id HAVING max(y) - min(y) + 1 >= 11)
+SELECT vec_id, count(*)::INT AS pixels, sum(p)::BIGINT AS total FROM big LEFT JOIN k USING (vec_id) WHERE top IS NULL OR y BETWEEN top AND bottom GROUP BY vec_id""",
+    "glyph_template": f"""WITH {BIG_SQL},{OTSU_SQL}, i AS (SELECT vec_id, y, x FROM big JOIN otsu USING (vec_id) WHERE p < threshold),
+e AS (SELECT vec_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM i GROUP BY vec_id HAVING max(x) > min(x) AND max(y) > min(y)),
+l AS (SELECT *, least(x0 + greatest(1, (x1 - x0 + 1) // 18), x1) AS l FROM e), r AS (SELECT *, greatest(x1 - greatest(1, (x1 - x0 + 1) // 18), l) AS r FROM l),
+g AS (SELECT vec_id, l + c * (r - l + 1) // 48 AS x, y0 + d * (y1 - y0 + 1) // 72 AS y FROM r, (SELECT unnest(range(48)) AS c), (SELECT unnest(range(72)) AS d)),
+n AS (SELECT g.vec_id, count(i.x)::INT AS ink FROM g LEFT JOIN i ON i.vec_id = g.vec_id AND i.x = g.x AND i.y = g.y GROUP BY g.vec_id)
+SELECT vec_id, ink FROM embeddings LEFT JOIN n USING (vec_id)""",
+    "ink_mask": f"WITH {INK_SQL} SELECT vec_id, count(*) FILTER (ink)::INT AS ink FROM ink GROUP BY vec_id",
+    "deskew_slope": f"""WITH {INK_SQL}, c AS (SELECT vec_id, x, count(*) FILTER (ink) AS n, sum(y) FILTER (ink) AS s FROM ink GROUP BY vec_id, x),
+t AS (SELECT vec_id, CASE WHEN count(*) >= 8 THEN round(regr_slope(s::DOUBLE / n, x::DOUBLE), 6) END AS slope FROM c WHERE n >= 2 GROUP BY vec_id)
+SELECT vec_id, slope, 1024 AS pixels FROM embeddings LEFT JOIN t USING (vec_id)""",
+    "hole_count": f"WITH RECURSIVE {HOLES_SQL} SELECT e.vec_id, count(n)::INT AS holes FROM embeddings e LEFT JOIN sized s ON s.vec_id = e.vec_id AND n >= 12 GROUP BY e.vec_id",
     "vec_dice": "WITH v AS (SELECT vec_id, unnest(embedding) > 0 AS a, unnest(list_reverse(embedding)) > 0.05 AS b FROM embeddings), s AS (SELECT vec_id, count(*) FILTER (a) AS x, count(*) FILTER (b) AS y, count(*) FILTER (a AND b) AS z FROM v GROUP BY vec_id) SELECT vec_id, round(CASE WHEN x + y = 0 THEN 0 ELSE 2.0::DOUBLE * z / (x + y) END, 6) AS dice FROM s",
     "vec_argmax_masked": f"WITH {GRAY_SQL}, s AS (SELECT *, vec_id % 2 > 0 OR strpos('{glyphs.CLOSED}', substr('{GLYPHS}', k::INT + 1, 1)) = 0 AS able FROM v WHERE k < 40) SELECT vec_id, arg_max(k, (x, -k))::INT AS plain, arg_max(k, (x, -k)) FILTER (able)::INT AS possible FROM s GROUP BY vec_id",
     "vec_top2_margin": f"WITH {GRAY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, k) AS n FROM v), t AS (SELECT vec_id, max(x) FILTER (n = 1) AS best, max(k) FILTER (n = 1)::INT AS place, max(x) FILTER (n = 2) AS second FROM r GROUP BY vec_id) SELECT vec_id, round(best, 6) AS best, place, round(best - second, 6) AS margin, best >= 0.6 AND best - second >= 0.05 AS confident FROM t",
