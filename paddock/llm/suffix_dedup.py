@@ -10,10 +10,10 @@ begins s words before the anchor; deeper nodes only repeat more of the same text
 
 Where a partition holds more suffixes than a task should, its prefix is lengthened.  All windows that begin lo to hi
 words before the anchor share the W - (hi - lo) words from lo words before it on: that is the prefix of a suffix
-which begins there.  So the partition is halved by where windows begin, each half being partitioned by a longer
-prefix (8, 29, 40 words for W = 50), as often as ``HALVINGS`` says; what still doesn't fit is lengthened to the whole
-W words.  Those partitions are nodes already, and only their least document is needed, which is an aggregation that
-combines map-side.
+which begins there.  So the partition is cut in four by where windows begin, each piece being partitioned by a longer
+prefix (8, 40, 48, 50 words for W = 50), until all fit.  At each length, suffixes with the same words are one, that of
+the smallest document, and the others are covered as far as their windows reach; so a passage that is copied very
+often is settled, and only what differs around its ends goes on.
 
 Documents with the same words are one document (that with the smallest id) before any of this; the others are
 covered as a whole.
@@ -35,7 +35,6 @@ from paddock.llm.hashing import grams, word_hashes
 
 WINDOW, PREFIX = 50, 8
 GROUP_ROWS = 2_500  #: most suffixes of one prefix that meet in a task: some 15 MB with their trees
-HALVINGS = 2  #: how often a prefix is lengthened before it becomes the whole window
 CHUNK_ROWS = 8_192  #: suffixes that a task sorts at a time, in whole groups
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -59,16 +58,24 @@ def _sliding(x: np.ndarray, width: int, ufunc) -> np.ndarray:
     return x
 
 
-def anchors(hashes: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the anchors of every window of a document's words, and their hashes; all of them at ties."""
+def anchors(hashes: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the anchors of every window of a document's words, and their hashes; all of them at ties.  And how many
+    words before an anchor its windows begin, at least and at most: they are consecutive, and each is its anchor's alone
+    but for ties."""
     if len(hashes) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        none = np.zeros(0, np.int64)
+        return none, np.zeros(0, np.uint64), none, none
     g, width = grams(hashes, prefix), window - prefix + 1
     least = _sliding(g, width, np.minimum)  # one per window
     # a place is an anchor if it is the least of some window over it: of those windows' least ones, the greatest
     padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
     places = np.flatnonzero(_sliding(padded, width, np.maximum) == g)
-    return places, g[places]
+    lo, hi = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+    for k in range(0, len(places), 4_096):  # in blocks, as each anchor looks at all windows over it
+        own = places[k : k + 4_096]
+        mine = np.lib.stride_tricks.sliding_window_view(padded, width)[own] == g[own, None]
+        lo[k : k + 4_096], hi[k : k + 4_096] = mine[:, ::-1].argmax(axis=1), width - 1 - mine.argmax(axis=1)
+    return places, g[places], lo, hi
 
 
 def _first_pass(window: int, prefix: int) -> Callable:
@@ -77,45 +84,48 @@ def _first_pass(window: int, prefix: int) -> Callable:
             texts = part.column(1).to_pylist()
             hashes, counts = word_hashes(texts)
             digests = [hashlib.sha256(b" ".join(words_of(t))).digest() for t in texts]
-            places, found, at = [], [], 0
+            made, at = [], 0
             for n in counts.tolist():
-                p, h = anchors(hashes[at : at + n], window, prefix)
-                places.append(p.astype(np.int32))
-                found.append(h.view(np.int64))
+                made.append(anchors(hashes[at : at + n], window, prefix))
                 at += n
-            ints = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, places)]), pa.int32()), pa.array(np.concatenate(places), pa.int32()))
-            longs = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found), pa.int64()))
-            columns = [part.column(0), pa.array(counts), pa.array([d.hex() for d in digests]), pa.array([key_of(d) for d in digests], pa.int64()), ints, longs]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "sha", "key", "places", "anchors"])
+            bounds = pa.array(np.cumsum([0, *(len(m[0]) for m in made)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(x).astype(np.uint64).view(np.int64).astype(t))) for x, t in zip(zip(*made), (np.int32, np.int64, np.int16, np.int16))]
+            columns = [part.column(0), pa.array(counts), pa.array([d.hex() for d in digests]), pa.array([key_of(d) for d in digests], pa.int64()), *lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "sha", "key", "places", "anchors", "los", "his"])
 
     return run
 
 
-FIRST = "doc_id long, n_words long, sha string, key long, places array<int>, anchors array<long>"
+FIRST = "doc_id long, n_words long, sha string, key long, places array<int>, anchors array<long>, los array<short>, his array<short>"
 #: suffixes of a document under the prefix ``g``, for windows that begin lo to hi words before the anchor: words around the
-#: anchor, ``left`` of them before it, and the runs of places that look so
-CONTEXT = pa.schema([("g", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("left", pa.int32()), ("words", pa.binary()), ("begins", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
-CONTEXT_SQL = "g long, lo int, hi int, doc_id long, key long, left int, words binary, begins array<int>, ends array<int>"
+#: anchor, ``left`` before and ``ahead`` from it on, as far as its own windows reach, and the runs of places (a window apart at most) that look so
+CONTEXT = pa.schema([("g", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("left", pa.int32()), ("ahead", pa.int32()), ("words", pa.binary()), ("begins", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+CONTEXT_SQL = "g long, lo int, hi int, doc_id long, key long, left int, ahead int, words binary, begins array<int>, ends array<int>"
 
 
-def halves(lo: int, hi: int) -> list[tuple[int, int]]:
-    return [(lo, (lo + hi) // 2), ((lo + hi) // 2 + 1, hi)] if lo < hi else [(lo, hi)]
+def pieces(lo: int, hi: int) -> list[tuple[int, int]]:
+    """A range cut in four, or fewer where it has fewer numbers."""
+    n = min(4, hi - lo + 1)
+    cuts = [lo + (hi - lo + 1) * k // n for k in range(n + 1)]
+    return [(a, b - 1) for a, b in zip(cuts, cuts[1:])]
 
 
-def lengthened(words: list[bytes], at: int, lo: int, hi: int, window: int) -> tuple[int, int, bytes] | None:
-    """(prefix hash, words before the anchor, words around it) of the suffix that begins ``lo`` words before the anchor at
-    ``at``; None where no window that begins lo to hi words before it is within the words."""
-    if at < lo or at + window - hi > len(words):
+def lengthened(words: list[bytes], at: int, a: int, b: int, lo: int, hi: int, window: int) -> tuple[int, int, int, bytes] | None:
+    """(prefix hash, words before the anchor and from it on, words around it) of the suffix that begins ``lo`` words before the anchor at
+    ``at``, for those of its windows, which begin a to b words before the anchor, that begin lo to hi words before it;
+    None where there are none."""
+    a, b = max(a, lo), min(b, hi)
+    if a > b:
         return None
-    first = max(0, at - hi)
     prefix = hashlib.blake2b(b"%d %d " % (lo, hi) + b" ".join(words[at - lo : at + window - hi]), digest_size=8)
-    return key_of(prefix.digest()), at - first, b" ".join(words[first : at + window - lo])
+    return key_of(prefix.digest()), b, window - a, b" ".join(words[at - b : at + window - a])
 
 
-def runs(places: list[int]) -> tuple[list[int], list[int]]:
-    """First and last of each run of consecutive numbers in an ascending list."""
-    begins = [p for k, p in enumerate(places) if not k or places[k - 1] + 1 != p]
-    ends = [p for k, p in enumerate(places) if k + 1 == len(places) or places[k + 1] != p + 1]
+def runs(places: list[int], apart: int) -> tuple[list[int], list[int]]:
+    """First and last of each run of an ascending list's numbers that are ``apart`` at most.  With a window's length, what
+    the windows around a run's places cover is one run of words."""
+    begins = [p for k, p in enumerate(places) if not k or places[k - 1] + apart < p]
+    ends = [p for k, p in enumerate(places) if k + 1 == len(places) or places[k + 1] > p + apart]
     return begins, ends
 
 
@@ -125,7 +135,7 @@ def _flushed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def _contexts(window: int, prefix: int) -> Callable:
     """From (doc_id, key, text, marks): the suffixes of each marked anchor, under its own words or, where these are too
-    frequent, under the prefixes of both halves.  Equal ones of a document are one row."""
+    frequent, under longer ones.  Equal ones of a document are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
@@ -137,20 +147,19 @@ def _contexts(window: int, prefix: int) -> Callable:
                 found: dict[tuple, list[int]] = {}
 
                 def flush(found=found, doc=doc, key=key):
-                    for (g, lo, hi, left, around), places in found.items():
-                        out.append((g, lo, hi, doc, key, left, around, *runs(places)))
+                    for (g, lo, hi, *words_around), places in found.items():
+                        out.append((g, lo, hi, doc, key, *words_around, *runs(places, window)))
                     found.clear()
 
                 for m in sorted(marks, key=lambda m: m["place"]):
-                    p, top = m["place"], window - prefix
+                    p, a, b, top = m["place"], m["a"], m["b"], window - prefix
                     if m["hot"]:
-                        for lo, hi in halves(0, top):
-                            if x := lengthened(words, p, lo, hi, window):
+                        for lo, hi in pieces(0, top):
+                            if x := lengthened(words, p, a, b, lo, hi, window):
                                 found.setdefault((x[0], lo, hi, *x[1:]), []).append(p)
-                                size += len(x[2]) + 60
+                                size += len(x[3]) + 60
                     else:
-                        first = max(0, p - top)
-                        found.setdefault((m["h"], 0, top, p - first, b" ".join(words[first : p + window])), []).append(p)
+                        found.setdefault((m["h"], 0, top, b, window - a, b" ".join(words[p - b : p + window - a])), []).append(p)
                         size += 60 + 8 * window
                     if size > 4_000_000:
                         flush()
@@ -163,43 +172,22 @@ def _contexts(window: int, prefix: int) -> Callable:
     return run
 
 
-def _halved(window: int) -> Callable:
-    """Suffixes under the prefixes of both halves of their range."""
+def _cut_in_pieces(window: int) -> Callable:
+    """Suffixes under longer prefixes, for each piece of their range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for _, lo, hi, doc, key, left, around, begins, ends in zip(*[c.to_pylist() for c in batch.columns]):
+            for _, lo, hi, doc, key, left, ahead, around, begins, ends in zip(*[c.to_pylist() for c in batch.columns]):
                 words = around.split(b" ")
-                for a, b in halves(lo, hi):
-                    if x := lengthened(words, left, a, b, window):
-                        out.append((x[0], a, b, doc, key, *x[1:], begins, ends))
-            if out:
-                yield _flushed(out, CONTEXT)
-
-    return run
-
-
-NODE = pa.schema([("h", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("begins", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
-
-
-def _windows(window: int) -> Callable:
-    """Suffixes under the whole window, one for each place where it begins: its fingerprint, and the words it covers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for _, lo, hi, doc, key, left, around, begins, ends in zip(*[c.to_pylist() for c in batch.columns]):
-                words = around.split(b" ")
-                for s in range(lo, min(hi, left) + 1):
-                    if left - s + window <= len(words):
-                        d = hashlib.blake2b(b" ".join(words[left - s : left - s + window]), digest_size=16).digest()
-                        out.append((key_of(d), key_of(d[8:]), doc, key, [b - s for b in begins], [e - s + window for e in ends]))
-                if len(out) > 20_000:
-                    yield _flushed(out, NODE)
+                for first, last in pieces(lo, hi):
+                    if x := lengthened(words, left, window - ahead, left, first, last, window):
+                        out.append((x[0], first, last, doc, key, *x[1:], begins, ends))
+                if len(out) > 5_000:
+                    yield _flushed(out, CONTEXT)
                     out = []
             if out:
-                yield _flushed(out, NODE)
+                yield _flushed(out, CONTEXT)
 
     return run
 
@@ -216,7 +204,8 @@ def repeats(docs: np.ndarray, left: np.ndarray, contexts: list[bytes], window: i
     """Rows that repeat a window of a smaller document, and how many words before the anchor such windows begin, at
     least and at most, of those that begin lo to hi words before it.
 
-    ``contexts`` holds ``left`` words before each anchor (``hi`` at most) and up to ``window - lo`` from it on.
+    ``contexts`` holds the words of a row's own windows: ``left`` before each anchor (``hi`` at most) and up to
+    ``window - lo`` from it on.
     """
     n, ahead_of = len(docs), window - lo
     words = pc.split_pattern(pa.array(contexts, pa.binary()), " ")  # they are joined by one space, and hold no other
@@ -265,7 +254,7 @@ def _trees(window: int) -> Callable:
             hit = part.take(pa.array(rows)).combine_chunks()
             begins, ends = hit.column("begins").combine_chunks(), hit.column("ends").combine_chunks()
             of = np.repeat(np.arange(len(rows)), begins.value_lengths().to_numpy())
-            # every such window holds the anchor, so those of a run of anchors cover one run of words
+            # every such window holds its anchor, so those of a run of anchors cover one run of words
             begin, end = begins.flatten().to_numpy() - most[of], ends.flatten().to_numpy() + window - least[of]
             columns = [pa.array(hit.column("doc_id").to_numpy()[of]), pa.array(hit.column("key").to_numpy()[of]), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "begin", "end"])
@@ -331,32 +320,33 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     first = written(texts.mapInArrow(_first_pass(window, prefix), FIRST), "suffix-first")
     enough = first.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
-    distinct = enough.groupBy("sha").agg(F.min(F.struct("doc_id", "key")).alias("o"), F.count(F.lit(1)).alias("n"), F.first("places").alias("places"), F.first("anchors").alias("anchors"))
-    distinct = written(distinct.select("sha", "o.*", "n", "places", "anchors"), "suffix-distinct")
+    distinct = enough.groupBy("sha").agg(F.min(F.struct("doc_id", "key")).alias("o"), F.count(F.lit(1)).alias("n"), F.first(F.struct("places", "anchors", "los", "his")).alias("a"))
+    distinct = written(distinct.select("sha", "o.*", "n", "a.*"), "suffix-distinct")
 
-    each = distinct.select("doc_id", "key", F.explode(F.arrays_zip("places", "anchors")).alias("a")).select("doc_id", "key", F.col("a.places").alias("place"), F.col("a.anchors").alias("h"))
+    each = distinct.select("doc_id", "key", F.explode(F.arrays_zip("places", "anchors", "los", "his")).alias("a")).select("doc_id", "key", F.col("a.places").alias("place"), F.col("a.anchors").alias("h"), F.col("a.los").alias("a"), F.col("a.his").alias("b"))
     shared = each.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     shared = written(shared.select("h", (F.col("n") > group_rows).alias("hot")), "suffix-shared")
-    marks = each.join(shared, "h").groupBy("doc_id", "key").agg(F.collect_list(F.struct("h", "place", "hot")).alias("marks"))  # of one document
+    marks = each.join(shared, "h").groupBy("doc_id", "key").agg(F.collect_list(F.struct("h", "place", "hot", "a", "b")).alias("marks"))  # of one document
     texts_of = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marked = written(texts_of.join(marks, "doc_id").select("doc_id", "key", "text", "marks"), "suffix-marked")
 
     rows = written(marked.mapInArrow(_contexts(window, prefix), CONTEXT_SQL), "suffix-contexts")
-    fitting, split = rows.where(F.col("hi") - F.col("lo") == window - prefix), rows.where(F.col("hi") - F.col("lo") < window - prefix)
-    spans = _spans_of(fitting, window)
-    for halving in range(1, HALVINGS + 1):
-        frequent = written(split.groupBy("lo", "g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_rows).drop("n"), "suffix-frequent")
-        told = join_small(split, frequent.withColumn("more", F.lit(True)), ["lo", "g"], how="left")
-        told = written(told, "suffix-split")
-        spans = spans.unionByName(_spans_of(told.where("more is null"), window))
-        split = told.where("more").select(*CONTEXT.names)
-        if halving < HALVINGS:
-            split = written(split.mapInArrow(_halved(window), CONTEXT_SQL), "suffix-halved")
-    nodes = written(split.mapInArrow(_windows(window), "h long, h2 long, doc_id long, key long, begins array<int>, ends array<int>"), "suffix-nodes")
-    least = nodes.groupBy("h", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    of_node = join_small(nodes, written(least, "suffix-least"), ["h", "h2"]).where("doc_id > lo")
-    hot = of_node.select("doc_id", "key", F.explode(F.arrays_zip("begins", "ends")).alias("r")).select("doc_id", "key", F.col("r.begins").alias("begin"), F.col("r.ends").alias("end"))
-    of_doc = spans.unionByName(hot).groupBy("doc_id", "key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))  # of one document
+    whole = F.col("hi") - F.col("lo") == window - prefix
+    spans, split = _spans_of(rows.where(whole), window), rows.where(~whole)
+    while split.limit(1).count():  # once for each length of prefixes, four times at most for windows of 50 words
+        name = ["lo", "g", "h", "h2"]  # the same words around an anchor
+        named = split.withColumn("h", F.xxhash64("left", "words")).withColumn("h2", F.xxhash64(F.lit(1), "words", "left"))
+        firsts = written(named.groupBy(name).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "suffix-firsts")
+        sizes = written(firsts.groupBy("lo", "g").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "suffix-sizes")
+        told = join_small(firsts, sizes, ["lo", "g"], how="left").where("m > 1 or first < last")
+        each = written(join_small(named, written(told, "suffix-told"), name), "suffix-each")
+        copies = each.where("doc_id > first").select("doc_id", "key", "left", "ahead", F.explode(F.arrays_zip("begins", "ends")).alias("r"))
+        spans = spans.unionByName(copies.select("doc_id", "key", (F.col("r.begins") - F.col("left")).alias("begin"), (F.col("r.ends") + F.col("ahead")).alias("end")))
+        own = each.where("doc_id = first and m > 1")
+        spans = spans.unionByName(_spans_of(own.where(F.col("m") <= group_rows), window))
+        more = own.where(F.col("m") > group_rows).select(*CONTEXT.names)
+        split = written(more.mapInArrow(_cut_in_pieces(window), CONTEXT_SQL), "suffix-pieces")
+    of_doc = spans.groupBy("doc_id", "key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))  # of one document
     touched = marked.drop("marks").join(of_doc, ["doc_id", "key"]).select("doc_id", "key", "text", "spans")
     cut = touched.mapInArrow(_cut(keep_text), "doc_id long, key long, removed long, kept_sha string, kept_text string").dropDuplicates(["doc_id", "key"])
     cut = written(cut, "suffix-cut")

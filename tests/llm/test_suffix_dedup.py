@@ -77,11 +77,13 @@ def test_one_id_with_several_texts(spark):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(0, 30), min_size=1, max_size=20, unique=True))
-def test_runs(places):
-    begins, ends = S.runs(sorted(places))
-    assert [p for b, e in zip(begins, ends) for p in range(b, e + 1)] == sorted(places)
-    assert all(e + 1 < b for e, b in zip(ends, begins[1:]))
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=20, unique=True), st.integers(1, 5))
+def test_runs_cover_what_their_places_cover(places, window):
+    places = sorted(places)
+    begins, ends = S.runs(places, window)
+    cover = lambda p, q: set(range(p, q + window))
+    assert set().union(*(cover(b, e) for b, e in zip(begins, ends))) == set().union(*(cover(p, p) for p in places))
+    assert all(e + window < b for e, b in zip(ends, begins[1:]))
 
 
 def test_kept_text_and_empty_table(spark):
@@ -96,10 +98,16 @@ def test_kept_text_and_empty_table(spark):
 def test_every_window_has_its_least_places_as_anchors(words, window, prefix):
     prefix = min(prefix, window)
     hashes = np.array(words, np.uint64)
-    places, _ = S.anchors(hashes, window, prefix)
+    places, _, lo, hi = S.anchors(hashes, window, prefix)
     g = S.grams(hashes, prefix)
     want = set()
     for k in range(len(words) - window + 1):
         inside = g[k : k + window - prefix + 1]
         want.update((k + np.flatnonzero(inside == inside.min())).tolist())
     assert places.tolist() == sorted(want)
+    of = {p: [] for p in places.tolist()}  # the windows that each anchor has
+    for k in range(len(words) - window + 1):
+        inside = g[k : k + window - prefix + 1]
+        for p in (k + np.flatnonzero(inside == inside.min())).tolist():
+            of[p].append(p - k)
+    assert [(min(x), max(x), len(x)) for x in of.values()] == [(a, b, b - a + 1) for a, b in zip(lo.tolist(), hi.tolist())]
