@@ -154,7 +154,7 @@ def hole_count(spark, sf_dir):
 
 
 def deskew_slope(spark, sf_dir):
-    return _images(spark, sf_dir).select("vec_id", F.round(glyphs.skew("image"), 6).alias("slope"), F.size(glyphs.deskewed("image")).alias("pixels"))
+    return _images(spark, sf_dir).select("vec_id", (F.round(glyphs.skew("image"), 6) + 0.0).alias("slope"), F.size(glyphs.deskewed("image")).alias("pixels"))
 
 
 def components_box(spark, sf_dir):
@@ -294,7 +294,7 @@ n AS (SELECT g.vec_id, count(i.x)::INT AS ink FROM g LEFT JOIN i ON i.vec_id = g
 SELECT vec_id, ink FROM embeddings LEFT JOIN n USING (vec_id)""",
     "ink_mask": f"WITH {INK_SQL} SELECT vec_id, count(*) FILTER (ink)::INT AS ink FROM ink GROUP BY vec_id",
     "deskew_slope": f"""WITH {INK_SQL}, c AS (SELECT vec_id, x, count(*) FILTER (ink) AS n, sum(y) FILTER (ink) AS s FROM ink GROUP BY vec_id, x),
-t AS (SELECT vec_id, CASE WHEN count(*) >= 8 THEN round(regr_slope(s::DOUBLE / n, x::DOUBLE), 6) END AS slope FROM c WHERE n >= 2 GROUP BY vec_id)
+t AS (SELECT vec_id, CASE WHEN count(*) >= 8 THEN round(regr_slope(s::DOUBLE / n, x::DOUBLE), 6) + 0.0::DOUBLE END AS slope FROM c WHERE n >= 2 GROUP BY vec_id)
 SELECT vec_id, slope, 1024 AS pixels FROM embeddings LEFT JOIN t USING (vec_id)""",
     "hole_count": f"WITH RECURSIVE {HOLES_SQL} SELECT e.vec_id, count(n)::INT AS holes FROM embeddings e LEFT JOIN sized s ON s.vec_id = e.vec_id AND n >= 12 GROUP BY e.vec_id",
     "vec_dice": "WITH v AS (SELECT vec_id, unnest(embedding) > 0 AS a, unnest(list_reverse(embedding)) > 0.05 AS b FROM embeddings), s AS (SELECT vec_id, count(*) FILTER (a) AS x, count(*) FILTER (b) AS y, count(*) FILTER (a AND b) AS z FROM v GROUP BY vec_id) SELECT vec_id, round(CASE WHEN x + y = 0 THEN 0 ELSE 2.0::DOUBLE * z / (x + y) END, 6) AS dice FROM s",
