@@ -96,20 +96,21 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 1
     return w
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> list[np.ndarray]:
-    """Weights of each category; ``x`` 0/1 features, ``labels`` a column per category, ``folds`` the fold of each row."""
+def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, own: list[list[int]] | None = None) -> list[np.ndarray]:
+    """Weights of each category; ``x`` 0/1 features, ``labels`` a column per category, ``folds`` the fold of each row, and
+    ``own`` the features that each category's model uses (all if not given; the others weigh nothing)."""
     weights, width = [], x.shape[1]
-    whole = np.zeros((len(x), width + labels.shape[1]), np.float32)  # features, then the probabilities of earlier categories
-    whole[:, :width] = x
+    earlier = np.zeros((len(x), labels.shape[1]), np.float32)  # out-of-fold probabilities
     for j in range(labels.shape[1]):
-        y, inputs = labels[:, j], whole[:, : width + j]
-        weights.append(logistic(inputs, y))
-        out_of_fold = np.zeros(len(x))
+        used = np.arange(width) if own is None else np.array(own[j], np.int64)
+        y, inputs = labels[:, j], np.hstack([x[:, used], earlier[:, :j]])
+        fitted = logistic(inputs, y)
+        weights.append(np.zeros(width + j + 1))
+        weights[-1][used], weights[-1][width:] = fitted[: len(used)], fitted[len(used) :]
         for k in np.unique(folds):
             held = folds == k
             w = logistic(inputs[~held], y[~held])
-            out_of_fold[held] = probability(inputs[held] @ w[:-1] + w[-1])
-        whole[:, width + j] = out_of_fold
+            earlier[held, j] = probability(inputs[held] @ w[:-1] + w[-1])
     return weights
 
 
@@ -210,7 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
     kind[of_last] = kinds_of(x[of_last][:, [chain.vocabulary[f] for f in best[last]]], kinds)
     y = {c: y[c] for c in names[:-1]} | {f"{last}_{k + 1}": (kind == k).astype(float) for k in range(kind.max(initial=-1) + 1)} | {last: y[last]}
     chain.categories = list(y)
-    chain.weights = fit_chain(x, np.array(list(y.values())).T.reshape(found.num_rows, len(y)), found.column("fold").to_numpy())
+    own = [[chain.vocabulary[f] for f in best.get(c, best[last])] for c in y]  # kinds are told by the last category's features
+    chain.weights = fit_chain(x, np.array(list(y.values())).T.reshape(found.num_rows, len(y)), found.column("fold").to_numpy(), own)
     return chain
 
 
