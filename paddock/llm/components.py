@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 from paddock.llm.common import join_small, written
 
 
+#: Most links up to which the least neighbours (a node and a number each, 16 bytes) are broadcast without a count of their own.
+FEW_LINKS = 250_000
+
+
+def _with_least(links: DataFrame, few: bool) -> DataFrame:
+    """Links (u, v) with ``m``, the least v of u.  Nodes are twice the links at most, so ``few`` links have few of them."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    return links.join(F.broadcast(least), "u") if few else join_small(links, written(least, "least"), ["u"])
+
+
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): each linked id with the smallest id that it can reach, the smallest itself included.
 
@@ -20,19 +30,16 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and u <> v")
     stars = written(pairs.distinct(), "links")
-    mark = None
+    few, mark = stars.limit(FEW_LINKS + 1).count() <= FEW_LINKS, None
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")), "least")
-        large = join_small(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        large = written(large, "large")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        joined = join_small(large, least, ["u"])
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        large = _with_least(both, few).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        joined = _with_least(written(large, "large"), few)
+        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
         stars = written(small, "small")
         found = tuple(stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if found == mark:
             break
-        mark = found
+        few, mark = found[0] <= FEW_LINKS, found
     ends = stars.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return written(stars.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(ends), "components")

@@ -115,6 +115,7 @@ def test_one_hub_with_most_links(spark, monkeypatch):
 
     for limit in (100_000, 0):
         monkeypatch.setattr(common.join_small, "__defaults__", (limit, "inner"))
+        monkeypatch.setattr(components, "FEW_LINKS", limit)
         links = [(0, i) for i in range(1, 3000)] + [(5000, 5001), (2999, 4000)]
         got = {r.id: r.component for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}
         assert got == {**{i: 0 for i in range(3000)}, 4000: 0, 5000: 5000, 5001: 5000}
