@@ -99,14 +99,17 @@ def decode_bytes(ids: list[int], path: str) -> bytes:
     return bytes(decoded(np.array(ids, np.int64), np.array([0, len(ids)]), path)[0])
 
 
-def encoded(texts: list[str | None], made) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, bounds, offsets) of texts by the library: all ids in a row, where each text's ids begin (with the end), and the
-    span of characters (begin, end) of each token in its text."""
+def encoded(texts: list[str | None], made) -> tuple[list, np.ndarray, np.ndarray]:
+    """(encodings, ids, bounds) of texts by the library: all ids in a row, and where each text's ids begin (with the end)."""
     found = made.encode_batch([t or "" for t in texts], add_special_tokens=False)
     bounds = np.cumsum([0, *map(len, found)])
-    ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in found), np.int64, int(bounds[-1]))
+    return found, np.fromiter(itertools.chain.from_iterable(e.ids for e in found), np.int64, int(bounds[-1])), bounds
+
+
+def spans_of(found: list) -> np.ndarray:
+    """The characters (begin, end) of its text that each token of the encodings covers."""
     flat = itertools.chain.from_iterable(itertools.chain.from_iterable(e.offsets for e in found))
-    return ids, bounds, np.fromiter(flat, np.int32, 2 * int(bounds[-1])).reshape(-1, 2)
+    return np.fromiter(flat, np.int32, 2 * sum(map(len, found))).reshape(-1, 2)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,7 +122,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = tokenizer(path, pattern)
         for part in text_slices(batches, 1, SLICE_BYTES):
-            ids, bounds, spans = encoded(part.column(1).to_pylist(), made)
+            found, ids, bounds = encoded(part.column(1).to_pylist(), made)
+            spans = spans_of(found)
             of = lambda x: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, pa.int32()))  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([part.column(0), of(ids), of(spans[:, 0]), of(spans[:, 1])], ["doc_id", "ids", "begins", "ends"])
 
@@ -162,16 +166,23 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = tokenizer(path, pattern)
         for part in text_slices(batches, 1, SLICE_BYTES):
-            ids, bounds, spans = encoded(part.column(1).to_pylist(), made)
+            texts = part.column(1).to_pylist()
+            found, ids, bounds = encoded(texts, made)
+            chars, split = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+            chars[:] = [len(t or "") for t in texts]
+            wide = [k for k, t in enumerate(texts) if t and not t.isascii()]  # in others each character is a byte, so none is split
+            if wide:
+                of_wide = [found[k] for k in wide]
+                spans, of = spans_of(of_wide), np.cumsum([0, *map(len, of_wide)])
+                chars[wide], split[wide] = spans[of[1:] - 1, 1], split_characters(of, spans)
             joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pc.cast(pa.array(ids), pa.string())), ",")
-            last = np.where(np.diff(bounds) > 0, np.concatenate([[0], spans[:, 1]])[bounds[1:]], 0)
             columns = [
                 part.column(0),
                 pa.array(np.diff(bounds)),
                 pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined.to_pylist()], pa.string()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in decoded(ids, bounds, path)], pa.string()),
-                pa.array(last.astype(np.int64)),
-                pa.array(split_characters(bounds, spans)),
+                pa.array(chars),
+                pa.array(split),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chars", "n_split"])
 

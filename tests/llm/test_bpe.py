@@ -33,6 +33,10 @@ def test_round_trip_equals_tiktoken(spark):
         ids = own.encode_ordinary(t or "")
         want.append((-1 if i is None else i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want)
+    counted = {r.doc_id: (r.n_chars, r.n_split) for r in bpe.round_trip(spark.createDataFrame(rows, "doc_id long, text string, ids string"), PATH, P.PATTERN).collect() if r.doc_id is not None}
+    for i, t in enumerate(TEXTS):
+        spans = [(a, b) for _, (a, b) in zip(own.encode_ordinary(t or ""), bpe.tokenizer(PATH, P.PATTERN).encode(t or "", add_special_tokens=False).offsets, strict=True)]
+        assert counted[i] == (len(t or ""), sum(sum(a <= k < b for a, b in spans) > 1 for k in range(len(t or "") if t != "x" * 5000 else 0)))
 
 
 def test_encode_offsets_and_decode(spark):
@@ -50,7 +54,8 @@ def test_split_characters():
     """Tokens inside a character: each one's bytes are no text, together they are, and the round trip counts them."""
     made, own = bpe.tokenizer(PATH, P.PATTERN), tik()
     text = "日a👩‍👩‍👧 ½é 𓀀𓀀"
-    ids, bounds, spans = bpe.encoded([text, "", None, "ab", text], made)
+    found, ids, bounds = bpe.encoded([text, "", None, "ab", text], made)
+    spans = bpe.spans_of(found)
     assert ids[: bounds[1]].tolist() == own.encode_ordinary(text)
     each = [bytes(x) for x in bpe.decoded(ids[: bounds[1]], np.arange(bounds[1] + 1), PATH)]
     assert b"".join(each) == text.encode()
@@ -86,14 +91,14 @@ def test_decode_of_cut_sequences_and_nulls(spark):
 @given(st.lists(st.text(max_size=60), max_size=6))
 def test_ids_equal_tiktoken(texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
-    ids, bounds, _ = bpe.encoded(texts, bpe.tokenizer(PATH, P.PATTERN))
+    _, ids, bounds = bpe.encoded(texts, bpe.tokenizer(PATH, P.PATTERN))
     assert [ids[a:b].tolist() for a, b in itertools.pairwise(bounds)] == OWN.encode_ordinary_batch(texts)
 
 
 def test_other_patterns_cut_as_tiktoken_does():
     pattern = r"\p{L}{1,3}|\p{N}|[^\p{L}\p{N}]+"
     own = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
-    assert bpe.encoded(["naïve 1234 text, here", "x"], bpe.tokenizer(PATH, pattern))[0].tolist() == own.encode_ordinary("naïve 1234 text, here") + own.encode_ordinary("x")
+    assert bpe.encoded(["naïve 1234 text, here", "x"], bpe.tokenizer(PATH, pattern))[1].tolist() == own.encode_ordinary("naïve 1234 text, here") + own.encode_ordinary("x")
 
 
 def test_empty_table(spark):
