@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm import bpe, embedding_dedup, html_text, minhash, mixing, quality, secrets, suffix_dedup, toxicity, warc
+from paddock.llm import bpe, embedding_dedup, html_text, middle, minhash, mixing, packing, quality, secrets, spelling, suffix_dedup, toxicity, warc
 from paddock.llm.common import scratch_path, written
 
 
@@ -185,6 +185,54 @@ FROM f
 """
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), thin=31))
+
+
+OP11_SQL = r"""
+WITH steps AS (SELECT [list_reduce([i::UBIGINT] || [k::UBIGINT for k in range(8)], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) for i in range(256)] AS tab),
+runs AS (SELECT coalesce(doc_id::VARCHAR, 'null') AS id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{7,}')) AS run FROM documents),
+low AS (SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k FROM runs GROUP BY ALL),
+bytes AS (SELECT id, run, k, flatten([CASE WHEN ord(c) < 128 THEN [ord(c)::UBIGINT] ELSE [195::UBIGINT, (ord(c) - 64)::UBIGINT] END for c in string_split(id || ':' || run, '')]) AS b FROM low),
+sums AS (SELECT run, k, xor(list_reduce([4294967295::UBIGINT] || b, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS h FROM bytes, steps),
+thin AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM sums),
+v AS (SELECT word, sum(k)::BIGINT AS n FROM thin WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS (SELECT word, i, substr(word, 1, i) AS a, substr(word, i + 2) AS z FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+near AS (
+  SELECT DISTINCT x.word, y.word AS other FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+  UNION SELECT v.word, cut.word FROM cut JOIN v ON v.word = cut.a || cut.z
+  UNION SELECT cut.word, v.word FROM cut JOIN v ON v.word = cut.a || cut.z),
+best AS (SELECT x.word, count(*) AS n_near, min((-y.n, other)) AS b FROM near JOIN v x USING (word) JOIN v y ON y.word = near.other GROUP BY x.word),
+f AS (SELECT v.word, CASE WHEN -b[1] >= 10 * v.n THEN b[2] END AS form, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 10 * v.n THEN -b[1] END AS form_n FROM v LEFT JOIN best USING (word)),
+r AS (WITH RECURSIVE r AS (SELECT word, word AS root FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL) SELECT r.word, r.root FROM r JOIN f ON f.word = r.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM f JOIN r USING (word)
+"""
+
+
+def op12_multi_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "context", "step")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.transform(table(spark, sf_dir, "documents"))
+    told = ("n", "prefix_chars", "middle_chars", "output_sha256")
+    back = middle.restore(made.withColumn("output_sha256", F.sha2("output", 256)), keep=told)
+    return back.select("doc_id", "form", *told, F.sha2("text", 256).alias("restored_sha256"))
+
+
+OP13_SQL = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS d FROM documents),
+g AS (SELECT doc_id, text, length(text) AS n, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2, ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM h),
+c AS (SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR text LIKE '%<P>%' OR text LIKE '%<S>%' OR text LIKE '%<M>%' OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || substr(text, 1, a) || '<S>' || substr(text, b + 1) || '<M>' || substr(text, a + 1, b - a)
+    ELSE '<S>' || substr(text, b + 1) || '<P>' || substr(text, 1, a) || '<M>' || substr(text, a + 1, b - a) END) AS output_sha256, sha256(text) AS restored_sha256
+FROM c
+"""
+
+
 QUERIES = {
     "op1_secret_forest": op1_secret_forest,
     "op2_hierarchical_mix": op2_hierarchical_mix,
@@ -196,5 +244,8 @@ QUERIES = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_min_cut_text": op9_min_cut_text,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_multi_length_packing": op12_multi_length_packing,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLES: dict[str, str] = {"op2_hierarchical_mix": _mix_sql(), "op3_quality_ledger": OP3_SQL, "op5_suffix_trees": OP5_SQL, "op8_warc_revisits": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_hierarchical_mix": _mix_sql(), "op3_quality_ledger": OP3_SQL, "op5_suffix_trees": OP5_SQL, "op8_warc_revisits": OP8_SQL, "op11_spelling_variants": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
