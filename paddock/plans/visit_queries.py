@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from paddock.operators import caps, lookup, report
 from paddock.operators import visits as V
-from paddock.plans.carrier import SIGHTINGS_SQL, VISITS_SQL, registry, sightings, table, visits
+from paddock.plans.carrier import REGISTRY_SQL, SIGHTINGS_SQL, VISITS_SQL, millis, registry, registry_rows, sightings, table, visits
 from paddock.plans.lookup_queries import BASE, RESOLVED_SQL
 from paddock.scratch import scratch_path, written
-from paddock.streaming import visits_stream
+from paddock.streaming import limits_stream, live, visits_stream
 
 LONG_COOLDOWN = 6 * 3_600_000
 DAY, NOW = 1_704_672_000_000, 1_706_745_600_000  # 2024-01-08 and 2024-02-01, UTC
@@ -36,21 +36,117 @@ def visits_toggle(spark, sf_dir):
     return V.visits(_resolved(spark, sf_dir)).withColumn("durationMs", V.duration())
 
 
-def visits_corrections(spark, sf_dir):
-    seen = _resolved(spark, sf_dir)
+def _corrections(seen):
+    """A minute after each entry, one of the four corrections."""
     action = F.element_at(F.array(*map(F.lit, ("undo", "convert", "close", "delete"))), (F.col("event_id") % 4 + 1).cast("int"))
     told = V.visits(seen).select(F.col("id").alias("event_id"), (F.col("entryAt") + 60_000).alias("ts"), F.col("id").alias("visit_id"), F.col("canonicalPlate").alias("canonical"))
-    return V.corrected(seen, told.withColumn("action", action)).withColumn("durationMs", V.duration())
+    return told.withColumn("action", action)
 
 
-def visits_stream_records(spark, sf_dir):
-    """The machine over the events read as a stream, its records read back."""
+def visits_corrections(spark, sf_dir):
+    seen = _resolved(spark, sf_dir)
+    return V.corrected(seen, _corrections(seen)).withColumn("durationMs", V.duration())
+
+
+def _stream(spark, sf_dir, name):
+    """A table as a stream, all of it in one batch."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet*")
+
+
+def _as_stream(spark, rows, name):
+    """Rows written and read as a stream."""
+    path = scratch_path(spark, name)
+    rows.write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+def _drained(spark, frame):
+    """All that a stream appends, read back."""
     base = scratch_path(spark, "stream")
-    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    visits_stream.write_records(frame, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(frame.schema).parquet(f"{base}/out")
+
+
+def visits_stream_corrections(spark, sf_dir):
+    """Sightings and corrections by hand as one stream: undo, convert, close and delete in the keyed state."""
+    seen = _resolved(spark, sf_dir)
+    turns = _as_stream(spark, visits_stream.turns(seen, _corrections(seen)), "turns")
+    return visits_stream.visits_of(_drained(spark, visits_stream.visit_changes(turns))).withColumn("durationMs", V.duration())
+
+
+def _event_stream(spark, sf_dir):
+    return _stream(spark, sf_dir, "events").select("event_id", "user_id", "event_type", millis("ts").alias("ts"))
+
+
+def captures_spaced_stream(spark, sf_dir):
+    """Captures of a user at least six hours apart."""
+    return _drained(spark, limits_stream.spaced(_event_stream(spark, sf_dir), LONG_COOLDOWN))
+
+
+def result_spells_stream(spark, sf_dir):
+    """Spells during which a user's results are shown, each for three hours."""
+    return _drained(spark, limits_stream.shown_spells(_event_stream(spark, sf_dir), 3 * 3_600_000))
+
+
+def frequency_cap_stream(spark, sf_dir):
+    asks = _event_stream(spark, sf_dir).withColumn("kind", F.when(F.col("event_id") % 3 == 0, "open").otherwise("ask"))
+    return _drained(spark, limits_stream.granted(asks, gap_ms=2 * 3_600_000, per_day=2))
+
+
+def adaptive_throttle_stream(spark, sf_dir):
+    frames = _event_stream(spark, sf_dir).withColumn("hit", F.col("event_type") == "purchase")
+    return _drained(spark, limits_stream.looked(frames, active_ms=3_600_000, idle_ms=14_400_000, idle_after=3))
+
+
+def _visit_records(spark, sf_dir):
     u = F.col("user_id")
-    seen = source.select("event_id", F.expr("timestampdiff(MILLISECOND, timestamp_ntz '1970-01-01 00:00:00', ts)").alias("ts"), u.cast("string").alias("raw_plate"), u.cast("string").alias("canonical"), (u % 4 != 3).alias("is_registered"))
-    visits_stream.write_records(visits_stream.visit_records(seen, LONG_COOLDOWN), f"{base}/records", f"{base}/checkpoint").awaitTermination()
-    return spark.read.schema(visits_stream.RECORDS).parquet(f"{base}/records")
+    seen = _event_stream(spark, sf_dir).select("event_id", "ts", u.cast("string").alias("raw_plate"), u.cast("string").alias("canonical"), (u % 4 != 3).alias("is_registered"))
+    return visits_stream.visit_records(seen, LONG_COOLDOWN)
+
+
+def live_parked(spark, sf_dir):
+    """Parked vehicles, registered and not, kept up to date over the stream of records."""
+    base = scratch_path(spark, "live")
+    records = _as_stream(spark, _drained(spark, _visit_records(spark, sf_dir)), "records")
+    live.keep_current(visits_stream.live_parked(records, "registered"), f"{base}/parked", f"{base}/checkpoint").awaitTermination()
+    return live.current(spark, f"{base}/parked", ["registered"], "registered boolean, parked long")
+
+
+def live_plates(spark, sf_dir):
+    """The registry's list, newest first, kept up to date: plates are added, noted anew a day later, and some removed."""
+    base = scratch_path(spark, "live")
+    i = F.col("id")
+    added = registry_rows(spark, sf_dir).select("plateNumber", "id", "note", "createdAt", F.lit(False).alias("removed"), F.col("createdAt").alias("changed_at"))
+    noted = added.where(i % 3 == 0).select("plateNumber", "id", F.concat("note", F.lit(" *")).alias("note"), "createdAt", "removed", (F.col("changed_at") + 86_400_000).alias("changed_at"))
+    removed = added.where(i % 7 == 0).select("plateNumber", "id", "note", "createdAt", F.lit(True).alias("removed"), (F.col("changed_at") + 2 * 86_400_000).alias("changed_at"))
+    changes = _as_stream(spark, added.unionByName(noted).unionByName(removed), "changes")
+    live.keep_current(live.newest_plates(changes), f"{base}/plates", f"{base}/checkpoint").awaitTermination()
+    kept = live.current(spark, f"{base}/plates", ["plateNumber"], "plateNumber string, id long, note string, createdAt long, removed boolean")
+    return live.newest_first(kept)
+
+
+ANSWER_MS, WAIT_MS, LAST_MS = 20 * 86_400_000, 3_600_000, 4_102_444_800_000
+
+
+def _answers(spark, sf_dir):
+    """For each text that was seen, an answer some minutes after it was first seen; every fifth text gets none."""
+    first = _resolved(spark, sf_dir).groupBy("raw_plate").agg(F.min(F.struct("ts", "event_id")).alias("f"), F.min_by("canonical", "event_id").alias("canonical"), F.min_by("is_registered", "event_id").alias("is_registered"))
+    return first.where("f.event_id % 5 <> 0").select("raw_plate", (F.col("f.ts") + F.col("f.event_id") % 100 * 60_000).alias("answered_at"), "canonical", "is_registered")
+
+
+def detections_pending_stream(spark, sf_dir):
+    """Detections shown with the answer that the registry gives in time, or else as pending."""
+    # a last detection and a last answer, of other texts, move the watermark past all others
+    last = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(LAST_MS).cast("long").alias("ts"), F.lit("").alias("raw_plate"))
+    said = last.select(F.lit(" ").alias("raw_plate"), F.col("ts").alias("answered_at"), F.lit(None).cast("string").alias("canonical"), F.lit(None).cast("boolean").alias("is_registered"))
+    seen = _as_stream(spark, sightings(spark, sf_dir).select("event_id", "ts", "raw_plate").unionByName(last), "detections")
+    answers = _as_stream(spark, _answers(spark, sf_dir).unionByName(said), "answers")
+    return _drained(spark, live.answered(seen, answers, ANSWER_MS, WAIT_MS)).where("event_id >= 0")
+
+
+def visits_stream_records(spark, sf_dir):
+    """The machine over the events read as a stream, its records read back."""
+    return _drained(spark, _visit_records(spark, sf_dir))
 
 
 def parked_now(spark, sf_dir):
@@ -156,6 +252,7 @@ QUERIES = {
     for f in (
         visits_cooldown, visits_cooldown_long, visits_toggle, visits_corrections, visits_stream_records, parked_now, open_visit_latest, visits_for_day, visits_by_day, day_summary, visit_status_labels,
         visits_export_rows, day_labels, frequency_cap, daily_event_counts, recent_top5, consecutive_dedup, confirmed_reads, adaptive_throttle, recent_merged, parking_sightings, results_alive,
+        visits_stream_corrections, captures_spaced_stream, result_spells_stream, frequency_cap_stream, adaptive_throttle_stream, live_parked, live_plates, detections_pending_stream,
     )
 }
 LONG = f"WITH RECURSIVE {SIGHTINGS_SQL},{_cooldown_sql(LONG_COOLDOWN)}"
@@ -232,3 +329,23 @@ SELECT event_id, user_id, ts, hit FROM g WHERE due""",
 i AS (SELECT *, sum(changed) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM c)
 SELECT event_id, user_id, event_type FROM i QUALIFY row_number() OVER (PARTITION BY user_id, island ORDER BY ts, event_id) >= 2""",
 }
+RECORDS_SQL = ORACLES["visits_stream_records"]
+ORACLES |= {
+    "visits_stream_corrections": ORACLES["visits_corrections"],
+    "captures_spaced_stream": f"{LONG} SELECT event_id, ts FROM records",
+    "result_spells_stream": f"""WITH {SIGHTINGS_SQL}, s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < {3 * 3_600_000} THEN 0 ELSE 1 END AS starts FROM sightings),
+g AS (SELECT user_id, ts, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS spell FROM s)
+SELECT user_id, min(ts) AS begins, max(ts) + {3 * 3_600_000} AS ends, count(*) AS n FROM g GROUP BY user_id, spell HAVING max(ts) + {3 * 3_600_000} <= (SELECT max(ts) FROM sightings)""",
+    "frequency_cap_stream": f"SELECT event_id, ts, shown FROM ({ORACLES['frequency_cap']})",
+    "adaptive_throttle_stream": f"SELECT event_id, ts FROM ({ORACLES['adaptive_throttle']})",
+    "live_parked": f"SELECT registered, sum(CASE WHEN kind = 'ENTRY' THEN 1 ELSE -1 END)::BIGINT AS parked FROM ({RECORDS_SQL}) GROUP BY registered",
+    "live_plates": f"""WITH {REGISTRY_SQL}, c AS (
+  SELECT plateNumber, id, note, createdAt, false AS removed, createdAt AS changed_at FROM registry_rows
+  UNION ALL SELECT plateNumber, id, note || ' *', createdAt, false, createdAt + 86400000 FROM registry_rows WHERE id % 3 = 0
+  UNION ALL SELECT plateNumber, id, note, createdAt, true, createdAt + 172800000 FROM registry_rows WHERE id % 7 = 0)
+SELECT plateNumber, id, note, createdAt FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY plateNumber ORDER BY changed_at DESC, id DESC) = 1) WHERE NOT removed ORDER BY createdAt DESC, id""",
+    "detections_pending_stream": f"""{BASE},{RESOLVED_SQL},
+a AS (SELECT raw_plate, arg_min(canonical, event_id) AS canonical, arg_min(is_registered, event_id) AS is_registered, min((ts, event_id)) AS f FROM resolved GROUP BY raw_plate HAVING f[2] % 5 <> 0)
+SELECT s.event_id, s.ts, coalesce(a.canonical, s.raw_plate) AS shown, a.is_registered FROM sightings s
+LEFT JOIN a ON a.raw_plate = s.raw_plate AND f[1] + f[2] % 100 * 60000 BETWEEN s.ts - {ANSWER_MS} AND s.ts + {WAIT_MS}""",
+}
