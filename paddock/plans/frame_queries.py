@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paddock.functions.text import GLYPHS
-from paddock.operators import evaluation, frames, glyphs, lookup
+from paddock.operators import evaluation, frames, glyphs, lookup, pixels
 from paddock.plans import plate_sql as P
 from paddock.plans.carrier import SIGHTINGS_SQL, registry, sightings, table
 from paddock.plans.lookup_queries import BASE, RESOLVED_SQL
+from paddock.scratch import written
 
 # -- frames: one per event, in one block, on two lines, or with lines that don't belong together ------------------
 
@@ -157,9 +158,46 @@ def deskew_slope(spark, sf_dir):
     return _images(spark, sf_dir).select("vec_id", (F.round(glyphs.skew("image"), 6) + 0.0).alias("slope"), F.size(glyphs.deskewed("image")).alias("pixels"))
 
 
+# -- pictures of plates, one for each customer: 7 or 8 outlined characters on a bright ground, which few lack -------
+
+#: Whether a pixel (x, y) of customer c's picture is ink: characters 11 pixels apart and 8 wide, 12 to 15 high, each second
+#: one a pixel lower, some of them broken in two.
+DRAWN = """
+  x >= 4 + c % 7 AND {cell} < 7 + c % 2 AND {inner} < 8 AND y >= {top} AND y < {top} + 12 + c % 4
+  AND ({inner} < 2 OR {inner} >= 6 OR y < {top} + 2 OR y >= {top} + 10 + c % 4) AND NOT ((c + {cell}) % 11 = 0 AND {inner} BETWEEN 3 AND 4)"""
+
+
+def _drawn(div: str) -> str:
+    cell = f"((x - 4 - c % 7) {div} 11)"
+    return DRAWN.format(cell=cell, inner="((x - 4 - c % 7) % 11)", top=f"(4 + c % 5 + {cell} % 2)")
+
+
+def _pictures(spark, sf_dir):
+    """(id, image): 96 by 24 pixels."""
+    ground = "(CASE WHEN c % 13 = 0 THEN 100 ELSE 220 + (x * 7 + y * 3) % 5 END)"
+    pixel = f"(CASE WHEN {_drawn('div')} THEN 25 + (x + y) % 7 ELSE {ground} END)"
+    px = F.expr(f"transform(transform(sequence(0, 2303), i -> struct(i % 96 AS x, i div 96 AS y, c_custkey AS c)), p -> cast({pixel.replace(' x', ' p.x').replace('(x', '(p.x').replace(' y', ' p.y').replace('(y', '(p.y').replace('c %', 'p.c %').replace('(c ', '(p.c ')} AS int))")
+    return written(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.struct(F.lit(96).alias("w"), F.lit(24).alias("h"), px.alias("px")).alias("image")), "pictures")
+
+
 def components_box(spark, sf_dir):
-    rows = _images(spark, sf_dir).select("vec_id", glyphs.text_box("image").alias("box"), glyphs.tight_box("image").alias("tight"), glyphs.glyph_from_right("image").alias("glyph"), glyphs.line_box("image").alias("line"))
-    return rows.select("vec_id", F.array_join("line", ",").alias("line"), F.array_join("box", ",").alias("box"), F.array_join("tight", ",").alias("tight"), F.round(F.col("glyph")[1], 4).alias("pitch"))
+    """Of each picture: its components, the box of its text, and its best line with the line's columns."""
+    pictures = _pictures(spark, sf_dir)
+    parts = written(pixels.components(pictures), "parts")
+    n = parts.groupBy("id").agg(F.count(F.lit(1)).alias("components"), F.sum("area").alias("ink"))
+    box = lambda rows, name, *more: rows.select("id", F.concat_ws(",", "left", "top", "right", "bottom").alias(name), *more)
+    text = box(pixels.text_boxes(parts, pictures.select("id", "image.w", "image.h")), "box")
+    line = box(pixels.lines(pictures, parts), "line", F.array_join(F.transform("columns", lambda c: F.concat_ws("-", c["left"], c["right"])), ",").alias("columns"))
+    return pictures.select("id").join(n, "id", "left").join(text, "id", "left").join(line, "id", "left")
+
+
+def valley_cells(spark, sf_dir):
+    """The cell of the fourth character of each picture's line, between the valleys around its slot."""
+    pictures = _pictures(spark, sf_dir)
+    found = pixels.lines(pictures, pixels.components(pictures))
+    pitch = (F.col("right") - F.col("left")) / F.size("columns")
+    slots = written(found.select("id", F.lit(3).alias("slot"), "top", "bottom", (F.col("left") + 3.5 * pitch).alias("centre"), pitch.alias("pitch")), "slots")
+    return pixels.cells(pictures, slots)
 
 
 def tight_boxes(spark, sf_dir):
@@ -180,6 +218,12 @@ def glyph_inputs(spark, sf_dir):
     return rows.select("vec_id", F.round(F.array_max("x"), 5).alias("greatest"), F.size(F.filter("t", lambda x: x)).alias("ink"))
 
 
+def glyph_centres(spark, sf_dir):
+    """Where the glyph left of the last four characters is, and how far characters are apart."""
+    found = _pictures(spark, sf_dir).select("id", glyphs.glyph_from_right("image").alias("g"))
+    return found.select("id", F.col("g")[0].alias("centre"), F.col("g")[1].alias("pitch"))
+
+
 # -- evaluation: what sightings should read is known from the carrier ----------------------------------------------
 
 
@@ -257,6 +301,30 @@ inside AS MATERIALIZED (SELECT * FROM white EXCEPT SELECT * FROM outer_),
 part AS (SELECT vec_id, y, x, y AS ry, x AS rx FROM inside UNION SELECT e.vec_id, e.y2, e.x2, ry, rx FROM part p JOIN edges e USING (vec_id, y, x)),
 named AS (SELECT vec_id, y, x, min(ry * 32 + rx) AS name FROM part GROUP BY ALL),
 sized AS (SELECT vec_id, name, count(*) AS n FROM named GROUP BY ALL)"""
+PICTURES_SQL = f"""
+d AS (SELECT c_custkey AS c, x, y FROM customer, (SELECT unnest(range(96)) AS x), (SELECT unnest(range(24)) AS y)),
+pic AS MATERIALIZED (SELECT c AS id, y::INT AS y, x::INT AS x, CASE WHEN {_drawn('//')} THEN 25 + (x + y) % 7 WHEN c % 13 = 0 THEN 100 ELSE 220 + (x * 7 + y * 3) % 5 END AS p FROM d),
+across AS (SELECT *, sum(p) OVER w AS s, count(*) OVER w AS n FROM pic WINDOW w AS (PARTITION BY id, y ORDER BY x ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING)),
+ink AS MATERIALIZED (SELECT id, y, x, p, p < sum(s) OVER w // sum(n) OVER w - 15 AS ink FROM across WINDOW w AS (PARTITION BY id, x ORDER BY y ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING)),
+isle AS (SELECT id, y, x, x - row_number() OVER (PARTITION BY id, y ORDER BY x) AS k FROM ink WHERE ink),
+run AS MATERIALIZED (SELECT id, y, min(x) AS x0, max(x) AS x1, y * 1000 + min(x) AS run FROM isle GROUP BY id, y, k),
+touch AS MATERIALIZED (SELECT a.id, a.run AS a, b.run AS b FROM run a JOIN run b ON a.id = b.id AND abs(a.y - b.y) = 1 AND b.x0 <= a.x1 + 1 AND b.x1 >= a.x0 - 1),
+reach AS (SELECT id, run, run AS seed FROM run UNION SELECT t.id, t.b, seed FROM reach r JOIN touch t ON t.id = r.id AND t.a = r.run),
+label AS (SELECT id, run, min(seed) AS label FROM reach GROUP BY id, run),
+part AS MATERIALIZED (SELECT id, label, min(x0) AS l, min(y) AS t, max(x1) + 1 AS r, max(y) + 1 AS b, sum(x1 - x0 + 1) AS area, max(x1) + 1 - min(x0) AS w, max(y) + 1 - min(y) AS h FROM run JOIN label USING (id, run) GROUP BY id, label),
+ch AS MATERIALIZED (SELECT * FROM part WHERE h >= 10 AND h <= 0.85::DOUBLE * 24 AND w >= 2 AND w BETWEEN 0.10::DOUBLE * h AND 1.6::DOUBLE * h AND area BETWEEN 0.05::DOUBLE * w * h AND 0.85::DOUBLE * w * h),
+pair AS (SELECT a.id, a.label AS seed, a.h AS size, c.* EXCLUDE (id) FROM ch a JOIN ch c ON a.id = c.id AND abs(c.h - a.h) <= 0.35::DOUBLE * a.h AND abs(c.t + c.h / 2::DOUBLE - (a.t + a.h / 2::DOUBLE)) <= 0.4::DOUBLE * a.h AND abs(c.l - a.l) <= 9 * a.h),
+chain AS (SELECT id, seed, size, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b, count(*) AS n, median(h) AS tall, median((t + b) / 2::DOUBLE) AS mid_y, median(w / h::DOUBLE) AS narrow, list([{{'l': l, 'r': r}}] ORDER BY l, r) AS boxes FROM pair GROUP BY id, seed, size),
+col AS (SELECT *, list_reduce(boxes, lambda a, c: CASE WHEN c[1].l < a[-1].r - 0.35::DOUBLE * least(c[1].r - c[1].l, a[-1].r - a[-1].l) THEN list_concat(a[:len(a) - 1], [{{'l': a[-1].l, 'r': greatest(a[-1].r, c[1].r)}}]) ELSE list_concat(a, c) END) AS cols FROM chain),
+gap AS (SELECT id, seed, avg(g) AS mean, stddev_pop(g) AS off FROM (SELECT id, seed, unnest([(cols[i + 1].l + cols[i + 1].r - cols[i].l - cols[i].r) / 2::DOUBLE for i in range(1, len(cols))]) AS g FROM col WHERE len(cols) BETWEEN 5 AND 9) GROUP BY id, seed),
+even AS (SELECT col.* FROM col JOIN gap USING (id, seed) WHERE NOT (mean > 0 AND off / mean > 0.75::DOUBLE) AND (r - l) / size::DOUBLE BETWEEN 3 AND 9 AND narrow <= 0.8::DOUBLE),
+tone AS (SELECT id, l, t, r, b, avg(p) FILTER (NOT ink) AS ground, avg(p) FILTER (ink) AS strokes, avg(ink::INT) AS share FROM (SELECT DISTINCT id, l, t, r, b FROM even) e JOIN ink USING (id) WHERE x >= l AND x < r AND y >= t AND y < b GROUP BY ALL),
+scored AS (SELECT even.*, size * (2 - least(abs(len(cols) - 7.5::DOUBLE), 4) / 4) * (1 + (ground - strokes) / 255) AS score FROM even JOIN tone USING (id, l, t, r, b) WHERE share <= 0.6::DOUBLE AND ground >= 110 AND ground - strokes >= 40),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, seed) = 1),
+near AS (SELECT best.id, count(*) AS n, min(ch.l) AS l, min(ch.t) AS t, max(ch.r) AS r, max(ch.b) AS b, list([{{'l': ch.l, 'r': ch.r}}] ORDER BY ch.l, ch.r) AS boxes FROM best JOIN ch ON ch.id = best.id
+  AND abs((ch.t + ch.b) / 2::DOUBLE - mid_y) < 0.5::DOUBLE * tall AND ch.h > 0.65::DOUBLE * tall AND ch.h < 1.35::DOUBLE * tall AND ch.l > best.l - 1.5::DOUBLE * tall AND ch.r < best.r + 1.5::DOUBLE * tall GROUP BY best.id),
+band AS (SELECT *, list_reduce(boxes, lambda a, c: CASE WHEN c[1].l < a[-1].r - 0.35::DOUBLE * least(c[1].r - c[1].l, a[-1].r - a[-1].l) THEN list_concat(a[:len(a) - 1], [{{'l': a[-1].l, 'r': greatest(a[-1].r, c[1].r)}}]) ELSE list_concat(a, c) END) AS cols FROM near),
+line AS MATERIALIZED (SELECT best.id, CASE WHEN band.n >= best.n THEN {{'l': band.l, 't': band.t, 'r': band.r, 'b': band.b, 'cols': band.cols}} ELSE {{'l': best.l, 't': best.t, 'r': best.r, 'b': best.b, 'cols': best.cols}} END AS v FROM best LEFT JOIN band USING (id))"""
 FRAME = f"WITH {SIGHTINGS_SQL},{BLOCKS_SQL}"
 READ = f"{FRAME},{P.REPAIR},{P.lenient('numbered', 'id', 'text')},\nf AS (SELECT numbered.*, lenient FROM numbered JOIN read USING (id))"
 
@@ -264,7 +332,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stacked_line_pairs, frame_extract, ambiguous_blocks, box_geometry, vec_standardize, vec_otsu, vec_dice, vec_argmax_masked, vec_top2_margin, vec_moving_avg, vec_order_statistics, integral_image,
-        ink_mask, hole_count, deskew_slope, components_box, glyph_inputs, eval_accuracy, eval_recall, eval_confusions, eval_repairs, eval_agreement, eval_labels, eval_middle_accuracy, vec_sweep_best, glyph_slots, frames_without_syllable, tight_boxes, dark_rows_cut, glyph_template,
+        ink_mask, hole_count, deskew_slope, components_box, glyph_inputs, eval_accuracy, eval_recall, eval_confusions, eval_repairs, eval_agreement, eval_labels, eval_middle_accuracy, vec_sweep_best, glyph_slots, frames_without_syllable, tight_boxes, dark_rows_cut, glyph_template, valley_cells, glyph_centres,
     )
 }
 ORACLES = {
@@ -296,6 +364,29 @@ SELECT vec_id, ink FROM embeddings LEFT JOIN n USING (vec_id)""",
     "deskew_slope": f"""WITH {INK_SQL}, c AS (SELECT vec_id, x, count(*) FILTER (ink) AS n, sum(y) FILTER (ink) AS s FROM ink GROUP BY vec_id, x),
 t AS (SELECT vec_id, CASE WHEN count(*) >= 8 THEN round(regr_slope(s::DOUBLE / n, x::DOUBLE), 6) + 0.0::DOUBLE END AS slope FROM c WHERE n >= 2 GROUP BY vec_id)
 SELECT vec_id, slope, 1024 AS pixels FROM embeddings LEFT JOIN t USING (vec_id)""",
+    "components_box": f"""WITH RECURSIVE {PICTURES_SQL},
+k AS (SELECT *, (t + b - 1) // 2 AS mid_y FROM part WHERE h BETWEEN 0.25::DOUBLE * 24 AND 0.98::DOUBLE * 24 AND w BETWEEN 0.08::DOUBLE * h AND 1.6::DOUBLE * h AND area BETWEEN 0.05::DOUBLE * w * h AND 0.90::DOUBLE * w * h),
+u AS (SELECT id, list_sort(list(h))[len(list(h)) // 2 + 1] AS tall, list_sort(list(mid_y))[len(list(mid_y)) // 2 + 1] AS mid FROM k GROUP BY id HAVING count(*) >= 3),
+tb AS (SELECT id, min(l) || ',' || min(t) || ',' || max(r) || ',' || max(b) AS box FROM k JOIN u USING (id) WHERE h BETWEEN 0.65::DOUBLE * tall AND 1.35::DOUBLE * tall AND abs(mid_y - mid) <= 0.5::DOUBLE * tall GROUP BY id HAVING count(*) >= 3),
+n AS (SELECT id, count(*) AS components, sum(area)::BIGINT AS ink FROM part GROUP BY id)
+SELECT c_custkey AS id, components, ink, box, v.l || ',' || v.t || ',' || v.r || ',' || v.b AS line, array_to_string([c.l || '-' || c.r for c in v.cols], ',') AS columns
+FROM customer LEFT JOIN n ON n.id = c_custkey LEFT JOIN tb ON tb.id = c_custkey LEFT JOIN line ON line.id = c_custkey""",
+    "glyph_centres": f"""WITH RECURSIVE {PICTURES_SQL},
+c AS (SELECT id, x, x - row_number() OVER (PARTITION BY id ORDER BY x) AS k FROM ink GROUP BY id, x HAVING count(*) FILTER (ink) >= 2),
+i AS (SELECT id, min(x) AS a, max(x) AS b, row_number() OVER (PARTITION BY id ORDER BY min(x) DESC) AS n FROM c GROUP BY id, k HAVING max(x) > min(x)),
+m AS (SELECT id, max((a + b) / 2::DOUBLE) FILTER (n = 1) AS c1, max((a + b) / 2::DOUBLE) FILTER (n = 2) AS c2, max((a + b) / 2::DOUBLE) FILTER (n = 3) AS c3, max((a + b) / 2::DOUBLE) FILTER (n = 4) AS c4, max(a) FILTER (n = 5) AS a5, max(b) FILTER (n = 5) AS b5 FROM i GROUP BY id HAVING count(*) >= 5),
+g AS (SELECT id, a5, b5, list_sort([c1 - c2, c2 - c3, c3 - c4]) AS gaps FROM m),
+f AS (SELECT g.id, b5, gaps[2] AS pitch, least(a5, coalesce(min(a) FILTER (n > 5 AND b5 - a + 1 <= gaps[2] * 1.05::DOUBLE), a5)) AS l FROM g LEFT JOIN i ON i.id = g.id WHERE gaps[2] > 2 AND gaps[1] >= gaps[2] * 0.55::DOUBLE AND gaps[3] <= gaps[2] * 1.8::DOUBLE GROUP BY g.id, a5, b5, gaps)
+SELECT c_custkey AS id, (l + b5) / 2::DOUBLE AS centre, CASE WHEN l IS NOT NULL THEN pitch END AS pitch FROM customer LEFT JOIN f ON f.id = c_custkey AND b5 - l >= 2""",
+    "valley_cells": f"""WITH RECURSIVE {PICTURES_SQL},
+s AS (SELECT id, v.t AS t, v.b AS b, (v.r - v.l) / len(v.cols)::DOUBLE AS pitch, v.l + 3.5::DOUBLE * ((v.r - v.l) / len(v.cols)::DOUBLE) AS centre FROM line),
+e AS (SELECT *, greatest(0, least(96, trunc(centre - pitch * 1.2::DOUBLE)::INT)) AS x0, greatest(0, least(96, trunc(centre + pitch * 1.2::DOUBLE)::INT)) AS x1, greatest(1, trunc(pitch * 0.08::DOUBLE)::INT) // 2 AS wide FROM s WHERE b - t >= 4),
+f AS (SELECT *, greatest(0, least(trunc(centre)::INT - x0, x1 - x0 - 1)) AS mid_y FROM e WHERE x1 - x0 >= 6),
+g AS (SELECT id, x, count(*) FILTER (ink) AS n FROM f JOIN ink USING (id) WHERE x >= x0 AND x < x1 AND y >= t AND y < b GROUP BY id, x),
+h AS (SELECT f.id, a.x, avg(o.n) AS smooth FROM f JOIN g a USING (id) JOIN g o ON o.id = f.id AND abs(o.x - a.x) <= wide GROUP BY f.id, a.x),
+m AS (SELECT id, arg_min(x, (smooth, x)) FILTER (x - x0 >= greatest(0, trunc(mid_y - pitch * 0.80::DOUBLE)::INT) AND x - x0 < trunc(mid_y - pitch * 0.28::DOUBLE)::INT) AS l,
+  arg_min(x, (smooth, x)) FILTER (x - x0 >= trunc(mid_y + pitch * 0.28::DOUBLE)::INT AND x - x0 < least(x1 - x0, trunc(mid_y + pitch * 0.80::DOUBLE)::INT)) AS r FROM h JOIN f USING (id) GROUP BY id)
+SELECT id, 3 AS slot, l::INT AS "left", r::INT AS "right" FROM m WHERE r - l >= 3""",
     "hole_count": f"WITH RECURSIVE {HOLES_SQL} SELECT e.vec_id, count(n)::INT AS holes FROM embeddings e LEFT JOIN sized s ON s.vec_id = e.vec_id AND n >= 12 GROUP BY e.vec_id",
     "vec_dice": "WITH v AS (SELECT vec_id, unnest(embedding) > 0 AS a, unnest(list_reverse(embedding)) > 0.05 AS b FROM embeddings), s AS (SELECT vec_id, count(*) FILTER (a) AS x, count(*) FILTER (b) AS y, count(*) FILTER (a AND b) AS z FROM v GROUP BY vec_id) SELECT vec_id, round(CASE WHEN x + y = 0 THEN 0 ELSE 2.0::DOUBLE * z / (x + y) END, 6) AS dice FROM s",
     "vec_argmax_masked": f"WITH {GRAY_SQL}, s AS (SELECT *, vec_id % 2 > 0 OR strpos('{glyphs.CLOSED}', substr('{GLYPHS}', k::INT + 1, 1)) = 0 AS able FROM v WHERE k < 40) SELECT vec_id, arg_max(k, (x, -k))::INT AS plain, arg_max(k, (x, -k)) FILTER (able)::INT AS possible FROM s GROUP BY vec_id",
