@@ -43,7 +43,8 @@ HINTS = re.compile(
 )
 GOOD_HINTS = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body|text)(?:$|[\s_-])", re.I)
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+QUOTE_OR_END = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 # Words, in the languages of the pages, that boilerplate says of itself.
 LEGAL = re.compile(r"©|\(c\)\s*\d{4}|\b(?:copyright|all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos)\b", re.I)
@@ -98,13 +99,106 @@ class Block:
     form: bool = False  #: after a field of a form, or before one
 
 
+class _Tags:
+    """The tags of a page in order, each place of which is looked at a bounded number of times, whatever the markup."""
+
+    def __init__(self, page: str):
+        self.page, self.last_end = page, page.rfind(">")
+        self.open_ended: set[int] = set()  # places from which on quotes don't come out even before a tag's end
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(begin, end, whether it is an end tag, name, attributes) of the first tag from ``at`` on; comments and declarations
+        have no name, and a comment may have no end.  None: the rest is text."""
+        page = self.page
+        while (begin := page.find("<", at)) >= 0:
+            if page.startswith("<!--", begin):
+                end = page.find("-->", begin + 4)
+                return begin, len(page) if end < 0 else end + 3, False, "", ""
+            if begin > self.last_end:  # nothing ends any more, but a comment that has no end may come
+                begin = page.find("<!--", begin)
+                return None if begin < 0 else (begin, len(page), False, "", "")
+            closes = page.startswith("/", begin + 1)
+            name = NAME.match(page, begin + 1 + closes)
+            if name:
+                end = self.end_of(name.end())
+                return begin, end, closes, name[0].lower(), page[name.end() : end - 1]
+            if page[begin + 1 : begin + 2] in ("!", "?", "/"):
+                return begin, page.find(">", begin) + 1, False, "", ""
+            at = begin + 1
+        return None
+
+    def end_of(self, at: int) -> int:
+        """Where the tag with attributes from ``at`` on ends: at the first > outside of quotes, or where quotes don't come
+        out even, at the first one."""
+        first, seen = at, []
+        while at not in self.open_ended:
+            seen.append(at)
+            m = QUOTE_OR_END.search(self.page, at)
+            if m and m[0] == ">":
+                return m.end()
+            at = self.page.find(m[0], m.end()) + 1 if m else 0
+            if not at:
+                break
+        self.open_ended.update(seen)
+        return self.page.find(">", first) + 1
+
+
+class _Open:
+    """The open elements, with the places of those that tags ask for, so that none searches through them."""
+
+    BARRIERS = frozenset("ul ol dl table menu".split()) | SECTIONS
+
+    def __init__(self, top: Node):
+        self.stack = [top]
+        self.by_name: dict[str, list[int]] = {}
+        self.kinds = {kind: [] for kind in (BLOCK, SECTIONS, self.BARRIERS)}
+        self.kinds[BLOCK].append(0)
+
+    def push(self, node: Node) -> None:
+        k = len(self.stack)
+        self.stack.append(node)
+        self.by_name.setdefault(node.name, []).append(k)
+        for names, places in self.kinds.items():
+            if node.name in names:
+                places.append(k)
+
+    def cut(self, k: int) -> None:
+        """Closes the element at place ``k`` and all in it."""
+        while len(self.stack) > k:
+            node = self.stack.pop()
+            self.by_name[node.name].pop()
+            for places in self.kinds.values():
+                if places and places[-1] == len(self.stack):
+                    places.pop()
+
+    def last(self, name: str) -> int:
+        """The place of the last open element of a name; 0 without one."""
+        places = self.by_name.get(name)
+        return places[-1] if places else 0
+
+    def close(self, name: str, within: frozenset[str] | None) -> bool:
+        """Closes the last element of a name unless one of the kind ``within`` has been opened since."""
+        k = self.last(name)
+        closes = k > 0 and not (within is not None and self.kinds[within] and self.kinds[within][-1] > k)
+        if closes:
+            self.cut(k)
+        return closes
+
+    @property
+    def holder(self) -> Node:
+        return self.stack[self.kinds[BLOCK][-1]]
+
+
 def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page in order.  Scripts, styles and other RAW elements have none up to their end tags; missing
-    end tags are implied as browsers do for paragraphs and items, and unknown markup is dropped.  A script or style
-    without an end tag is the rest of the page, as in browsers; of any other RAW element without one only the tag is
-    dropped.  The head is no element of its own: what it may hold has no text, and it ends where text begins."""
+    """The blocks of a page in order, in time that follows its length.  Scripts, styles and other RAW elements have none up to
+    their end tags; missing end tags are implied as browsers do for paragraphs and items, and unknown markup is dropped.
+    A script or style without an end tag is the rest of the page, as in browsers; of any other RAW element without
+    one only the tag is dropped.  The head is no element of its own: what it may hold has no text, and it ends where
+    text begins."""
     top = Node("html", "", None)
-    stack, out, held, linked, controls, embedded = [top], [], [], 0, 0, 0
+    tags, opened, out = _Tags(page), _Open(top), []
+    stack = opened.stack
+    held, linked, controls, embedded = [], 0, 0, 0
     holder = top
     endless = set()  # RAW elements without an end tag from here on
 
@@ -119,8 +213,8 @@ def blocks_of(page: str) -> list[Block]:
 
     at, n = 0, len(page)
     while at < n:
-        m = TAG.search(page, at)
-        end = m.start() if m else n
+        tag = tags.next(at)
+        end = tag[0] if tag else n
         if end > at:
             held.append(page[at:end])
             if stack[-1].link:
@@ -129,31 +223,28 @@ def blocks_of(page: str) -> list[Block]:
                 controls += end - at
             if stack[-1].embedded:
                 embedded += end - at
-        if not m:
+        if not tag:
             break
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        _, at, closes, name, attributes = tag
         if not name:
             continue
         if name in SPACED:
             held.append(" ")
-        if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    if name in BLOCK:
-                        flush()
-                    del stack[k:]
-                    holder = next(x for x in reversed(stack) if x.name in BLOCK)
-                    break
-                if stack[k].name in SECTIONS and name not in SECTIONS:
-                    break  # an end tag doesn't reach out of its section
+        if closes:
+            # an end tag doesn't reach out of its section
+            k = opened.last(name)
+            if k and (name in SECTIONS or not opened.kinds[SECTIONS] or opened.kinds[SECTIONS][-1] < k):
+                if name in BLOCK:
+                    flush()
+                opened.cut(k)
+                holder = opened.holder
             continue
-        attributes = m[3] if m[2] else m[6]
         if name in RAW:
             if not attributes.rstrip().endswith("/") and name not in endless:
-                close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                if close:
-                    at = close.end()
+                close = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
+                ends = page.find(">", close.end()) if close else -1
+                if ends >= 0:
+                    at = ends + 1
                 elif name in ("script", "style"):
                     at = n
                 else:
@@ -169,33 +260,15 @@ def blocks_of(page: str) -> list[Block]:
             if name in BLOCK:
                 flush()
                 if name in CLOSES_P or name == "p":
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k].name == "p":
-                            del stack[k:]
-                            break
-                        if stack[k].name in BLOCK:
-                            break
+                    opened.close("p", BLOCK)
                 if name in ("li", "dd", "dt", "td", "th", "tr", "option"):
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k].name == name:
-                            del stack[k:]
-                            break
-                        if stack[k].name in ("ul", "ol", "dl", "table", "menu") or stack[k].name in SECTIONS:
-                            break
+                    opened.close(name, _Open.BARRIERS)
             if name == "a" and stack[-1].link:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == "a":
-                        del stack[k:]
-                        break
+                opened.close("a", None)
             if name == "button" and stack[-1].control:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == "button":
-                        del stack[k:]
-                        break
-                    if stack[k].name in BLOCK:
-                        break
+                opened.close("button", BLOCK)
             node = Node(name, attributes, stack[-1])
-            stack.append(node)
+            opened.push(node)
             if name in BLOCK:
                 holder = node
     flush()
@@ -315,39 +388,60 @@ def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list
 
 
 def _flow(nodes: list[int], own: list[float], near, label) -> list[bool]:
-    """Maximum flow by shortest augmenting paths over the unsettled nodes; True on the source's side."""
+    """Maximum flow by blocking flows over levels, of the unsettled nodes; True on the source's side.  Ties reach few
+    blocks far, so paths are short, and with them the number of levels and the time for each block."""
     at = {i: k for k, i in enumerate(nodes)}
     source, sink = len(nodes), len(nodes) + 1
-    room: list[dict[int, float]] = [{} for _ in range(len(nodes) + 2)]
+    to, room, arcs = [], [], [[] for _ in range(len(nodes) + 2)]
+
+    def tie(u: int, v: int, there: float, back: float) -> None:
+        for end, other, r in ((u, v, there), (v, u, back)):
+            arcs[end].append(len(to))
+            to.append(other)
+            room.append(r)
+
     for i in nodes:
         k = at[i]
         if own[i] > 0:
-            room[source][k] = own[i]
-            room[k][source] = 0.0
+            tie(source, k, own[i], 0.0)
         elif own[i] < 0:
-            room[k][sink] = -own[i]
-            room[sink][k] = 0.0
+            tie(k, sink, -own[i], 0.0)
         for j, w in near[i]:
-            if label[j] is None:
-                room[k][at[j]] = room[k].get(at[j], 0.0) + w
+            if label[j] is None and i < j:
+                tie(k, at[j], w, w)
     while True:
-        back, queue = {source: source}, deque([source])
-        while queue and sink not in back:
+        level, queue = {source: 0}, deque([source])
+        while queue:
             x = queue.popleft()
-            for y, r in room[x].items():
-                if r > 1e-9 and y not in back:
-                    back[y] = x
-                    queue.append(y)
-        if sink not in back:
-            return [k in back for k in range(len(nodes))]
-        path, y = [], sink
-        while y != source:
-            path.append((back[y], y))
-            y = back[y]
-        least = min(room[x][y] for x, y in path)
-        for x, y in path:
-            room[x][y] -= least
-            room[y][x] = room[y].get(x, 0.0) + least
+            for e in arcs[x]:
+                if room[e] > 1e-9 and to[e] not in level:
+                    level[to[e]] = level[x] + 1
+                    queue.append(to[e])
+        if sink not in level:
+            return [k in level for k in range(len(nodes))]
+        turn = [0] * len(arcs)  # arcs before this one lead nowhere in these levels
+        path: list[int] = []
+        x = source
+        while True:
+            if x == sink:
+                least = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= least
+                    room[e ^ 1] += least
+                path, x = [], source
+                continue
+            while turn[x] < len(arcs[x]):
+                e = arcs[x][turn[x]]
+                if room[e] > 1e-9 and level.get(to[e]) == level[x] + 1:
+                    path.append(e)
+                    x = to[e]
+                    break
+                turn[x] += 1
+            else:
+                if not path:
+                    break
+                x = to[path.pop() ^ 1]
+                turn[x] += 1
 
 
 @dataclass(frozen=True)

@@ -4,6 +4,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -143,3 +144,34 @@ def test_buttons_and_options_are_told_apart(model):
     assert [b.text for b in found] == [LONG, "Two", LONG, LONG, "Share", "Reply"]
     assert [b.controls / len(b.text) for b in found] == [1, 1, 0, 0, 1, 1]
     assert H.main_text(page, model) == f"{LONG} {LONG}"
+
+
+MALFORMED = {
+    "tags without an end": "<a " * 330_000,
+    "end tags of nothing": "<div>" * 150_000 + "</p>" * 60_000,
+    "quotes that don't come out even": '<a "><a" ' * 110_000 + '"',
+    "blocks in deep markup": "<b>" * 150_000 + "<div></div>" * 50_000,
+    "end tags without an end": "<textarea>" + "</textarea" * 100_000,
+    "end tags out of a section": "<p><nav>" + "<i>" * 150_000 + "</p>" * 100_000,
+    "items in deep markup": "<ul>" + "<b>" * 100_000 + "<li>x" * 100_000,
+    "comments without an end": "<!--" * 250_000,
+    "names of names": "<a<b" * 250_000 + ">",
+    "signs": "<" * 500_000 + "&" * 500_000,
+    "paragraphs": "<p>some words here</p>" * 45_000,
+}
+
+
+@pytest.mark.parametrize("kind", sorted(MALFORMED))
+def test_a_megabyte_of_malformed_markup(model, kind):
+    began = time.process_time()
+    H.main_text(MALFORMED[kind], model)
+    assert time.process_time() - began < 6  # a second or two; it was minutes to hours
+
+
+def test_many_uncertain_blocks_are_cut_in_time():
+    rng = random.Random(1)
+    costs = [rng.uniform(-1, 1) for _ in range(20_000)]
+    edges = [(i, i + 1, 0.9) for i in range(19_999)] + [(i, i + 3, 0.4) for i in range(19_997)]
+    began = time.process_time()
+    H.minimum_cut(costs, edges)
+    assert time.process_time() - began < 20
