@@ -4,13 +4,15 @@ Only headers are shuffled by digest; they choose, for each payload, the record t
 are strings that Spark's own text writer ends with the blank lines that end a WARC record, so archives are
 committed like any other Spark output and a lost executor leaves no half-written file.  A task cuts its records into
 files by their running size, so a file holds at most ``FILE_BYTES`` and one record more.  Reading parses whole
-files by their Content-Length.
+files by their Content-Length, members of gzip archives one after the other.  Payloads are bytes, whatever their encoding.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +28,7 @@ END = "\r\n\r\n"
 
 
 def base32_sha1(text: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a string's UTF-8 bytes: five hexadecimal digits make four characters."""
+    """Upper-case base32 of the SHA-1 of a string's UTF-8 bytes, or of bytes: five hexadecimal digits make four characters."""
     digits = F.sha1(text)
     out = []
     for k in range(8):
@@ -41,15 +43,17 @@ def _record_id(*parts: Column) -> Column:
 
 
 def resolved(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Adds ``digest``, ``payload_bytes``, ``record_type`` and ``refers_to`` to (page_id, url, html[, record_id]).
+    """Adds ``digest``, ``payload_bytes``, ``record_type`` and ``refers_to`` to (page_id, url, html[, record_id, http]), where
+    html is text or bytes.
 
     Of the records with equal payloads of at least ``least_bytes`` bytes, that with the largest page_id (then record_id)
     is the response (all of them, if rows repeat it) and the others revisit it; records without either are responses,
     unless one with such a name has their payload.  ``refers_record`` names the response where it is one record.
     """
-    payload = F.coalesce("html", F.lit(""))
+    payload = F.coalesce("html", F.lit("").cast(pages.schema["html"].dataType))
+    http = F.col("http") if "http" in pages.columns else F.lit(None).cast("binary")
     name = F.col("record_id") if "record_id" in pages.columns else F.lit(None).cast("string")
-    rows = pages.select("page_id", "url", payload.alias("html"), name.alias("record_id"), base32_sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
+    rows = pages.select("page_id", "url", payload.alias("html"), http.alias("http"), name.alias("record_id"), base32_sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
     headers = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("digest", "page_id", "record_id").agg(F.count(F.lit(1)).alias("n"))
     headers = headers.groupBy("digest").agg(F.max(F.struct("page_id", "record_id", "n")).alias("o"), F.sum("n").alias("all"))
     shared = written(headers.where(F.col("all") > 1).select("digest", F.col("o.page_id").alias("_page"), F.col("o.record_id").alias("_record"), F.col("o.n").alias("_n")), "warc-shared")
@@ -73,7 +77,9 @@ def records(rows: DataFrame, date: str | None = None) -> DataFrame:
     unique = _record_id(F.col("page_id"), F.col("digest"), F.col("url"), F.monotonically_increasing_id())
     now = F.lit(date) if date else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
-    body = F.concat(http, F.when(response, F.col("html")).otherwise(""))
+    # a record that was read keeps its own HTTP header; bytes pass through strings unchanged
+    http = F.coalesce(F.col("http").cast("string"), http)
+    body = F.concat(http, F.when(response, F.col("html").cast("string")).otherwise(""))
     uri = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "),
@@ -118,42 +124,73 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes
     _write(records(resolved(pages, least_bytes)), path, file_bytes)
 
 
-READ = "page_id long, url string, record_type string, record_id string, refers_to_id string, digest string, payload_bytes long, html string, raw string"
+READ = "page_id long, url string, record_type string, record_id string, refers_to_id string, digest string, told string, payload_bytes long, payload binary, http binary, raw binary"
+CHUNK = 1 << 16
+
+
+def members(data: bytes) -> Iterator[bytes]:
+    """The members of a gzip archive, unpacked one at a time; other data as they are.  Raises where a member is cut off."""
+    if not data.startswith(b"\x1f\x8b"):
+        yield data
+        return
+    at, view = 0, memoryview(data)
+    while at < len(data):
+        made, parts = zlib.decompressobj(31), []
+        while not made.eof:
+            part = view[at : at + CHUNK]
+            if not part:
+                raise ValueError("the last member of a gzip archive is cut off")
+            parts.append(made.decompress(part))
+            at += len(part) - len(made.unused_data)
+        yield b"".join(parts)
 
 
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
     """Header fields (names in lower case), content, and both as they stand of each record of an archive; raises where it
     isn't one."""
-    at, view = 0, memoryview(data)
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode("utf-8").split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = {name.strip().lower(): value.strip() for name, _, value in (x.partition(":") for x in lines)}
-        first = end + 4
-        last = first + int(fields["content-length"])
-        if data[last : last + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} has no end at byte {last}")
-        yield fields, bytes(view[first:last]), bytes(view[at:last])
-        at = last + 4
-
-
-def _read(keep_payload: bool):
+    for part in members(data):
+        at, view = 0, memoryview(part)
+        while at < len(part):
+            end = part.index(b"\r\n\r\n", at)
+            version, *lines = part[at:end].decode("utf-8", "replace").split("\r\n")
+            if not version.startswith("WARC/"):
+                raise ValueError(f"no WARC record at byte {at}")
+            fields = {name.strip().lower(): value.strip() for name, _, value in (x.partition(":") for x in lines)}
+            first = end + 4
+            last = first + int(fields["content-length"])
+            if part[last : last + 4] != b"\r\n\r\n":
+                raise ValueError(f"the record at byte {at} has no end at byte {last}")
+            yield fields, bytes(view[first:last]), bytes(view[at:last])
+            at = last + 4
+
+
+def _digest(told: str | None) -> tuple[str | None, str | None]:
+    """(SHA-1 in upper-case base32, any other digest as it stands) of what a record says of its payload."""
+    name, _, value = (told or "").partition(":")
+    if name.lower() == "sha1" and re.fullmatch("[A-Za-z2-7]{32}", value):
+        return value.upper(), None
+    if name.lower() == "sha1" and re.fullmatch("[0-9A-Fa-f]{40}", value):
+        return base64.b32encode(bytes.fromhex(value)).decode(), None
+    return None, told or None
+
+
+def _read(keep_payload: bool, strict: bool):
     def rows_of(data: bytes):
         for fields, content, record in parsed(data):
-            kind, digest, payload = fields["warc-type"], fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, None
+            kind, payload, http = fields.get("warc-type"), None, None
+            digest, told = _digest(fields.get("warc-payload-digest"))
             if kind == "response":
-                payload = content.partition(b"\r\n\r\n")[2]
-                told, digest = digest, base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                if told not in (None, digest):
-                    raise ValueError(f"payload of {fields['warc-record-id']} has another digest")
-            page = fields.get("warc-page-id")
-            kept = payload.decode("utf-8") if payload is not None and keep_payload else None
-            raw = record.decode("utf-8") if payload is None and keep_payload else None
-            yield page and int(page), fields.get("warc-target-uri"), kind, fields.get("warc-record-id"), fields.get("warc-refers-to"), digest, None if payload is None else len(payload), kept, raw
-
-    kinds = [pa.int64(), *[pa.string()] * 5, pa.int64(), pa.string(), pa.string()]
+                http, blank, payload = content.partition(b"\r\n\r\n")
+                http, said = http + blank, digest
+                digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                if strict and said not in (None, digest):
+                    raise ValueError(f"payload of {fields.get('warc-record-id')} has another digest")
+            page = fields.get("warc-page-id", "")
+            whole = keep_payload and payload is not None
+            named = int(page) if re.fullmatch(r"-?\d{1,18}", page) else None
+            yield named, fields.get("warc-target-uri"), kind, fields.get("warc-record-id"), fields.get("warc-refers-to"), digest, told, None if payload is None else len(payload), payload if whole else None, http if whole else None, record if keep_payload and payload is None else None
+
+    kinds = [pa.int64(), *[pa.string()] * 6, pa.int64(), *[pa.binary()] * 3]
     names = [x.split()[0] for x in READ.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +199,7 @@ def _read(keep_payload: bool):
                 held, size = [], 0
                 for row in rows_of(data.as_py()):
                     held.append(row)
-                    size += (row[6] or 0) if keep_payload else 100
+                    size += sum(len(x) for x in row[8:] if x) + 100
                     if size > 4_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
                         held, size = [], 0
@@ -172,38 +209,50 @@ def _read(keep_payload: bool):
     return run
 
 
-def read_archives(spark: SparkSession, path: str, keep_payload: bool = False) -> DataFrame:
-    """Records of archives; every response's payload digest is checked, if it has one.  ``html`` (of responses) and ``raw``
-    (the other records as they stand) are null without ``keep_payload``.  Payloads must be UTF-8."""
+def read_archives(spark: SparkSession, path: str, keep_payload: bool = False, strict: bool = True) -> DataFrame:
+    """Records of archives, plain or gzip: (page_id, url, record_type, record_id, refers_to_id, digest, told, payload_bytes,
+    payload, http, raw, html).
+
+    ``digest`` is the SHA-1 of a response's payload (if ``strict``, one that the record itself gives otherwise raises), and
+    of a revisit the SHA-1 that it gives; ``told`` is a digest of another kind, as it stands.  The bytes of responses'
+    payloads, their HTTP headers, and the other records as they stand (``raw``) are null without ``keep_payload``;
+    ``html`` is a payload that is UTF-8, as a string.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_read(keep_payload), READ)
+    read = files.mapInArrow(_read(keep_payload, strict), READ)
+    return read.withColumn("html", F.when(F.is_valid_utf8("payload"), F.col("payload").cast("string")))
 
 
 def resolve(read: DataFrame) -> DataFrame:
-    """Joins revisits to the response of their digest: (page_id, url, digest, record_type, refers_to, payload_bytes, html).
+    """Joins revisits to the response of their digest: (page_id, url, digest, record_type, refers_to, payload_bytes, html,
+    record_id, payload, http).
 
-    A revisit whose response is in none of the archives keeps null there; records of other types are left out.
+    A revisit names its payload by SHA-1 or by the other digest that a response has told of itself.  One whose response is
+    in none of the archives keeps null there; records of other types are left out.
     """
     responses = read.where("record_type = 'response'")
-    originals = responses.groupBy("digest").agg(F.max(F.struct("page_id", "record_id")).alias("o"), F.max("payload_bytes").alias("payload_bytes"))
-    originals = written(originals.select("digest", F.col("o.page_id").alias("refers_to"), F.col("o.record_id").alias("_record"), "payload_bytes"), "warc-originals")
-    revisits = join_small(read.where("record_type = 'revisit'").drop("payload_bytes", "html", "raw"), originals, ["digest"], how="left")
+    names = responses.select("page_id", "record_id", "payload_bytes", F.col("digest").alias("_sha1"), F.explode(F.array_compact(F.array("digest", "told"))).alias("_name"))
+    originals = names.groupBy("_name").agg(F.max(F.struct("page_id", "record_id", "payload_bytes", "_sha1")).alias("o"))
+    originals = written(originals.select("_name", F.col("o.page_id").alias("refers_to"), F.col("o.record_id").alias("_record"), "o.payload_bytes", F.col("o._sha1").alias("_sha1")), "warc-originals")
+    revisits = read.where("record_type = 'revisit'").select("page_id", "url", "record_type", "record_id", "digest", F.coalesce("digest", "told").alias("_name"))
+    revisits = join_small(revisits, originals, ["_name"], how="left").withColumn("digest", F.coalesce("_sha1", "digest"))
     # payloads travel to the revisits of their response alone; plain tables, so that the planner may split a frequent one
-    bodies = responses.where("html is not null").select(F.col("record_id").alias("_record"), "html")
+    bodies = responses.where("payload is not null").select(F.col("record_id").alias("_record"), "html", "payload", "http")
     told = written(revisits, "warc-revisits").join(written(bodies, "warc-bodies"), "_record", "left")
-    shape = ["page_id", "url", "digest", "record_type", "refers_to", "payload_bytes", "html", "record_id"]
+    shape = ["page_id", "url", "digest", "record_type", "refers_to", "payload_bytes", "html", "record_id", "payload", "http"]
     return responses.withColumn("refers_to", F.lit(None).cast("long")).select(shape).unionByName(told.select(shape))
 
 
 def deduplicate(spark: SparkSession, source: str, path: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
     """Reads archives, resolves their revisits and writes deduplicated archives with fresh headers.
 
+    Payloads stay byte for byte what they are, with their HTTP headers, also where a record's own digest says otherwise.
     Revisits without a response in the archives and records of other types are written as they stand.
     """
-    read = written(read_archives(spark, source, keep_payload=True), "warc-read")
+    read = written(read_archives(spark, source, keep_payload=True, strict=False), "warc-read")
     whole = written(resolve(read), "warc-resolved")
-    write_archives(whole.where("html is not null").select("page_id", "url", "html", "record_id"), path, least_bytes, file_bytes)
-    lost = whole.where("html is null").select("record_id", "digest").distinct()  # revisits of what isn't here
-    kept = read.where("raw is not null and record_type <> 'revisit'").select(F.col("raw").alias("record"))
-    alone = read.where("record_type = 'revisit'").join(lost, ["record_id", "digest"], "left_semi").select(F.col("raw").alias("record"))
+    write_archives(whole.where("payload is not null").select("page_id", "url", F.col("payload").alias("html"), "http", "record_id"), path, least_bytes, file_bytes)
+    lost = whole.where("payload is null").select("record_id").distinct()  # revisits of what isn't here
+    kept = read.where("raw is not null and record_type <> 'revisit'").select(F.col("raw").cast("string").alias("record"))
+    alone = read.where("record_type = 'revisit'").join(lost, "record_id", "left_semi").select(F.col("raw").cast("string").alias("record"))
     _write(kept.unionByName(alone), path, file_bytes, mode="append")

@@ -1,6 +1,7 @@
 """Archives written, read and rewritten, against digests by hand."""
 
 import base64
+import gzip
 import hashlib
 
 import pytest
@@ -109,12 +110,49 @@ def test_archives_of_others(spark, tmp_path):
     read = warc.read_archives(spark, str(tmp_path / "out"), keep_payload=True).collect()
     assert sorted((r.record_type, r.url or "") for r in read) == [("request", "http://a/"), ("response", "http://c/"), ("response", "http://f/"), ("revisit", "http://a/"), ("revisit", "http://b/"), ("revisit", "http://d/"), ("warcinfo", "")]
     by_url = {(r.url, r.record_type): r for r in read}
-    assert by_url["http://d/", "revisit"].raw.encode() + b"\r\n\r\n" == given[4]
-    assert by_url["http://a/", "request"].raw.encode() + b"\r\n\r\n" == given[5]
+    assert by_url["http://d/", "revisit"].raw + b"\r\n\r\n" == given[4]
+    assert by_url["http://a/", "request"].raw + b"\r\n\r\n" == given[5]
     assert by_url["http://b/", "revisit"].refers_to_id == by_url["http://c/", "response"].record_id  # the largest record id
     assert {r.url: r.html for r in warc.resolve(warc.read_archives(spark, str(tmp_path / "out"), keep_payload=True)).collect() if r.url != "http://d/"} == {"http://a/": "same", "http://b/": "same", "http://c/": "same", "http://f/": ""}
 
 
+def test_digests_bytes_and_gzip_members_of_others(spark, tmp_path):
+    """Digests of other kinds and spellings, payloads that aren't UTF-8, gzip archives: read, resolved and kept."""
+    http = lambda t: b"HTTP/1.1 203 Other\r\nContent-Type: x\r\n\r\n" + t
+    latin, binary = "café".encode("latin-1"), bytes(range(256)) * 3
+    sha1 = lambda t: hashlib.sha1(t).hexdigest()
+    base32 = lambda t: base64.b32encode(hashlib.sha1(t).digest()).decode()
+    given = [
+        foreign("response", "<a>", http(latin), WARC_Target_URI="http://a/", WARC_Payload_Digest="sha256:" + hashlib.sha256(latin).hexdigest()),
+        foreign("revisit", "<b>", http(b""), WARC_Target_URI="http://b/", WARC_Payload_Digest="sha256:" + hashlib.sha256(latin).hexdigest()),
+        foreign("response", "<c>", http(binary), WARC_Target_URI="http://c/", WARC_Payload_Digest="SHA1:" + base32(binary).lower()),
+        foreign("revisit", "<d>", http(b""), WARC_Target_URI="http://d/", WARC_Payload_Digest="sha1:" + sha1(binary)),
+        foreign("response", "<e>", http(b"plain"), WARC_Target_URI="http://e/", WARC_Payload_Digest="md5:" + hashlib.md5(b"plain").hexdigest()),
+        foreign("response", "<f>", http(b"told wrongly"), WARC_Target_URI="http://f/", WARC_Payload_Digest="sha1:" + base32(b"else"), WARC_Page_ID="none"),
+        foreign("revisit", "<g>", http(b""), WARC_Target_URI="http://g/", WARC_Payload_Digest="blake3:00"),
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "members.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in given[:5]))
+    (tmp_path / "in" / "whole.warc.gz").write_bytes(gzip.compress(given[5]))
+    (tmp_path / "in" / "plain.warc").write_bytes(given[6])
+    with pytest.raises(Exception, match="another digest"):
+        warc.read_archives(spark, str(tmp_path / "in")).collect()
+    warc.deduplicate(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    read = warc.read_archives(spark, str(tmp_path / "out"), keep_payload=True)
+    got = {r.url: bytes(r.payload) for r in warc.resolve(read).where("payload is not null").collect()}
+    assert got == {"http://a/": latin, "http://b/": latin, "http://c/": binary, "http://d/": binary, "http://e/": b"plain", "http://f/": b"told wrongly"}
+    rows = read.collect()
+    assert sorted(r.record_type for r in rows) == ["response"] * 4 + ["revisit"] * 3
+    assert all(bytes(r.http) == http(b"") for r in rows if r.record_type == "response")
+    assert {r.url: r.html for r in rows if r.record_type == "response"}["http://e/"] == "plain" and sum(r.html is not None for r in rows) == 2
+    assert [bytes(r.raw) + b"\r\n\r\n" for r in rows if r.url == "http://g/"] == [given[6]]
+
+
+def test_cut_gzip_archives_raise():
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.parsed(gzip.compress(b"WARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n")[:-9]))
+
+
 def test_broken_archives_raise():
     with pytest.raises(ValueError):
         list(warc.parsed(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabcd\r\n\r\n"))
