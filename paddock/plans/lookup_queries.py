@@ -123,8 +123,8 @@ def sheet_rows_delimited(spark, sf_dir):
     return read("commas").unionByName(read("tabs"))
 
 
-def sheet_rows_workbook(spark, sf_dir):
-    """A workbook for each region with its nations: shared strings, cells left out, a bad index; and a file that is none."""
+def _books(spark, sf_dir):
+    """(file, content): a workbook for each region with its nations: shared strings, cells left out, a bad index; and a file that is none."""
     cell = lambda ref, value, kind="": F.concat(F.lit(f'<c r="{ref}"{kind}><v>'), value, F.lit("</v></c>"))
     key = F.col("n_nationkey").cast("string")
     row = F.concat(F.lit("<row>"), cell("A1", F.lit("0"), ' t="s"'), F.when(F.col("n_nationkey") % 2 == 0, cell("B1", key)).otherwise(""), cell("D1", F.when(F.col("n_nationkey") % 3 == 0, "9").otherwise("1"), ' t="s"'), F.lit("</row>"))
@@ -132,8 +132,36 @@ def sheet_rows_workbook(spark, sf_dir):
     sheet = F.concat(F.lit("<worksheet><sheetData>"), "rows", F.lit("</sheetData></worksheet>"))
     shared = F.concat(F.lit("<sst><si><t>"), "first", F.lit("</t></si><si><r><t>to</t></r><r><t>gether</t></r></si></sst>"))
     files = rows.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit(".xlsx")).alias("file"), spreadsheets.packed(F.create_map(F.lit("xl/worksheets/sheet1.xml"), sheet, F.lit("xl/sharedStrings.xml"), shared)).alias("content"))
-    files = files.unionByName(spark.range(1).select(F.lit("none.xlsx").alias("file"), F.lit(b"no archive").alias("content")))
-    return spreadsheets.book_rows(files).select("file", "line_no", F.array_join("cells", "|").alias("cells"), F.col("error").isNotNull().alias("failed"))
+    return files.unionByName(spark.range(1).select(F.lit("none.xlsx").alias("file"), F.lit(b"no archive").alias("content")))
+
+
+def _told(rows):
+    return rows.select("file", "line_no", F.array_join("cells", "|").alias("cells"), F.col("error").isNotNull().alias("failed"))
+
+
+def sheet_rows_workbook(spark, sf_dir):
+    return _told(spreadsheets.book_rows(_books(spark, sf_dir)))
+
+
+def _sheet_files(spark, sf_dir):
+    """A folder of the workbooks and, for each size of parts, a list of them as delimited text."""
+    i, folder = F.col("p_partkey"), scratch_path(spark, "sheet-files")
+    line = F.concat(F.when(i % 6 == 0, F.lit("\r\n")).otherwise(""), i.cast("string"), F.lit("\t"), F.when(i % 4 == 0, F.concat(F.lit('"'), "p_brand", F.lit('\t"'))).otherwise(F.col("p_brand")), F.lit("\t,"))
+    lists = table(spark, sf_dir, "part").groupBy("p_size").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("x")))), lambda r: r["x"]), "\n").alias("lines"))  # parts of a size: a list for people
+    texts = lists.select(F.concat(F.lit("s"), F.col("p_size").cast("string"), F.lit(".txt")).alias("file"), F.concat(F.lit("\ufeff"), "lines").cast("binary").alias("content"))
+    spreadsheets.write_files(_books(spark, sf_dir).unionByName(texts), folder)
+    return folder
+
+
+def sheet_rows_source(spark, sf_dir):
+    """Spreadsheets of both kinds by their data source."""
+    spark.dataSource.register(spreadsheets.Sheets)
+    return _told(spark.read.format("plate_sheets").load(_sheet_files(spark, sf_dir)))
+
+
+def sheet_rows_by_name(spark, sf_dir):
+    """The same folder by Spark's own readers: workbooks whole, texts in parts."""
+    return _told(spreadsheets.read_sheets(spark, _sheet_files(spark, sf_dir)))
 
 
 def column_references(spark, sf_dir):
@@ -209,7 +237,7 @@ QUERIES = {
     for f in (
         registry_scan_newest, registry_numbers, registry_digit_backfill, registry_missing_keys, import_normalize, import_counts, import_anti_join, import_outcome, plate_extract, plate_repair_table,
         plate_digit_keys, plate_middle_guard, plate_nfc_clean, plate_reassembly, lookup_exact, lookup_fallback, lookup_with_duplicates, resolve_sightings,
-        manual_entries, detections_pending, sheet_rows_delimited, sheet_rows_workbook, column_references,
+        manual_entries, detections_pending, sheet_rows_delimited, sheet_rows_workbook, column_references, sheet_rows_source, sheet_rows_by_name,
     )
 }
 IMPORTED = f"""SELECT DISTINCT plate, '다른 메모' AS note, CASE WHEN plate IN (SELECT plateNumber FROM registry) THEN 'present' ELSE 'added' END AS state
@@ -253,3 +281,6 @@ SELECT event_id, CASE WHEN length(d) BETWEEN 6 AND 8 THEN substr(d, 1, (length(d
     "lookup_with_duplicates": f"{BASE},{_digit_sql('registry_rows')} SELECT * FROM fallback",
     "resolve_sightings": f"{BASE},{RESOLVED_SQL} SELECT event_id, ts, raw_plate, canonical, is_registered FROM resolved",
 }
+ORACLES["sheet_rows_by_name"] = ORACLES["sheet_rows_source"] = f"""SELECT * FROM ({ORACLES['sheet_rows_workbook']}) UNION ALL
+SELECT 's' || p_size || '.txt', row_number() OVER w - 1 + count(*) FILTER (p_partkey % 6 = 0) OVER w, p_partkey || '|' || CASE WHEN p_partkey % 4 = 0 THEN p_brand || chr(9) ELSE p_brand END || '|,', false
+FROM part WINDOW w AS (PARTITION BY p_size ORDER BY p_partkey)"""

@@ -23,6 +23,30 @@ def test_delimited(spark, tmp_path):
     assert [(f, c) for f, _, c in got] == [("a.csv", ("번호판", "메모")), ("a.csv", ("12가3456", " x ")), ("a.csv", ("34나5678", 'a,b"c')), ("a.csv", ("56,78", "9")), ("b.txt", ("1", "2,3", "")), ("b.txt", ("4", "5"))]
 
 
+def test_a_file_is_read_in_many_parts(spark, tmp_path):
+    """Line numbers, the delimiter and the byte-order mark hold wherever a file is split."""
+    ends = ["\n", "\r\n"]
+    lines = ["", "번호판\t메모", *(f'{i}\t{"x" * (i % 40)}{"," if i % 3 else ""}' + ('"q,\t"' if i % 7 == 0 else "") if i % 5 else " " for i in range(700))]
+    for name, mark in (("a", "\ufeff"), ("b", "")):
+        (tmp_path / f"{name}.txt").write_bytes((mark + "".join(x + ends[k % 2] for k, x in enumerate(lines))).encode())
+    (tmp_path / "c.txt").write_text("no tab, here")
+    want = {(f"{name}.txt", n, tuple(spreadsheets.split_cells(x, "\t"))) for name in "ab" for n, x in enumerate(lines) if x.strip()} | {("c.txt", 0, ("no tab", " here"))}
+    for size in ("150b", "1000b", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > (20 if size == "150b" else 0)
+            got = [(r.file, r.line_no, tuple(r.cells)) for r in spreadsheets.read_delimited(spark, str(tmp_path)).collect()]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert len(got) == len(want) and set(got) == want
+    assert {(r.file, r.line_no, tuple(r.cells)) for r in _source(spark, tmp_path).collect()} == want
+
+
+def _source(spark, path):
+    spark.dataSource.register(spreadsheets.Sheets)
+    return spark.read.format("plate_sheets").load(str(path))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet='ab,"\t ', max_size=8), min_size=1, max_size=5))
 def test_quoted_cells_round_trip(cells):
@@ -49,7 +73,10 @@ def test_xlsx(spark, tmp_path):
     book(tmp_path / "a.xlsx", sheet, shared)
     (tmp_path / "broken.xlsx").write_bytes(b"no zip")
     (tmp_path / "b.csv").write_text("1,2\n")
+    (tmp_path / "c.XLSX").write_bytes((tmp_path / "a.xlsx").read_bytes())
     got = spreadsheets.read_sheets(spark, str(tmp_path)).collect()
+    assert sorted((r.file, r.line_no, r.cells) for r in _source(spark, tmp_path).drop("error").collect()) == sorted((r.file, r.line_no, r.cells) for r in got)
+    assert [(r.line_no, r.cells) for r in _source(spark, tmp_path / "b.csv").collect()] == [(0, ["1", "2"])]
     assert sorted((r.line_no, tuple(r.cells)) for r in got if r.file == "a.xlsx") == [(0, ("번호판", "", "메모")), (1, ("12가3456", "", "", "x")), (2, ())]
     assert [(r.line_no, r.cells) for r in got if r.file == "broken.xlsx"] == [(-1, None)] and [r.error for r in got if r.file == "broken.xlsx"][0]
     assert [tuple(r.cells) for r in got if r.file == "b.csv"] == [("1", "2")]
