@@ -73,6 +73,26 @@ def template(image) -> Column:
     return kernel(lambda g: None if (t := images.template(g)) is None else t.ravel().tolist(), "array<boolean>")(_col(image))
 
 
+def template_bits(image) -> Column:
+    """A template's 48 by 72 bits in 54 numbers, for :func:`likeness`; null without ink."""
+    return kernel(lambda g: None if (t := images.template(g)) is None else np.packbits(t.ravel()).view(">i8").astype(np.int64).tolist(), "array<long>")(_col(image))
+
+
+def likeness(a, b) -> Column:
+    """:func:`dice` of two masks in the numbers of :func:`template_bits`."""
+    count = lambda m: F.aggregate(m, F.lit(0), lambda s, x: s + F.bit_count(x))
+    a, b = _col(a), _col(b)
+    both = count(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)))
+    return F.when(count(a) + count(b) == 0, 0.0).otherwise(2.0 * both / (count(a) + count(b)))
+
+
+def cropped(image, box) -> Column:
+    """The part of an image inside a box (l, t, r, b), which must lie within it, row by row; null for a null box."""
+    image, box = _col(image), _col(box)
+    rows = F.transform(F.sequence(box["t"], box["b"] - 1), lambda y: F.slice(image["px"], y * image["w"] + box["l"] + 1, box["r"] - box["l"]))
+    return F.when(box.isNotNull(), F.struct((box["r"] - box["l"]).alias("w"), (box["b"] - box["t"]).alias("h"), F.flatten(rows).alias("px")))
+
+
 def prepared(image, size: int = 48) -> Column:
     """What a glyph model reads: dark rows cut, Otsu's threshold, box averages, standardised."""
     return kernel(lambda g: images.model_input(images.otsu(images.without_dark_rows(g)), size).tolist(), "array<double>")(_col(image))
@@ -219,6 +239,38 @@ def best_window(scores, margins) -> Column:
     return F.when(F.array_max(sums).isNotNull(), F.struct(F.get(windows, at - 1).alias("window"), F.get(_col(scores), at - 1).alias("score"), F.get(_col(margins), at - 1).alias("margin")))
 
 
+MOST_TEMPLATES = 1_000
+
+
+def bank_of(known: DataFrame, glyph: str = "glyph") -> list[tuple[str, list[list[int]]]]:
+    """Templates by glyph from images of known glyphs (glyph, image): a bank of at most MOST_TEMPLATES, which is a parameter of
+    a search.  A glyph may have several, one for each typeface; images without ink have none."""
+    rows = known.limit(MOST_TEMPLATES + 1).select(F.col(glyph).cast("string").alias("glyph"), template_bits("image").alias("bits")).collect()
+    if len(rows) > MOST_TEMPLATES:
+        raise ValueError(f"a bank has at most {MOST_TEMPLATES} templates")
+    by: dict[str, list[list[int]]] = {}
+    for name, bits in sorted({(r.glyph, tuple(r.bits)) for r in rows if r.bits}):
+        by.setdefault(name, []).append(list(bits))
+    return sorted(by.items())
+
+
+def best_glyphs(slots: DataFrame, bank: list[tuple[str, list[list[int]]]], key: str = "id") -> DataFrame:
+    """(key, glyph, score, margin, offset, width) of slots (key, image, box, slot): of all windows around the slot, the one whose
+    best glyph is the likest and the furthest ahead of the second (score and margin together; at ties the first window).
+
+    Each window is a row: cut out, made a template, compared with every template of the bank, and the best of them is an
+    aggregate by key.  Slots without a window of a usable size or without ink have no row.
+    """
+    windows = slots.select(key, "image", "box", "slot", F.posexplode(sweep(CENTRES, HALF_WIDTHS)).alias("k", "window"))
+    cut = slot_window(F.col("box"), F.col("slot"), F.col("window"), F.col("image.w"), F.col("image.h"))
+    each = windows.withColumn("bits", template_bits(cropped("image", cut))).where("bits is not null").select(key, "k", "window", "bits")
+    scores = F.array(*[F.array_max(F.array(*[likeness("bits", F.array(*map(F.lit, t))) for t in some])) for _, some in bank])
+    told = each.select(key, "k", "window", top_two(scores).alias("t"))
+    best = told.groupBy(key).agg(F.max_by(F.struct("window", "t"), F.struct(F.col("t.best") + F.coalesce("t.margin", F.lit(0.0)), -F.col("k"))).alias("b"))
+    glyph = F.get(F.array(*[F.lit(g) for g, _ in bank]), F.col("b.t.place"))
+    return best.select(key, glyph.alias("glyph"), F.col("b.t.best").alias("score"), F.col("b.t.margin").alias("margin"), F.col("b.window.offset").alias("offset"), F.col("b.window.width").alias("width"))
+
+
 def slot_of_digits(leading) -> Column:
     """(index, slots) of the glyph in a line of which only digits were read; null unless two or three come before it."""
     n = _col(leading)

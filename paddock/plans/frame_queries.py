@@ -161,15 +161,15 @@ def deskew_slope(spark, sf_dir):
 # -- pictures of plates, one for each customer: 7 or 8 outlined characters on a bright ground, which few lack -------
 
 #: Whether a pixel (x, y) of customer c's picture is ink: characters 11 pixels apart and 8 wide, 12 to 15 high, each second
-#: one a pixel lower, some of them broken in two.
+#: one a pixel lower, some of them broken in two.  The fourth has bars inside by the customer's number, 16 kinds in all.
 DRAWN = """
   x >= 4 + c % 7 AND {cell} < 7 + c % 2 AND {inner} < 8 AND y >= {top} AND y < {top} + 12 + c % 4
-  AND ({inner} < 2 OR {inner} >= 6 OR y < {top} + 2 OR y >= {top} + 10 + c % 4) AND NOT ((c + {cell}) % 11 = 0 AND {inner} BETWEEN 3 AND 4)"""
+  AND ({inner} < 2 OR {inner} >= 6 OR y < {top} + 2 OR y >= {top} + 10 + c % 4 OR ({cell} = 3 AND y - {top} IN (3, 5, 7, 9) AND c % 16 {div} (CASE y - {top} WHEN 3 THEN 1 WHEN 5 THEN 2 WHEN 7 THEN 4 ELSE 8 END) % 2 = 1)) AND NOT ((c + {cell}) % 11 = 0 AND {inner} BETWEEN 3 AND 4)"""
 
 
 def _drawn(div: str) -> str:
     cell = f"((x - 4 - c % 7) {div} 11)"
-    return DRAWN.format(cell=cell, inner="((x - 4 - c % 7) % 11)", top=f"(4 + c % 5 + {cell} % 2)")
+    return DRAWN.format(cell=cell, div=div, inner="((x - 4 - c % 7) % 11)", top=f"(4 + c % 5 + {cell} % 2)")
 
 
 def _pictures(spark, sf_dir):
@@ -218,6 +218,20 @@ def glyph_inputs(spark, sf_dir):
     return rows.select("vec_id", F.round(F.array_max("x"), 5).alias("greatest"), F.size(F.filter("t", lambda x: x)).alias("ink"))
 
 
+def glyph_matches(spark, sf_dir):
+    """The fourth character of each picture's line, searched for in 27 windows with a bank of templates: the first picture
+    of each kind.  Whether it is the kind that was drawn is told, too."""
+    pictures = _pictures(spark, sf_dir)
+    found = pixels.lines(pictures, pixels.components(pictures))
+    box = F.struct(F.col("left").alias("l"), F.col("top").alias("t"), F.col("right").alias("r"), F.col("bottom").alias("b"))
+    slots = written(found.select("id", box.alias("box"), glyphs.slot_in_reading(F.lit(3), (F.col("id") % 2 + 7).cast("int")).alias("slot"), (F.col("id") % 16).alias("kind")), "slots")
+    whole = F.get(glyphs.sweep([0.0], [0.55]), F.lit(0))
+    first = slots.groupBy("kind").agg(F.min("id").alias("id"))
+    known = first.join(slots.drop("kind"), "id").join(pictures, "id").select(F.col("kind").alias("glyph"), glyphs.cropped("image", glyphs.slot_window(F.col("box"), F.col("slot"), whole, F.col("image.w"), F.col("image.h"))).alias("image"))
+    matches = glyphs.best_glyphs(slots.join(pictures, "id"), glyphs.bank_of(written(known, "known")))
+    return matches.select("id", "glyph", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"), "offset", "width", (F.col("glyph") == (F.col("id") % 16).cast("string")).alias("right"))
+
+
 def glyph_centres(spark, sf_dir):
     """Where the glyph left of the last four characters is, and how far characters are apart."""
     found = _pictures(spark, sf_dir).select("id", glyphs.glyph_from_right("image").alias("g"))
@@ -332,7 +346,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stacked_line_pairs, frame_extract, ambiguous_blocks, box_geometry, vec_standardize, vec_otsu, vec_dice, vec_argmax_masked, vec_top2_margin, vec_moving_avg, vec_order_statistics, integral_image,
-        ink_mask, hole_count, deskew_slope, components_box, glyph_inputs, eval_accuracy, eval_recall, eval_confusions, eval_repairs, eval_agreement, eval_labels, eval_middle_accuracy, vec_sweep_best, glyph_slots, frames_without_syllable, tight_boxes, dark_rows_cut, glyph_template, valley_cells, glyph_centres,
+        ink_mask, hole_count, deskew_slope, components_box, glyph_inputs, eval_accuracy, eval_recall, eval_confusions, eval_repairs, eval_agreement, eval_labels, eval_middle_accuracy, vec_sweep_best, glyph_slots, frames_without_syllable, tight_boxes, dark_rows_cut, glyph_template, valley_cells, glyph_centres, glyph_matches,
     )
 }
 ORACLES = {

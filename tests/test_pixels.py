@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from paddock.functions import images
-from paddock.operators import pixels
+from paddock.operators import glyphs, pixels
 from tests.test_images import flood, plate_image, random_images
 
 
@@ -95,3 +95,59 @@ def test_cells_between_valleys(spark):
     got = {(r.id, r.slot): (r.left, r.right) for r in pixels.cells(framed(spark, pictures), told).collect()}
     want = {(i, s): c for i, s, t, b, x, p in slots if (c := plain_cell(pictures[i], t, b, x, p))}
     assert got == want and len(want) > 5
+
+
+def plain_match(g, box, slot, bank):
+    """The sweep by loops: the best window's glyph, score, margin and place."""
+    (left, top, right, bottom), (index, slots), best = box, slot, None
+    pitch, more = (right - left) / slots, (bottom - top) * 0.08
+    for offset in glyphs.CENTRES:
+        for width in glyphs.HALF_WIDTHS:
+            centre, half = left + (index + 0.5 + offset) * pitch, pitch * width
+            l, r = max(int(centre - half), 0), min(int(centre + half), g.shape[1])
+            t, b = max(int(top - more), 0), min(int(bottom + more), g.shape[0])
+            mask = images.template(g[t:b, l:r]) if r - l >= 8 and b - t >= 8 else None
+            if mask is None:
+                continue
+            ranked = sorted(((max(images.dice(mask, m) for m in some), -k) for k, (_, some) in enumerate(bank)), reverse=True)
+            score, margin = ranked[0][0], ranked[0][0] - ranked[1][0]
+            if best is None or score + margin > best[1] + best[2]:
+                best = bank[-ranked[0][1]][0], score, margin, offset, width
+    return best
+
+
+def test_glyphs_by_a_bank_of_templates(spark):
+    rng = np.random.default_rng(3)
+
+    def drawn(kind):
+        g = np.full((26, 14), 220)
+        g[3:23, 2:12] = 20
+        g[6:20, 5:9] = 220
+        for bit in range(3):
+            if kind >> bit & 1:
+                g[8 + 4 * bit : 10 + 4 * bit, 5:9] = 20
+        return g + np.add.outer(np.arange(26), np.arange(14)) % 5
+
+    kinds = [(k, v) for k in range(8) for v in range(2)]
+    known = [(str(k), np.roll(drawn(k), v, 0)) for k, v in kinds]
+    rows = [(k, (g.shape[1], g.shape[0], [int(x) for x in g.ravel()])) for k, g in known]
+    bank = glyphs.bank_of(spark.createDataFrame([*rows, ("none", (3, 3, [200] * 9))], "glyph string, image struct<w int, h int, px array<int>>"))
+    assert [g for g, _ in bank] == [str(k) for k in range(8)]
+    masks = {}
+    for k, g in known:
+        masks.setdefault(k, []).append(images.template(g))
+    pictures, slots = [], []
+    for i in range(16):
+        line = np.hstack([drawn(int(rng.integers(0, 8))) for _ in range(7)])
+        g = np.full((34, line.shape[1] + 20), 220)
+        g[4:30, 9 : 9 + line.shape[1]] = line + rng.integers(-3, 4, line.shape)
+        pictures.append(np.clip(g, 0, 255))
+        shift = rng.integers(-3, 4, 2)
+        slots.append((i, (9 + int(shift[0]), 6, 9 + line.shape[1] + int(shift[1]), 28), (int(i % 7), 7)))
+    told = spark.createDataFrame([*slots, (500, (0, 0, 9, 9), (3, 7))], "id long, box struct<l int, t int, r int, b int>, slot struct<index int, slots int>")
+    blank = spark.createDataFrame([(500, (20, 20, [200] * 400))], "id long, image struct<w int, h int, px array<int>>")
+    found = glyphs.best_glyphs(told.join(framed(spark, pictures).where("id < 1000").unionByName(blank), "id"), bank)
+    got = {r.id: (r.glyph, round(r.score, 9), round(r.margin, 9), r.offset, r.width) for r in found.collect()}
+    plain_bank = [(g, masks[g]) for g, _ in bank]
+    want = {i: plain_match(pictures[i], box, slot, plain_bank) for i, box, slot in slots}
+    assert got == {i: (g, round(s, 9), round(m, 9), o, w) for i, (g, s, m, o, w) in want.items()}
