@@ -32,7 +32,11 @@ DICTIONARY = (
     "image color font style page link site http https www html text number string object class method function return public private static final create update delete select insert "
     "count total first last next prev left right width height size table column row field"
 ).split()
-NEAR_SECRET = r"(?i)(?:token|secret.key|secret|passw|passwd|api.?key|access.?key|auth|bearer|credential|private.?key|client.?key|pwd)\w*[^A-Za-z0-9]{0,6}$"
+#: user:password@ of an address: the part before the password, and such a password.
+_LOGIN = r"://[^\s/:@\"'<>]{1,60}:"
+NEAR_SECRET = r"(?i)(?:token|secret.key|secret|passw|passwd|api.?key|access.?key|auth|bearer|credential|private.?key|client.?key|pwd)\w*(?:\s+(?:is|was))?[^A-Za-z0-9]{0,6}$|" + _LOGIN + "$"
+#: How tokens of widely used services begin.
+KNOWN_PREFIX = r"^(?:gh[opsru]_|github_pat_|A[KS]IA[A-Z0-9]|[sr]k_live_|xox[abeprs]-|AIza|glpat-|npm_|hvs\.|dop_v1_)"
 #: Words after a candidate, unless they name what follows them.
 AFTER = r"(?i)^[^A-Za-z0-9\r\n]{0,6}(?:(?:is|was|as)\s+)?(?:(?:the|my|our|your|an?)\s+)?(?:%s)\w*+(?!\s*[\"']?\s*[=:])"
 SECRET_AFTER = AFTER % "token|secret.key|secret|passw|api.?key|access.?key|bearer|credential|private.?key|client.?key|pwd"
@@ -44,24 +48,27 @@ NAME = r"(?i:token|secret|passw|passwd|api.?key|access.?key|auth|bearer|credenti
 _NAMED = rf"(?<={NAME}[\"']?\s{{0,3}}[:=]{{1,2}}>?\s{{0,3}}%s)"
 _VALUES = "|".join([_NAMED % '"' + r'[^\s"]{4,}(?=")', _NAMED % "'" + r"[^\s']{4,}(?=')", _NAMED % "" + r"(?!(?i:bearer|basic)\s)[^\s\"'<>=:][^\s\"'<>]{3,}(?<![.,;:!?)\]}])"])
 ASSIGNED = rf"(?<=[:=>\s\"'])(?<=[:=]>?\s{{0,3}}[\"']?)(?:{_VALUES})"
-PROPOSED = f"{ASSIGNED}|{CANDIDATE}"
+PASSWORD_AT = rf"(?<={_LOGIN})[^\s/:@\"'<>]{{3,}}(?=@)"
+PROPOSED = f"{PASSWORD_AT}|{ASSIGNED}|{CANDIDATE}"
 #: What every text with a run, or with a named value, holds: most texts are done with after these.
 HAS_RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16}"
 HAS_NAMED = rf"[:=](?<={NAME}[\"']?\s{{0,3}}[:=])"
+HAS_LOGIN = _LOGIN + r"[^\s/:@\"'<>]{3,}@"
 HARMLESS_PATH = r"(?i)(?:^|[/_.-])(?:tests?|specs?|examples?|fixtures?|mocks?|samples?|demos?|docs?|vendor|lock)(?:[/_.-]|$)"
 
-FEATURES = ("length", "class_changes", "letter_pairs", "dictionary", "digits", "distinct", "slashes", "harmless_path", "near_secret", "near_digest", "assigned")
+FEATURES = ("length", "class_changes", "letter_pairs", "dictionary", "digits", "distinct", "slashes", "harmless_path", "near_secret", "near_digest", "assigned", "known_prefix")
 
 
 def proposed(text: Column) -> Column:
     """Array of (candidate, before, after): each candidate with the text up to the neighbouring candidates; null without any.
-    Candidates are runs of at least 16 characters of keys and digests, and whatever is assigned to a secret's name."""
+    Candidates are runs of at least 16 characters of keys and digests, whatever is assigned to a secret's name, and passwords
+    in addresses."""
 
     def each(t: Column) -> Column:
         found, gaps = F.regexp_extract_all(t["text"], t["pattern"], F.lit(0)), F.split(t["text"], t["pattern"], -1)
         return F.arrays_zip(found.alias("candidate"), F.slice(gaps, 1, F.size(found)).alias("before"), F.slice(gaps, 2, F.size(found)).alias("after"))
 
-    pattern = F.when(text.rlike(HAS_NAMED), PROPOSED).when(text.rlike(HAS_RUN), CANDIDATE)
+    pattern = F.when(text.rlike(HAS_NAMED) | text.rlike(HAS_LOGIN), PROPOSED).when(text.rlike(HAS_RUN), CANDIDATE)
     one = F.transform(F.array(F.struct(text.alias("text"), pattern.alias("pattern"))), each)  # bound to a variable, so that texts are tested once
     return F.get(one, F.lit(0))
 
@@ -105,6 +112,7 @@ def measured(c: Column, near: Column, after: Column, path: Column) -> list[Colum
         flag(near.rlike(NEAR_SECRET) | after.rlike(SECRET_AFTER)),
         flag(near.rlike(NEAR_DIGEST) | after.rlike(DIGEST_AFTER)),
         flag(near.rlike(r"[=:]\s*[\"']?$")),
+        flag(c.rlike(KNOWN_PREFIX)),
     ]
     return [v.cast("double").alias(name) for name, v in zip(FEATURES, values, strict=True)]
 
@@ -227,22 +235,27 @@ class _Findings:
         rng = self.rng
         names, sums = "token secret password passwd api_key access_key auth_token private_key client_key pwd secret_key api_token", "commit sha256 md5 checksum digest hash uuid etag revision integrity image build version"
         kind = rng.random()
-        if kind < 0.30:  # a key behind its name
+        alnum = string.ascii_letters + string.digits
+        if kind < 0.28:  # a key behind its name
             value, label = self.key(), 1
             text = self.assigned(self.name(names), value)
-        elif kind < 0.46:  # a password behind its name
+        elif kind < 0.42:  # a password behind its name
             value, label = self.password(), 1
             text = self.assigned(self.name("password passwd pwd secret db_password"), value)
-        elif kind < 0.52:  # in a sentence or a header
+        elif kind < 0.46:  # a password in an address
+            value, label = self.password().replace("@", "-"), 1
+            text = rng.choice(["{s}://{u}:{v}@{h}.host/{w}", "{s}://{u}:{v}@{h}:5432", 'url = "{s}://{u}:{v}@{h}/{w}"']).format(s=rng.choice("postgres mysql redis https amqp mongodb ftp".split()), u=self.word(), v=value, h=self.word(), w=self.word())
+        elif kind < 0.51:  # in a sentence or a header
             value, label = self.key(), 1
-            text = rng.choice(["{v} is the api key", "{v} is my token", "Authorization: Bearer {v}", "the access key {v}", "secret key {v}", "use token {v}", "Bearer {v}", "auth {v}"]).format(v=value)
-        elif kind < 0.56:  # keys that say so themselves
-            value, label = rng.choice(["ghp_" + self.some(string.ascii_letters + string.digits, 36, 36), "AKIA" + self.some(string.ascii_uppercase + string.digits, 16, 16), "sk_live_" + self.some(string.ascii_letters + string.digits, 24, 24)]), 1
-            text = rng.choice(["{v}", "key {v}", "({v})"]).format(v=value)
-        elif kind < 0.68:  # digests behind theirs
+            text = rng.choice(["{v} is the api key", "{v} is my token", "Authorization: Bearer {v}", "the access key {v}", "our api key is {v}", "the token was {v}", "secret key {v}", "use token {v}", "Bearer {v}", "auth {v}"]).format(v=value)
+        elif kind < 0.58:  # keys that say so themselves
+            begin, letters, n = rng.choice([("ghp_", alnum, 36), ("gho_", alnum, 36), ("AKIA", string.ascii_uppercase + string.digits, 16), ("sk_live_", alnum, 24), ("glpat-", alnum + "-_", 20), ("xoxb-", string.digits + "-" + alnum, 40), ("AIza", alnum + "-_", 35), ("npm_", alnum, 36)])
+            value, label = begin + self.some(letters, n, n), 1
+            text = rng.choice(["{v}", "key {v}", "({v})", "{v}.", "use {v} for it", "id {v}", "{w} = {v}", "{w}: '{v}'"]).format(v=value, w=self.word())
+        elif kind < 0.69:  # digests behind theirs
             value, label = rng.choice([self.key, self.key, self.uuid])(), 0
             text = rng.choice([self.assigned(rng.choice(sums.split()), value), f"{rng.choice(sums.split())} {value}", f"{value} ({rng.choice(sums.split())})", f"{value} is the {rng.choice(sums.split())}", f"{rng.choice(sums.split())}:{value}"])
-        elif kind < 0.72:  # digests and numbers on their own
+        elif kind < 0.73:  # digests and numbers on their own
             value, label = rng.choice([lambda: self.some("0123456789abcdef", 32, 32), lambda: self.some("0123456789abcdef", 40, 40), self.uuid, lambda: self.some("0123456789", 16, 20)])(), 0
             text = rng.choice(["{v}", "see {v}", "[{v}]", "id {v}"]).format(v=value)
         elif kind < 0.86:  # what isn't random
@@ -255,9 +268,7 @@ class _Findings:
         else:  # parts of pictures, styles and addresses
             value, label = self.some(string.ascii_letters + string.digits + "+/", 60, 200), 0
             text = rng.choice(["data:image/png;base64,{v}", "base64 {v}", 'src="image/{v}"']).format(v=value)
-        path = rng.choice(LIVE_PATHS if rng.random() < 0.75 else HARMLESS_PATHS)
-        if label and path in HARMLESS_PATHS and rng.random() < 0.9:
-            label = 0  # made up for a test or an example, as nearly all in such places
+        path = rng.choice(LIVE_PATHS if rng.random() < (0.85 if label else 0.65) else HARMLESS_PATHS)  # tests and examples hold fewer secrets, but they hold some
         before, after = self.prose(), self.prose()
         line = f"{before} {text}{rng.choice(['', '', ' ', ',', ';', '.'])} {after}".strip() if rng.random() < 0.6 else text
         return line, path, float(label), value
@@ -265,8 +276,8 @@ class _Findings:
 
 def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS, seed: int = 11) -> DataFrame:
     """(text, path, label, secret): made-up labelled findings, the same for the same arguments; ``secret`` is the part of
-    the text that the label is about.  Secrets and digests are random, names and prose of dictionary words; what stands
-    in tests, examples and the like is nearly always labelled as none."""
+    the text that the label is about.  Secrets and digests are random, names and prose of dictionary words; of what stands in
+    tests, examples and the like a smaller part is secret, so that a path is evidence and no verdict."""
     made = _Findings(seed)
     found = [dict(zip(("text", "path", "label", "secret"), made.draw())) for _ in range(rows)]
     each = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(found)), "array<struct<text string, path string, label double, secret string>>")).alias("f"))
