@@ -112,12 +112,18 @@ def _drawn(rows: DataFrame, seed: int) -> DataFrame:
 
 def taken(docs: DataFrame, leaves: DataFrame, levels: dict[str, Column], seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the level names, ``n_tokens`` and ``copies``: the whole epochs of the leaf, plus one where the
-    document begins within the prefix of the last epoch.  ``leaves`` comes from :func:`shares` with the same
+    document begins within the prefix of the last epoch; a column of these names is replaced, any other stays what it is.
+    ``leaves`` comes from :func:`shares` with the same
     arguments; it has a row per leaf, so texts stay where they are unless leaves are too many to broadcast."""
-    rows = _drawn(join_small(_tokens(docs, levels, id_col, text_col), leaves, list(levels)), seed)
+    # the columns of documents travel in one, so that none can be taken for another
+    named = {n: F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for n, c in levels.items()}
+    slim = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), word_count(F.col(text_col)).alias("n_tokens"), *named.values())
+    rows = _drawn(join_small(slim, leaves, list(levels)), seed)
     enters = F.coalesce(F.col("_bin") <= F.col("full_bin"), F.lit(False)) | F.coalesce(F.struct("_at", "n_tokens") <= F.col("last"), F.lit(False))
     copies = F.when(F.col("n_tokens") > 0, F.col("epochs") + enters.cast("long")).otherwise(F.lit(0)).cast("long")
-    return rows.withColumn("copies", copies).drop("_id", "_at", "_bin", "epochs", "rest", "bins", "full_bin", "last")
+    told = {**{n: F.col(n) for n in levels}, "n_tokens": F.col("n_tokens"), "copies": copies}
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in told]
+    return rows.select(*kept, *[c.alias(n) for n, c in told.items()])
 
 
 def mix(docs: DataFrame, levels: dict[str, Column], weights: list[dict[str, int]], budget: int | None = None, share: tuple[int, int] | None = None, max_epochs: int = 2, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -98,3 +98,13 @@ def test_without_broadcast_and_empty(spark, monkeypatch):
     monkeypatch.setattr(common.join_small, "__defaults__", (0, "inner"))
     assert sorted(map(tuple, mixing.mix(docs, levels(), [{}, {}], share=(1, 2)).collect())) == want
     assert mixing.mix(docs.limit(0), levels(), [{}, {}], share=(1, 2)).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    names = "rest epochs bins full_bin last _at _bin _id _row copies".split()
+    docs = spark.createDataFrame([(i, "a b", "en", f"s{i % 3}", *[f"{n}{i}" for n in names]) for i in range(20)], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    leaves = mixing.shares(docs.select("doc_id", "text", "lang", "source"), levels(), [{}, {}], share=(1, 2))
+    got = mixing.taken(docs, leaves, levels())
+    assert got.columns == ["doc_id", "text", "lang", "source", *names[:-1], "domain", "origin", "n_tokens", "copies"]
+    assert all(r[n] == f"{n}{r.doc_id}" for r in got.collect() for n in names[:-1]) and {r.copies for r in got.collect()} == {0, 1}
+    assert sorted((r.doc_id, r.copies) for r in got.collect()) == sorted((r.doc_id, r.copies) for r in mixing.mix(docs, levels(), [{}, {}], share=(1, 2)).collect())
