@@ -7,10 +7,12 @@ A timer at the first waiting row's time wakes the key; others wake it when parts
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -103,4 +105,11 @@ def folded(rows: DataFrame, key: str, fold: Fold, delay: str = "0 seconds") -> D
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     names = [c.split()[0] for c in fold.row.split(", ")]
     known = rows.where(F.col(key).isNotNull() & F.col(names[0]).isNotNull()).select(key, *names).withColumn("_at", F.timestamp_millis(names[0])).withWatermark("_at", delay)
-    return known.groupBy(key).transformWithStateInPandas(_Processor(fold, names), fold.out, "Append", "EventTime")
+    # Spark also makes the processor in a Python of the driver's own, which files that were sent to the executors don't reach:
+    # it takes the code along, and not by name
+    library = sys.modules[__name__.partition(".")[0]]
+    cloudpickle.register_pickle_by_value(library)
+    try:
+        return known.groupBy(key).transformWithStateInPandas(_Processor(fold, names), fold.out, "Append", "EventTime")
+    finally:
+        cloudpickle.unregister_pickle_by_value(library)
