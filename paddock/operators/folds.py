@@ -21,12 +21,12 @@ NONE = -(2**62)  #: the last time of a fold that has let nothing through
 LEAST = -(2**63)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         yield from zip(*(c.to_pylist() for c in batch.columns))
 
 
-def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:
+def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:
     held = []
     for row in rows:
         held.append(row)
@@ -94,7 +94,7 @@ def let_through(rows: DataFrame, key: str, ts: str, order: str, part: Column, wa
     def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def run():
             at, tracks = None, None
-            for k, p, t, h in _rows(batches):
+            for k, p, t, h in rows_of(batches):
                 if at != (k, p):
                     if tracks:
                         yield from ((*at, *r) for r in tracks.ranges())
@@ -103,12 +103,12 @@ def let_through(rows: DataFrame, key: str, ts: str, order: str, part: Column, wa
             if tracks:
                 yield from ((*at, *r) for r in tracks.ranges())
 
-        return _batches(run(), range_schema)
+        return batches_of(run(), range_schema)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def run():
             at = state = left = None
-            for k, p, mode, above, upto, last, to in _rows(batches):
+            for k, p, mode, above, upto, last, to in rows_of(batches):
                 if at != (k, p):
                     state = left if at and at[0] == k else (start, 0)
                     if afresh:
@@ -118,19 +118,19 @@ def let_through(rows: DataFrame, key: str, ts: str, order: str, part: Column, wa
                 if state[1] == mode and above < state[0] <= upto:
                     left = (last, to)
 
-        return _batches(run(), entry_schema)
+        return batches_of(run(), entry_schema)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def run():
             last, mode = start, 0
-            for is_row, t, o, h, at, m in _rows(batches):
+            for is_row, t, o, h, at, m in rows_of(batches):
                 if not is_row:
                     last, mode = at, m
                 elif waits[mode] is not None and t - last >= waits[mode]:
                     last, mode = t, after[h][mode]
                     yield (o,)
 
-        return _batches(run(), pa.schema([(order, number)]))
+        return batches_of(run(), pa.schema([(order, number)]))
 
     ranges = narrow.select("k", "p", "t", "h", "o").repartition("k", "p").sortWithinPartitions("k", "p", "t", "o").select("k", "p", "t", "h").mapInArrow(leave, "k string, p long, mode long, above long, upto long, last long, next long")
     entered = ranges.repartition("k").sortWithinPartitions("k", "p", "mode", "above").mapInArrow(enter, "k string, p long, last long, mode long")

@@ -18,13 +18,44 @@ def small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
 
 
+#: A key with more than this part of the rows is frequent; so there are at most a thousand.
+FREQUENT = 1 / 1000
+SALTS = 64
+
+
+def met(rows: DataFrame, known: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``known`` by ``key`` (columns of both but one ``key``; null keys meet nothing).
+
+    A small ``known`` is broadcast.  Beyond that the rows are shuffled, but for those of frequent keys, whose known rows
+    are few and are broadcast (or, if a key has that many, repeated for each salt), and for those without a key, which a
+    shuffle would send to one task.
+    """
+    told = known.where(F.col(key).isNotNull())
+    if told.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(told), key, how)
+    rows = written(rows, "met")
+    counts = written(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    frequent = F.broadcast(counts.where((F.col("_n") > total * FREQUENT) & F.col(key).isNotNull()).select(key, F.lit(True).alias("_frequent")))
+    marked = rows.join(frequent, key, "left")
+    usual = marked.where(F.col("_frequent").isNull() & F.col(key).isNotNull()).drop("_frequent").join(told, key, how)
+    few = told.join(frequent, key, "left_semi")
+    often = marked.where(F.col("_frequent").isNotNull() | F.col(key).isNull()).drop("_frequent")
+    if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return usual.unionByName(often.join(F.broadcast(few), key, how))
+    salted = often.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    repeated = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return usual.unionByName(salted.join(repeated, [key, "_salt"], how).drop("_salt"))
+
+
 def exact_matches(scans: DataFrame, registry: DataFrame, scan_col: str = "raw_plate") -> DataFrame:
     """``scans`` with ``matched``: the registered plate that equals the trimmed scan, or null.
 
     A plate registered twice counts once, as its smallest id.
     """
     plates = registry.groupBy("plateNumber").agg(F.min("id").alias("matched_id")).withColumnRenamed("plateNumber", "matched")
-    return scans.join(small(plates), syllables(stripped(scan_col)) == F.col("matched"), "left")
+    told = met(scans.withColumn("_text", syllables(stripped(scan_col))), plates.withColumn("_text", F.col("matched")), "_text")
+    return told.select(*scans.columns, "matched", "matched_id")
 
 
 def digit_matches(scans: DataFrame, registry: DataFrame, key: str = "event_id", scan_col: str = "raw_plate") -> DataFrame:
@@ -34,7 +65,7 @@ def digit_matches(scans: DataFrame, registry: DataFrame, key: str = "event_id",
     scan = scan.where(F.length(F.col("keys")[0]) >= LEAST_DIGITS)
     each = scan.select(key, clean("scan").alias("scan"), F.explode(F.array_distinct("keys")).alias("digitsKey"))
     rows = registry.where("digitsKey <> ''").select("digitsKey", F.col("id").alias("matched_id"), F.col("plateNumber").alias("matched"))
-    fitting = each.join(small(rows), "digitsKey").where(middles_agree("scan", clean("matched")))
+    fitting = met(each, rows, "digitsKey", "inner").where(middles_agree("scan", clean("matched")))
     only = fitting.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min_by("matched", "matched_id").alias("matched"), F.min("matched_id").alias("matched_id"))
     return only.where("n = 1").select(key, "matched", "matched_id")
 
@@ -84,7 +115,7 @@ def import_candidates(rows: DataFrame) -> DataFrame:
 def import_plates(kept: DataFrame, registry: DataFrame) -> DataFrame:
     """(plate, note, state): 'added', or 'present' where the registry has the plate (its row and note stay)."""
     known = registry.select(F.col("plateNumber").alias("plate")).distinct().withColumn("known", F.lit(True))
-    return kept.join(small(known), "plate", "left").select("plate", "note", F.when(F.col("known"), "present").otherwise("added").alias("state"))
+    return met(kept, known, "plate").select("plate", "note", F.when(F.col("known"), "present").otherwise("added").alias("state"))
 
 
 def import_outcome(candidates: DataFrame, registry: DataFrame) -> DataFrame:
@@ -93,14 +124,14 @@ def import_outcome(candidates: DataFrame, registry: DataFrame) -> DataFrame:
     known = registry.select(F.col("plateNumber").alias("plate")).distinct().withColumn("known", F.lit(True))
     kept, has = F.col("state") == "kept", F.coalesce(F.col("known"), F.lit(False))
     counts = [F.count_if(kept & ~has).alias("added"), F.count_if(kept & has).alias("already_present"), F.count_if(F.col("state") == "skipped").alias("skipped")]
-    return candidates.join(small(known), "plate", "left").groupBy("file").agg(*counts)
+    return met(candidates, known, "plate").groupBy("file").agg(*counts)
 
 
 def with_cache(detections: DataFrame, cache: DataFrame, text_col: str = "raw_plate") -> DataFrame:
     """Detections as they are shown: ``shown`` (the known plate, else the text) and ``is_registered``, which is null, that
     is pending, for a text that the cache (one row a text: text, canonical, is_registered) doesn't have yet."""
     told = cache.select(F.col("text").alias(text_col), "canonical", "is_registered")
-    return detections.join(small(told), text_col, "left").withColumn("shown", F.coalesce("canonical", text_col)).drop("canonical")
+    return met(detections, told, text_col).withColumn("shown", F.coalesce("canonical", text_col)).drop("canonical")
 
 
 def import_message(added_col: str = "added", present_col: str = "already_present", skipped_col: str = "skipped"):
@@ -116,7 +147,8 @@ def with_ids(rows: DataFrame, registry: DataFrame, created_ms: int) -> DataFrame
     sizes of the partitions before, so that no task orders all rows."""
     spark = rows.sparkSession
     top = registry.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    numbered = rows.withColumn("_part", F.spark_partition_id()).withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy("plate")))
+    parted = rows.select("plate", "note", F.spark_partition_id().alias("_part"))
+    numbered = written(parted.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy("plate", "note"))), "numbered")  # partitions may differ when rows are made again
     sizes = numbered.groupBy("_part").agg(F.max("_n").alias("_size")).collect()  # one row per partition
     shift, at = [], top
     for r in sorted(sizes, key=lambda r: r["_part"]):

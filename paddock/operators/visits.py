@@ -8,14 +8,15 @@ sightings is spread over as many tasks as it has days.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.functions.text import stripped
-from paddock.operators.folds import let_through
+from paddock.operators.folds import batches_of, let_through, rows_of
 from paddock.scratch import written
 
 COOLDOWN_MS = 90_000
@@ -162,60 +163,153 @@ class Machine:
                 v[2], v[3] = None, v[2] if v[2] is not None else ts
 
 
+class Ledger:
+    """What corrections do to one plate's visits, told in stretches: the sightings let through between two corrections.
+
+    The first of a stretch end the visits that are open, the latest (by id) first; those after begin and end visits in turn,
+    and one may be open at the end.  So a stretch is known by its size and its last sighting, and only visits that are open
+    or that a later correction names are held.  Sightings are named by their place among all of the plate's.
+    """
+
+    def __init__(self):
+        self.visits: dict[int, list] = {}  # id -> [its place, place of its end, time of its end, has no entry]
+        self.open: set[int] = set()
+        self.latest: list[int] = []  # heap of negative ids; some aren't open any more
+        self.named: set[int] = set()
+        self.first = self.skipped = 0
+
+    def _opens(self, i: int) -> None:
+        self.visits[i][1:3] = [None, None]
+        self.open.add(i)
+        heapq.heappush(self.latest, -i)
+
+    def stretch(self, first: int, n: int, last_id: int) -> Iterator[tuple]:
+        """Visits that its sightings end and no correction names any more."""
+        self.first, self.skipped = first, 0
+        while self.open and self.skipped < n:
+            i = -heapq.heappop(self.latest)
+            if i in self.open:
+                self.open.discard(i)
+                self.visits[i][1] = first + self.skipped
+                self.skipped += 1
+                if i not in self.named:
+                    yield self.leave(i)
+        if (n - self.skipped) % 2:
+            self.visits[last_id] = [first + n - 1, None, None, False]
+            self._opens(last_id)
+
+    def name(self, i: int, place: int) -> None:
+        """A sighting of the stretch that a later correction names; nothing if it didn't begin a visit."""
+        nth = place - self.first - self.skipped
+        if nth >= 0 and nth % 2 == 0:
+            self.named.add(i)
+            self.visits.setdefault(i, [place, place + 1, None, False])
+
+    def correct(self, action: str | None, i: int, ts: int, final: bool) -> Iterator[tuple]:
+        """As :meth:`Machine.correct`; ``final`` is the last correction that names the visit."""
+        v, is_open = self.visits.get(i), i in self.open
+        if v is None or i not in self.named:
+            return
+        if action == "delete" or (action == "undo" and is_open):
+            self.open.discard(i)
+            self.named.discard(i)
+            del self.visits[i]
+            yield i, True, None, None, None
+            return
+        if action == "undo":
+            self._opens(i)
+        elif action in ("convert", "close") and is_open:
+            self.open.discard(i)
+            if action == "close" or v[3]:
+                v[2] = ts
+            else:
+                v[1], v[3] = v[0], True
+        if final:
+            self.named.discard(i)
+            if i not in self.open:
+                yield self.leave(i)
+
+    def leave(self, i: int) -> tuple:
+        """(id, gone, has no entry, place of its end, time of its end)"""
+        _, place, ts, entered_unknown = self.visits.pop(i)
+        return i, False, entered_unknown, place, ts
+
+    def rest(self) -> Iterator[tuple]:
+        for i in list(self.visits):
+            yield self.leave(i)
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A plate's corrections, stretches and named sightings in order, to visits that differ from what their stretch tells
+    (KEY, id, gone, no_entry, place, ended) and each stretch's first and number of ends (KEY, stretch, first, skipped)."""
+
+    def run():
+        key, book = None, None
+        for k, stretch, kind, i, n, place, ts, action, final in rows_of(batches):
+            if k != key:
+                if book:
+                    yield from ((key, *v, None, None, None) for v in book.rest())
+                key, book = k, Ledger()
+            if kind == 0:
+                yield from ((k, *v, None, None, None) for v in book.correct(action, i, ts, final))
+            elif kind == 1:
+                yield from ((k, *v, None, None, None) for v in book.stretch(place, n, i))
+                yield k, None, None, None, None, None, stretch, place, book.skipped
+            else:
+                book.name(i, place)
+        if book:
+            yield from ((key, *v, None, None, None) for v in book.rest())
+
+    number, flag = pa.int64(), pa.bool_()
+    names = [(KEY, pa.string()), ("id", number), ("gone", flag), ("no_entry", flag), ("place", number), ("ended", number), ("stretch", number), ("first", number), ("skipped", number)]
+    return batches_of(run(), pa.schema(names))
+
+
 def corrected(sightings: DataFrame, corrections: DataFrame, cooldown: int = COOLDOWN_MS) -> DataFrame:
     """Visits as in :func:`visits`, after corrections (event_id, ts, action, visit_id, canonical) took their turn.
 
-    Corrections at the time of a sighting come after it.  Rows stream through a task sorted by plate; held are a
-    plate's open visits and those that a later correction names.
+    Corrections at the time of a sighting come after it; those without a plate, a time or a visit are left out, and so
+    are sightings without a time.  Whether a sighting passes follows from times alone (all corrections but convert end the cooldown), so
+    that fold runs by plate, count of such corrections and day.  Between two corrections a plate's sightings take
+    one row in the only step that takes a plate's corrections in turn (:class:`Ledger`).
     """
+    known = sightings.where((F.coalesce(F.col(KEY), F.lit("")) != "") & F.col("ts").isNotNull())
+    told = corrections.where(f"{KEY} <> '' and ts is not null and visit_id is not null")
+    told = told.select(KEY, F.col("ts").cast("long").alias("ts"), F.lit(1).alias("turn"), F.col("event_id").cast("long").alias("event_id"), "action", F.col("visit_id").cast("long").alias("visit_id"))
+    seen = known.select(KEY, F.col("ts").cast("long").alias("ts"), F.lit(0).alias("turn"), F.col("event_id").cast("long").alias("event_id"), stripped("raw_plate").alias("plate"), F.col("is_registered").alias("registered"))
+
+    # each row's stretch: the corrections up to it, those of days before in a row per day
+    rows = written(_days(seen.unionByName(told, allowMissingColumns=True), KEY, "ts"), "turns")
+    by = Window.partitionBy(KEY, "_part").orderBy("ts", "turn", "event_id", "visit_id", "action").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_told, ends = F.sum("turn"), F.sum(F.when((F.col("turn") == 1) & ~F.col("action").eqNullSafe("convert"), 1).otherwise(0))
+    rows = _around(rows, KEY, {"_told": (is_told, "sum"), "_ended": (ends, "sum")})
+    rows = rows.withColumn("stretch", F.col("_told") + is_told.over(by)).withColumn("_fold", F.concat_ws(":", F.col("_ended") + ends.over(by), KEY))
+    rows = written(rows.drop("_told", "_ended"), "stretches")
+
+    ids = let_through(rows.where("turn = 0"), "_fold", "ts", "event_id", F.col("_part"), [cooldown], ([0], [0]))
+    through = _around(written(rows.where("turn = 0").join(ids, "event_id", "left_semi"), "passed"), KEY, {"_earlier": (F.count(F.lit(1)), "sum"), "_next": (F.min("ts"), "after")})
+    by = Window.partitionBy(KEY, "_part").orderBy("ts", "event_id")
+    through = through.withColumn("place", F.col("_earlier") + F.row_number().over(by)).withColumn("next", F.coalesce(F.lead("ts").over(by), "_next"))
+    through = written(through.select(KEY, "stretch", "place", "event_id", "ts", "next", "plate", "registered"), "through")
+
+    fixes = rows.where("turn = 1").select(KEY, "stretch", "visit_id", "ts", "action")
+    named = fixes.groupBy(KEY, "visit_id").agg(F.max("stretch").alias("until"))
     null = lambda kind: F.lit(None).cast(kind)
-    known = sightings.where(F.coalesce(F.col(KEY), F.lit("")) != "")
-    told = corrections.select(KEY, F.col("ts").cast("long").alias("ts"), F.lit(1).alias("turn"), "event_id", null("string").alias("plate"), null("boolean").alias("registered"), "action", F.col("visit_id").cast("long"))
-    named = told.groupBy(KEY, F.col("visit_id").alias("_id")).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("until"))
-    told = told.join(named.withColumnRenamed("_id", "visit_id"), [KEY, "visit_id"])
-    seen = known.select(KEY, "ts", F.lit(0).alias("turn"), "event_id", stripped("raw_plate").alias("plate"), F.col("is_registered").alias("registered"), null("string").alias("action"), null("long").alias("visit_id"))
-    seen = seen.join(named.withColumnRenamed("_id", "event_id"), [KEY, "event_id"], "left")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, machine, waiting, told, done = None, None, set(), {}, []
-
-        def finish(i: int) -> None:
-            if i not in waiting and i in machine.visits and i not in machine.open:
-                v = machine.visits.pop(i)
-                done.append((i, v[0], key, v[1], v[2], v[3]))
-
-        def out():
-            frame = pd.DataFrame(done, columns=["id", "plateNumber", "canonicalPlate", "isRegistered", "entryAt", "exitAt"])
-            return frame.astype({"id": "int64", "entryAt": "Int64", "exitAt": "Int64"})
-
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                if r.canonical != key:
-                    if machine:
-                        done += [(i, v[0], key, v[1], v[2], v[3]) for i, v in machine.visits.items()]
-                    key, machine, waiting, told = r.canonical, Machine(cooldown), set(), {}
-                if r.turn:
-                    i = int(r.visit_id)
-                    machine.correct(r.action, i, int(r.ts))
-                    told[i] = told.get(i, 0) + 1
-                    if told[i] == r.n:
-                        del told[i]
-                        waiting.discard(i)
-                    finish(i)
-                else:
-                    began = machine.seen(int(r.event_id), int(r.ts), r.plate, bool(r.registered))
-                    if began and began[0] == "EXIT":
-                        finish(began[1])
-                    elif began and r.until >= r.ts:  # NaN where no correction names it
-                        waiting.add(began[1])
-                if len(done) >= 10_000:
-                    yield out()
-                    done = []
-        if machine:
-            done += [(i, v[0], key, v[1], v[2], v[3]) for i, v in machine.visits.items()]
-        if done:
-            yield out()
-
-    columns = [KEY, "ts", "turn", "event_id", "plate", "registered", "action", "visit_id", "n", F.col("until").cast("double").alias("until")]
-    rows = seen.select(columns).unionByName(told.select(columns)).repartition(KEY).sortWithinPartitions(KEY, "ts", "turn", "event_id")
-    return rows.mapInPandas(run, "id long, plateNumber string, canonicalPlate string, isRegistered boolean, entryAt long, exitAt long")
+    fixed = fixes.join(named, [KEY, "visit_id"]).select(KEY, "stretch", F.lit(0).alias("kind"), F.col("visit_id").alias("i"), null("long").alias("n"), null("long").alias("place"), "ts", "action", (F.col("stretch") == F.col("until")).alias("final"))
+    wide = [null("long").alias("ts"), null("string").alias("action"), null("boolean").alias("final")]
+    stretches = through.groupBy(KEY, "stretch").agg(F.max_by("event_id", "place").alias("i"), F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
+    stretches = stretches.select(KEY, "stretch", F.lit(1).alias("kind"), "i", "n", "place", *wide)
+    begun = through.join(named.withColumnRenamed("visit_id", "event_id"), [KEY, "event_id"]).where("until > stretch")
+    begun = begun.select(KEY, "stretch", F.lit(2).alias("kind"), F.col("event_id").alias("i"), null("long").alias("n"), "place", *wide)
+    turns = fixed.unionByName(stretches).unionByName(begun).repartition(KEY).sortWithinPartitions(KEY, "stretch", "kind", "place")
+    settled = written(turns.mapInArrow(_settled, f"{KEY} string, id long, gone boolean, no_entry boolean, place long, ended long, stretch long, first long, skipped long"), "settled")
+
+    places = through.select(KEY, "place", F.col("ts").alias("_at"))
+    odd = settled.where("id is not null").join(places, [KEY, "place"], "left")
+    odd = odd.select(KEY, F.col("id").alias("event_id"), "gone", "no_entry", F.coalesce("ended", "_at").alias("_exit"))
+    began = through.join(settled.where("id is null").select(KEY, "stretch", "first", "skipped"), [KEY, "stretch"])
+    nth = F.col("place") - F.col("first") - F.col("skipped")
+    began = began.where((nth >= 0) & (nth % 2 == 0)).join(odd, [KEY, "event_id"], "left").where("not coalesce(gone, false)")
+    exit_at = F.when(F.col("gone").isNull(), F.col("next")).otherwise(F.col("_exit"))
+    entry_at = F.when(~F.coalesce("no_entry", F.lit(False)), F.col("ts"))
+    return began.select(F.col("event_id").alias("id"), F.col("plate").alias("plateNumber"), F.col(KEY).alias("canonicalPlate"), F.col("registered").alias("isRegistered"), entry_at.alias("entryAt"), exit_at.alias("exitAt"))

@@ -53,7 +53,7 @@ def sightings(spark, n=600, seed=1):
 def machine_visits(rows, cooldown, corrections=()):
     machines = {}
     turns = [(ts, 0, i, key, (plate, reg)) for i, ts, plate, key, reg in rows if key] + [(ts, 1, i, key, (action, v)) for i, ts, action, v, key in corrections]
-    for ts, turn, i, key, what in sorted(turns, key=lambda t: t[:3]):
+    for ts, turn, i, key, what in sorted(turns, key=lambda t: (t[:3], t[4][1], t[4][0] or "") if t[1] else (t[:3],)):
         m = machines.setdefault(key, visits.Machine(cooldown))
         m.correct(what[0], what[1], ts) if turn else m.seen(i, ts, *what)
     return sorted((i, v[0], k, v[1], v[2], v[3]) for k, m in machines.items() for i, v in m.visits.items())
@@ -125,6 +125,29 @@ def test_lookup_rules(spark):
     assert [r[0] for r in entries.select(lookup.entry_error("p")).collect()] == ["empty", None, "invalid"]
 
 
+@pytest.mark.parametrize("most", [5, 0])
+def test_large_registries_are_met_by_frequent_keys_apart(spark, monkeypatch, most):
+    """A plate, a digit key and texts without a match with most of the rows; null texts; the registry beyond the broadcast bound."""
+    plates = [f"{10 + k}가{1000 + k}" for k in range(40)] + ["56더4895", "11나1111", "11나1111", None]
+    registry = spark.createDataFrame([(k, p, "n", 0, "".join(c for c in p or "" if c.isdigit())) for k, p in enumerate(plates)], "id long, plateNumber string, note string, createdAt long, digitsKey string")
+    texts = ["56더4895"] * 300 + ["561 4895", "56L4895"] * 60 + [None] * 50 + ["unseen"] * 40 + [p for p in plates if p] + ["111111"] * 30
+    scans = spark.createDataFrame(list(enumerate(texts)), "event_id long, raw_plate string")
+    cache = spark.createDataFrame([(t, t, True) for t in sorted({t for t in texts if t})], "text string, canonical string, is_registered boolean")
+    results = lambda: [sorted(map(tuple, f.collect()), key=repr) for f in (lookup.resolve(scans, registry), lookup.exact_matches(scans, registry), lookup.digit_matches(scans, registry), lookup.with_cache(scans, cache), lookup.import_plates(scans.select(F.col("raw_plate").alias("plate"), F.lit("").alias("note")), registry))]
+    want = results()
+    monkeypatch.setattr(lookup, "FREQUENT", 1 / 20)
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", most)
+    assert results() == want and len(want[0]) == len(texts)
+
+
+def test_new_rows_get_ids_once(spark):
+    registry = spark.createDataFrame([(7,)], "id long")
+    rows = spark.range(1000).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("plate"), F.lit("n").alias("note"), F.lit(1).alias("extra")).repartition(5)
+    got = lookup.with_ids(rows, registry, 5)
+    assert sorted(r.id for r in got.collect()) == list(range(8, 1008)) and got.select("plateNumber").distinct().count() == 1000
+    assert lookup.with_ids(rows.limit(0), registry, 5).count() == 0
+
+
 def unbroken(spark, n=3000, users=("hot",), seed=4):
     rng = random.Random(seed)
     rows = [(i, rng.randint(0, 40) * 1000 + START + i * 7_000, rng.choice(users), rng.random() < 0.2) for i in range(n)]
@@ -174,21 +197,46 @@ def test_limits_hold_no_arrays(spark, monkeypatch):
     assert not arrays(allowed) and {r.event_id for r in allowed.where("shown").collect()} == granted and allowed.count() == len(rows)
 
 
-def test_finished_visits_are_not_held(spark, monkeypatch):
-    """Fails if more than a few visits of a plate are held at a time."""
+SEEN = "event_id long, ts long, raw_plate string, canonical string, is_registered boolean"
+FIXES = "event_id long, ts long, action string, visit_id long, canonical string"
 
-    class Bounded(visits.Machine):
-        def seen(self, *args):
-            assert len(self.visits) < 5
-            return super().seen(*args)
 
-    monkeypatch.setattr(visits, "Machine", Bounded)
-    rows = [(i, START + i * 100_000, "p", "hot", True) for i in range(2001)]
-    frame = spark.createDataFrame(rows, "event_id long, ts long, raw_plate string, canonical string, is_registered boolean")
-    fixes = [(9001, START + 350_000, "undo", 2, "hot"), (9002, START + 1_050_000, "delete", 8, "hot"), (9003, START + 1_060_000, "close", 8, "hot")]
-    got = visits.corrected(frame, spark.createDataFrame(fixes, "event_id long, ts long, action string, visit_id long, canonical string")).collect()
-    monkeypatch.undo()
-    assert sorted(map(tuple, got), key=repr) == sorted(machine_visits(rows, 90_000, fixes), key=repr)
+def test_finished_visits_are_not_held():
+    """A plate's stretches hold the open visits and those that a later correction names, however long they are."""
+    book = visits.Ledger()
+    for k in range(300):
+        first = 1 + 1001 * k
+        list(book.correct("undo", 10_000 * (k - 1), 5, True))
+        left = list(book.stretch(first, 1001, 10_000 * k + 1000))
+        book.name(10_000 * k, first + book.skipped)
+        assert len(book.visits) <= 2 and len(left) <= 2
+    list(book.stretch(1 + 1001 * 300, 1001, 9))
+    assert len(book.visits) <= 2
+
+
+@pytest.mark.parametrize(("seed", "part"), [(11, 50_000), (12, 400_000), (13, 86_400_000)])
+def test_corrections_cut_a_plate_into_stretches(spark, monkeypatch, seed, part):
+    """Several corrections of one visit, of visits to come, of sightings that began none, at one time, twice the same."""
+    monkeypatch.setattr(visits, "PART_MS", part)
+    rows, _ = sightings(spark, 500, seed)
+    rows = [r if r[3] in ("", None) else (*r[:3], "hot" if r[0] % 5 else r[3], r[4]) for r in rows]
+    rng = random.Random(seed)
+    ids = [r[0] for r in rows if r[3]]
+    of = {r[0]: r[3] for r in rows}
+    named = [rng.choice(ids) for _ in range(40)] + [v[0] for v in machine_visits(rows, 90_000)][::2]
+    told = [(10_000 + k, START + rng.randint(0, 400) * 10_000, rng.choice(["undo", "undo", "convert", "close", "delete", "other", None]), v, of[v] if rng.random() < 0.95 else "b") for k, v in enumerate(named * 3)]
+    told += [(30_000 + k, START + 2_000_000, "undo", v, of[v]) for k, v in enumerate(named[-5:])] + [told[5]] * 2
+    lost = [(20_001, None, "undo", ids[0], "hot"), (20_002, START + 9, "undo", None, "hot"), (20_003, START + 9, "undo", ids[0], None)]
+    got = visits.corrected(spark.createDataFrame(rows + [(9999, None, "x", "hot", True)], SEEN), spark.createDataFrame(told + lost, FIXES)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(machine_visits(rows, 90_000, told), key=repr)
+
+
+def test_corrections_of_nothing(spark):
+    none, no_fixes = spark.createDataFrame([], SEEN), spark.createDataFrame([], FIXES)
+    fixes = spark.createDataFrame([(1, 2, "undo", 3, "hot")], FIXES)
+    assert visits.corrected(none, fixes).collect() == [] and visits.corrected(none, no_fixes).collect() == []
+    rows, frame = sightings(spark, 60)
+    assert sorted(map(tuple, visits.corrected(frame, no_fixes).collect())) == machine_visits(rows, 90_000)
 
 
 def test_islands_of_a_frequent_key(spark):
