@@ -8,9 +8,11 @@ within a key, tells with what each part is entered; and with that each part is f
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,10 @@ def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = 10_000) ->
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
+def _numbers(column: pa.Array, empty: int | bool = 0) -> np.ndarray:
+    return column.fill_null(empty).to_numpy(zero_copy_only=False)
+
+
 class Tracks:
     """All folds that may enter a part, together: folds that have met go on as one.
 
@@ -66,6 +72,25 @@ class Tracks:
         for to, ranges in moved.items():
             self.queues[to].append((t, ranges))
 
+    def due(self) -> int | None:
+        """The least time at which a row changes anything; none will if None."""
+        times = [queue[0][0] + wait for queue, wait in zip(self.queues, self.waits) if queue and wait is not None]
+        times += [upto + wait + 1 for upto, wait in zip(self.upto, self.waits) if upto < self.first and wait is not None]
+        return min(times, default=None)
+
+    def see_all(self, times: list[int], hits: list[bool], i: int, end: int) -> None:
+        """Rows i to end, in order of time; those that change nothing are stepped over."""
+        while i < end:
+            due = self.due()
+            if due is None:
+                return
+            if times[i] < due:
+                i = bisect_left(times, due, i, end)
+                if i == end:
+                    return
+            self.see(times[i], hits[i])
+            i += 1
+
     def ranges(self) -> list[tuple]:
         """(mode, above, upto, last, mode left with); neighbours with one result are one range."""
         out: list[tuple] = []
@@ -94,12 +119,19 @@ def let_through(rows: DataFrame, key: str, ts: str, order: str, part: Column, wa
     def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def run():
             at, tracks = None, None
-            for k, p, t, h in rows_of(batches):
-                if at != (k, p):
-                    if tracks:
-                        yield from ((*at, *r) for r in tracks.ranges())
-                    at, tracks = (k, p), Tracks(waits, after, entries, t)
-                tracks.see(t, h)
+            for batch in batches:
+                keys, parts, times, hits = batch.columns
+                codes, parts, times, hits = _numbers(keys.dictionary_encode().indices, -1), _numbers(parts), _numbers(times).tolist(), _numbers(hits, False).tolist()
+                cuts = (np.flatnonzero((codes[1:] != codes[:-1]) | (parts[1:] != parts[:-1])) + 1).tolist()
+                for i, end in zip([0, *cuts], [*cuts, len(times)]):
+                    if i == end:
+                        continue
+                    here = (keys[i].as_py(), int(parts[i]))
+                    if here != at:
+                        if tracks:
+                            yield from ((*at, *r) for r in tracks.ranges())
+                        at, tracks = here, Tracks(waits, after, entries, times[i])
+                    tracks.see_all(times, hits, i, end)
             if tracks:
                 yield from ((*at, *r) for r in tracks.ranges())
 
@@ -121,16 +153,25 @@ def let_through(rows: DataFrame, key: str, ts: str, order: str, part: Column, wa
         return batches_of(run(), entry_schema)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def run():
-            last, mode = start, 0
-            for is_row, t, o, h, at, m in rows_of(batches):
-                if not is_row:
-                    last, mode = at, m
-                elif waits[mode] is not None and t - last >= waits[mode]:
-                    last, mode = t, after[h][mode]
-                    yield (o,)
-
-        return batches_of(run(), pa.schema([(order, number)]))
+        last, mode = start, 0
+        for batch in batches:
+            is_row, times, ids, hits, ats, modes = batch.columns
+            told = np.flatnonzero(_numbers(is_row) == 0).tolist()
+            times, hits, through = _numbers(times).tolist(), _numbers(hits, False).tolist(), []
+            for cut, end in zip([-1, *told], [*told, len(times)]):
+                if cut >= 0:
+                    last, mode = ats[cut].as_py(), modes[cut].as_py()
+                i = cut + 1
+                while i < end and waits[mode] is not None:
+                    due = last + waits[mode]
+                    if times[i] < due:
+                        i = bisect_left(times, due, i, end)
+                        if i == end:
+                            break
+                    through.append(i)
+                    last, mode = times[i], after[hits[i]][mode]
+                    i += 1
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(through, pa.int64()))], names=[order])
 
     ranges = narrow.select("k", "p", "t", "h", "o").repartition("k", "p").sortWithinPartitions("k", "p", "t", "o").select("k", "p", "t", "h").mapInArrow(leave, "k string, p long, mode long, above long, upto long, last long, next long")
     entered = ranges.repartition("k").sortWithinPartitions("k", "p", "mode", "above").mapInArrow(enter, "k string, p long, last long, mode long")
