@@ -301,6 +301,10 @@ OTSU_SQL = """h AS (SELECT vec_id, p, count(*) AS n FROM px GROUP BY ALL),
 c AS (SELECT vec_id, p, n, sum(n) OVER w AS k, sum(n * p) OVER w AS part, sum(n) OVER a AS total, sum(n * p) OVER a AS whole FROM h WINDOW w AS (PARTITION BY vec_id ORDER BY p), a AS (PARTITION BY vec_id)),
 o AS (SELECT vec_id, p, CASE WHEN k < total THEN k::DOUBLE * (total - k)::DOUBLE * (part::DOUBLE / k::DOUBLE - (whole - part)::DOUBLE / (total - k)::DOUBLE) ** 2 ELSE 0 END AS between FROM c),
 otsu AS (SELECT vec_id, CASE WHEN max(between) > 0 THEN arg_max(p, (round(between, 3), -p)) ELSE 127 END AS threshold FROM o GROUP BY vec_id)"""
+#: The rows (top, bottom) of a picture that dark ones above and below leave, where any are cut.
+CUT_SQL = """a AS (SELECT vec_id, y, p, row_number() OVER (PARTITION BY vec_id ORDER BY p) - 1 AS n, row_number() OVER (PARTITION BY vec_id, y ORDER BY p) - 1 AS m FROM big),
+b AS (SELECT vec_id, max(p) FILTER (n = 870) AS bright FROM a GROUP BY vec_id), f AS (SELECT vec_id, y FROM a JOIN b USING (vec_id) WHERE m = 16 AND bright > 1 AND p::FLOAT >= (bright::DOUBLE * 0.55::FLOAT::DOUBLE)::FLOAT),
+k AS (SELECT vec_id, min(y) AS top, max(y) AS bottom FROM f GROUP BY vec_id HAVING max(y) - min(y) + 1 >= 11)"""
 #: Holes: gaps in the strokes closed (each pixel's neighbours, then back), what the edge doesn't reach, in connected parts.
 HOLES_SQL = f"""{BIG_SQL},{OTSU_SQL},
 b0 AS (SELECT vec_id, y, x, p <= threshold AS d FROM big JOIN otsu USING (vec_id)),
@@ -349,6 +353,12 @@ QUERIES = {
         ink_mask, hole_count, deskew_slope, components_box, glyph_inputs, eval_accuracy, eval_recall, eval_confusions, eval_repairs, eval_agreement, eval_labels, eval_middle_accuracy, vec_sweep_best, glyph_slots, frames_without_syllable, tight_boxes, dark_rows_cut, glyph_template, valley_cells, glyph_centres, glyph_matches,
     )
 }
+GLYPH_TEMPLATE_SQL = f"""WITH {BIG_SQL},{OTSU_SQL}, i AS (SELECT vec_id, y, x FROM big JOIN otsu USING (vec_id) WHERE p < threshold),
+e AS (SELECT vec_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM i GROUP BY vec_id HAVING max(x) > min(x) AND max(y) > min(y)),
+l AS (SELECT *, least(x0 + greatest(1, (x1 - x0 + 1) // 18), x1) AS l FROM e), r AS (SELECT *, greatest(x1 - greatest(1, (x1 - x0 + 1) // 18), l) AS r FROM l),
+g AS (SELECT vec_id, l + c * (r - l + 1) // 48 AS x, y0 + d * (y1 - y0 + 1) // 72 AS y FROM r, (SELECT unnest(range(48)) AS c), (SELECT unnest(range(72)) AS d)),
+n AS (SELECT g.vec_id, count(i.x)::INT AS ink FROM g LEFT JOIN i ON i.vec_id = g.vec_id AND i.x = g.x AND i.y = g.y GROUP BY g.vec_id)
+SELECT vec_id, ink FROM embeddings LEFT JOIN n USING (vec_id)"""
 ORACLES = {
     "stacked_line_pairs": f"{FRAME} SELECT event_id, text, l, t, r, b FROM pairs",
     "frame_extract": f"{READ} SELECT event_id, lenient AS plate, t FROM f WHERE lenient IS NOT NULL AND (n < 10 OR event_id NOT IN (SELECT event_id FROM f WHERE n < 10 AND lenient IS NOT NULL))",
@@ -364,16 +374,15 @@ SELECT event_id, CASE turn WHEN 90 THEN 540 - b WHEN 180 THEN 960 - r WHEN 270 T
     "tight_boxes": f"""WITH {INK_SQL}, r AS (SELECT vec_id, y FROM ink GROUP BY vec_id, y HAVING count(*) FILTER (ink) BETWEEN 2 AND 19), t AS (SELECT vec_id, min(y) AS top, max(y) AS bottom FROM r GROUP BY vec_id HAVING max(y) - min(y) >= 3),
 c AS (SELECT vec_id, any_value(top) AS top, any_value(bottom) AS bottom, min(x) AS l, max(x) AS r FROM ink JOIN t USING (vec_id) WHERE ink AND y BETWEEN top AND bottom GROUP BY vec_id HAVING max(x) - min(x) >= 3)
 SELECT vec_id, CASE WHEN l IS NOT NULL THEN l || ',' || top || ',' || r + 1 || ',' || bottom + 1 END AS box FROM embeddings LEFT JOIN c USING (vec_id)""",
-    "dark_rows_cut": f"""WITH {BIG_SQL}, a AS (SELECT vec_id, y, p, row_number() OVER (PARTITION BY vec_id ORDER BY p) - 1 AS n, row_number() OVER (PARTITION BY vec_id, y ORDER BY p) - 1 AS m FROM big),
-b AS (SELECT vec_id, max(p) FILTER (n = 870) AS bright FROM a GROUP BY vec_id), f AS (SELECT vec_id, y FROM a JOIN b USING (vec_id) WHERE m = 16 AND bright > 1 AND p::FLOAT >= (bright::DOUBLE * 0.55::FLOAT::DOUBLE)::FLOAT),
-k AS (SELECT vec_id, min(y) AS top, max(y) AS bottom FROM f GROUP BY vec_id HAVING max(y) - min(y) + 1 >= 11)
+    "dark_rows_cut": f"""WITH {BIG_SQL},{CUT_SQL}
 SELECT vec_id, count(*)::INT AS pixels, sum(p)::BIGINT AS total FROM big LEFT JOIN k USING (vec_id) WHERE top IS NULL OR y BETWEEN top AND bottom GROUP BY vec_id""",
-    "glyph_template": f"""WITH {BIG_SQL},{OTSU_SQL}, i AS (SELECT vec_id, y, x FROM big JOIN otsu USING (vec_id) WHERE p < threshold),
-e AS (SELECT vec_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM i GROUP BY vec_id HAVING max(x) > min(x) AND max(y) > min(y)),
-l AS (SELECT *, least(x0 + greatest(1, (x1 - x0 + 1) // 18), x1) AS l FROM e), r AS (SELECT *, greatest(x1 - greatest(1, (x1 - x0 + 1) // 18), l) AS r FROM l),
-g AS (SELECT vec_id, l + c * (r - l + 1) // 48 AS x, y0 + d * (y1 - y0 + 1) // 72 AS y FROM r, (SELECT unnest(range(48)) AS c), (SELECT unnest(range(72)) AS d)),
-n AS (SELECT g.vec_id, count(i.x)::INT AS ink FROM g LEFT JOIN i ON i.vec_id = g.vec_id AND i.x = g.x AND i.y = g.y GROUP BY g.vec_id)
-SELECT vec_id, ink FROM embeddings LEFT JOIN n USING (vec_id)""",
+    "glyph_template": GLYPH_TEMPLATE_SQL,
+    "glyph_inputs": f"""WITH {BIG_SQL},{CUT_SQL},
+rest AS (SELECT vec_id, y - coalesce(top, 0) AS y, x, p, coalesce(bottom - top + 1, 32) AS h FROM big LEFT JOIN k USING (vec_id) WHERE top IS NULL OR y BETWEEN top AND bottom),
+{OTSU_SQL.replace('FROM px', 'FROM rest')},
+cells AS (SELECT vec_id, j, x // 2 AS i, avg(CASE WHEN p > threshold THEN 255 ELSE 0 END)::FLOAT::DOUBLE AS m FROM rest JOIN otsu USING (vec_id) JOIN (SELECT unnest(range(16)) AS j) ON y >= j * h // 16 AND y < greatest((j + 1) * h // 16, j * h // 16 + 1) GROUP BY ALL),
+z AS (SELECT vec_id, (m - avg(m) OVER w) / ((stddev_pop(m) OVER w)::FLOAT + 1e-6::FLOAT)::FLOAT::DOUBLE AS z FROM cells WINDOW w AS (PARTITION BY vec_id))
+SELECT vec_id, round(max(z), 5) AS greatest, any_value(ink) AS ink FROM z JOIN ({GLYPH_TEMPLATE_SQL}) USING (vec_id) GROUP BY vec_id""",
     "ink_mask": f"WITH {INK_SQL} SELECT vec_id, count(*) FILTER (ink)::INT AS ink FROM ink GROUP BY vec_id",
     "deskew_slope": f"""WITH {INK_SQL}, c AS (SELECT vec_id, x, count(*) FILTER (ink) AS n, sum(y) FILTER (ink) AS s FROM ink GROUP BY vec_id, x),
 t AS (SELECT vec_id, CASE WHEN count(*) >= 8 THEN round(regr_slope(s::DOUBLE / n, x::DOUBLE), 6) + 0.0::DOUBLE END AS slope FROM c WHERE n >= 2 GROUP BY vec_id)

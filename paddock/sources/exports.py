@@ -9,17 +9,23 @@ from paddock.operators.report import export_lines
 
 MARK = "﻿"
 HEADER = "번호판,등록여부,입차,출차,사용시간(분)"
+MANIFEST_HEADER = "파일,앱인식,시각"
 
 
-def write_visits(visits: DataFrame, path: str) -> None:
-    """One text file of CRLF lines, byte-order mark and header first, in order of the first known instant.
+def _text_file(lines: DataFrame, header: str, path: str) -> None:
+    """Lines (position, id, line) as one text file of CRLF lines, byte-order mark and header first, in order of position and id.
 
-    A file for people is one file: its lines meet in one task, sorted by an external sort, never in the driver.
+    A file for people is one file: its lines meet in one task, which sorts them outside of memory where they don't fit; what
+    makes the lines stays as many tasks as it was.
     """
-    lines = export_lines(visits).select(F.lit(1).alias("part"), "position", "id", "line")
-    head = visits.sparkSession.createDataFrame([(0, None, None, MARK + HEADER)], "part int, position long, id long, line string")
-    whole = head.unionByName(lines).coalesce(1).sortWithinPartitions("part", "position", "id").select("line")
-    whole.write.option("lineSep", "\r\n").text(path)
+    head = lines.sparkSession.createDataFrame([(0, None, None, MARK + header)], "part int, position long, id long, line string")
+    whole = head.unionByName(lines.select(F.lit(1).alias("part"), "position", "id", "line"))
+    whole.repartition(1).sortWithinPartitions("part", "position", "id").select("line").write.option("lineSep", "\r\n").text(path)
+
+
+def write_visits(visits: DataFrame, path: str) -> None:
+    """The visits as one text file in order of the first known instant."""
+    _text_file(export_lines(visits), HEADER, path)
 
 
 def capture_names(captures: DataFrame, stamp: str = "stamp", read: str = "read") -> Column:
@@ -32,14 +38,34 @@ def capture_names(captures: DataFrame, stamp: str = "stamp", read: str = "read")
 
 
 def append_manifest(rows: DataFrame, path: str) -> None:
-    """Adds (file, appRead, epochMs) lines to a manifest of CSV files; every file has a header."""
-    rows.select("file", "appRead", "epochMs").write.mode("append").option("header", True).csv(path)
+    """Adds (file, appRead, epochMs) lines to a manifest of CSV files; every file has a header.  Readings keep their white space; an
+    empty one is none, as names have it."""
+    rows.select("file", "appRead", "epochMs").write.mode("append").options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema("file string, appRead string, epochMs long").csv(path)
 
 
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """The manifest as one text file for spreadsheets, by time and then name.  Nothing is quoted, so a reading's own quotes and
+    commas are taken for the file's."""
+    n = F.row_number().over(Window.partitionBy("epochMs").orderBy("file"))  # captures of one millisecond
+    lines = manifest.select(F.col("epochMs").alias("position"), n.cast("long").alias("id"), F.concat_ws(",", "file", F.coalesce("appRead", F.lit("")), F.col("epochMs").cast("string")).alias("line"))
+    _text_file(lines, MANIFEST_HEADER, path)
+
+
+def stored(manifest: DataFrame, path: str) -> DataFrame:
+    """``manifest`` with ``length``, the size of each capture in a folder: null where the folder has none or an empty one.
+
+    Spark lists the folder, and reads no image; the sizes meet the manifest by a join on names, nothing by the driver.
+    """
+    spark = manifest.sparkSession
+    sizes = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    named = sizes.select(F.url_decode(F.replace("name", F.lit("+"), F.lit("%2B"))).alias("file"), "length")
+    return manifest.join(named, "file", "left")
+
+
 def _listing(spark: SparkSession, path: str):
     """The file system of a folder and the states of its files (Spark's readers don't show empty ones)."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -136,3 +136,22 @@ def test_captures(spark, tmp_path):
     for _ in range(2):
         exports.append_manifest(manifest, str(tmp_path / "m"))
     assert exports.read_manifest(spark, str(tmp_path / "m")).count() == 2
+
+
+def test_a_manifest_tells_what_the_folder_holds(spark, tmp_path):
+    """Names that a path has to escape, captures that are gone or empty, readings with white space; no image is read."""
+    names = ["cap_1_12가3456.png", "cap_1_a+b %.png", "cap_2_none.png", "cap_3_gone.png"]
+    for name, data in zip(names, (b"xyz", b"12", b"")):
+        (tmp_path / "store").mkdir(exist_ok=True)
+        (tmp_path / "store" / name).write_bytes(data)
+    (tmp_path / "store" / "labels.csv").write_bytes(b"no image")
+    rows = spark.createDataFrame([(n, t, i) for i, (n, t) in enumerate(zip(names, (" 12가 3456 ", 'a,"b', None, "")))], "file string, appRead string, epochMs long")
+    exports.append_manifest(rows, str(tmp_path / "m"))
+    manifest = exports.read_manifest(spark, str(tmp_path / "m"))
+    assert {r.file: r.appRead for r in manifest.collect()} == {names[0]: " 12가 3456 ", names[1]: 'a,"b', names[2]: None, names[3]: None}
+    found = exports.stored(manifest, str(tmp_path / "store"))
+    assert {r.file: r.length for r in found.collect()} == {names[0]: 3, names[1]: 2, names[2]: None, names[3]: None}
+    assert "content" not in found._jdf.queryExecution().executedPlan().toString()
+    exports.write_manifest(manifest.where("epochMs <> 1"), str(tmp_path / "out"))
+    (part,) = [f for f in os.listdir(tmp_path / "out") if f.startswith("part-")]
+    assert (tmp_path / "out" / part).read_bytes().decode() == f"﻿파일,앱인식,시각\r\n{names[0]}, 12가 3456 ,0\r\n{names[2]},,2\r\n{names[3]},,3\r\n"
