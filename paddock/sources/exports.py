@@ -61,9 +61,8 @@ def stored(manifest: DataFrame, path: str) -> DataFrame:
     Spark lists the folder, and reads no image; the sizes meet the manifest by a join on names, nothing by the driver.
     """
     spark = manifest.sparkSession
-    sizes = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
-    named = sizes.select(F.url_decode(F.replace("name", F.lit("+"), F.lit("%2B"))).alias("file"), "length")
-    return manifest.join(named, "file", "left")
+    sizes = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+    return manifest.join(sizes, "file", "left")
 
 
 def _listing(spark: SparkSession, path: str):
