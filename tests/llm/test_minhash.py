@@ -149,3 +149,19 @@ def test_word_hashes_follow_words(texts, block):
     assert counts.tolist() == list(map(len, words))
     flat = [w for ws in words for w in ws]
     assert len(set(zip(flat, hashes.tolist()))) == len(set(flat)) == len(set(hashes.tolist()))
+
+
+def test_few_links_are_few_tasks_whatever_the_partitions(spark):
+    """A round over few links doesn't start a task and write a file for each of the session's shuffle partitions."""
+    held = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        links = [(i, i + 1) for i in range(0, 3000, 3)] + [(i + 1, i + 2) for i in range(0, 3000, 3)]
+        found = components.connected(spark.createDataFrame(links, "a long, b long"))
+        assert len(found.inputFiles()) <= 2 * components.FEW_TASKS
+        assert {r.id: r.component for r in found.collect()} == {i: i - i % 3 for i in range(3000)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
