@@ -1,12 +1,15 @@
-"""Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
+"""Byte-level BPE encoding and decoding over Arrow batches.
 
-The byte-level alphabet maps each byte to one printable character, so that a vocabulary of byte strings
-becomes one of plain strings.  Rank files (base64 token, rank) carry no merges: they follow from the ranks,
-as every split of a token into two known tokens.  The library cuts texts into pieces by the pattern, maps bytes to
-characters, merges, and gives each token's offsets in the text; decoding reverses the byte table.
+The tiktoken library cuts whole texts into pieces by the pattern and merges their bytes by rank.  Decoding looks up each
+id's bytes; what characters these bytes begin and go on tells each token's offsets in the text.
 
-What a task holds follows from its slice of texts, and where one text is longer than that, from this text: about 60
-bytes for each of its bytes.
+Texts that tiktoken gives up on (a pattern that looks back over hundreds of thousands of white spaces overflows its
+stack) are encoded by the tokenizers library, with the same ids.  There, the byte-level alphabet maps each byte to one
+printable character, so that a vocabulary of byte strings becomes one of plain strings.  Rank files (base64 token, rank)
+carry no merges: they follow from the ranks, as every split of a token into two known tokens.
+
+What a task holds follows from its slice of texts, and where one text is longer than that, from this text: about 30
+bytes for each of its bytes, 60 where the tokenizers library encodes it.
 """
 
 from __future__ import annotations
@@ -55,6 +58,14 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
     return [(left, right) for *_, left, right in sorted(found)]
 
 
+@lru_cache(2)
+def encoding(path: str, pattern: str):
+    """A tiktoken.Encoding by the rank file at ``path``; ``pattern`` cuts texts into pieces."""
+    import tiktoken
+
+    return tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+
+
 @lru_cache(2)
 def tokenizer(path: str, pattern: str):
     """A tokenizers.Tokenizer that gives the ids of the rank file at ``path``; ``pattern`` cuts texts into pieces."""
@@ -77,22 +88,35 @@ def byte_table(path: str) -> pa.Array:
     return pa.array([table.get(i) for i in range(max(table) + 1)], pa.large_binary())
 
 
-def decoded(ids: np.ndarray, bounds: np.ndarray, path: str) -> list[memoryview]:
-    """The exact bytes of each sequence: ``bounds`` tells where sequences begin in ``ids``, and where the last one ends.
+def token_bytes(ids: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, data): the bytes of all ids in a row, and where each id's begin (with the end).
 
-    One character's bytes may be split over tokens, so only a whole sequence is sure to be UTF-8.  Ids that the
-    vocabulary doesn't have raise a ValueError.
+    Ids that the vocabulary doesn't have raise a ValueError.
     """
     table = byte_table(path)
     if not len(ids):
-        return [memoryview(b"")] * (len(bounds) - 1)
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
     known = (ids >= 0) & (ids < len(table))
     taken = table.take(pa.array(np.where(known, ids, 0)))
     unknown = ids[~known] if not known.all() else ids[taken.is_null().to_numpy(zero_copy_only=False)] if taken.null_count else ids[:0]
     if len(unknown):
         raise ValueError(f"no token has the id {unknown[0]}")
-    ends, data = np.frombuffer(taken.buffers()[1], np.int64)[: len(ids) + 1], memoryview(taken.buffers()[2])
-    return [data[a:b] for a, b in itertools.pairwise(ends[bounds].tolist())]
+    ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(ids) + 1]
+    return ends, np.frombuffer(taken.buffers()[2], np.uint8)[: ends[-1]]
+
+
+def _cut(data: np.ndarray, at: np.ndarray) -> list[memoryview]:
+    return [memoryview(data)[a:b] for a, b in itertools.pairwise(at.tolist())]
+
+
+def decoded(ids: np.ndarray, bounds: np.ndarray, path: str) -> list[memoryview]:
+    """The exact bytes of each sequence: ``bounds`` tells where sequences begin in ``ids``, and where the last one ends.
+
+    One character's bytes may be split over tokens, so only a whole sequence is sure to be UTF-8.  Ids that the
+    vocabulary doesn't have raise a ValueError.
+    """
+    ends, data = token_bytes(ids, path)
+    return _cut(data, ends[bounds])
 
 
 def decode_bytes(ids: list[int], path: str) -> bytes:
@@ -112,6 +136,27 @@ def spans_of(found: list) -> np.ndarray:
     return np.fromiter(flat, np.int32, 2 * sum(map(len, found))).reshape(-1, 2)
 
 
+def coded(texts: list[str | None], path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, bounds) of texts: all ids in a row, and where each text's ids begin (with the end)."""
+    own, found = encoding(path, pattern), []
+    for text in texts:
+        try:
+            found.append(own.encode_ordinary(text or ""))
+        except BaseException as error:
+            if type(error).__name__ != "PanicException":  # the library has no other name for it
+                raise
+            found.append(encoded([text], tokenizer(path, pattern))[1].tolist())
+    bounds = np.cumsum([0, *map(len, found)])
+    return np.fromiter(itertools.chain.from_iterable(found), np.int64, int(bounds[-1])), bounds
+
+
+def char_spans(ends: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The characters (begin, end) of its text that each token covers, by the tokens' bytes; every text is UTF-8."""
+    begun = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # characters that begin before each byte, and the end
+    earlier = np.repeat(begun[ends[bounds[:-1]]], np.diff(bounds))
+    return np.stack([begun[ends[:-1] + 1] - 1 - earlier, begun[ends[1:]] - earlier], axis=1).astype(np.int32)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids and offsets of every whole text: (doc_id, ids, begins, ends).
 
@@ -120,10 +165,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = tokenizer(path, pattern)
         for part in text_slices(batches, 1, SLICE_BYTES):
-            found, ids, bounds = encoded(part.column(1).to_pylist(), made)
-            spans = spans_of(found)
+            ids, bounds = coded(part.column(1).to_pylist(), path, pattern)
+            spans = char_spans(*token_bytes(ids, path), bounds)
             of = lambda x: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, pa.int32()))  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([part.column(0), of(ids), of(spans[:, 0]), of(spans[:, 1])], ["doc_id", "ids", "begins", "ends"])
 
@@ -164,25 +208,19 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = tokenizer(path, pattern)
         for part in text_slices(batches, 1, SLICE_BYTES):
-            texts = part.column(1).to_pylist()
-            found, ids, bounds = encoded(texts, made)
-            chars, split = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-            chars[:] = [len(t or "") for t in texts]
-            wide = [k for k, t in enumerate(texts) if t and not t.isascii()]  # in others each character is a byte, so none is split
-            if wide:
-                of_wide = [found[k] for k in wide]
-                spans, of = spans_of(of_wide), np.cumsum([0, *map(len, of_wide)])
-                chars[wide], split[wide] = spans[of[1:] - 1, 1], split_characters(of, spans)
+            ids, bounds = coded(part.column(1).to_pylist(), path, pattern)
+            ends, data = token_bytes(ids, path)
+            spans, chars, some = char_spans(ends, data, bounds), np.zeros(part.num_rows, np.int64), np.diff(bounds) > 0
+            chars[some] = spans[bounds[1:][some] - 1, 1]
             joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pc.cast(pa.array(ids), pa.string())), ",")
             columns = [
                 part.column(0),
                 pa.array(np.diff(bounds)),
                 pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined.to_pylist()], pa.string()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in decoded(ids, bounds, path)], pa.string()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in _cut(data, ends[bounds])], pa.string()),
                 pa.array(chars),
-                pa.array(split),
+                pa.array(split_characters(bounds, spans)),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chars", "n_split"])
 

@@ -103,3 +103,30 @@ def test_other_patterns_cut_as_tiktoken_does():
 
 def test_empty_table(spark):
     assert bpe.round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH, P.PATTERN).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(max_size=60), max_size=6))
+def test_ids_and_offsets_equal_the_tokenizers_library(texts):
+    """Offsets that follow from the tokens' bytes are those that the other library counts."""
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts] + ["日a👩‍👩‍👧 ½é 𓀀𓀀", None, ""]
+    found, want, of = bpe.encoded(texts, bpe.tokenizer(PATH, P.PATTERN))
+    ids, bounds = bpe.coded(texts, PATH, P.PATTERN)
+    assert ids.tolist() == want.tolist() and bounds.tolist() == of.tolist()
+    assert bpe.char_spans(*bpe.token_bytes(ids, PATH), bounds).tolist() == bpe.spans_of(found).tolist()
+
+
+def test_ordinary_texts_do_without_the_slower_library(monkeypatch):
+    """It takes some six times the CPU time; only texts that tiktoken gives up on are left to it."""
+    monkeypatch.setattr(bpe, "tokenizer", None)
+    assert bpe.coded(["naïve 日本", "x" * 100_000], PATH, P.PATTERN)[0].tolist() == OWN.encode_ordinary("naïve 日本") + OWN.encode_ordinary("x" * 100_000)
+
+
+def test_texts_that_tiktoken_gives_up_on(spark):
+    texts = ["a" + " " * 1_000_000 + "é", "b c", "\n" * 1_000_000]
+    ids, bounds = bpe.coded(texts, PATH, P.PATTERN)
+    assert [bytes(x) for x in bpe.decoded(ids, bounds, PATH)] == [t.encode() for t in texts]
+    assert ids[bounds[1] : bounds[2]].tolist() == OWN.encode_ordinary("b c")
+    assert ids.tolist() == bpe.encoded(texts, bpe.tokenizer(PATH, P.PATTERN))[1].tolist()
+    got = {r.doc_id: (r.n_tokens, r.n_chars, r.decoded_sha256) for r in bpe.round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH, P.PATTERN).collect()}
+    assert got == {i: (bounds[i + 1] - bounds[i], len(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(texts)}
