@@ -143,7 +143,10 @@ def enlarged(image, times: int) -> Column:
 
 
 def otsu_threshold(values) -> Column:
-    """The first gray value that best separates dark from bright, by a fold over the sorted values; 127 if none does."""
+    """The first gray value that best separates dark from bright, by a fold over the sorted values; 127 if none does.
+
+    Separations that are equal to three decimals count as equal: in floating point equal ones differ in their last digits.
+    """
     px = F.array_sort(F.transform(_col(values), lambda x: F.greatest(F.lit(0), F.least(F.lit(255), x))))
     n = F.size(px)
     pairs = F.arrays_zip(px.alias("x"), F.slice(px, F.lit(2), F.greatest(n - 1, F.lit(0))).alias("after"))  # with the pixel after it
@@ -154,7 +157,9 @@ def otsu_threshold(values) -> Column:
         k, part = s["k"] + 1, s["sum"] + p["x"]
         last = p["after"].isNotNull() & (p["after"] != p["x"])  # the last pixel of its value, with brighter ones after it
         gap = part / k - (s["whole"] - part) / (s["n"] - k)
-        between = F.when(last, k.cast("double") * (s["n"] - k) * gap * gap).otherwise(0.0)
+        thousands = k.cast("double") * (s["n"] - k) * (gap * gap) * 1000.0
+        rest = thousands % 1.0  # and no floor, which whole numbers of 64 bits would bound
+        between = F.when(last, thousands - rest + F.when(rest >= 0.5, 1.0).otherwise(0.0)).otherwise(0.0)
         better = between > s["best"]
         return F.struct(k.alias("k"), part.alias("sum"), F.when(better, between).otherwise(s["best"]).alias("best"), F.when(better, p["x"]).otherwise(s["at"]).alias("at"), s["n"].alias("n"), s["whole"].alias("whole"))
 

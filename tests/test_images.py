@@ -143,3 +143,10 @@ def test_stacked_blocks(spark):
     got = {r.id: r.p for r in frame.select("id", frames.plates("blocks", "pairs").alias("p")).collect()}
     assert [x.plate for x in got[1]] == ["80아7890"] and got[1][0].box.asDict() == box(0, 0, 100, 45)
     assert got[2] == [] and got[3] == [] and got[4] == [] and got[5] is None
+
+
+def test_equal_separations_give_the_first_threshold(spark):
+    """Symmetric grays have two best thresholds, which floating point tells apart."""
+    some = [[16, 30, 30, 35, 35, 49], [11, 25, 29, 31, 35, 49], [12, 28, 30, 32, 34, 50]]
+    frame = spark.createDataFrame([(i, px) for i, px in enumerate(some)], "id int, px array<int>")
+    assert {r.id: r.t for r in frame.select("id", glyphs.otsu_threshold("px").alias("t")).collect()} == {0: 16, 1: 11, 2: 12}
