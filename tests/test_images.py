@@ -150,3 +150,13 @@ def test_equal_separations_give_the_first_threshold(spark):
     some = [[16, 30, 30, 35, 35, 49], [11, 25, 29, 31, 35, 49], [12, 28, 30, 32, 34, 50]]
     frame = spark.createDataFrame([(i, px) for i, px in enumerate(some)], "id int, px array<int>")
     assert {r.id: r.t for r in frame.select("id", glyphs.otsu_threshold("px").alias("t")).collect()} == {0: 16, 1: 11, 2: 12}
+
+
+TIED = np.array([[1, 60, 45, 53], [31, 16, 30, 8]])  #: 16 and 31 separate equally well
+
+
+def test_templates_at_equal_separations(spark):
+    g = TIED.repeat(4, 0).repeat(4, 1)
+    frame = spark.createDataFrame([(16, 8, g.ravel().tolist())], "w int, h int, px array<int>").select(F.struct("w", "h", "px").alias("image"))
+    want = (g < 16)[np.ix_(np.arange(72) * 8 // 72, 1 + np.arange(48) * 14 // 48)]
+    assert frame.select(glyphs.template("image").alias("t")).first().t == want.ravel().tolist()
