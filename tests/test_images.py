@@ -160,3 +160,9 @@ def test_templates_at_equal_separations(spark):
     frame = spark.createDataFrame([(16, 8, g.ravel().tolist())], "w int, h int, px array<int>").select(F.struct("w", "h", "px").alias("image"))
     want = (g < 16)[np.ix_(np.arange(72) * 8 // 72, 1 + np.arange(48) * 14 // 48)]
     assert frame.select(glyphs.template("image").alias("t")).first().t == want.ravel().tolist()
+
+
+def test_model_inputs_at_equal_separations(spark):
+    frame = spark.createDataFrame([(4, 2, TIED.ravel().tolist())], "w int, h int, px array<int>").select(F.struct("w", "h", "px").alias("image"))
+    want = images.model_input(np.where(TIED <= 16, 0, 255), 4)
+    assert frame.select(glyphs.prepared("image", 4).alias("x")).first().x == pytest.approx(want.tolist())
