@@ -98,7 +98,10 @@ def looked(frames: DataFrame, key: str = "user_id", active_ms: int = 300, idle_m
 
 def shown_spells(rows: DataFrame, keep_ms: int, key: str = "user_id", delay: str = "0 seconds") -> DataFrame:
     """(key, begins, ends, n) of a stream (key, ts): spells during which a result is shown, each result for ``keep_ms``
-    unless a newer one takes its place.  A spell comes out, and its state goes, when the watermark has passed its end."""
+    unless a newer one takes its place.  A spell comes out, and its state goes, when the watermark has passed its end.
+
+    Spark joins sessions that touch, but a result is gone at its end: sessions are a microsecond shorter than results.
+    """
     timed = rows.withColumn("_at", F.timestamp_millis("ts")).withWatermark("_at", delay)
-    spells = timed.groupBy(key, F.session_window("_at", f"{keep_ms} milliseconds").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return spells.select(key, F.unix_millis("w.start").alias("begins"), F.unix_millis("w.end").alias("ends"), "n")
+    spells = timed.groupBy(key, F.session_window("_at", f"{keep_ms * 1000 - 1} microseconds").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return spells.select(key, F.unix_millis("w.start").alias("begins"), (F.unix_millis("w.end") + 1).alias("ends"), "n")

@@ -112,3 +112,12 @@ def test_answers_that_arrive_later(spark, tmp_path):
     assert got == [(1, "A", True), (2, "b", None), (3, "A", True), (4, "a", None), (5, None, None)]
     assert state_rows(query)[-1] <= 2
     assert out.where(F.col("event_id") < 0).count() <= 1
+
+
+def test_a_result_at_the_end_of_the_last_begins_a_spell(spark, tmp_path):
+    rows = [(START, "a"), (START + 999, "a"), (START + 1_999, "a"), (START, "b"), (START + 1_000, "b"), (START + 2_001, "b"), (START + 5_000, "z")]
+    stream = streamed(spark, tmp_path, rows, spark.createDataFrame(rows, "ts long, user_id string").schema, 1)
+    spells, query = drained(spark, limits_stream.shown_spells(stream, 1_000), tmp_path)
+    want = [("a", 0, 1_999, 2), ("a", 1_999, 2_999, 1), ("b", 0, 1_000, 1), ("b", 1_000, 2_000, 1), ("b", 2_001, 3_001, 1)]
+    assert sorted(map(tuple, spells.collect())) == [(k, START + a, START + b, n) for k, a, b, n in want]
+    assert state_rows(query)[-1] == 1
