@@ -21,17 +21,18 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def kernel(function: Callable[[np.ndarray], object], result: str):
-    """An Arrow UDF that applies ``function`` to gray images; null and malformed images (px of another size) give null."""
+def kernel(function: Callable[..., object], result: str, *more: str):
+    """An Arrow UDF that applies ``function`` to gray images and to the fields ``more`` beside w, h and px; null and malformed
+    images (px of another size) give null."""
 
     @F.pandas_udf(result)
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for part in parts:
             out = []
-            for w, h, px in zip(part["w"], part["h"], part["px"]):
+            for w, h, px, *rest in zip(part["w"], part["h"], part["px"], *(part[name] for name in more)):
                 good = px is not None and w == w and h == h and w and h and len(px) == w * h
-                out.append(function(np.asarray(px, np.int64).reshape(int(h), int(w))) if good else None)
-            yield pd.Series(out)
+                out.append(function(np.asarray(px, np.int64).reshape(int(h), int(w)), *rest) if good else None)
+            yield pd.Series(out, dtype=object if more else None)
 
     return run
 
@@ -259,21 +260,57 @@ def bank_of(known: DataFrame, glyph: str = "glyph") -> list[tuple[str, list[list
     return sorted(by.items())
 
 
+def best_window_of(g: np.ndarray, box: tuple, slot: tuple, bank: np.ndarray, starts: np.ndarray) -> tuple | None:
+    """(place of the glyph, score, margin, number of the window) of the best window around a slot of an image: box (l, t, r, b),
+    slot (index, slots); ``bank`` has the packed templates glyph by glyph, ``starts`` where each begins."""
+    (left, top, right, bottom), (index, slots) = box, slot
+    offset, width = np.array([(o, w) for o in CENTRES for w in HALF_WIDTHS]).T
+    pitch, more = (right - left) / slots, (bottom - top) * 0.08
+    centre, half = left + (index + 0.5 + offset) * pitch, pitch * width
+    ends = np.stack([np.maximum(np.trunc(centre - half), 0), np.minimum(np.trunc(centre + half), g.shape[1])], 1).astype(np.int64)
+    t, b = max(int(top - more), 0), min(int(bottom + more), g.shape[0])
+    able = np.flatnonzero(ends[:, 1] - ends[:, 0] >= 8)
+    if b - t < 8 or not len(able) or not len(bank):
+        return None
+    bits, kept = images.window_templates(g[t:b], ends[able])
+    if not len(kept):
+        return None
+    count = lambda m: np.bitwise_count(m).sum(-1, dtype=np.int64)
+    both, size = count(bits[:, None] & bank), count(bits)[:, None] + count(bank)
+    scores = np.maximum.reduceat(np.where(size > 0, 2.0 * both / np.maximum(size, 1), 0.0), starts, 1)
+    place, ordered = scores.argmax(1), np.sort(scores, 1)
+    score = ordered[:, -1]
+    margin = ordered[:, -1] - ordered[:, -2] if len(starts) > 1 else np.zeros(len(kept))
+    k = int((score + margin).argmax())
+    return int(place[k]), float(score[k]), float(margin[k]) if len(starts) > 1 else None, int(able[kept[k]])
+
+
 def best_glyphs(slots: DataFrame, bank: list[tuple[str, list[list[int]]]], key: str = "id") -> DataFrame:
     """(key, glyph, score, margin, offset, width) of slots (key, image, box, slot): of all windows around the slot, the one whose
     best glyph is the likest and the furthest ahead of the second (score and margin together; at ties the first window).
 
-    Each window is a row: cut out, made a template, compared with every template of the bank, and the best of them is an
-    aggregate by key.  Slots without a window of a usable size or without ink have no row.
+    All windows of a slot are cut out, made templates and compared with every template of the bank at once, so that an image is
+    read once.  Slots without a window of a usable size or without ink have no row.
     """
-    windows = slots.select(key, "image", "box", "slot", F.posexplode(sweep(CENTRES, HALF_WIDTHS)).alias("k", "window"))
-    cut = slot_window(F.col("box"), F.col("slot"), F.col("window"), F.col("image.w"), F.col("image.h"))
-    each = windows.withColumn("bits", template_bits(cropped("image", cut))).where("bits is not null").select(key, "k", "window", "bits")
-    scores = F.array(*[F.array_max(F.array(*[likeness("bits", F.array(*map(F.lit, t))) for t in some])) for _, some in bank])
-    told = each.select(key, "k", "window", top_two(scores).alias("t"))
-    best = told.groupBy(key).agg(F.max_by(F.struct("window", "t"), F.struct(F.col("t.best") + F.coalesce("t.margin", F.lit(0.0)), -F.col("k"))).alias("b"))
-    glyph = F.get(F.array(*[F.lit(g) for g, _ in bank]), F.col("b.t.place"))
-    return best.select(key, glyph.alias("glyph"), F.col("b.t.best").alias("score"), F.col("b.t.margin").alias("margin"), F.col("b.window.offset").alias("offset"), F.col("b.window.width").alias("width"))
+    known = np.array([t for _, some in bank for t in some], np.int64).reshape(-1, 54).view(np.uint64)
+    starts = np.array([0, *np.cumsum([len(some) for _, some in bank])[:-1]], np.int64)
+
+    @F.pandas_udf("place int, score double, margin double, k int")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for w, h, px, *at in zip(*(part[c] for c in ("w", "h", "px", "l", "t", "r", "b", "index", "slots"))):
+                good = px is not None and w == w and h == h and w and h and len(px) == w * h and not any(pd.isna(v) for v in at)
+                found = best_window_of(np.asarray(px, np.int64).reshape(int(h), int(w)), tuple(map(int, at[:4])), tuple(map(int, at[4:])), known, starts) if good else None
+                out.append(found or (None,) * 4)
+            told = pd.DataFrame(out, columns=["place", "score", "margin", "k"], dtype=object)
+            yield told.astype({"place": "Int32", "score": "Float64", "margin": "Float64", "k": "Int32"})
+
+    run = run.asNondeterministic()  # else the filter below moves under a second copy of the kernel
+    told = slots.select(key, run(F.struct("image.*", "box.*", "slot.*")).alias("t")).where("t.k is not null")
+    window = F.get(sweep(CENTRES, HALF_WIDTHS), F.col("t.k"))
+    glyph = F.get(F.array(*[F.lit(g) for g, _ in bank]), F.col("t.place"))
+    return told.select(key, glyph.alias("glyph"), F.col("t.score").alias("score"), F.col("t.margin").alias("margin"), window["offset"].alias("offset"), window["width"].alias("width"))
 
 
 def slot_of_digits(leading) -> Column:

@@ -1,55 +1,49 @@
-"""Shapes in images as relations: runs of ink, connected components, boxes of text, lines of characters, valleys.
+"""Shapes in images: connected components, boxes of text, lines of characters, cells between valleys.
 
-An image is a row (id, image STRUCT<w, h, px>); what is found in it are rows with its id.  All images are worked on
-together: components are labelled by rounds of joins over the runs of all images, lines are joins of components within
-their images, and the best line is an aggregate.
+An image is a row (id, image STRUCT<w, h, px>); what is found in it are rows with its id.  An image's shapes concern it alone, so
+each is found by one kernel over its pixels, which never leave the image's row; relations hold what was found.  The columns
+:func:`parts_of`, :func:`line_of` and :func:`cells_of` serve where image and findings are in one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paddock.functions import images as kernels
 from paddock.operators import glyphs
-from paddock.scratch import written
 
-ROW = 1 << 20  #: a run is named by its first pixel, y * ROW + x
+# The kernels' columns count as nondeterministic only for the optimiser, which else moves a later filter below them with a
+# copy of the kernel, and runs it twice.
+PART = ("label", "left", "top", "right", "bottom", "area")
 
 
-def ink_runs(images: DataFrame, key: str = "id") -> DataFrame:
-    """(key, run, y, x0, x1) of images (key, image): runs of ink along the rows, x1 included; malformed images have none."""
-    px = images.select(key, F.col("image.w").alias("w"), F.posexplode(glyphs.ink_mask("image")).alias("k", "on")).where("on")
-    at = px.select(key, F.expr("k div w").alias("y"), (F.col("k") % F.col("w")).alias("x"))
-    island = F.col("x") - F.row_number().over(Window.partitionBy(key, "y").orderBy("x"))
-    runs = at.withColumn("_island", island).groupBy(key, "y", "_island").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    return runs.select(key, (F.col("y").cast("long") * ROW + F.col("x0")).alias("run"), "y", "x0", "x1")
+def _col(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
-def labelled(runs: DataFrame, key: str = "id") -> DataFrame:
-    """``runs`` with ``label``: the least run of their connected component, corners included.
+def _rows(flat: Column, names: tuple[str, ...], kind: str, skip: int = 0) -> Column:
+    """An array of numbers, beyond the first ``skip``, as an array of structs with a field for each of ``names``."""
+    at = lambda k, i: F.get(flat, k * len(names) + i + skip).cast("long" if names[i] == "label" else kind)
+    n = ((F.size(flat) - skip) / len(names)).cast("int")
+    made = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(*[at(k, i).alias(name) for i, name in enumerate(names)]))
+    return F.when(n > 0, made).when(flat.isNotNull(), F.array().cast(f"array<struct<{','.join(f'{name}:' + ('bigint' if name == 'label' else kind) for name in names)}>>"))
 
-    Each round a run takes the least label of its neighbours and then that label's own label, so the distance to the
-    least run that is covered about doubles; a round's labels are written.
-    """
-    runs = written(runs, "runs")
-    above, below = runs.select(key, (F.col("y") + 1).alias("y"), F.col("run").alias("a"), F.col("x0").alias("a0"), F.col("x1").alias("a1")), runs.select(key, "y", F.col("run").alias("b"), "x0", "x1")
-    touching = above.join(below, [key, "y"]).where("x0 <= a1 + 1 and x1 >= a0 - 1").select(key, "a", "b")
-    links = written(touching.select(key, F.col("a").alias("run"), F.col("b").alias("other")).unionByName(touching.select(key, F.col("b").alias("run"), F.col("a").alias("other"))), "touching")
-    labels, mark = runs.select(key, "run", F.col("run").alias("label")), None
-    while True:
-        near = links.join(labels.select(key, F.col("run").alias("other"), F.col("label").alias("near")), [key, "other"]).groupBy(key, "run").agg(F.min("near").alias("near"))
-        least = written(labels.join(near, [key, "run"], "left").select(key, "run", F.least("label", F.coalesce("near", "label")).alias("label")), "least")
-        labels = written(least.join(least.select(key, F.col("run").alias("label"), F.col("label").alias("further")), [key, "label"]).select(key, "run", F.col("further").alias("label")), "labels")
-        found = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if found == mark:
-            return runs.join(labels, [key, "run"])
-        mark = found
+
+def parts_of(image) -> Column:
+    """An image's connected ink as an array of numbers, six for each component: those named in PART."""
+    return glyphs.kernel(lambda g: kernels.shapes(kernels.ink_mask(g)).ravel().tolist(), "array<long>").asNondeterministic()(_col(image))
+
+
+def components_of(parts) -> Column:
+    """The array of :func:`parts_of` as an array of structs."""
+    return _rows(_col(parts), PART, "int")
 
 
 def components(images: DataFrame, key: str = "id") -> DataFrame:
     """(key, label, left, top, right, bottom, area) of the connected ink of images; right and bottom excluded."""
-    size = F.col("x1") - F.col("x0") + 1
-    return labelled(ink_runs(images, key), key).groupBy(key, "label").agg(F.min("x0").alias("left"), F.min("y").alias("top"), (F.max("x1") + 1).alias("right"), (F.max("y") + 1).alias("bottom"), F.sum(size).cast("int").alias("area"))
+    return images.select(key, parts_of("image").alias("parts")).select(key, F.inline(components_of("parts")))
 
 
 def _sized(parts: DataFrame) -> DataFrame:
@@ -89,54 +83,48 @@ def columns_of(boxes: Column, overlap: float = 0.35) -> Column:
     return F.aggregate(F.array_sort(boxes), none, take)
 
 
-def _chains(rows: DataFrame, *by: str) -> DataFrame:
-    """The boxes of each chain of components together: its ends, its columns, its middle height, row and proportions."""
-    spans = F.collect_list(F.struct(F.col("left").cast("int").alias("left"), F.col("right").cast("int").alias("right")))
-    made = rows.groupBy(*by).agg(
-        F.min("left").alias("l"), F.min("top").alias("t"), F.max("right").alias("r"), F.max("bottom").alias("b"), F.count(F.lit(1)).alias("n"), spans.alias("boxes"),
-        F.median("height").alias("tall"), F.median((F.col("top") + F.col("bottom")) / 2).alias("row"), F.median(F.col("width") / F.col("height")).alias("narrow"),
-    )
-    return made.withColumn("columns", columns_of(F.col("boxes"))).drop("boxes")
+def _told(line: tuple | None) -> list[int] | None:
+    return None if line is None else [*line[:4], *(x for column in line[4] for x in column)]
+
+
+def line_of(image, parts) -> Column:
+    """The best line of dark characters on a bright plate of an image with its components as of :func:`parts_of`: numbers that
+    :func:`line_parts` names, null without any."""
+    image = _col(image)
+    find = glyphs.kernel(lambda g, parts: None if parts is None else _told(kernels.best_line(g, parts)), "array<int>", "parts").asNondeterministic()
+    return find(F.struct(image["w"].alias("w"), image["h"].alias("h"), image["px"].alias("px"), _col(parts).alias("parts")))
+
+
+def line_parts(line) -> list[Column]:
+    """left, top, right, bottom and columns of the numbers of :func:`line_of`."""
+    line = _col(line)
+    return [F.get(line, i).alias(name) for i, name in enumerate(("left", "top", "right", "bottom"))] + [_rows(line, ("left", "right"), "int", 4).alias("columns")]
 
 
 def lines(images: DataFrame, parts: DataFrame, key: str = "id") -> DataFrame:
-    """(key, left, top, right, bottom, columns) of the best line of dark characters on a bright plate of each image.
+    """(key, left, top, right, bottom, columns) of the best line of each image, with its components ``parts``; images without
+    a line have none."""
+    own = parts.groupBy(key).agg(F.flatten(F.collect_list(F.array(*[F.col(name).cast("long") for name in PART]))).alias("parts"))
+    return images.join(own, key).select(key, line_of("image", "parts").alias("line")).where("line is not null").select(key, *line_parts("line"))
 
-    Every character-like component proposes the components of its height in its row.  Lines have 5 to 9 columns, a plate's
-    proportions, fairly even gaps and contrast; the best is tall, has 7 or 8 columns and strong contrast, and then takes
-    all components of its band.
-    """
-    sizes = images.select(key, F.col("image.h").alias("h"))
-    # The proportions of characters and of lines.
-    like = _sized(parts).join(sizes, key).where("height >= 10 and height <= 0.85 * h and width between greatest(2, 0.10 * height) and 1.6 * height and area between 0.05 * width * height and 0.85 * width * height")
-    like = written(like.drop("h"), "characters")
-    seed = like.select(key, F.col("label").alias("seed"), F.col("left").alias("x"), F.col("height").alias("size"), (F.col("top") + F.col("height") / 2).alias("y"))
-    fits = (F.abs(F.col("height") - F.col("size")) <= 0.35 * F.col("size")) & (F.abs(F.col("top") + F.col("height") / 2 - F.col("y")) <= 0.4 * F.col("size")) & (F.abs(F.col("left") - F.col("x")) <= 9 * F.col("size"))
-    chains = _chains(seed.join(like, key).where(fits), key, "seed", "size")
-    chains = chains.where(F.size("columns").between(5, 9) & ((F.col("r") - F.col("l")) / F.col("size")).between(3.0, 9.0) & (F.col("narrow") <= 0.8))
-    centre = F.transform("columns", lambda c: (c["left"] + c["right"]) / 2)
-    gap = F.posexplode(centre).alias("k", "c")
-    spread = chains.select(key, "seed", gap).withColumn("gap", F.col("c") - F.lag("c").over(Window.partitionBy(key, "seed").orderBy("k"))).groupBy(key, "seed").agg(F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("off"))
-    chains = written(chains.join(spread.where("not (mean > 0 and off / mean > 0.75)").select(key, "seed"), [key, "seed"]), "chains")
-
-    # the contrast of each distinct box: ink against the rest
-    boxes = chains.select(key, "l", "t", "r", "b").distinct().join(images.select(key, "image"), key)
-    inside = lambda k: ((k % F.col("image.w")) >= F.col("l")) & ((k % F.col("image.w")) < F.col("r")) & (k >= F.col("t") * F.col("image.w")) & (k < F.col("b") * F.col("image.w"))
-    pixels = F.filter(F.arrays_zip(F.col("image.px").alias("v"), glyphs.ink_mask("image").alias("ink")), lambda p, k: inside(k))
-    count = lambda part: F.size(F.filter(part, lambda p: p["ink"]))
-    total = lambda ink: F.aggregate(F.filter("pixels", lambda p: p["ink"] == ink), F.lit(0).cast("long"), lambda s, p: s + p["v"])
-    told = boxes.withColumn("pixels", pixels).select(key, "l", "t", "r", "b", F.size("pixels").alias("all"), count(F.col("pixels")).alias("inked"), total(F.lit(True)).alias("dark"), total(F.lit(False)).alias("bright"))
-    ground = F.when(F.col("all") > F.col("inked"), F.col("bright") / (F.col("all") - F.col("inked"))).otherwise(0.0)
-    strokes = F.when(F.col("inked") > 0, F.col("dark") / F.col("inked")).otherwise(255.0)
-    told = told.where(F.col("inked") / F.col("all") <= 0.6).select(key, "l", "t", "r", "b", ground.alias("ground"), (ground - strokes).alias("contrast")).where("ground >= 110 and contrast >= 40")
-
-    scored = chains.join(told, [key, "l", "t", "r", "b"])
-    score = F.col("size") * (2.0 - F.least(F.abs(F.size("columns") - 7.5), F.lit(4.0)) / 4.0) * (1 + F.col("contrast") / 255.0)
-    best = scored.groupBy(key).agg(F.max_by(F.struct("l", "t", "r", "b", "n", "tall", "row", "columns"), F.struct(score, -F.col("seed"))).alias("c"))
-    near = "abs((top + bottom) / 2 - c.row) < 0.5 * c.tall and height > 0.65 * c.tall and height < 1.35 * c.tall and left > c.l - 1.5 * c.tall and right < c.r + 1.5 * c.tall"
-    band = _chains(like.join(best, key).where(near), key).select(key, F.struct("l", "t", "r", "b", "n", "columns").alias("band"))
-    whole = best.join(band, key, "left").withColumn("w", F.when(F.col("band.n") >= F.col("c.n"), F.col("band")).otherwise(F.struct("c.l", "c.t", "c.r", "c.b", "c.n", "c.columns")))
-    return whole.select(key, F.col("w.l").alias("left"), F.col("w.t").alias("top"), F.col("w.r").alias("right"), F.col("w.b").alias("bottom"), F.col("w.columns").alias("columns"))
+
+SLOT = ("top", "bottom", "centre", "pitch")
+
+
+def _cells(g: np.ndarray, *slots) -> list[int]:
+    mask, out = kernels.ink_mask(g), []
+    for i, slot in enumerate(zip(*slots)):
+        found = None if any(v is None or v != v for v in slot) else kernels.cell(mask, *slot)
+        if found:
+            out.extend((i, *found))
+    return out
+
+
+def cells_of(image, slots) -> Column:
+    """The cells of an image's slots, an array of structs with the fields of SLOT: an array of (place of the slot, left, right)."""
+    image, slots = _col(image), _col(slots)
+    fields = [slots[name].cast("array<int>" if name in ("top", "bottom") else "array<double>").alias(name) for name in SLOT]
+    return glyphs.kernel(_cells, "array<int>", *SLOT).asNondeterministic()(F.struct(image["w"].alias("w"), image["h"].alias("h"), image["px"].alias("px"), *fields))
 
 
 def cells(images: DataFrame, slots: DataFrame, key: str = "id") -> DataFrame:
@@ -145,22 +133,7 @@ def cells(images: DataFrame, slots: DataFrame, key: str = "id") -> DataFrame:
 
     The first of equal columns counts; slots too small, without ink or without room for a cell have none.
     """
-    width = images.select(key, F.col("image.w").alias("w"))
-    known = slots.where("pitch > 0 and bottom - top >= 4").join(width, key)
-    ends = lambda s: F.greatest(F.lit(0), F.least(F.col("w"), (F.col("centre") + s * F.col("pitch") * 1.2).cast("int")))
-    known = known.withColumn("x0", ends(-1)).withColumn("x1", ends(1)).where("x1 - x0 >= 6")
-    each = known.withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)))
-    ink = ink_runs(images, key).select(key, "y", F.explode(F.sequence("x0", "x1")).alias("x"))
-    slot = [key, "slot"]
-    inked = each.select(*slot, "top", "bottom", "x").join(ink, [key, "x"]).where("y >= top and y < bottom").groupBy(*slot, "x").agg(F.count(F.lit(1)).alias("n"))
-    profile = each.join(inked, [*slot, "x"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    # windows of a slot are as wide as its pitch says, by places on the x axis
-    wide = F.expr("greatest(1, int(pitch * 0.08D)) div 2")
-    around = profile.select(*slot, "x", "n").groupBy(*slot).agg(F.map_from_entries(F.collect_list(F.struct("x", "n"))).alias("ink"), F.sum("n").alias("all")).where(F.col("all") > 0)
-    place = F.sequence(F.greatest(F.col("x0"), F.col("x") - wide), F.least(F.col("x1") - 1, F.col("x") + wide))
-    smooth = F.aggregate(F.transform(place, lambda x: F.element_at("ink", x)), F.lit(0.0), lambda s, n: s + n) / F.size(place)
-    rows = profile.drop("n").join(around, slot).withColumn("smooth", smooth).withColumn("at", F.least(F.greatest(F.col("centre").cast("int") - F.col("x0"), F.lit(0)), F.col("x1") - F.col("x0") - 1)).withColumn("i", F.col("x") - F.col("x0"))
-    end = lambda by: F.greatest(F.lit(0), F.least(F.col("x1") - F.col("x0"), (F.col("at") + by * F.col("pitch")).cast("int")))
-    least = lambda low, high: F.min(F.when((F.col("i") >= end(low)) & (F.col("i") < end(high)), F.struct("smooth", "x")))["x"]
-    found = rows.groupBy(*slot).agg(least(-0.80, -0.28).alias("left"), least(0.28, 0.80).alias("right"))
-    return found.where("right - left >= 3")
+    own = slots.where("pitch > 0 and bottom - top >= 4").groupBy(key).agg(F.collect_list(F.struct("slot", *SLOT)).alias("slots"))
+    found = images.join(own, key).select(key, "slots", cells_of("image", "slots").alias("cells"))
+    each = found.select(key, "slots", F.inline(_rows(F.col("cells"), ("at", "left", "right"), "int")))
+    return each.select(key, F.get("slots", F.col("at"))["slot"].alias("slot"), "left", "right")

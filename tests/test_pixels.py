@@ -151,3 +151,28 @@ def test_glyphs_by_a_bank_of_templates(spark):
     plain_bank = [(g, masks[g]) for g, _ in bank]
     want = {i: plain_match(pictures[i], box, slot, plain_bank) for i, box, slot in slots}
     assert got == {i: (g, round(s, 9), round(m, 9), o, w) for i, (g, s, m, o, w) in want.items()}
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shapes_by_runs_equal_a_flood(spark):
+    rng = np.random.default_rng(5)
+    masks = [rng.random(rng.integers(1, 40, 2)) < rng.choice([0.0, 0.2, 0.4, 0.6, 1.0]) for _ in range(80)] + [images.ink_mask(winding())]
+    for mask in masks:
+        label, n = flood(mask, True)
+        want = []
+        for k in range(1, n + 1):
+            y, x = np.nonzero(label == k)
+            want.append([int(y[0]) * images.ROW + int(x[0]), x.min(), y.min(), x.max() + 1, y.max() + 1, len(x)])
+        assert images.shapes(mask).tolist() == sorted(want)
+
+
+def test_shapes_are_found_within_an_images_row(spark):
+    """No joins, no shuffles, and each kernel once."""
+    frame = framed(spark, [plate_image()])
+    assert "Exchange" not in (plan := plan_of(pixels.components(frame))) and plan.count("ArrowEvalPython") == 1
+    told = frame.withColumn("parts", pixels.parts_of("image")).withColumn("line", pixels.line_of("image", "parts")).where("line is not null").select("id", *pixels.line_parts("line"))
+    assert "Exchange" not in (plan := plan_of(told)) and plan.count("ArrowEvalPython") == 2
+    assert [tuple(r)[:5] for r in told.collect()] == [(0, 8, 8, 136, 32)]
