@@ -6,8 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from paddock.functions import images
 from paddock.functions.text import GLYPHS
@@ -21,20 +24,38 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _values(column: pa.Array) -> Iterator[object]:
+    """The values of an Arrow array: lists of numbers as numpy arrays, others as Python's own; None for null, and for lists with
+    nulls inside."""
+    if not pa.types.is_list(column.type):
+        yield from column.to_pylist()
+        return
+    at, inside = column.offsets.to_numpy(), column.values
+    holes = np.concatenate([[0], inside.is_null().to_numpy(zero_copy_only=False).cumsum()]) if inside.null_count else None
+    flat = (inside.fill_null(0) if inside.null_count else inside).to_numpy()
+    for good, i, k in zip(column.is_valid().to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+        yield flat[i:k] if good and (holes is None or holes[i] == holes[k]) else None
+
+
+def grays(part: pa.StructArray, *more: str) -> Iterator[list]:
+    """For each row of an Arrow array STRUCT<w, h, px, ...> its image, None for null and malformed ones (px of another size, or
+    with nulls), and the fields ``more``.  Pixels are taken from Arrow's memory, not value by value."""
+    fields = dict(zip((f.name for f in part.type), part.flatten()))
+    for w, h, px, *rest in zip(*(_values(fields[name]) for name in ("w", "h", "px", *more))):
+        good = px is not None and w and h and len(px) == w * h
+        yield [px.astype(np.int64).reshape(h, w) if good else None, *rest]
+
+
 def kernel(function: Callable[..., object], result: str, *more: str):
     """An Arrow UDF that applies ``function`` to gray images and to the fields ``more`` beside w, h and px; null and malformed
-    images (px of another size) give null."""
+    images give null."""
+    kind = to_arrow_type(StructType.fromDDL(f"x {result}")["x"].dataType)
 
-    @F.pandas_udf(result)
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            out = []
-            for w, h, px, *rest in zip(part["w"], part["h"], part["px"], *(part[name] for name in more)):
-                good = px is not None and w == w and h == h and w and h and len(px) == w * h
-                out.append(function(np.asarray(px, np.int64).reshape(int(h), int(w)), *rest) if good else None)
-            yield pd.Series(out, dtype=object if more else None)
+            yield pa.array([None if g is None else function(g, *rest) for g, *rest in grays(part, *more)], kind)
 
-    return run
+    return F.arrow_udf(run, result)
 
 
 def _shaped(g: np.ndarray | None):
@@ -295,18 +316,18 @@ def best_glyphs(slots: DataFrame, bank: list[tuple[str, list[list[int]]]], key:
     known = np.array([t for _, some in bank for t in some], np.int64).reshape(-1, 54).view(np.uint64)
     starts = np.array([0, *np.cumsum([len(some) for _, some in bank])[:-1]], np.int64)
 
-    @F.pandas_udf("place int, score double, margin double, k int")
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    where = ("l", "t", "r", "b", "index", "slots")
+
+    def found(g, *at):
+        return None if g is None or None in at else best_window_of(g, at[:4], at[4:], known, starts)
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kinds = {"place": pa.int32(), "score": pa.float64(), "margin": pa.float64(), "k": pa.int32()}
         for part in parts:
-            out = []
-            for w, h, px, *at in zip(*(part[c] for c in ("w", "h", "px", "l", "t", "r", "b", "index", "slots"))):
-                good = px is not None and w == w and h == h and w and h and len(px) == w * h and not any(pd.isna(v) for v in at)
-                found = best_window_of(np.asarray(px, np.int64).reshape(int(h), int(w)), tuple(map(int, at[:4])), tuple(map(int, at[4:])), known, starts) if good else None
-                out.append(found or (None,) * 4)
-            told = pd.DataFrame(out, columns=["place", "score", "margin", "k"], dtype=object)
-            yield told.astype({"place": "Int32", "score": "Float64", "margin": "Float64", "k": "Int32"})
-
-    run = run.asNondeterministic()  # else the filter below moves under a second copy of the kernel
+            out = [found(*row) or (None,) * 4 for row in grays(part, *where)]
+            yield pa.StructArray.from_arrays([pa.array([t[i] for t in out], kind) for i, kind in enumerate(kinds.values())], list(kinds))
+
+    run = F.arrow_udf(run, "place int, score double, margin double, k int").asNondeterministic()  # else the filter below moves under a second copy of the kernel
     told = slots.select(key, run(F.struct("image.*", "box.*", "slot.*")).alias("t")).where("t.k is not null")
     window = F.get(sweep(CENTRES, HALF_WIDTHS), F.col("t.k"))
     glyph = F.get(F.array(*[F.lit(g) for g, _ in bank]), F.col("t.place"))

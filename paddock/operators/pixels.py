@@ -111,17 +111,20 @@ def lines(images: DataFrame, parts: DataFrame, key: str = "id") -> DataFrame:
 SLOT = ("top", "bottom", "centre", "pitch")
 
 
-def _cells(g: np.ndarray, *slots) -> list[int]:
+def _cells(g: np.ndarray, *slots) -> list[int] | None:
+    if any(s is None for s in slots):
+        return None
     mask, out = kernels.ink_mask(g), []
     for i, slot in enumerate(zip(*slots)):
-        found = None if any(v is None or v != v for v in slot) else kernels.cell(mask, *slot)
+        found = None if any(v != v for v in slot) else kernels.cell(mask, *slot)
         if found:
             out.extend((i, *found))
     return out
 
 
 def cells_of(image, slots) -> Column:
-    """The cells of an image's slots, an array of structs with the fields of SLOT: an array of (place of the slot, left, right)."""
+    """The cells of an image's slots, an array of structs with the fields of SLOT, none of them null: numbers, three for each
+    slot that has one (its place in the array, left, right)."""
     image, slots = _col(image), _col(slots)
     fields = [slots[name].cast("array<int>" if name in ("top", "bottom") else "array<double>").alias(name) for name in SLOT]
     return glyphs.kernel(_cells, "array<int>", *SLOT).asNondeterministic()(F.struct(image["w"].alias("w"), image["h"].alias("h"), image["px"].alias("px"), *fields))
@@ -133,7 +136,7 @@ def cells(images: DataFrame, slots: DataFrame, key: str = "id") -> DataFrame:
 
     The first of equal columns counts; slots too small, without ink or without room for a cell have none.
     """
-    own = slots.where("pitch > 0 and bottom - top >= 4").groupBy(key).agg(F.collect_list(F.struct("slot", *SLOT)).alias("slots"))
+    own = slots.where("pitch > 0 and bottom - top >= 4 and centre is not null").groupBy(key).agg(F.collect_list(F.struct("slot", *SLOT)).alias("slots"))
     found = images.join(own, key).select(key, "slots", cells_of("image", "slots").alias("cells"))
     each = found.select(key, "slots", F.inline(_rows(F.col("cells"), ("at", "left", "right"), "int")))
     return each.select(key, F.get("slots", F.col("at"))["slot"].alias("slot"), "left", "right")

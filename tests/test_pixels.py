@@ -176,3 +176,13 @@ def test_shapes_are_found_within_an_images_row(spark):
     told = frame.withColumn("parts", pixels.parts_of("image")).withColumn("line", pixels.line_of("image", "parts")).where("line is not null").select("id", *pixels.line_parts("line"))
     assert "Exchange" not in (plan := plan_of(told)) and plan.count("ArrowEvalPython") == 2
     assert [tuple(r)[:5] for r in told.collect()] == [(0, 8, 8, 136, 32)]
+
+
+def test_cells_beside_their_images(spark):
+    """A slot in its image's row gives the cell that the join gives, after one reading of the image."""
+    frame, slot = framed(spark, [plate_image(), scene()]), (8, 32, 75.5, 20.0)
+    one = F.array(F.struct(*[F.lit(v).alias(name) for v, name in zip(slot, pixels.SLOT)]))
+    beside = frame.select("id", pixels.cells_of("image", one).alias("cell")).where(F.size("cell") > 0)
+    assert (plan := plan_of(beside)).count("ArrowEvalPython") == 1 and "Exchange" not in plan
+    joined = pixels.cells(frame, frame.select("id", F.lit(3).alias("slot"), *[F.lit(v).alias(name) for v, name in zip(slot, pixels.SLOT)]))
+    assert sorted((r.id, *r.cell[1:]) for r in beside.collect()) == sorted((r.id, r.left, r.right) for r in joined.collect()) != []
