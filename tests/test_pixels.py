@@ -186,3 +186,13 @@ def test_cells_beside_their_images(spark):
     assert (plan := plan_of(beside)).count("ArrowEvalPython") == 1 and "Exchange" not in plan
     joined = pixels.cells(frame, frame.select("id", F.lit(3).alias("slot"), *[F.lit(v).alias(name) for v, name in zip(slot, pixels.SLOT)]))
     assert sorted((r.id, *r.cell[1:]) for r in beside.collect()) == sorted((r.id, r.left, r.right) for r in joined.collect()) != []
+
+
+def test_windows_are_searched_in_one_row(spark):
+    frame = framed(spark, [plate_image()]).where("id < 1000")
+    bank = [("a", [[-1] * 54]), ("b", [[0] * 54])]
+    slots = frame.select("id", "image", F.expr("named_struct('l', 8, 't', 8, 'r', 136, 'b', 32)").alias("box"), F.expr("named_struct('index', 3, 'slots', 7)").alias("slot"))
+    found = glyphs.best_glyphs(slots, bank)
+    assert "Generate" not in (plan := plan_of(found)) and "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+    assert [r.glyph for r in found.collect()] == ["a"]
+    assert glyphs.best_glyphs(slots, bank[:1]).first().margin is None
