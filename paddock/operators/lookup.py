@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paddock.functions.text import clean, digit_keys, digits_only, is_plate, middles_agree, stripped, syllables
+from paddock.functions.text import clean, digit_keys, digits_only, is_plate, middle_of, middles_agree, stripped, syllables
 from paddock.scratch import written
 
 LEAST_DIGITS = 6
@@ -60,14 +60,22 @@ def exact_matches(scans: DataFrame, registry: DataFrame, scan_col: str = "raw_pl
 
 def digit_matches(scans: DataFrame, registry: DataFrame, key: str = "event_id", scan_col: str = "raw_plate") -> DataFrame:
     """(key, matched, matched_id): scans with exactly one registry row under one of their digit keys whose glyph
-    doesn't contradict the scan's; scans with fewer than six digits have none."""
-    scan = scans.select(key, syllables(stripped(scan_col)).alias("scan")).withColumn("keys", digit_keys("scan"))
+    doesn't contradict the scan's; scans with fewer than six digits have none.
+
+    Registry rows that share digits and glyph, and equal scans, are one for the join: 5,400,000 rows with 600 to each
+    key are as many rows of a join as there are keys and glyphs."""
+    text = syllables(stripped(scan_col))
+    scan = scans.select(text.alias("scan")).distinct().withColumn("keys", digit_keys("scan"))
     scan = scan.where(F.length(F.col("keys")[0]) >= LEAST_DIGITS)
-    each = scan.select(key, clean("scan").alias("scan"), F.explode(F.array_distinct("keys")).alias("digitsKey"))
-    rows = registry.where("digitsKey <> ''").select("digitsKey", F.col("id").alias("matched_id"), F.col("plateNumber").alias("matched"))
-    fitting = met(each, rows, "digitsKey", "inner").where(middles_agree("scan", clean("matched")))
-    only = fitting.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min_by("matched", "matched_id").alias("matched"), F.min("matched_id").alias("matched_id"))
-    return only.where("n = 1").select(key, "matched", "matched_id")
+    each = scan.select("scan", clean("scan").alias("cleaned"), F.explode(F.array_distinct("keys")).alias("digitsKey"))
+    # a scan meets a row for each glyph of its digits, however many registry rows have them
+    rows = registry.where("digitsKey <> ''").withColumn("glyph", middle_of(clean("plateNumber")))
+    told = rows.groupBy("digitsKey", "glyph").agg(F.count(F.lit(1)).alias("n"), F.min_by("plateNumber", "id").alias("matched"), F.min("id").alias("matched_id"))
+    told = written(told, "told")
+    fitting = met(each, told.drop("glyph"), "digitsKey", "inner").where(middles_agree("cleaned", clean("matched")))
+    only = fitting.groupBy("scan").agg(F.sum("n").alias("n"), F.min("matched").alias("matched"), F.min("matched_id").alias("matched_id")).where("n = 1").drop("n")
+    found = scans.select(key, text.alias("_scan"))
+    return met(found, written(only, "only").withColumnRenamed("scan", "_scan"), "_scan", "inner").select(key, "matched", "matched_id")
 
 
 def resolve(scans: DataFrame, registry: DataFrame, key: str = "event_id", scan_col: str = "raw_plate") -> DataFrame:

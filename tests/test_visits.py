@@ -290,3 +290,19 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
         shared_dir(SimpleNamespace(conf=SimpleNamespace(get=conf.get, set=conf.__setitem__)))
     conf["spark.checkpoint.dir"] = "hdfs://there/shared/"
     assert shared_dir(SimpleNamespace(conf=SimpleNamespace(get=conf.get, set=conf.__setitem__))) == "hdfs://there/shared"
+
+
+def test_digits_with_many_registry_rows_are_met_once_a_glyph(spark, monkeypatch):
+    """Rows that share digits and glyph are one for the lookup, and so are equal scans."""
+    rows = [(k, "12가3456", "123456") for k in range(400)] + [(1000 + k, "12나3456", "123456") for k in range(400)] + [(2000, "12다3456", "123456"), (2001, "55라7777", "557777"), (2002, "55라7777", "557777"), (2003, "99 마9999", "999999")]
+    registry = spark.createDataFrame(rows, "id long, plateNumber string, digitsKey string")
+    texts = ["12가3456", "12나3456", "12다3456", "12L3456", "123456", "55라7777", "99마9999", "99L9999", "", None]
+    scans = spark.createDataFrame(list(enumerate(texts * 30)), "event_id long, raw_plate string")
+    got = sorted(map(tuple, lookup.digit_matches(scans, registry).collect()))
+    want = {2: ("12다3456", 2000), 6: ("99 마9999", 2003), 7: ("99 마9999", 2003)}
+    assert got == sorted((i, *want[i % 10]) for i in range(300) if i % 10 in want)
+    seen = []
+    met = lookup.met
+    monkeypatch.setattr(lookup, "met", lambda left, right, key, how="left": seen.append((left.count(), right.count())) or met(left, right, key, how))
+    lookup.digit_matches(scans, registry)
+    assert seen[0][0] <= 12 and seen[0][1] == 5
